@@ -89,3 +89,66 @@ def with_views(body: str) -> str:
     if m:
         return f"WITH {m.group(1) or ''}{ctes},\n{body[m.end():]}"
     return f"WITH {ctes}\n{body}"
+
+
+def sql_lit(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, str):
+        return "'" + v.replace("'", "''") + "'"
+    return repr(v)
+
+
+def sql_case_map(expr: str, mapping: dict, default=None) -> str:
+    """A CASE expression over a fixed mapping (the oracle's form of a literal map lookup)."""
+    whens = " ".join(f"WHEN {sql_lit(k)} THEN {sql_lit(v)}" for k, v in mapping.items())
+    return f"(CASE {expr} {whens} ELSE {sql_lit(default)} END)"
+
+
+def sql_values(rows: list[tuple], cols: list[str]) -> str:
+    body = ", ".join("(" + ", ".join(sql_lit(v) for v in r) + ")" for r in rows)
+    return f"(VALUES {body}) AS t({', '.join(cols)})"
+
+
+def _tie_safe_rounds(sql: str, digits: int = 6) -> str:
+    """Rewrite ``round(x, 6)`` in oracle text as ``round(x + 1e-9·sign(x), 6)`` — the same tie-safe rounding
+    the Spark side applies — by matching parentheses (our own SQL text only)."""
+    out, i, low = [], 0, sql.lower()
+    while True:
+        j = low.find("round(", i)
+        if j < 0 or (j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k, last_comma = 0, j + 5, -1
+        while k < len(sql):
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            elif ch == "," and depth == 1:
+                last_comma = k
+            k += 1
+        inner = sql[j + 6:last_comma] if last_comma > 0 else None
+        arg = sql[last_comma + 1:k].strip() if last_comma > 0 else ""
+        if inner is not None and arg == str(digits):
+            out.append(sql[i:j] + f"round(({_tie_safe_rounds(inner, digits)}) + 1e-9 * sign({_tie_safe_rounds(inner, digits)}), {digits})")
+        else:
+            out.append(sql[i:k + 1])
+        i = k + 1
+
+
+def round_wrap(sql: str, double_cols: list[str], digits: int = 6) -> str:
+    """Round the oracle's double outputs exactly as the Spark side does (see ``registry.round_doubles``)."""
+    sql = _tie_safe_rounds(sql, digits)
+    if not double_cols:
+        return sql
+    rep = ", ".join(f'round(CAST("{c}" AS DOUBLE) + 1e-9 * sign(CAST("{c}" AS DOUBLE)), {digits}) + 0.0 AS "{c}"'
+                    for c in double_cols)
+    return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) AS oracle_out"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .oracle import with_views
+from .oracle import round_wrap, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,7 +19,10 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f"`{f.name}`").cast("double"), digits).alias(f.name))
+            # nudge 1e-9 away from zero so exact decimal ties (common for means of short decimals) round the
+            # same way in every engine whatever the summation order; +0.0 turns -0.0 into 0.0
+            x = F.col(f"`{f.name}`").cast("double")
+            cols.append((F.round(x + F.lit(1e-9) * F.signum(x), digits) + F.lit(0.0)).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
@@ -39,12 +42,26 @@ def query(name: str, sql: str | None = None):
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = with_views(sql)
+            ORACLES[name] = round_wrap(with_views(sql), double_columns().get(name, []))
         return fn
 
     return deco
 
 
+_DOUBLES: dict | None = None
+
+
+def double_columns() -> dict[str, list[str]]:
+    """Output double columns per key (generated by tools/make_manifest.py from the Spark schemas)."""
+    global _DOUBLES
+    if _DOUBLES is None:
+        import json
+        import os
+        p = os.path.join(os.path.dirname(__file__), "double_columns.json")
+        _DOUBLES = json.load(open(p)) if os.path.exists(p) else {}
+    return _DOUBLES
+
+
 def load_all() -> None:
     from . import (q_basic, q_eda, q_profiles, q_windows, q_scoring, q_forecast,  # noqa: F401
                    q_feedback, q_misc, q_streaming, q_ml)
