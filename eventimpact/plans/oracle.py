@@ -144,11 +144,25 @@ def _tie_safe_rounds(sql: str, digits: int = 6) -> str:
         i = k + 1
 
 
-def round_wrap(sql: str, double_cols: list[str], digits: int = 6) -> str:
-    """Round the oracle's double outputs exactly as the Spark side does (see ``registry.round_doubles``)."""
+_DUCK_TYPES = {"integer": "INTEGER", "bigint": "BIGINT", "smallint": "SMALLINT", "tinyint": "TINYINT",
+               "string": "VARCHAR", "date": "DATE", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP",
+               "boolean": "BOOLEAN", "float": "DOUBLE", "double": "DOUBLE"}
+
+
+def round_wrap(sql: str, schema: list[list[str]], digits: int = 6) -> str:
+    """Give the oracle output the Spark output's column types, and round its doubles exactly as the Spark
+    side does (``registry.round_doubles``). Values are still computed by the oracle text alone."""
     sql = _tie_safe_rounds(sql, digits)
-    if not double_cols:
+    if not schema:
         return sql
-    rep = ", ".join(f'round(CAST("{c}" AS DOUBLE) + 1e-9 * sign(CAST("{c}" AS DOUBLE)), {digits}) + 0.0 AS "{c}"'
-                    for c in double_cols)
-    return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) AS oracle_out"
+    cols = []
+    for name, typ in schema:
+        q = f'"{name}"'
+        if typ in ("double", "float"):
+            x = f"CAST({q} AS DOUBLE)"
+            cols.append(f"round({x} + 1e-9 * sign({x}), {digits}) + 0.0 AS {q}")
+        elif typ in _DUCK_TYPES:
+            cols.append(f"CAST({q} AS {_DUCK_TYPES[typ]}) AS {q}")
+        else:
+            cols.append(q)
+    return "SELECT " + ", ".join(cols) + f" FROM (\n{sql}\n) AS oracle_out"

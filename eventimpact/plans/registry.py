@@ -42,7 +42,7 @@ def query(name: str, sql: str | None = None):
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = round_wrap(with_views(sql), double_columns().get(name, []))
+            ORACLES[name] = round_wrap(with_views(sql), output_schemas().get(name, []))
         return fn
 
     return deco
@@ -51,13 +51,13 @@ def query(name: str, sql: str | None = None):
 _DOUBLES: dict | None = None
 
 
-def double_columns() -> dict[str, list[str]]:
-    """Output double columns per key (generated by tools/make_manifest.py from the Spark schemas)."""
+def output_schemas() -> dict[str, list[list[str]]]:
+    """Spark output schema per key, ``[[name, simpleString type], ...]`` (tools/make_manifest.py)."""
     global _DOUBLES
     if _DOUBLES is None:
         import json
         import os
-        p = os.path.join(os.path.dirname(__file__), "double_columns.json")
+        p = os.path.join(os.path.dirname(__file__), "output_schemas.json")
         _DOUBLES = json.load(open(p)) if os.path.exists(p) else {}
     return _DOUBLES
 

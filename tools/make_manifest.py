@@ -6,7 +6,6 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from pyspark.sql import types as T  # noqa: E402
 
 from eventimpact.session import get_spark  # noqa: E402
 
@@ -22,13 +21,11 @@ def main():
         except Exception as ex:
             print("skip", k, repr(ex)[:200])
             continue
-        cols = [f.name for f in sch.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-        if cols:
-            out[k] = cols
+        out[k] = [[f.name, f.dataType.simpleString()] for f in sch.fields]
     p = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "eventimpact", "plans",
-                     "double_columns.json")
+                     "output_schemas.json")
     json.dump(out, open(p, "w"), indent=1, sort_keys=True)
-    print(f"{len(out)} keys with double outputs")
+    print(f"{len(out)} schemas")
 
 
 if __name__ == "__main__":
