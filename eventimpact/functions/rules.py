@@ -86,3 +86,10 @@ def rain_risk(rain_mm: Column) -> Column:
 def nan_to_null(x: Column) -> Column:
     """NaN / ±inf → NULL."""
     return F.when(F.isnan(x) | x.isin(float("inf"), float("-inf")), F.lit(None)).otherwise(x)
+
+
+def round_half(x: Column, digits: int = 1) -> Column:
+    """Display rounding of the reference (``round(x, 1)``) made engine-stable: a 1e-9 nudge away from zero
+    decides exact decimal ties the same way in Spark and SQL engines (Python would use half-even on the
+    binary value; only exact ties can differ)."""
+    return F.round(x + F.lit(1e-9) * F.signum(x), digits)
