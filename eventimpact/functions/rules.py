@@ -73,8 +73,8 @@ def congestion_speed(congestion: Column) -> Column:
 
 
 def crowd_tier(crowd: Column) -> Column:
-    """1 ≤10 000, 2 ≤30 000, 3 ≤50 000, else 4."""
-    return F.when(crowd <= 10000, 1).when(crowd <= 30000, 2).when(crowd <= 50000, 3).otherwise(4)
+    """0 ≤10 000, 1 ≤30 000, 2 ≤50 000, else 3."""
+    return F.when(crowd <= 10000, 0).when(crowd <= 30000, 1).when(crowd <= 50000, 2).otherwise(3)
 
 
 def rain_risk(rain_mm: Column) -> Column:
