@@ -327,11 +327,7 @@ _NAME_SQL = ("CASE WHEN user_id % 24 < 21 THEN " + "[" + ", ".join(f"'{n}'" for
 def named_corridors(spark, sf):
     """Incidents carrying real corridor names (21 mapped, one misspelt, Non-corridor, NULL)."""
     e = read_table(spark, sf, "events").select(F.col("event_id").alias("id"), "user_id")
-    m = F.col("user_id") % 24
-    names = F.array(*[F.lit(n) for n in _TIER_NAMES])
-    name = (F.when(m < 21, F.element_at(names, (m + 1).cast("int"))).when(m == 21, "Bannerghata Road")
-            .when(m == 22, "Non-corridor"))
-    return e.select("id", name.alias("corridor"))
+    return e.select("id", X.corridor_name(F.col("user_id")).alias("corridor"))
 
 
 @query("corridor_tier", f"""

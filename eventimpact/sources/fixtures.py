@@ -121,3 +121,25 @@ def wx(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.floor(F.col("hour") / 3).cast("int").alias("slot"))
             .agg((F.sum("duration_minutes") / 100).alias("rain_3h_mm"),
                  (F.avg("k") / 100).alias("rain_prob")))
+
+
+# The 21 tier-map corridor names in their fixed order; ``user_id % 24`` picks one (21 → a misspelt name,
+# 22 → Non-corridor, 23 → NULL) so dimension joins see hits, misses and NULLs.
+def corridor_name(user_id: Column) -> Column:
+    from .dims import CORRIDOR_TIERS
+    m = user_id % 24
+    names = F.array(*[F.lit(n) for n in CORRIDOR_TIERS])
+    return (F.when(m < 21, F.element_at(names, (m + 1).cast("int"))).when(m == 21, "Bannerghata Road")
+            .when(m == 22, "Non-corridor"))
+
+
+def closure_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diversion requests: every closure incident, closed from its point to 0.01° north-east (ours)."""
+    e = read_table(spark, sf_dir, "events").select(
+        "event_id", "user_id", F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"))
+    u = F.col("user_id")
+    lat = F.lit(12.5) + ((u * 37) % 1000) / F.lit(1000.0)
+    lon = F.lit(77.0) + ((u * 91) % 1000) / F.lit(1000.0)
+    return e.filter(F.col("k") < 8).select(
+        F.col("event_id").alias("request_id"), corridor_name(u).alias("corridor"), lat.alias("start_lat"),
+        lon.alias("start_lon"), (lat + 0.01).alias("end_lat"), (lon + 0.01).alias("end_lon"))
