@@ -200,3 +200,38 @@ def impact_narrative(cause: Column, count: Column, avg: Column, score: Column) -
 
 def classify(score: Column) -> Column:
     return risk_class(score)
+
+
+def what_if_variants(requests: DataFrame) -> DataFrame:
+    """The base row plus up to six variants (toggle closure, Non-corridor, a tier-1 corridor, hour 9, hour 2,
+    weekday↔weekend); variants that change nothing are skipped. One ``explode`` — no self join of the input."""
+    t, c, h, w = F.col("tier"), F.col("closure"), F.col("hour"), F.col("weekday")
+
+    def v(name, corridor, tier, closure, hour, weekday, cond=None):
+        s = F.struct(F.lit(name).alias("variant"), corridor.alias("corridor"), tier.cast("int").alias("tier"),
+                     closure.cast("int").alias("closure"), hour.cast("int").alias("hour"), weekday.cast("int").alias("weekday"))
+        return s if cond is None else F.when(cond, s)
+
+    arr = F.array(
+        v("base", F.col("corridor"), t, c, h, w),
+        v("closure_toggle", F.col("corridor"), t, 1 - c, h, w),
+        v("non_corridor", F.lit("Non-corridor"), F.lit(0), c, h, w, t != 0),
+        v("tier1_corridor", F.lit("C0"), F.lit(1), c, h, w, t != 1),
+        v("hour_9", F.col("corridor"), t, c, F.lit(9), w, h != 9),
+        v("hour_2", F.col("corridor"), t, c, F.lit(2), w, h != 2),
+        v("weekday_toggle", F.col("corridor"), t, c, h, F.when(w < 5, 5).otherwise(2)))
+    e = requests.select("request_id", "cause", F.explode(F.filter(arr, lambda x: x.isNotNull())).alias("v"))
+    return e.select("request_id", "cause", "v.*")
+
+
+def what_if(requests: DataFrame, history: DataFrame) -> DataFrame:
+    from .evidence import evidence_lookup
+    v = evidence_lookup(what_if_variants(requests), history)
+    base, _ = operational_baseline(F.col("cause"), F.col("tier"), F.col("closure"), F.col("hour"))
+    v = v.withColumn("score", blend_score(base.cast("double"), F.col("evidence_count"), F.col("average_score"),
+                                          F.col("closure"), F.col("tier"), F.col("cause"), F.col("hour")))
+    from pyspark.sql import Window
+    b = F.max(F.when(F.col("variant") == "base", F.col("score"))).over(Window.partitionBy("request_id"))
+    out = v.withColumn("__base", b).filter(F.col("variant") != "base")
+    return out.select("request_id", "variant", F.col("score").alias("variant_score"),
+                      risk_class(F.col("score")).alias("variant_class"), (F.col("score") - F.col("__base")).alias("delta"))

@@ -1 +1,185 @@
-"""Registered queries."""
+"""Clustering, feature, model and what-if queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.rules import risk_class
+from ..operators import clustering as CL
+from ..operators import evidence as EV
+from ..operators import ml as ML
+from ..operators import scoring as SC
+from ..sources import fixtures as X
+from ..sources.tables import read_table
+from .q_scoring import BASELINE_SQL, BLEND_SQL, CLASS, EVIDENCE_SQL
+from .registry import query
+
+EPS_SQL = "CAST(0.01 AS DOUBLE)"
+
+
+@query("neighbour_counts", f"""
+WITH p AS (SELECT latitude AS lat, longitude AS lon, count(*) AS w FROM inc
+           WHERE latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY latitude, longitude),
+n AS (SELECT a.lat, a.lon, CAST(sum(b.w) AS BIGINT) AS neighbour_count FROM p a JOIN p b
+      ON sqrt((a.lat - b.lat) * (a.lat - b.lat) + (a.lon - b.lon) * (a.lon - b.lon)) <= {EPS_SQL}
+      GROUP BY a.lat, a.lon)
+SELECT i.id, n.neighbour_count, n.neighbour_count >= 5 AS is_core FROM inc i
+LEFT JOIN n ON i.latitude = n.lat AND i.longitude = n.lon""")
+def q_neighbour_counts(spark, sf):
+    """J07 / L09 core flags: rows within eps = 0.01° (self included) via the grid equi-join."""
+    d = X.inc(spark, sf).select("id", "latitude", "longitude")
+    return CL.neighbour_counts(d).select("id", "neighbour_count", "is_core")
+
+
+@query("geo_clusters")
+def q_geo_clusters(spark, sf):
+    """Density clusters (rows-only here; labels are checked against a brute-force DBSCAN in tests)."""
+    return CL.dbscan(X.inc(spark, sf).select("id", "latitude", "longitude"))
+
+
+FV_SQL = """
+fv AS (SELECT i.*,
+  CAST(dense_rank() OVER (ORDER BY coalesce(event_cause, 'others')) - 1 AS INT) AS event_cause_encoded,
+  CAST(dense_rank() OVER (ORDER BY coalesce(event_type, 'unknown')) - 1 AS INT) AS event_type_encoded,
+  CAST(dense_rank() OVER (ORDER BY coalesce(veh_type, 'unknown')) - 1 AS INT) AS veh_type_encoded,
+  CASE WHEN corridor_tier > 0 THEN 1 ELSE 0 END AS is_corridor,
+  CAST(CASE WHEN latitude IS NULL THEN 0 WHEN la1 = la0 THEN 4
+       ELSE least(greatest(ceil((latitude - la0) / (la1 - la0) * 10) - 1, 0), 9) END AS INT) AS lat_bin,
+  CAST(CASE WHEN longitude IS NULL THEN 0 WHEN lo1 = lo0 THEN 4
+       ELSE least(greatest(ceil((longitude - lo0) / (lo1 - lo0) * 10) - 1, 0), 9) END AS INT) AS lon_bin,
+  CASE WHEN weekday >= 5 THEN 1 ELSE 0 END AS is_weekend, CASE WHEN hour < 6 OR hour > 22 THEN 1 ELSE 0 END AS is_night,
+  sin(2 * pi() * hour / 24) AS hour_sin, cos(2 * pi() * hour / 24) AS hour_cos,
+  sin(2 * pi() * weekday / 7) AS weekday_sin, cos(2 * pi() * weekday / 7) AS weekday_cos,
+  sin(2 * pi() * month / 12) AS month_sin, cos(2 * pi() * month / 12) AS month_cos,
+  CAST(CASE WHEN k % 3 = 0 THEN 'yes' ELSE 'no' END = 'yes' AS INT) AS authenticated,
+  coalesce(CASE WHEN police_station IS NULL THEN NULL
+       ELSE row_number() OVER (PARTITION BY police_station ORDER BY start_datetime, id) - 1 END, 0) AS station_event_count,
+  CAST(0 AS BIGINT) AS junction_event_count,
+  row_number() OVER (PARTITION BY corridor ORDER BY start_datetime, id) - 1 AS corridor_event_count
+FROM inc i CROSS JOIN (SELECT min(latitude) la0, max(latitude) la1, min(longitude) lo0, max(longitude) lo1 FROM inc) m)"""
+FV_COLS = [c for c in ML.SERVED_FEATURES if c != "geo_cluster"]
+
+
+@query("feature_vector", f"WITH {FV_SQL} SELECT id, " + ", ".join(FV_COLS) + " FROM fv")
+def q_feature_vector(spark, sf):
+    """The served feature columns (the DBSCAN cluster id comes from ``geo_clusters``)."""
+    return ML.feature_table(X.inc(spark, sf)).select("id", *FV_COLS)
+
+
+def _train_frame(spark, sf, with_cluster: bool = False):
+    s = X.scored(spark, sf)
+    geo = CL.dbscan(s.select("id", "latitude", "longitude")) if with_cluster else None
+    return ML.split(ML.feature_table(s, geo))
+
+
+_FEATS = [c for c in ML.SERVED_FEATURES if c != "geo_cluster"]
+
+
+@query("gbt_impact_model")
+def q_gbt_impact_model(spark, sf):
+    """L01 + M02 + L03: GBT on the served features (early stopping on a validation slice); train/test metrics."""
+    d = _train_frame(spark, sf)
+    train = d.filter(F.col("split") == "train").cache()
+    model = ML.gbt_pipeline(_FEATS, "impact_score").fit(train)
+    pred = ML.score(model, d, "impact_score")
+    train.unpersist()
+    return ML.metrics(pred, "impact_score")
+
+
+@query("model_scores")
+def q_model_scores(spark, sf):
+    """Clipped model score, class and raw output for every test incident."""
+    d = _train_frame(spark, sf)
+    model = ML.gbt_pipeline(_FEATS, "impact_score", max_iter=20).fit(d.filter(F.col("split") == "train"))
+    return ML.score(model, d.filter(F.col("split") == "test"), "impact_score")
+
+
+@query("gbt_grid_search")
+def q_gbt_grid_search(spark, sf):
+    """Depth × rate grid (TrainValidationSplit, parallel fits)."""
+    d = _train_frame(spark, sf)
+    return ML.grid_search(d.filter(F.col("split") == "train"), _FEATS, "impact_score")
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf):
+    """Top-15 feature importances of the fitted GBT."""
+    d = _train_frame(spark, sf)
+    model = ML.gbt_pipeline(_FEATS, "impact_score", max_iter=20).fit(d.filter(F.col("split") == "train"))
+    return ML.feature_importance(model, _FEATS)
+
+
+@query("model_comparison")
+def q_model_comparison(spark, sf):
+    """Test metrics of the GBT vs the rule baseline (M03) for the v2 label; best first."""
+    d = _train_frame(spark, sf)
+    model = ML.gbt_pipeline(_FEATS, "impact_score", max_iter=20).fit(d.filter(F.col("split") == "train"))
+    test = d.filter(F.col("split") == "test")
+    gbt = ML.metrics(ML.score(model, test, "impact_score"), "impact_score").withColumn("model", F.lit("gbt"))
+    base, _ = SC.operational_baseline(F.col("event_cause"), F.col("corridor_tier"), F.col("requires_road_closure"),
+                                      F.col("hour"))
+    rule = ML.metrics(test.withColumn("impact_score_pred", base.cast("double")), "impact_score").withColumn(
+        "model", F.lit("rule_baseline"))
+    allm = gbt.unionByName(rule)
+    best = allm.agg(F.max_by("model", "r2").alias("best_model"), F.max("r2").alias("best_r2"),
+                    F.min("r2").alias("worst_r2"))
+    return allm.crossJoin(F.broadcast(best)).withColumn("improvement_r2", F.col("best_r2") - F.col("worst_r2")) \
+        .orderBy(F.desc("r2"))
+
+
+@query("cross_validation")
+def q_cross_validation(spark, sf):
+    """5-fold CV with an md5 fold column."""
+    d = _train_frame(spark, sf)
+    return ML.cross_validate(d, _FEATS, "impact_score")
+
+
+@query("embedding_pca")
+def q_embedding_pca(spark, sf):
+    """PCA of the given vectors to 32 dimensions."""
+    return ML.pca(read_table(spark, sf, "embeddings"), 32)
+
+
+@query("event_training_set", """
+SELECT i.id, c.expected_crowd,
+  CASE WHEN c.expected_crowd <= 10000 THEN 0 WHEN c.expected_crowd <= 30000 THEN 1 WHEN c.expected_crowd <= 50000 THEN 2 ELSE 3 END AS crowd_tier,
+  least(100.0, s.impact_score + 5 * CASE WHEN c.expected_crowd <= 10000 THEN 0 WHEN c.expected_crowd <= 30000 THEN 1
+        WHEN c.expected_crowd <= 50000 THEN 2 ELSE 3 END) AS target
+FROM inc i JOIN scored s ON i.id = s.id CROSS JOIN (VALUES (5000), (20000), (40000), (80000)) c(expected_crowd)
+WHERE i.event_type = 'planned'""")
+def q_event_training_set(spark, sf):
+    """L12 (definition ours): planned history expanded over four crowd levels (deterministic, no resampling)."""
+    from ..functions.rules import crowd_tier
+    s = X.scored(spark, sf).filter(F.col("event_type") == "planned")
+    e = s.select("id", "impact_score", F.explode(F.array(*[F.lit(c) for c in (5000, 20000, 40000, 80000)])).alias("expected_crowd"))
+    t = crowd_tier(F.col("expected_crowd"))
+    return e.select("id", "expected_crowd", t.alias("crowd_tier"),
+                    F.least(F.lit(100.0), F.col("impact_score") + 5 * t).alias("target"))
+
+
+_VARIANT_SQL = """
+base AS (SELECT id AS request_id, event_cause AS cause, corridor, corridor_tier AS tier, requires_road_closure AS closure,
+           hour, weekday FROM inc),
+req AS (
+  SELECT *, 'base' AS variant FROM base
+  UNION ALL SELECT request_id, cause, corridor, tier, 1 - closure, hour, weekday, 'closure_toggle' FROM base
+  UNION ALL SELECT request_id, cause, 'Non-corridor', 0, closure, hour, weekday, 'non_corridor' FROM base WHERE tier <> 0
+  UNION ALL SELECT request_id, cause, 'C0', 1, closure, hour, weekday, 'tier1_corridor' FROM base WHERE tier <> 1
+  UNION ALL SELECT request_id, cause, corridor, tier, closure, 9, weekday, 'hour_9' FROM base WHERE hour <> 9
+  UNION ALL SELECT request_id, cause, corridor, tier, closure, 2, weekday, 'hour_2' FROM base WHERE hour <> 2
+  UNION ALL SELECT request_id, cause, corridor, tier, closure, hour, CASE WHEN weekday < 5 THEN 5 ELSE 2 END, 'weekday_toggle' FROM base)"""
+
+
+@query("what_if", f"""
+WITH {_VARIANT_SQL}, {EVIDENCE_SQL},
+s AS (SELECT *, CAST({BASELINE_SQL} AS DOUBLE) AS bs FROM evf),
+b AS (SELECT *, {BLEND_SQL} AS final_score FROM s)
+SELECT v.request_id, v.variant, v.final_score AS variant_score, {CLASS.format(s='v.final_score')} AS variant_class,
+  v.final_score - o.final_score AS delta
+FROM b v JOIN b o ON v.request_id = o.request_id AND o.variant = 'base' WHERE v.variant <> 'base'""")
+def q_what_if(spark, sf):
+    """Up to six counterfactual variants per incident, no-ops skipped, rescored with M04, delta vs base."""
+    from .q_scoring import requests
+    r = requests(spark, sf).select("request_id", "cause", "corridor", "tier", "closure", "hour", "weekday")
+    out = SC.what_if(r, X.scored(spark, sf))
+    return out
