@@ -93,3 +93,30 @@ def round_half(x: Column, digits: int = 1) -> Column:
     decides exact decimal ties the same way in Spark and SQL engines (Python would use half-even on the
     binary value; only exact ties can differ)."""
     return F.round(x + F.lit(1e-9) * F.signum(x), digits)
+
+
+def data_quality_flags(endlat: Column, endlon: Column, lat: Column, lon: Column) -> tuple[Column, Column]:
+    """``has_end_coords`` (both end coordinates ≠ 0; a NULL compares as true, as in pandas) and
+    ``coords_complete`` (all four non-NULL)."""
+    has_end = F.coalesce(endlat != 0, F.lit(True)) & F.coalesce(endlon != 0, F.lit(True))
+    complete = lat.isNotNull() & lon.isNotNull() & endlat.isNotNull() & endlon.isNotNull()
+    return has_end.cast("int"), complete.cast("int")
+
+
+def target_formulas(c: Column, t: Column, pk: Column, wk: Column, ti: Column, ts: Column, cause: Column,
+                    has_script: Column, desc_len: Column, temporal_pct: Column, desc_pct: Column) -> dict[str, Column]:
+    """The six candidate training targets (trials v1–v3, methods m4–m6) without their Gaussian noise
+    terms, each clipped to 0–100. Inputs: closure, tier, peak, weekend, intensity, temporal score, cause, script
+    flag, description length and the two percentile ranks (E07)."""
+    ct = c * t
+    v1 = c * 55 + t * 12 + ct * 10 + pk * 7
+    v2 = (cause_severity(cause, "t2") * 1.5 + c * 35 + t * 10 + pk * 8 + wk * -4 + has_script * 3 + ts * 15)
+    v3 = c * 50 + F.pow(t, 1.5) * 8 + F.pow(ti, 2) * 12 + ct * 15 + pk * t * 6 + F.log1p(desc_len) * 2
+    m4 = (cause_cluster(cause) * 18 + F.pow(c, 1.2) * 42 + F.pow(t, 1.3) * 9 + F.exp(ts) * 5 + pk * 6
+          + has_script * 2.5 + F.log1p(desc_len) * 1.5)
+    m5 = (cause_severity(cause, "m5") * 0.8 + c * 40 * 1.1 + (t / 3 * 25) * 0.9 + temporal_pct * 20
+          + desc_pct * 10 * 0.5 + has_script * 3.5 + pk * 5)
+    m6 = (cause_severity(cause, "m6") * 1.3 + c * 32 + t * 11 + ct * 12 + ct * ts * 8 + c * pk * t * 4 + ts * 14
+          + has_script * t * 2 + ti * t * 3 + pk * 7 + wk * -3)
+    return {k: clip(v.cast("double"), 0.0, 100.0) for k, v in
+            {"v1": v1, "v2": v2, "v3": v3, "m4": m4, "m5": m5, "m6": m6}.items()}

@@ -274,3 +274,24 @@ def latest(df: DataFrame, n: int = 25, ts: str = "start_datetime", key: str = "i
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def corridor_intelligence(scored: DataFrame) -> dict[str, DataFrame]:
+    """The corridor-intelligence page as independent plans over one input (heatmap of the top-10 corridors,
+    closure rates of the top-12 causes, cause top-8 + Others, stress leaderboard, stations, fleet demand).
+    Cache ``scored`` first when all six are materialised together."""
+    from .profiles import station_profile, stress_index
+    return {"heatmap": corridor_hour_heatmap(scored), "closure_rates": closure_rate_by_cause(scored),
+            "cause_distribution": top_k_with_others(scored, "event_cause", 8),
+            "stress_leaderboard": stress_index(scored), "station_scatter": station_profile(scored),
+            "fleet_demand": fleet_demand(scored)}
+
+
+def city_pulse(scored: DataFrame) -> dict[str, DataFrame]:
+    """KPIs, class counts, map sample (P04/P11), latest feed (O07) and stress bar."""
+    from .profiles import stress_index
+    m = scored.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+                      & F.col("latitude").between(12.5, 13.5) & F.col("longitude").between(77.0, 78.0))
+    return {"kpi": city_kpis(scored), "class_counts": class_distribution(scored),
+            "map_events": m.orderBy(F.md5(F.col("id").cast("string"))).limit(500),
+            "feed": latest(scored), "stress_bar": stress_index(scored)}

@@ -68,7 +68,10 @@ def evidence_lookup(requests: DataFrame, history: DataFrame, cause: str = "cause
         F.when(cnt > 0, pick("avg_score")).otherwise(F.lit(0.0)).alias("average_score"),
         *[F.coalesce(pick(f"n_{c}"), F.lit(0)).cast("long").alias(f"n_{c}") for c in ("low", "medium", "high", "critical")],
         n1.cast("long").alias("matching_count"))
-    return out
+    # Class distribution as a map with zero defaults
+    dist = F.create_map(*[x for c in ("Low", "Medium", "High", "Critical")
+                          for x in (F.lit(c), F.col(f"n_{c.lower()}"))])
+    return out.withColumn("score_distribution", dist)
 
 
 def confidence_level(matching: str = "matching_count"):

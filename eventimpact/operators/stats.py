@@ -91,3 +91,37 @@ def percentile_rank(df: DataFrame, col: str, out: str) -> DataFrame:
               .withColumn("__tot", F.sum("__n").over(Window.partitionBy()))
               .select(col, ((F.col("__cum") - (F.col("__n") - 1) / 2.0) / F.col("__tot")).alias(out)))
     return df.join(ranked, on=col, how="left")
+
+
+def impute_end(df: DataFrame, start: str, end: str, resolved: str | None, out: str = "duration_minutes",
+               approx: bool = False) -> DataFrame:
+    """P17 + F14: missing end → resolved time when present, then the global median duration fills the rest."""
+    from ..functions.temporal import duration_minutes
+    e = F.coalesce(F.col(end), F.col(resolved)) if resolved else F.col(end)
+    d = df.withColumn("__dur", duration_minutes(F.col(start), e))
+    return impute_median(d, "__dur", out, approx=approx).drop("__dur")
+
+
+def fallback_to_centroid(df: DataFrame, centroids: DataFrame, lat: str = "latitude", lon: str = "longitude",
+                         key: str = "corridor", drop_invalid: bool = False) -> DataFrame:
+    """A (0, 0) or NULL coordinate is invalid → dropped, or replaced by the corridor centroid
+    (``centroids``: key, center_lat, center_lon — a fixed 21-row dimension, broadcast)."""
+    bad = F.col(lat).isNull() | F.col(lon).isNull() | ((F.col(lat) == 0) & (F.col(lon) == 0))
+    if drop_invalid:
+        return df.filter(~bad)
+    j = df.join(F.broadcast(centroids), key, "left").withColumn("__bad", bad)
+    return (j.withColumn(lat, F.when(F.col("__bad"), F.col("center_lat")).otherwise(F.col(lat)))
+             .withColumn(lon, F.when(F.col("__bad"), F.col("center_lon")).otherwise(F.col(lon)))
+             .drop("center_lat", "center_lon", "__bad"))
+
+
+def with_holidays(df: DataFrame, holidays: DataFrame, ts: str = "start_datetime", out: str = "is_holiday") -> DataFrame:
+    """Holiday flag from a calendar dimension (one row per date — broadcast left join on the date)."""
+    h = holidays.select(F.col("date").cast("date").alias("__hd")).distinct().withColumn(out, F.lit(1))
+    j = df.join(F.broadcast(h), F.to_date(F.col(ts)) == F.col("__hd"), "left")
+    return j.withColumn(out, F.coalesce(F.col(out), F.lit(0))).drop("__hd")
+
+
+def drop_if_present(df: DataFrame, *cols: str) -> DataFrame:
+    """Drop temporary columns, ignoring names that are absent (``DataFrame.drop`` already does)."""
+    return df.drop(*cols)

@@ -521,3 +521,35 @@ def q_stress_index_minmax(spark, sf):
     st = (0.4 * F.col("total_incidents_mm") + 0.4 * F.col("closure_rate_mm") + 0.2 * F.col("median_resolution_mm")) * 100
     return (g.select("corridor", "total_incidents", "closures", "median_resolution", "closure_rate", st.alias("stress_index"))
             .orderBy(F.desc("stress_index"), "corridor").limit(15))
+
+
+@query("target_formulas", f"""
+WITH x AS (SELECT id, requires_road_closure AS c, corridor_tier AS t, event_cause AS cause,
+             CASE WHEN hour IN (7, 8, 9, 17, 18, 19) THEN 1 ELSE 0 END AS pk, CASE WHEN weekday >= 5 THEN 1 ELSE 0 END AS wk,
+             {_INTENSITY_SQL} AS ti, {_INTENSITY_SQL} * {_WEIGHT_SQL} AS ts FROM inc),
+y AS (SELECT *, (rank() OVER (ORDER BY ts) + (count(*) OVER (PARTITION BY ts) - 1) / 2.0) / count(*) OVER () AS tp,
+             (count(*) OVER () + 1) / 2.0 / count(*) OVER () AS dp FROM x)
+SELECT id,
+  least(100.0, greatest(0.0, CAST(c * 55 + t * 12 + c * t * 10 + pk * 7 AS DOUBLE))) AS v1,
+  least(100.0, greatest(0.0, coalesce({sql_case_map('cause', D.CAUSE_SEVERITY_T2)}, 6) * 1.5 + c * 35 + t * 10 + pk * 8 - wk * 4 + ts * 15)) AS v2,
+  least(100.0, greatest(0.0, c * 50 + pow(t, 1.5) * 8 + pow(ti, 2) * 12 + c * t * 15 + pk * t * 6 + ln(1 + 0) * 2)) AS v3,
+  least(100.0, greatest(0.0, CASE WHEN cause IN ('protest', 'water_logging', 'tree_fall', 'accident') THEN 3
+      WHEN cause IN ('public_event', 'procession', 'vip_movement', 'construction', 'road_conditions') THEN 2 ELSE 1 END * 18
+    + pow(c, 1.2) * 42 + pow(t, 1.3) * 9 + exp(ts) * 5 + pk * 6)) AS m4,
+  least(100.0, greatest(0.0, coalesce({sql_case_map('cause', D.CAUSE_SEVERITY_M5)}, 7) * 0.8 + c * 40 * 1.1 + (t / 3 * 25) * 0.9
+    + tp * 20 + dp * 10 * 0.5 + pk * 5)) AS m5,
+  least(100.0, greatest(0.0, coalesce({sql_case_map('cause', D.CAUSE_SEVERITY_M6)}, 5) * 1.3 + c * 32 + t * 11 + c * t * 12
+    + c * t * ts * 8 + c * pk * t * 4 + ts * 14 + ti * t * 3 + pk * 7 - wk * 3)) AS m6
+FROM y""")
+def q_target_formulas(spark, sf):
+    """The six candidate targets (noise off); incidents carry no description (length 0)."""
+    d = X.inc(spark, sf)
+    h, w = F.col("hour"), F.col("weekday")
+    d = d.select("id", "requires_road_closure", "corridor_tier", "event_cause", T.is_peak(h, "code").alias("pk"),
+                 T.is_weekend(w).alias("wk"), T.traffic_intensity(h).alias("ti"), T.temporal_score(h, w).alias("ts"),
+                 F.lit(0).alias("desc_len"))
+    d = S.percentile_rank(d, "ts", "tp")
+    d = S.percentile_rank(d, "desc_len", "dp")
+    f = R.target_formulas(F.col("requires_road_closure"), F.col("corridor_tier"), F.col("pk"), F.col("wk"), F.col("ti"),
+                          F.col("ts"), F.col("event_cause"), F.lit(0), F.col("desc_len"), F.col("tp"), F.col("dp"))
+    return d.select("id", *[v.alias(k) for k, v in f.items()])

@@ -139,3 +139,33 @@ def test_windows_do_not_depend_on_partitioning(spark):
                     ("frequency_features", "expanding_closure_rate", "events_last_7days", "days_since_last")])
     spark.conf.set("spark.sql.shuffle.partitions", old)
     assert res[0] == res[1]
+
+
+def test_quality_flags_centroid_fallback_holidays(spark):
+    from eventimpact.sources import dims as D
+    df = spark.createDataFrame(
+        [(1, "Mysore Road", 0.0, 0.0, None, 77.6, dt.datetime(2024, 1, 26, 9)),
+         (2, "Hosur Road", 12.9, 77.6, 12.91, 0.0, dt.datetime(2024, 1, 27, 9)),
+         (3, "Unknown Rd", None, None, 12.9, 77.6, dt.datetime(2024, 1, 28, 9))],
+        "id int, corridor string, latitude double, longitude double, endlatitude double, endlongitude double, start_datetime timestamp")
+    he, cc = R.data_quality_flags(F.col("endlatitude"), F.col("endlongitude"), F.col("latitude"), F.col("longitude"))
+    flags = {r["id"]: (r["he"], r["cc"]) for r in df.select("id", he.alias("he"), cc.alias("cc")).collect()}
+    assert flags == {1: (1, 0), 2: (0, 1), 3: (1, 0)}                         # P13: NULL ≠ 0 counts as true
+    fixed = {r["id"]: (r["latitude"], r["longitude"]) for r in
+             ST.fallback_to_centroid(df, D.centroid_dim(spark)).collect()}
+    assert fixed[1] == D.CORRIDOR_CENTERS["Mysore Road"] and fixed[2] == (12.9, 77.6) and fixed[3] == (None, None)
+    assert ST.fallback_to_centroid(df, D.centroid_dim(spark), drop_invalid=True).count() == 1
+    hol = spark.createDataFrame([("2024-01-26",)], "date string")
+    h = {r["id"]: r["is_holiday"] for r in ST.with_holidays(df, hol).collect()}
+    assert h == {1: 1, 2: 0, 3: 0}                                            # D11
+
+
+def test_end_time_imputation_and_except(spark):
+    df = spark.createDataFrame([(1, "2024-01-01 08:00:00", "2024-01-01 09:00:00", None),
+                                (2, "2024-01-01 08:00:00", None, "2024-01-01 10:00:00"),
+                                (3, "2024-01-01 08:00:00", None, None)],
+                               "id int, s string, e string, r string")
+    df = df.select("id", *[F.to_timestamp(c).alias(c) for c in ("s", "e", "r")])
+    got = {r["id"]: r["duration_minutes"] for r in ST.impute_end(df, "s", "e", "r").collect()}
+    assert got == {1: 60.0, 2: 120.0, 3: 90.0}                                # P17 then the median (F14)
+    assert ST.impute_end(df, "s", "e", "r").select("id").exceptAll(df.select("id")).count() == 0   # U04
