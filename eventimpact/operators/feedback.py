@@ -148,3 +148,10 @@ def classification_metrics(df: DataFrame, actual: str = "actual_class", pred: st
     macro = sum((f1(c) for c in classes), F.lit(0.0)) / len(classes)
     return a.select((F.col("ok") / F.col("n") * 100).alias("accuracy_pct"), macro.alias("macro_f1"),
                     F.when(F.col("a_Critical") > 0, F.col("tp_Critical") / F.col("a_Critical") * 100).alias("critical_recall_pct"))
+
+
+def prediction_id(ts, *cols):
+    """``PRED_<yyyyMMddHHmmssSSSSSS>_<hash>`` — the reference's timestamp id plus a deterministic hash of the
+    record, so two predictions in the same microsecond (any executor) never collide."""
+    h = F.lower(F.hex(F.xxhash64(*cols)))
+    return F.concat(F.lit("PRED_"), F.date_format(ts, "yyyyMMddHHmmssSSSSSS"), F.lit("_"), h)

@@ -20,7 +20,7 @@ from .registry import query
 
 @query("scan_incidents", "SELECT * FROM inc")
 def q_scan_incidents(spark, sf):
-    """Parquet scan of the incident view (pruning and pushdown by Catalyst)."""
+    """Parquet scan of the incident view (JSON property ``k`` extracted; pruning and pushdown by Catalyst)."""
     return X.inc(spark, sf)
 
 
@@ -154,7 +154,7 @@ SELECT id,
   CASE WHEN hour BETWEEN 8 AND 10 OR hour BETWEEN 17 AND 19 THEN 1 ELSE 0 END AS is_peak_client
 FROM inc""")
 def q_temporal_flags(spark, sf):
-    """D02–D04 with every variant of T6/T7."""
+    """D02, D03, D04 with every variant of T6/T7."""
     d = X.inc(spark, sf)
     h = F.col("hour")
     return d.select("id", T.is_weekend(F.col("weekday")).alias("is_weekend"),
@@ -356,7 +356,7 @@ def q_corridor_tier(spark, sf):
 @query("impact_score_v2", """
 SELECT id, dur, is_peak_hour, impact_score FROM scored""")
 def q_impact_v2(spark, sf):
-    """F14 + F15: median-imputed duration and the code label."""
+    """F14 + F15 + F01: median-imputed duration and the clipped code label."""
     return X.scored(spark, sf).select("id", "dur", "is_peak_hour", "impact_score")
 
 

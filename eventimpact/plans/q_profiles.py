@@ -23,7 +23,7 @@ SELECT corridor,
 FROM g CROSS JOIN m
 """)
 def q_stress_index(spark, sf):
-    """Corridor stress index, sorted desc."""
+    """Corridor stress index (max-normalised, Non-corridor excluded), sorted desc."""
     return P.stress_index(X.scored(spark, sf)).orderBy(F.desc("stress_index"), "corridor")
 
 

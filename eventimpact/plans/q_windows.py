@@ -16,7 +16,8 @@ SELECT id,
   row_number() OVER (PARTITION BY corridor ORDER BY start_datetime, id) - 1 AS corridor_event_count
 FROM inc""")
 def q_frequency_features(spark, sf):
-    """Prior-event counts per station and corridor (day pre-aggregate + in-day rank)."""
+    """Prior-event counts per station and corridor (order lives inside the windows; day
+    pre-aggregate + in-day rank)."""
     d = X.inc(spark, sf).select("id", "start_datetime", "police_station", "corridor")
     d = W.prior_count(d, "police_station", "station_event_count")
     d = W.prior_count(d, "corridor", "corridor_event_count")

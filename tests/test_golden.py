@@ -169,3 +169,30 @@ def test_end_time_imputation_and_except(spark):
     got = {r["id"]: r["duration_minutes"] for r in ST.impute_end(df, "s", "e", "r").collect()}
     assert got == {1: 60.0, 2: 120.0, 3: 90.0}                                # P17 then the median (F14)
     assert ST.impute_end(df, "s", "e", "r").select("id").exceptAll(df.select("id")).count() == 0   # U04
+
+
+def test_prediction_id_geojson_nan(spark):
+    from eventimpact.operators import diversion as DV
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 2, 3, 4, 5, 678901), "accident", float("nan")),
+                                (dt.datetime(2024, 1, 2, 3, 4, 5, 678901), "protest", float("inf"))],
+                               "ts timestamp, cause string, x double")
+    ids = [r[0] for r in df.select(FB.prediction_id(F.col("ts"), F.col("cause"))).collect()]
+    assert all(i.startswith("PRED_20240102030405678901_") for i in ids) and len(set(ids)) == 2     # G07
+    assert [r[0] for r in df.select(R.nan_to_null(F.col("x"))).collect()] == [None, None]          # P16
+    routes = DV.route_dim(spark).filter("route_no = 1 AND r_corridor = 'Mysore Road'").withColumn(
+        "route_type", F.lit("alternate_1"))
+    g = DV.route_geojson(routes).first()["geojson"]
+    assert '"coordinates":[[77.55,12.94],[77.565,12.955]]' in g and '"color":"#10b981"' in g      # N04
+
+
+def test_profile_json_sink(spark):
+    import os
+    import tempfile
+    from eventimpact.operators.profiles import top_k_array
+    from eventimpact.sources import files as S
+    df = spark.createDataFrame([("C1", "a"), ("C1", "a"), ("C1", "b"), ("C2", "c")], "corridor string, event_cause string")
+    prof = top_k_array(df, ["corridor"], "event_cause", 3, "cause")
+    p = os.path.join(tempfile.mkdtemp(prefix="ei-prof-"), "p")
+    S.write_profile(prof, p)                                                                        # S06
+    back = {r["corridor"]: [(x["cause"], x["count"]) for x in r["top_causes"]] for r in spark.read.json(p).collect()}
+    assert back == {"C1": [("a", 2), ("b", 1)], "C2": [("c", 1)]}                                  # N01

@@ -116,3 +116,36 @@ def test_parquet_sink_with_checkpoint(spark):
     q = L.write_stream(spark.readStream.schema(d.schema).parquet(src), os.path.join(base, "out"), os.path.join(base, "ck"))
     q.awaitTermination(300)
     assert spark.read.parquet(os.path.join(base, "out")).count() == d.count()
+
+
+def test_late_rows_are_dropped_and_drift_monitor(spark):
+    # Rows older than the watermark are dropped from the windowed aggregate
+    early = spark.createDataFrame([(1, "2024-01-01 10:00:00", 0, "accident", "C1")],
+                                  "id long, start_datetime string, requires_road_closure int, event_cause string, corridor string")
+    late = spark.createDataFrame([(2, "2024-01-01 05:00:00", 0, "accident", "C1")], early.schema)
+    src = tempfile.mkdtemp(prefix="ei-late-")
+    ck = tempfile.mkdtemp(prefix="ei-late-ck-")
+    schema = "id long, start_datetime timestamp, requires_road_closure int, event_cause string, corridor string"
+    progress = []
+    for i, d in enumerate((early, late)):          # second run resumes from the checkpoint (watermark 09:00)
+        d.withColumn("start_datetime", F.to_timestamp("start_datetime")).coalesce(1).write.mode("append").parquet(src)
+        sink = os.path.join(ck, f"out{i}")
+        q = (L.tumbling_hourly(spark.readStream.schema(schema).parquet(src).withWatermark("start_datetime", "1 hour"))
+             .writeStream.foreachBatch(lambda b, _id, p=sink: b.write.mode("append").parquet(p)).outputMode("update")
+             .option("checkpointLocation", ck).trigger(availableNow=True).start())
+        q.awaitTermination(300)
+        progress += q.recentProgress
+    assert not os.path.exists(os.path.join(ck, "out1")) or spark.read.parquet(os.path.join(ck, "out1")).count() == 0
+    dropped = sum(p["stateOperators"][0].get("numRowsDroppedByWatermark", 0) for p in progress if p["stateOperators"])
+    assert dropped == 1
+    # foreachBatch appends the log and recomputes drift per micro-batch
+    log = spark.createDataFrame([(f"p{i}", f"2024-01-0{1 + i % 5} 08:00:00", 50.0, 52.0) for i in range(12)],
+                                "prediction_id string, ts string, predicted_impact double, actual_impact double") \
+        .withColumn("ts", F.to_timestamp("ts"))
+    lsrc = _land(log, 2)
+    base = tempfile.mkdtemp(prefix="ei-drift-")
+    q2 = (spark.readStream.schema(log.schema).parquet(lsrc).writeStream.foreachBatch(L.drift_monitor(base))
+          .option("checkpointLocation", os.path.join(base, "ck")).trigger(availableNow=True).start())
+    q2.awaitTermination(300)
+    drift = spark.read.parquet(os.path.join(base, "drift")).orderBy(F.desc("batch_id")).first()
+    assert drift["status"] == "model_healthy" and drift["predictions_analyzed"] == 12
