@@ -105,9 +105,11 @@ def box_stats(df: DataFrame, key: str, col: str, top: int = 10) -> DataFrame:
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson correlation per pair in ONE aggregate (pairwise-complete: NULL pairs skipped), long form.
 
-    A pair with a constant side is NULL (pandas: NaN) instead of an ANSI divide-by-zero error.
+    Only the upper triangle is aggregated (k·(k−1)/2 correlations); the diagonal is 1 for a non-constant column
+    and the lower triangle mirrors the upper one. A pair with a constant side is NULL (pandas: NaN) instead of an
+    ANSI divide-by-zero error.
     """
-    pairs = [(a, b) for a in cols for b in cols]
+    upper = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
 
     def pair_corr(a, b):
         x, y = F.col(a).cast("double"), F.col(b).cast("double")
@@ -115,10 +117,15 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
         var = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
         return F.when(var > 0, F.corr(x, y))
 
-    row = df.agg(*[pair_corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
-    stacked = F.explode(F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                                           F.col(f"{a}__{b}").alias("corr")) for a, b in pairs]))
-    return row.select(stacked.alias("s")).select("s.*")
+    row = df.agg(*[pair_corr(a, b).alias(f"{a}__{b}") for a, b in upper],
+                 *[F.stddev_pop(F.col(c).cast("double")).alias(f"__sd_{c}") for c in cols])
+    items = []
+    for a, b in upper:
+        items += [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"{a}__{b}").alias("corr")),
+                  F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), F.col(f"{a}__{b}").alias("corr"))]
+    items += [F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"),
+                       F.when(F.col(f"__sd_{c}") > 0, F.lit(1.0)).alias("corr")) for c in cols]
+    return row.select(F.explode(F.array(*items)).alias("s")).select("s.*")
 
 
 def missing_values(df: DataFrame, top: int = 10) -> DataFrame:

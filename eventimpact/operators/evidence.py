@@ -33,26 +33,43 @@ def evidence_aggregate(history: DataFrame, score: str = "impact_score") -> DataF
     return g.withColumn("grain", grain).drop("__gid")
 
 
-def _grain(agg: DataFrame, k: int, keys: tuple[str, ...], prefix: str) -> DataFrame:
-    cols = ["n", "avg_score", "n_critical", "n_high", "n_medium", "n_low"]
-    return agg.filter(F.col("grain") == k).select(
-        *[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], *[F.col(c).alias(f"{prefix}{c}") for c in cols])
+STAT_COLS = ["n", "avg_score", "n_critical", "n_high", "n_medium", "n_low"]
+
+
+def grain_tables(history: DataFrame, score: str = "impact_score") -> list[DataFrame]:
+    """The three ladder grains for lookups: the finest grain is aggregated once from the history (one scan,
+    partial aggregation) and the two coarser grains are rolled up from that small table (≤ causes × tiers × 2
+    rows) — filtering one GROUPING SETS result per grain would make Catalyst push each filter below the
+    ``Expand`` and scan the history three times."""
+    cls = risk_class(F.col(score))
+    g1 = history.groupBy(*GRAINS[0]).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(score).alias("s"),
+        *[F.sum(F.when(cls == c, 1).otherwise(0)).cast("long").alias(f"n_{c.lower()}")
+          for c in ("Critical", "High", "Medium", "Low")])
+    sums = [F.sum(c).alias(c) for c in ("n", "s", "n_critical", "n_high", "n_medium", "n_low")]
+    out = []
+    for keys in GRAINS:
+        g = g1 if keys == GRAINS[0] else g1.groupBy(*keys).agg(*sums)
+        out.append(g.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
+                            F.col("n").cast("long").alias("n"), (F.col("s") / F.col("n")).alias("avg_score"),
+                            *[F.col(c).cast("long").alias(c) for c in ("n_critical", "n_high", "n_medium", "n_low")]))
+    return out
 
 
 def evidence_lookup(requests: DataFrame, history: DataFrame, cause: str = "cause", tier: str = "tier",
                     closure: str = "closure", score: str = "impact_score") -> DataFrame:
     """Per request — rung used (1 three keys, 2 cause+tier, 3 cause only), count, critical rate %,
     mean score and class distribution; zeros when nothing matches."""
-    agg = evidence_aggregate(history, score)
     out = requests
     req_keys = (cause, tier, closure)
-    for k, keys in enumerate(GRAINS, start=1):
-        g = _grain(agg, k, keys, f"g{k}_")
+    for k, (keys, g) in enumerate(zip(GRAINS, grain_tables(history, score)), start=1):
+        g = g.select(*[f"__k{i}" for i in range(len(keys))], *[F.col(c).alias(f"g{k}_{c}") for c in STAT_COLS])
         cond = None
         for i, _ in enumerate(keys):
             c = F.col(req_keys[i]) == F.col(f"__k{i}")
             cond = c if cond is None else cond & c
-        out = out.join(g, cond, "left").drop(*[f"__k{i}" for i in range(len(keys))])
+        # each grain has at most |causes| × |tiers| × 2 rows (dimension-bounded) → broadcast, requests never shuffle
+        out = out.join(F.broadcast(g), cond, "left").drop(*[f"__k{i}" for i in range(len(keys))])
     n1, n2 = F.coalesce(F.col("g1_n"), F.lit(0)), F.coalesce(F.col("g2_n"), F.lit(0))
     rung = F.when(n1 >= 5, 1).when(n2 >= 3, 2).otherwise(3)
     out = out.withColumn("rung", rung)

@@ -22,7 +22,7 @@ NON_CORRIDOR = "Non-corridor"
 def event_features(events: DataFrame, history: DataFrame) -> DataFrame:
     """17-column event feature table; corridor history count defaults to 100 when 0."""
     cnt = history.groupBy("corridor").agg(F.count(F.lit(1)).alias("__hc"))
-    e = events.join(cnt, "corridor", "left")
+    e = events.join(F.broadcast(cnt), "corridor", "left")      # one row per corridor
     hc = F.coalesce(F.col("__hc"), F.lit(0))
     return e.select(
         "event_id", F.coalesce(D.literal_map(D.EVENT_TYPE_ENCODING)[F.col("event_type")], F.lit(4)).alias("event_type_encoded"),
@@ -57,13 +57,14 @@ def similar_history(events: DataFrame, history: DataFrame, resolution: str = "re
     names = ["n", "rs", "rn", "cs"]
 
     def summed(df, keys, prefix):
-        j = off.join(df.withColumnRenamed("hour", "__h"), keys, "left")
+        # history aggregates have ≤ corridors × 24 rows → broadcast; the 5× event fan-out stays local
+        j = off.join(F.broadcast(df.withColumnRenamed("hour", "__h")), keys, "left")
         return j.groupBy("event_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(prefix + c) for c in names])
 
     wc = summed(ch, ["corridor", "__h"], "wc_")
     wa = summed(hh, ["__h"], "wa_")
     out = (e.join(wc, "event_id", "left").join(wa, "event_id", "left")
-           .join(cc.select("corridor", *[F.col(c).alias("cc_" + c) for c in names]), "corridor", "left")
+           .join(F.broadcast(cc.select("corridor", *[F.col(c).alias("cc_" + c) for c in names])), "corridor", "left")
            .crossJoin(F.broadcast(al.select(*[F.col(c).alias("al_" + c) for c in names]))))
     use_c = (F.col("corridor") != NON_CORRIDOR) & (F.coalesce(F.col("cc_n"), F.lit(0)) > 0)
 

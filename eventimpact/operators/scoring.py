@@ -155,37 +155,49 @@ def barricade_placement(requests: DataFrame, total: str = "barricades", tier: st
 
 def prediction_breakdown(requests: DataFrame, cause: str = "cause", tier: str = "tier", closure: str = "closure",
                          hour: str = "hour", weekday: str = "weekday", stress: str = "stress_index") -> DataFrame:
-    """Six additive contributions in long form (one row per request × feature) plus the total."""
+    """Six additive contributions in long form (one row per request × feature) plus the total.
+
+    The six (value, points, impact) triples are plain columns first (one projection, whole-stage codegen), the
+    total is their sum, and only then a six-element array of structs is exploded.
+    """
     c, t, h, w = F.col(cause), F.col(tier), F.col(hour), F.col(weekday)
     closed = F.col(closure) == 1
     peak = h.isin(7, 8, 9, 17, 18, 19)
     night = (h >= 22) | (h <= 5)
-    cause_pts = F.coalesce(D.literal_map(D.BREAKDOWN_CAUSE_POINTS)[c], F.lit(20))
-    st = F.col(stress)
-    stress_pts = F.when(st.isNull(), F.lit(10)).otherwise(F.floor(round_half(st, 1) / 5)).cast("int")
+    st1 = round_half(F.col(stress), 1)
     names = F.element_at(F.array(*[F.lit(n) for n in D.WEEKDAY_NAMES]), w + 1)
-
-    def item(feature, value, pts, impact):
-        return F.struct(F.lit(feature).alias("feature"), value.alias("value"), pts.cast("int").alias("contribution"),
-                        impact.alias("impact"))
-
-    items = F.array(
-        item("Road Closure", F.when(closed, "Yes").otherwise("No"), F.when(closed, 45).otherwise(10),
-             F.when(closed, "High").otherwise("Low")),
-        item("Corridor Tier", F.format_string("Tier %d", t),
-             F.coalesce(D.literal_map({0: 15, 1: 35, 2: 28, 3: 20})[t], F.lit(20)),
-             F.when(t == 1, "Critical").when(t == 2, "High").otherwise("Medium")),
-        item("Incident Cause", title_cause(c), cause_pts,
-             F.when(cause_pts > 30, "Critical").when(cause_pts > 20, "High").otherwise("Medium")),
-        item("Time of Day", F.format_string("%d:00 (%s)", h, F.when(peak, "Peak Hour").when(night, "Night")
-                                            .otherwise("Regular Hours")),
-             F.when(peak, 25).when(night, 8).otherwise(15), F.when(peak, "High").when(night, "Low").otherwise("Medium")),
-        item("Day of Week", names, F.when(w >= 5, 10).otherwise(18), F.when(w >= 5, "Low").otherwise("Medium")),
-        item("Corridor Stress Index", F.when(st.isNull(), "Unknown").otherwise(round_half(st, 1).cast("string")),
-             stress_pts, F.when(stress_pts > 15, "High").otherwise("Medium")))
-    total = F.aggregate(items, F.lit(0), lambda acc, x: acc + x["contribution"])
-    out = requests.select(*requests.columns, F.posexplode(items).alias("pos", "f"), total.alias("total_estimated_score"))
-    return out.select(*requests.columns, "pos", "f.*", "total_estimated_score")
+    pts = {
+        "p0": F.when(closed, 45).otherwise(10),
+        "p1": F.coalesce(D.literal_map({0: 15, 1: 35, 2: 28, 3: 20})[t], F.lit(20)),
+        "p2": F.coalesce(D.literal_map(D.BREAKDOWN_CAUSE_POINTS)[c], F.lit(20)),
+        "p3": F.when(peak, 25).when(night, 8).otherwise(15),
+        "p4": F.when(w >= 5, 10).otherwise(18),
+        "p5": F.when(st1.isNull(), F.lit(10)).otherwise(F.floor(st1 / 5)).cast("int"),
+    }
+    vals = {
+        "v0": F.when(closed, "Yes").otherwise("No"),
+        "v1": F.concat(F.lit("Tier "), t.cast("string")),
+        "v2": title_cause(c),
+        "v3": F.concat(h.cast("string"), F.lit(":00 ("),
+                       F.when(peak, "Peak Hour").when(night, "Night").otherwise("Regular Hours"), F.lit(")")),
+        "v4": names,
+        "v5": F.when(st1.isNull(), "Unknown").otherwise(st1.cast("string")),
+    }
+    base = requests.select(*requests.columns, *[v.cast("int").alias(k) for k, v in pts.items()],
+                           *[v.alias(k) for k, v in vals.items()])
+    p = [F.col(f"p{i}") for i in range(6)]
+    impacts = [F.when(closed, "High").otherwise("Low"),
+               F.when(t == 1, "Critical").when(t == 2, "High").otherwise("Medium"),
+               F.when(p[2] > 30, "Critical").when(p[2] > 20, "High").otherwise("Medium"),
+               F.when(peak, "High").when(night, "Low").otherwise("Medium"),
+               F.when(w >= 5, "Low").otherwise("Medium"),
+               F.when(p[5] > 15, "High").otherwise("Medium")]
+    feats = ["Road Closure", "Corridor Tier", "Incident Cause", "Time of Day", "Day of Week", "Corridor Stress Index"]
+    items = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(f).alias("feature"), F.col(f"v{i}").alias("value"),
+                               p[i].alias("contribution"), impacts[i].alias("impact")) for i, f in enumerate(feats)])
+    total = p[0] + p[1] + p[2] + p[3] + p[4] + p[5]
+    out = base.select(*requests.columns, F.explode(items).alias("f"), total.alias("total_estimated_score"))
+    return out.select(*requests.columns, "f.*", "total_estimated_score")
 
 
 def impact_narrative(cause: Column, count: Column, avg: Column, score: Column) -> Column:

@@ -97,8 +97,11 @@ def q_model_scores(spark, sf):
 @query("gbt_grid_search")
 def q_gbt_grid_search(spark, sf):
     """Depth × rate grid (TrainValidationSplit, parallel fits)."""
-    d = _train_frame(spark, sf)
-    return ML.grid_search(d.filter(F.col("split") == "train"), _FEATS, "impact_score")
+    d = _train_frame(spark, sf).filter(F.col("split") == "train").cache()
+    try:
+        return ML.grid_search(d, _FEATS, "impact_score")
+    finally:
+        d.unpersist()
 
 
 @query("feature_importance")
@@ -130,8 +133,11 @@ def q_model_comparison(spark, sf):
 @query("cross_validation")
 def q_cross_validation(spark, sf):
     """5-fold CV with an md5 fold column."""
-    d = _train_frame(spark, sf)
-    return ML.cross_validate(d, _FEATS, "impact_score")
+    d = _train_frame(spark, sf).cache()      # five fits share one feature computation
+    try:
+        return ML.cross_validate(d, _FEATS, "impact_score")
+    finally:
+        d.unpersist()
 
 
 @query("embedding_pca")

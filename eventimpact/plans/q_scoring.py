@@ -282,7 +282,9 @@ def q_prediction_breakdown(spark, sf):
     """Additive contributions in long form (``pos`` keeps the reference's item order)."""
     r = requests(spark, sf)
     st = P.stress_index(X.scored(spark, sf)).select("corridor", "stress_index")
-    r = r.join(st, "corridor", "left").withColumn("tier", F.when(F.col("stress_index").isNull(), 0).otherwise(F.col("tier")))
+    # the stress table has one row per corridor (dimension-bounded) → broadcast
+    r = r.join(F.broadcast(st), "corridor", "left").withColumn(
+        "tier", F.when(F.col("stress_index").isNull(), 0).otherwise(F.col("tier")))
     out = SC.prediction_breakdown(r.select("request_id", "cause", "tier", "closure", "hour", "weekday", "stress_index"))
     return out.select("request_id", "pos", "feature", "value", "contribution", "impact", "total_estimated_score")
 
@@ -320,6 +322,7 @@ def q_predict_enriched(spark, sf):
     s = s.withColumn("confidence", EV.confidence_level())
     r = SC.resource_scaling(s)
     st = P.stress_index(X.scored(spark, sf)).select("corridor", F.col("stress_index").alias("corridor_stress"))
+    st = F.broadcast(st)   # one row per corridor
     r = r.join(st, (r.corridor == st.corridor) & (r.corridor != P.NON_CORRIDOR), "left")
     return r.select("request_id", "final_score", "risk_class", "evidence_count", "matching_count", "confidence",
                     F.col("baseline_score").cast("int").alias("baseline_score"), "police_units", "tow_trucks",
