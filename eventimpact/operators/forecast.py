@@ -133,14 +133,18 @@ def event_briefing(forecast: DataFrame) -> DataFrame:
     return g.withColumn("briefing_summary", summary)
 
 
-def high_risk_periods(forecast: DataFrame, now: str, days: int = 30, corridor: str | None = None) -> DataFrame:
-    """Next ``days`` days, High/Critical only, grouped by date with the max score, sorted desc."""
+def high_risk_events(forecast: DataFrame, now: str, days: int = 30, corridor: str | None = None) -> DataFrame:
+    """The High/Critical events of the next ``days`` days (optionally one corridor), one row each."""
     f = upcoming(forecast, now, days).filter(F.col("predicted_risk_class").isin("High", "Critical"))
-    if corridor:
-        f = f.filter(F.col("corridor") == corridor)
+    return f.filter(F.col("corridor") == corridor) if corridor else f
+
+
+def high_risk_periods(forecast: DataFrame, now: str, days: int = 30, corridor: str | None = None) -> DataFrame:
+    """Per date — event count and max score, sorted desc. The period's events stay a long-form table
+    (``high_risk_events``): a date's event list is not bounded, so it is never collected into one row."""
+    f = high_risk_events(forecast, now, days, corridor)
     return f.groupBy("event_date").agg(
-        F.count(F.lit(1)).alias("event_count"), F.max("predicted_impact_score").alias("max_risk_score"),
-        F.array_join(F.array_sort(F.collect_list(F.col("event_id").cast("string"))), ",").alias("event_ids"))
+        F.count(F.lit(1)).alias("event_count"), F.max("predicted_impact_score").alias("max_risk_score"))
 
 
 CONFLICT_RULES = [  # (type, severity points, severity name)

@@ -153,8 +153,7 @@ def q_event_briefing(spark, sf):
 
 @query("high_risk_periods", f"""
 WITH {FORECAST_SQL}
-SELECT event_date, count(*) AS event_count, max(predicted_impact_score) AS max_risk_score,
-  array_to_string(list_sort(list(CAST(event_id AS VARCHAR))), ',') AS event_ids
+SELECT event_date, count(*) AS event_count, max(predicted_impact_score) AS max_risk_score
 FROM fc WHERE event_datetime >= TIMESTAMP '{NOW} 00:00:00' AND event_datetime <= TIMESTAMP '{NOW} 00:00:00' + INTERVAL 30 DAY
   AND predicted_risk_class IN ('High', 'Critical')
 GROUP BY event_date""")
@@ -163,6 +162,17 @@ def q_high_risk_periods(spark, sf):
     return FC.high_risk_periods(_forecast(spark, sf), NOW, 30).orderBy(F.desc("max_risk_score"), "event_date")
 
 
+@query("high_risk_period_events", f"""
+WITH {FORECAST_SQL}
+SELECT event_date, event_id, corridor, predicted_impact_score, predicted_risk_class FROM fc
+WHERE event_datetime >= TIMESTAMP '{NOW} 00:00:00' AND event_datetime <= TIMESTAMP '{NOW} 00:00:00' + INTERVAL 30 DAY
+  AND predicted_risk_class IN ('High', 'Critical')""")
+def q_high_risk_period_events(spark, sf):
+    """The events of each high-risk period, long form."""
+    return FC.high_risk_events(_forecast(spark, sf), NOW, 30).select(
+        "event_date", "event_id", "corridor", "predicted_impact_score", "predicted_risk_class")
+
+
 CONFLICT_SQL = f"""
 {FORECAST_SQL},
 hs AS (SELECT DISTINCT event_date, hour FROM fc),
