@@ -1,90 +1,146 @@
 """Density clustering (L09, J07): the reference's DBSCAN (eps 0.01°, min 5 incl. self, noise −1) as DataFrame jobs.
 
-1. Equal coordinates collapse into one weighted point (one aggregate), so repeated locations cost nothing.
-2. Neighbours come from a grid equi-join: every point is keyed by its eps-cell and probes the 3×3 block of cells
-   around it (``explode`` of 9 offsets → equi-join on the cell → exact distance filter). Work grows with the
-   distinct-point pairs inside eps, not with rows; AQE splits skewed cells.
-3. Core points (neighbour weight ≥ min_samples) form a graph with core–core edges; components come from
-   min-label propagation, iterated to a fixed point with the lineage cut by ``checkpoint()`` every few rounds
-   (the checkpoint folder is the cluster's ``spark.checkpoint.dir``).
+No pair of points is emitted inside a dense area:
+
+1. Equal coordinates collapse into one weighted point (one aggregate).
+2. Points are keyed by sub-cells of side eps / m. A neighbouring sub-cell offset is classified once by geometry:
+   *full* when every point pair of the two sub-cells is within eps (their whole weight counts, a cell-level
+   join), *rim* when some pairs may be (exact point tests), or beyond reach. Only rim offsets of the eps-disk
+   produce point pairs, so a dense sub-cell costs one row, not k² pairs.
+3. Core points (neighbour weight ≥ min_samples) are grouped by sub-cell: all core points of a sub-cell are
+   mutually within eps (the self offset is full), so components are computed over sub-cells. Edges come from full
+   offsets with cores on both sides and from rim core pairs within eps; min-label propagation runs to a fixed
+   point with the lineage cut by ``checkpoint()`` (folder: the cluster's ``spark.checkpoint.dir``).
 4. Border points take the smallest neighbouring core label; clusters are renumbered 0.. in order of their
-   smallest core row id (the order in which a sequential scan discovers them); everything else is −1.
+   smallest core row id (the order a sequential scan discovers them); everything else is −1.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..session import checkpoint_dir
 
+SUBCELLS_PER_EPS = 4
+
+
+def offset_classes(m: int = SUBCELLS_PER_EPS) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(full, rim) sub-cell offsets for sub-cells of side eps / m (margins keep float edge cases on the rim)."""
+    full, rim = [], []
+    r = m + 1
+    for dx in range(-r, r + 1):
+        for dy in range(-r, r + 1):
+            ax, ay = abs(dx), abs(dy)
+            far = math.hypot(ax + 1, ay + 1) / m          # farthest pair, in units of eps
+            near = math.hypot(max(ax - 1, 0), max(ay - 1, 0)) / m
+            if far <= 1 - 1e-9:
+                full.append((dx, dy))
+            elif near <= 1 + 1e-9:
+                rim.append((dx, dy))
+    return full, rim
+
+
+def _offsets(offs):
+    return F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offs])
 
-def weighted_points(df: DataFrame, lat: str = "latitude", lon: str = "longitude", id_col: str = "id") -> DataFrame:
+
+def weighted_points(df: DataFrame, eps: float, lat: str = "latitude", lon: str = "longitude",
+                    id_col: str = "id", m: int = SUBCELLS_PER_EPS) -> DataFrame:
+    s = eps / m
     d = df.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-    return d.groupBy(F.col(lat).alias("lat"), F.col(lon).alias("lon")).agg(
-        F.count(F.lit(1)).alias("w"), F.min(id_col).alias("pid"))
+    p = d.groupBy(F.col(lat).alias("lat"), F.col(lon).alias("lon")).agg(F.count(F.lit(1)).alias("w"),
+                                                                         F.min(id_col).alias("pid"))
+    return (p.withColumn("cx", F.floor(F.col("lon") / s).cast("long"))
+             .withColumn("cy", F.floor(F.col("lat") / s).cast("long")))
+
+
+def _dist(a_lat, a_lon, b_lat, b_lon):
+    return F.sqrt((F.col(a_lat) - F.col(b_lat)) * (F.col(a_lat) - F.col(b_lat))
+                  + (F.col(a_lon) - F.col(b_lon)) * (F.col(a_lon) - F.col(b_lon)))
+
+
+def _shift(df: DataFrame, offs, cols) -> DataFrame:
+    """Each row once per offset, keyed by the shifted sub-cell (tx, ty)."""
+    e = df.select(*cols, F.explode(_offsets(offs)).alias("o"))
+    return e.select(*cols, (F.col("cx") + F.col("o.dx")).alias("tx"), (F.col("cy") + F.col("o.dy")).alias("ty"))
 
 
-def neighbour_pairs(points: DataFrame, eps: float) -> DataFrame:
-    """(pid, qid, q weight) for every ordered pair within eps, including (p, p)."""
-    p = points.withColumn("cx", F.floor(F.col("lon") / eps).cast("long")).withColumn("cy", F.floor(F.col("lat") / eps).cast("long"))
-    offs = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    probe = p.select("pid", "lat", "lon", F.explode(offs).alias("o")).select(
-        "pid", "lat", "lon", (F.floor(F.col("lon") / eps).cast("long") + F.col("o.dx")).alias("cx"),
-        (F.floor(F.col("lat") / eps).cast("long") + F.col("o.dy")).alias("cy"))
-    q = p.select(F.col("pid").alias("qid"), F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), F.col("w").alias("qw"),
-                 "cx", "cy")
-    j = probe.join(q, ["cx", "cy"])
-    dist = F.sqrt((F.col("lat") - F.col("qlat")) * (F.col("lat") - F.col("qlat"))
-                  + (F.col("lon") - F.col("qlon")) * (F.col("lon") - F.col("qlon")))
-    return j.filter(dist <= eps).select("pid", "qid", "qw")
+def rim_pairs(a: DataFrame, b: DataFrame, eps: float, rim) -> DataFrame:
+    """Point pairs (a.pid, b.qid) within eps whose sub-cells are at a rim offset."""
+    probe = _shift(a, rim, ["pid", "lat", "lon", "cx", "cy"])
+    q = b.select(F.col("pid").alias("qid"), F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), "w",
+                 F.col("cx").alias("tx"), F.col("cy").alias("ty"))
+    j = probe.join(q, ["tx", "ty"])
+    return j.filter(_dist("lat", "lon", "qlat", "qlon") <= eps)
 
 
-def core_points(points: DataFrame, eps: float = 0.01, min_samples: int = 5) -> tuple[DataFrame, DataFrame]:
-    pairs = neighbour_pairs(points, eps)
-    counts = pairs.groupBy("pid").agg(F.sum("qw").cast("long").alias("neighbour_count"))
-    pts = points.join(counts, "pid").withColumn("is_core", F.col("neighbour_count") >= min_samples)
-    return pts, pairs
+def core_points(points: DataFrame, eps: float = 0.01, min_samples: int = 5,
+                m: int = SUBCELLS_PER_EPS) -> DataFrame:
+    """Neighbour weight (self included) and core flag per weighted point."""
+    full, rim = offset_classes(m)
+    cells = points.groupBy("cx", "cy").agg(F.sum("w").alias("W"))
+    fw = (_shift(cells, full, ["cx", "cy"])
+          .join(cells.select(F.col("cx").alias("tx"), F.col("cy").alias("ty"), "W"), ["tx", "ty"])
+          .groupBy("cx", "cy").agg(F.sum("W").alias("full_w")))
+    rw = rim_pairs(points, points, eps, rim).groupBy("pid").agg(F.sum("w").alias("rim_w"))
+    pts = points.join(fw, ["cx", "cy"], "left").join(rw, "pid", "left")
+    n = (F.coalesce(F.col("full_w"), F.lit(0)) + F.coalesce(F.col("rim_w"), F.lit(0))).cast("long")
+    return pts.withColumn("neighbour_count", n).withColumn("is_core", n >= min_samples).drop("full_w", "rim_w")
 
 
 def neighbour_counts(df: DataFrame, eps: float = 0.01, min_samples: int = 5, lat: str = "latitude",
                      lon: str = "longitude", id_col: str = "id") -> DataFrame:
     """Per row, the weight of rows within eps (self included) and the core flag; NULL coordinates → NULL."""
-    pts, _ = core_points(weighted_points(df, lat, lon, id_col), eps, min_samples)
+    pts = core_points(weighted_points(df, eps, lat, lon, id_col), eps, min_samples)
     return df.join(pts.select(F.col("lat").alias(lat), F.col("lon").alias(lon), "neighbour_count", "is_core"),
                    [lat, lon], "left")
 
 
 def dbscan(df: DataFrame, eps: float = 0.01, min_samples: int = 5, lat: str = "latitude", lon: str = "longitude",
-           id_col: str = "id", checkpoint_every: int = 3, max_iter: int = 100) -> DataFrame:
+           id_col: str = "id", checkpoint_every: int = 3, max_iter: int = 200, m: int = SUBCELLS_PER_EPS) -> DataFrame:
     """``id_col``, ``geo_cluster`` for every row (−1 for noise and NULL coordinates)."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    pts, pairs = core_points(weighted_points(df, lat, lon, id_col), eps, min_samples)
-    pts = pts.checkpoint()
-    core = pts.filter("is_core").select("pid")
-    edges = (pairs.join(core, "pid", "left_semi").join(core.withColumnRenamed("pid", "qid"), "qid", "left_semi")
-             .select("pid", "qid")).checkpoint()
-    labels = core.withColumn("label", F.col("pid"))
+    checkpoint_dir(df.sparkSession)
+    full, rim = offset_classes(m)
+    pts = core_points(weighted_points(df, eps, lat, lon, id_col, m), eps, min_samples, m).checkpoint()
+    core = pts.filter("is_core")
+    ccells = core.groupBy("cx", "cy").agg(F.min("pid").alias("label"))          # one node per core sub-cell
+    node = ccells.select("cx", "cy")
+    e_full = (_shift(node, full, ["cx", "cy"]).join(node.select(F.col("cx").alias("tx"), F.col("cy").alias("ty")),
+                                                   ["tx", "ty"]).select("cx", "cy", "tx", "ty"))
+    rp = rim_pairs(core, core, eps, rim).select("cx", "cy", "tx", "ty")
+    edges = e_full.unionByName(rp).distinct().checkpoint()
+    labels = ccells
     for i in range(max_iter):
-        prop = edges.join(labels.withColumnRenamed("pid", "qid").withColumnRenamed("label", "ql"), "qid") \
-            .groupBy("pid").agg(F.min("ql").alias("nl"))
-        new = labels.join(prop, "pid", "left").select("pid", F.least("label", F.coalesce("nl", "label")).alias("label"))
+        nb = edges.join(labels.select(F.col("cx").alias("tx"), F.col("cy").alias("ty"), F.col("label").alias("nl")),
+                        ["tx", "ty"]).groupBy("cx", "cy").agg(F.min("nl").alias("nl"))
+        new = labels.join(nb, ["cx", "cy"], "left").select(
+            "cx", "cy", F.least("label", F.coalesce("nl", "label")).alias("label"))
         if (i + 1) % checkpoint_every == 0:
             new = new.checkpoint()
-        changed = new.join(labels.withColumnRenamed("label", "old"), "pid").filter(F.col("label") != F.col("old")).count()
+        changed = new.join(labels.withColumnRenamed("label", "old"), ["cx", "cy"]) \
+            .filter(F.col("label") != F.col("old")).count()
         labels = new
         if changed == 0:
             break
     labels = labels.checkpoint()
-    # renumber components 0.. by their smallest core row id
-    order = labels.groupBy("label").agg(F.min("pid").alias("first")).withColumn(
-        "cid", F.dense_rank().over(Window.orderBy("first")) - 1)   # one row per cluster
-    core_lab = labels.join(order.select("label", "cid"), "label").select("pid", "cid")
-    border = (pairs.join(pts.filter(~F.col("is_core")).select("pid"), "pid", "left_semi")
-              .join(core_lab.withColumnRenamed("pid", "qid").withColumnRenamed("cid", "qc"), "qid")
-              .groupBy("pid").agg(F.min("qc").alias("cid")))
+    # clusters renumbered by their smallest core row id (one row per cluster in the window)
+    first = labels.groupBy("label").agg(F.min("label").alias("first"))
+    cid = first.withColumn("cid", F.dense_rank().over(Window.orderBy("first")) - 1).select("label", "cid")
+    cell_cid = labels.join(cid, "label").select("cx", "cy", "cid")
+    core_lab = core.join(cell_cid, ["cx", "cy"]).select("pid", "cid")
+    # border points: smallest cluster among full-offset core cells and rim core points within eps
+    nonc = pts.filter(~F.col("is_core"))
+    bf = (_shift(nonc, full, ["pid", "cx", "cy"])
+          .join(cell_cid.select(F.col("cx").alias("tx"), F.col("cy").alias("ty"), "cid"), ["tx", "ty"])
+          .select("pid", "cid"))
+    br = (rim_pairs(nonc, core, eps, rim)
+          .join(cell_cid.select(F.col("cx").alias("tx"), F.col("cy").alias("ty"), "cid"), ["tx", "ty"])
+          .select("pid", "cid"))
+    border = bf.unionByName(br).groupBy("pid").agg(F.min("cid").alias("cid"))
     point_lab = core_lab.unionByName(border)
     pl = pts.join(point_lab, "pid", "left").select(F.col("lat").alias(lat), F.col("lon").alias(lon),
                                                    F.coalesce("cid", F.lit(-1)).cast("int").alias("geo_cluster"))

@@ -48,3 +48,17 @@ def test_dbscan_matches_bruteforce(spark):
     assert [got[i] for i in range(len(pts))] == want
     nc = {r["id"]: r["is_core"] for r in neighbour_counts(df, 0.01, 5).collect()}
     assert [bool(nc[i]) if nc[i] is not None else False for i in range(len(pts))] == core
+
+
+def test_dbscan_lattice_with_exact_eps_distances(spark):
+    # 0.001° lattice: many pairs sit exactly at distance eps (0.006² + 0.008² = 0.01²), duplicates included
+    pts = [(12.5 + ((i * 37) % 60) / 1000.0, 77.0 + ((i * 91) % 60) / 1000.0) for i in range(240)]
+    pts += [(13.2 + (i % 3) * 0.004, 77.9) for i in range(4)]            # a sparse clump (noise or border)
+    rows = [(i, a, b) for i, (a, b) in enumerate(pts)]
+    df = spark.createDataFrame(rows, "id long, latitude double, longitude double")
+    for eps, ms in ((0.01, 5), (0.004, 3)):
+        want, core = brute_dbscan(pts, eps, ms)
+        got = {r["id"]: r["geo_cluster"] for r in dbscan(df, eps, ms).collect()}
+        assert [got[i] for i in range(len(pts))] == want
+        nc = {r["id"]: r["is_core"] for r in neighbour_counts(df, eps, ms).collect()}
+        assert [bool(nc[i]) for i in range(len(pts))] == core
