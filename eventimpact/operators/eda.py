@@ -67,8 +67,7 @@ def risk_heatmap(df: DataFrame, score: str = "impact_score") -> DataFrame:
     """A06 + J15: corridor × 24-hour grid; empty cells take the corridor mean (0 if none)."""
     cell = df.groupBy("corridor", "hour").agg(F.avg(score).alias("cell_avg"))
     corr = df.groupBy("corridor").agg(F.avg(score).alias("corridor_avg"))
-    hours = df.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
-    grid = corr.crossJoin(F.broadcast(hours))   # corridors × 24: bounded by the corridor dimension
+    grid = corr.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))   # corridors × 24, no join
     g = grid.join(cell, ["corridor", "hour"], "left")
     return g.select("corridor", "hour",
                     F.coalesce("cell_avg", "corridor_avg", F.lit(0.0)).alias("risk"))
@@ -235,7 +234,8 @@ def density_grid(df: DataFrame, gridsize: int = 30, score: str = "impact_score")
     d = df.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
     m = d.agg(F.min("latitude").alias("la0"), F.max("latitude").alias("la1"),
               F.min("longitude").alias("lo0"), F.max("longitude").alias("lo1"))
-    d = d.crossJoin(F.broadcast(m))
+    from .stats import with_scalars
+    d = with_scalars(d, m)
 
     def cell(x, lo, hi):
         return F.when(F.col(hi) == F.col(lo), 0).otherwise(
@@ -268,7 +268,8 @@ def slot_forecast(df: DataFrame, score: str = "impact_score") -> DataFrame:
         F.max(score).alias("max_observed_score"))
     top = ranked_counts(df, ["corridor", "weekday", "hour"], "event_cause", 1).select(
         "corridor", "weekday", "hour", F.col("event_cause").alias("top_cause"))
-    g = g.crossJoin(F.broadcast(weeks_in_data(df)))
+    from .stats import with_scalars
+    g = with_scalars(g, weeks_in_data(df))
     return (g.join(top, ["corridor", "weekday", "hour"], "left")
             .select("corridor", "weekday", "hour", (F.col("n") / F.col("weeks")).alias("expected_events"),
                     "closure_probability", "max_observed_score", "top_cause"))

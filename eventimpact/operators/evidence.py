@@ -119,7 +119,8 @@ def transit_chain(requests: DataFrame, history: DataFrame, cause: str = "cause",
                             & (F.col("corridor_tier") == 1)).agg(F.count(F.lit(1)).alias("historical_cases"))
     rv = F.regexp_replace(F.lower(F.coalesce(F.col(veh), F.lit(""))), " ", "_")
     trig = (F.col(cause) == "vehicle_breakdown") & rv.isin("bmtc_bus", "ksrtc_bus") & (F.col(tier) == 1)
-    out = requests.crossJoin(F.broadcast(hist_n))   # one-row scalar
+    from .stats import with_scalars
+    out = with_scalars(requests, hist_n)
     return out.select(
         *requests.columns, trig.alias("triggered"),
         F.when(trig, F.col("historical_cases")).alias("historical_cases"),

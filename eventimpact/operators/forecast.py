@@ -64,8 +64,9 @@ def similar_history(events: DataFrame, history: DataFrame, resolution: str = "re
     wc = summed(ch, ["corridor", "__h"], "wc_")
     wa = summed(hh, ["__h"], "wa_")
     out = (e.join(wc, "event_id", "left").join(wa, "event_id", "left")
-           .join(F.broadcast(cc.select("corridor", *[F.col(c).alias("cc_" + c) for c in names])), "corridor", "left")
-           .crossJoin(F.broadcast(al.select(*[F.col(c).alias("al_" + c) for c in names]))))
+           .join(F.broadcast(cc.select("corridor", *[F.col(c).alias("cc_" + c) for c in names])), "corridor", "left"))
+    from .stats import with_scalars
+    out = with_scalars(out, al.select(*[F.col(c).alias("al_" + c) for c in names]))
     use_c = (F.col("corridor") != NON_CORRIDOR) & (F.coalesce(F.col("cc_n"), F.lit(0)) > 0)
 
     def pick(c):

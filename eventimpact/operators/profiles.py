@@ -97,7 +97,7 @@ def corridor_profile(df: DataFrame, tiers: DataFrame | None = None, default_tier
 def slot_grid(spark) -> DataFrame:
     """The full 7×24 grid (168 rows) — a constant-size dimension."""
     return (spark.range(7).select(F.col("id").cast("int").alias("weekday"))
-            .crossJoin(spark.range(24).select(F.col("id").cast("int").alias("hour"))))
+            .select("weekday", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour")))
 
 
 def risk_window(df: DataFrame, score: str = "impact_score") -> DataFrame:

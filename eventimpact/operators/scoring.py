@@ -85,13 +85,18 @@ def resource_dim(spark) -> DataFrame:
 
 
 def with_template(requests: DataFrame, cause: str = "cause") -> DataFrame:
-    """Template by cause, else the 'others' row (14-row fixed dimension, broadcast)."""
-    dim = resource_dim(requests.sparkSession)
-    others = dim.filter(F.col("t_cause") == "others").select(*[F.col(c).alias("o" + c) for c in dim.columns])
-    j = requests.join(F.broadcast(dim), F.col(cause) == F.col("t_cause"), "left").crossJoin(F.broadcast(others))
-    for c in dim.columns[1:]:
-        j = j.withColumn(c, F.coalesce(F.col(c), F.col("o" + c)))
-    return j.drop("t_cause", *["o" + c for c in dim.columns])
+    """Template by cause, else the 'others' row. The 14-row fixed dimension is folded into literal maps
+    (no join at all); ``resource_dim`` is the same table as a DataFrame."""
+    names = [c for c in resource_dim_columns()[1:]]
+    out = requests
+    for i, n in enumerate(names):
+        m = D.literal_map({k: v[i] for k, v in RESOURCE_TEMPLATES.items()})
+        out = out.withColumn(n, F.coalesce(m[F.col(cause)], F.lit(RESOURCE_TEMPLATES["others"][i])))
+    return out
+
+
+def resource_dim_columns() -> list[str]:
+    return [c.split()[0] for c in TEMPLATE_SCHEMA.split(", ")]
 
 
 def resource_scaling(requests: DataFrame, cause: str = "cause", risk: str = "risk_class", tier: str = "tier",

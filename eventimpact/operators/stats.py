@@ -16,8 +16,12 @@ def median_expr(col: str, approx: bool = False, accuracy: int = 100000) -> Colum
 
 
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate to every row: a broadcast cross join of exactly one row."""
-    return df.crossJoin(F.broadcast(scalars))
+    """Attach a one-row aggregate to every row as ONE struct-valued scalar subquery (computed once, its value
+    inlined into the projection — no join)."""
+    cols = scalars.columns
+    s = scalars.select(F.struct(*cols).alias("__s")).scalar()
+    out = df.withColumn("__s", s)
+    return out.select(*df.columns, *[F.col("__s")[c].alias(c) for c in cols])
 
 
 def impute_median(df: DataFrame, col: str, out: str, approx: bool = False, median_fn=None) -> DataFrame:

@@ -124,10 +124,10 @@ def q_model_comparison(spark, sf):
     rule = ML.metrics(test.withColumn("impact_score_pred", base.cast("double")), "impact_score").withColumn(
         "model", F.lit("rule_baseline"))
     allm = gbt.unionByName(rule)
-    best = allm.agg(F.max_by("model", "r2").alias("best_model"), F.max("r2").alias("best_r2"),
-                    F.min("r2").alias("worst_r2"))
-    return allm.crossJoin(F.broadcast(best)).withColumn("improvement_r2", F.col("best_r2") - F.col("worst_r2")) \
-        .orderBy(F.desc("r2"))
+    from pyspark.sql import Window
+    w = Window.partitionBy()                                   # two rows
+    return (allm.withColumn("best_model", F.max_by("model", "r2").over(w))
+            .withColumn("improvement_r2", F.max("r2").over(w) - F.min("r2").over(w)).orderBy(F.desc("r2")))
 
 
 @query("cross_validation")

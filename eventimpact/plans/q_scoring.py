@@ -106,8 +106,8 @@ def q_evidence_lookup(spark, sf):
     inc = X.inc(spark, sf)
     causes = (inc.select(F.col("event_cause").alias("cause"))
               .union(X.plan(spark, sf).select(F.col("event_type").alias("cause"))).distinct())
-    req = (causes.crossJoin(spark.range(5).select(F.col("id").cast("int").alias("tier")))
-           .crossJoin(spark.range(2).select(F.col("id").cast("int").alias("closure"))))
+    req = (causes.select("cause", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("tier"))
+           .select("cause", "tier", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("closure")))
     out = EV.evidence_lookup(req, X.scored(spark, sf))
     return out.select("cause", "tier", "closure", "rung", "evidence_count", "critical_rate", "average_score", "n_low",
                       "n_medium", "n_high", "n_critical", "matching_count")
