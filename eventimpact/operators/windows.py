@@ -3,8 +3,7 @@
 Scale rule: a window partitioned only by a category key puts a hot key (one corridor may hold a third of all
 rows) into one task. Running counts are therefore split in two: a per-(key, day) pre-aggregate whose running
 sum runs over days only (rows = keys × days), plus a rank inside the (key, day) partition. The 7-day range
-count replicates each row into the 8 day buckets that can see it, so every window partition spans at most 8
-days of one key.
+count adds one probe row per row to rank the oldest partial day, so every window partition is one key's day.
 """
 
 from __future__ import annotations
@@ -52,21 +51,44 @@ def expanding_rate(df: DataFrame, key: str, flag: str, out: str, include_current
 
 
 def trailing_count(df: DataFrame, key: str, out: str, id_col: str = "id", days: int = 7,
-                          ts: str = "start_datetime", valid: Column | None = None) -> DataFrame:
-    """Rows with the same key and time in [t − days, t) (strict) for rows where ``valid`` holds;
-    other rows (and rows without key or time) get 0. No self join: each row is replicated into the
-    ``days + 1`` day buckets that can see it and a RANGE window runs inside (key, bucket), so a partition
-    spans at most ``days + 1`` days of one key whatever the key's total size."""
+                   ts: str = "start_datetime", valid: Column | None = None) -> DataFrame:
+    """Rows with the same key and time in [t − days, t) (strict), for rows where ``valid`` holds;
+    other rows (and rows without key or time) get 0. No self join and no window over a whole key:
+
+    * days D−days+1 … D−1 in full: a RANGE running sum over the per-(key, day) counts (rows = keys × days);
+    * day D: ``rank() − 1`` inside (key, day) — rows strictly earlier the same day;
+    * day D−days: its rows with time of day ≥ tod(t). Every row sends one probe row to day D−days, and the
+      probe's position among that day's rows (a running count inside (key, day), probes sorted before equal
+      times) gives the rows before tod(t).
+
+    Shuffle volume is 2× the (narrow) rows, and every window partition is one key's day.
+    """
     valid = valid if valid is not None else F.lit(True)
-    d = df.select(id_col, key, F.col(ts).alias("__ts"), valid.alias("__v"))
-    us = _micros("__ts")
-    base = d.withColumn("__us", us).withColumn("__day", F.floor(F.col("__us") / DAY_US).cast("long"))
+    base = (df.select(id_col, key, F.col(ts).alias("__ts"), valid.alias("__v"))
+            .withColumn("__us", _micros("__ts"))
+            .withColumn("__day", F.floor(F.col("__us") / DAY_US).cast("long"))
+            .withColumn("__tod", F.col("__us") - F.col("__day") * DAY_US))
     src = base.filter(F.col(key).isNotNull() & F.col("__us").isNotNull())
-    rep = src.withColumn("__bucket", F.explode(F.sequence(F.col("__day"), F.col("__day") + days)))
-    w = Window.partitionBy(key, "__bucket").orderBy("__us").rangeBetween(-days * DAY_US, -1)
-    counted = (rep.withColumn("__cnt", F.count(F.lit(1)).over(w))
-               .filter((F.col("__bucket") == F.col("__day")) & F.col("__v")).select(id_col, "__cnt"))
-    return (df.join(counted, id_col, "left")
+    per_day = src.groupBy(key, "__day").agg(F.count(F.lit(1)).alias("__n"))
+    wfull = Window.partitionBy(key).orderBy("__day").rangeBetween(-(days - 1), -1)
+    per_day = per_day.select(key, "__day", "__n", F.coalesce(F.sum("__n").over(wfull), F.lit(0)).alias("__full"))
+    wd = Window.partitionBy(key, "__day").orderBy("__us")
+    today = src.withColumn("__before", F.rank().over(wd) - 1)
+    # probes: (key, D − days, tod) sorted before real rows of equal time; running count of real rows
+    real = src.select(key, "__day", "__tod", F.lit(1).alias("__real"), F.lit(None).cast(df.schema[id_col].dataType).alias("__pid"))
+    probe = src.select(key, (F.col("__day") - days).alias("__day"), "__tod", F.lit(0).alias("__real"),
+                       F.col(id_col).alias("__pid"))
+    wp = (Window.partitionBy(key, "__day").orderBy("__tod", "__real")
+          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = real.unionByName(probe).withColumn("__lt", F.sum("__real").over(wp))
+    old = (ranked.filter(F.col("__real") == 0)
+           .join(per_day.select(key, "__day", F.col("__n").alias("__n_old")), [key, "__day"], "left")
+           .select(F.col("__pid").alias(id_col), (F.coalesce(F.col("__n_old"), F.lit(0)) - F.col("__lt")).alias("__old")))
+    cnt = (today.join(per_day.select(key, "__day", "__full"), [key, "__day"], "left").join(old, id_col, "left")
+           .filter(F.col("__v"))
+           .select(id_col, (F.col("__before") + F.coalesce(F.col("__full"), F.lit(0))
+                            + F.coalesce(F.col("__old"), F.lit(0))).alias("__cnt")))
+    return (df.join(cnt, id_col, "left")
             .withColumn(out, F.coalesce(F.col("__cnt"), F.lit(0)).cast("long")).drop("__cnt"))
 
 

@@ -196,3 +196,18 @@ def test_profile_json_sink(spark):
     S.write_profile(prof, p)                                                                        # S06
     back = {r["corridor"]: [(x["cause"], x["count"]) for x in r["top_causes"]] for r in spark.read.json(p).collect()}
     assert back == {"C1": [("a", 2), ("b", 1)], "C2": [("c", 1)]}                                  # N01
+
+
+def test_trailing_count_boundaries_against_bruteforce(spark):
+    base = dt.datetime(2024, 1, 10, 0, 0, 0)
+    times = [base, base, base + dt.timedelta(days=7), base + dt.timedelta(days=7, microseconds=-1),
+             base + dt.timedelta(days=7, hours=5), base + dt.timedelta(days=3, hours=23, minutes=59),
+             base + dt.timedelta(days=14), base - dt.timedelta(days=1), None]
+    rows = [(i, "K" if i % 4 else "Q", t) for i, t in enumerate(times)] + [(100, None, base)]
+    df = spark.createDataFrame(rows, "id long, k string, start_datetime timestamp")
+    got = {r["id"]: r["n"] for r in W.trailing_count(df, "k", "n").collect()}
+    want = {}
+    for i, k, t in rows:
+        want[i] = 0 if (k is None or t is None) else sum(
+            1 for j, k2, t2 in rows if k2 == k and t2 is not None and t - dt.timedelta(days=7) <= t2 < t)
+    assert got == want
