@@ -98,8 +98,8 @@ def weak_spots(log: DataFrame) -> DataFrame:
     """Worst cause (≥ 3 errors, MAE > 7); closure MAE > 8; night (≥ 5 rows) MAE > 1.5 × day."""
     w = log.filter(F.col("actual_impact").isNotNull())
     c = w.groupBy("cause").agg(F.avg("error_abs").alias("m"), F.count("error_abs").alias("n")).filter(F.col("n") >= 3)
-    worst = c.agg(F.max_by(F.struct("cause", "m", "n"), F.struct(F.col("m"), F.lit(0) - F.lit(0))).alias("w"))
-    # ties on the mean → smallest cause name (pandas idxmax takes the first in sorted index order)
+    # ties on the mean → smallest cause name (pandas idxmax takes the first in sorted index order);
+    # the window sees one row per cause
     worst = c.withColumn("__r", F.row_number().over(Window.orderBy(F.desc("m"), "cause"))).filter(F.col("__r") == 1)
     cause = worst.filter(F.col("m") > 7.0).select(
         F.lit("cause").alias("category"), F.col("cause").alias("value"), F.col("m").alias("avg_error"),

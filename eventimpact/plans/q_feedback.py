@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.rules import risk_class
 from ..operators import feedback as FB
 from ..sources import fixtures as X
 from ..sources.tables import read_table

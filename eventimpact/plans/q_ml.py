@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.rules import risk_class
 from ..operators import clustering as CL
 from ..operators import evidence as EV
 from ..operators import ml as ML
