@@ -211,3 +211,16 @@ def test_trailing_count_boundaries_against_bruteforce(spark):
         want[i] = 0 if (k is None or t is None) else sum(
             1 for j, k2, t2 in rows if k2 == k and t2 is not None and t - dt.timedelta(days=7) <= t2 < t)
     assert got == want
+
+
+def test_weak_spots_fire(spark):
+    # cause "a": 3 rows with error 10 (MAE 10 > 7); closure rows error 10 (> 8); night rows (≥ 5) error 10 vs day 2
+    rows = [(f"a{i}", "a", 1, 23, 50.0, 60.0) for i in range(3)] + \
+           [(f"n{i}", "b", 0, 2, 50.0, 60.0) for i in range(3)] + \
+           [(f"d{i}", "c", 0, 12, 50.0, 52.0) for i in range(6)] + \
+           [("x0", "z", 0, 3, 50.0, 100.0), ("x1", "z", 0, 3, 50.0, 100.0)]     # MAE 50 but only 2 rows
+    log = FB.with_errors(spark.createDataFrame(
+        rows, "prediction_id string, cause string, closure int, hour int, predicted_impact double, actual_impact double"))
+    got = {(r["category"], r["value"]): r["avg_error"] for r in FB.weak_spots(log).collect()}
+    assert got == {("cause", "a"): 10.0, ("closure_events", "Road closure cases"): 10.0,
+                   ("temporal", "Night hours (22:00-6:00)"): 20.0}       # night (60 + 100) / 8 vs day 2
