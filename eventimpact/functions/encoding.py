@@ -1,7 +1,7 @@
 """Column-global encodings (E01–E03) built from distinct values, joined back by value.
 
-The dictionary of a column is its distinct values (one aggregate); the code is a rank over that small
-dictionary. The join back is a plain equi-join: AQE turns it into a broadcast join when the dictionary is
+The dictionary of a column is its distinct values (one aggregate); the code is a distributed running count
+over the range-partitioned dictionary (``operators.stats.running_total``). The join back is a plain equi-join: AQE turns it into a broadcast join when the dictionary is
 measured small at runtime and keeps a shuffle join otherwise — no unchecked broadcast.
 """
 
@@ -9,19 +9,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 
 def label_encode(df: DataFrame, col: str, out: str, fill: str | None = None) -> DataFrame:
-    """Alphabetical 0-based code (``LabelEncoder`` order = code-point order = Spark binary order)."""
+    """Alphabetical 0-based code (``LabelEncoder`` order = code-point order = Spark binary order).
+
+    The code of a value is the number of smaller distinct values: a distributed running count over the
+    range-partitioned dictionary, so even a huge vocabulary never lands in one task.
+    """
+    from ..operators.stats import running_total
     src = F.coalesce(F.col(col), F.lit(fill)) if fill is not None else F.col(col)
-    d = df.select(src.alias("__v")).distinct()
-    d = d.withColumn(out, (F.dense_rank().over(Window.orderBy("__v")) - 1).cast("int"))
+    d = df.select(src.alias("__v")).distinct().withColumn("__one", F.lit(1))
+    d = running_total(d, "__v", "__one", "__c").select("__v", (F.col("__c") - 1).cast("int").alias(out))
     return (df.withColumn("__v", src).join(d, "__v", "left").drop("__v"))
 
 
 def appearance_encode(df: DataFrame, col: str, out: str, order_cols: list[str]) -> DataFrame:
     """0-based code in order of first appearance (first = smallest ``order_cols`` tuple)."""
-    first = df.groupBy(col).agg(F.min(F.struct(*order_cols)).alias("__first"))
-    first = first.withColumn(out, (F.row_number().over(Window.orderBy("__first")) - 1).cast("int")).drop("__first")
+    from ..operators.stats import running_total
+    first = df.groupBy(col).agg(F.min(F.struct(*order_cols)).alias("__first")).withColumn("__one", F.lit(1))
+    first = running_total(first, "__first", "__one", "__c").select(col, (F.col("__c") - 1).cast("int").alias(out))
     return df.join(first, col, "left")

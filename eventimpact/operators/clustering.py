@@ -21,7 +21,6 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..session import checkpoint_dir
 
@@ -128,8 +127,11 @@ def dbscan(df: DataFrame, eps: float = 0.01, min_samples: int = 5, lat: str = "l
             break
     labels = labels.checkpoint()
     # clusters renumbered by their smallest core row id (one row per cluster in the window)
-    first = labels.groupBy("label").agg(F.min("label").alias("first"))
-    cid = first.withColumn("cid", F.dense_rank().over(Window.orderBy("first")) - 1).select("label", "cid")
+    # the label of a component is its smallest core pid, so ranking labels renumbers clusters in discovery
+    # order; the rank is a distributed running count (the cluster count grows with the data)
+    from .stats import running_total
+    comps = labels.select("label").distinct().withColumn("__one", F.lit(1))
+    cid = running_total(comps, "label", "__one", "__c").select("label", (F.col("__c") - 1).alias("cid"))
     cell_cid = labels.join(cid, "label").select("cx", "cy", "cid")
     core_lab = core.join(cell_cid, ["cx", "cy"]).select("pid", "cid")
     # border points: smallest cluster among full-offset core cells and rim core points within eps

@@ -83,17 +83,34 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
                     "n"))
 
 
+def running_total(vals: DataFrame, col: str, weight: str, out: str, partitions: int | None = None) -> DataFrame:
+    """Running total of ``weight`` in ``col`` order over a table of distinct values — distributed.
+
+    The values are range-partitioned; each range gets a local running sum (a window inside the range) and an
+    offset = the total of all lower ranges (one row per range, so the offset window is tiny). No task ever sees
+    more than one range, however many distinct values there are.
+    """
+    n = partitions or int(vals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    v = vals.repartitionByRange(n, col).withColumn("__rp", F.spark_partition_id())
+    local = Window.partitionBy("__rp").orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
+    v = v.withColumn("__local", F.sum(weight).over(local))
+    offs = v.groupBy("__rp").agg(F.sum(weight).alias("__pt"))
+    offs = offs.withColumn("__off", F.coalesce(
+        F.sum("__pt").over(Window.orderBy("__rp").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return (v.join(F.broadcast(offs.select("__rp", "__off")), "__rp")      # one row per range
+            .withColumn(out, F.col("__local") + F.col("__off")).drop("__rp", "__local", "__off"))
+
+
 def percentile_rank(df: DataFrame, col: str, out: str) -> DataFrame:
     """Pandas ``rank(pct=True)`` — average rank of ties divided by the count of non-NULL values.
 
-    Scale plan: aggregate to (value, count) first, then a running sum over the *distinct values* only
-    (the single-partition window sees one row per distinct value), and join the rank back by value.
+    Scale plan: aggregate to (value, count) first, take the distributed running total over the distinct values
+    (``running_total``), attach the grand total as a scalar, and join the rank back by value.
     """
     vals = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (vals.withColumn("__cum", F.sum("__n").over(w))
-              .withColumn("__tot", F.sum("__n").over(Window.partitionBy()))
-              .select(col, ((F.col("__cum") - (F.col("__n") - 1) / 2.0) / F.col("__tot")).alias(out)))
+    ranked = running_total(vals, col, "__n", "__cum")
+    ranked = with_scalars(ranked, vals.agg(F.sum("__n").alias("__tot")))
+    ranked = ranked.select(col, ((F.col("__cum") - (F.col("__n") - 1) / 2.0) / F.col("__tot")).alias(out))
     return df.join(ranked, on=col, how="left")
 
 
