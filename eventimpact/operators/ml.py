@@ -98,7 +98,7 @@ def metrics(pred: DataFrame, label: str, pred_col: str = "impact_score_pred") ->
 
 
 def grid_search(train: DataFrame, features: list[str], label: str, depths=(3, 5), steps=(0.05, 0.1),
-                max_iter: int = 10, parallelism: int = 4) -> DataFrame:
+                max_iter: int = 10, parallelism: int = 2) -> DataFrame:
     """Depth × rate grid with TrainValidationSplit (GBT has no l2 term; min instances per node stands in)."""
     asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     gbt = GBTRegressor(featuresCol="features", labelCol=label, maxIter=max_iter, seed=42)
@@ -119,7 +119,7 @@ def cross_validate(df: DataFrame, features: list[str], label: str, folds: int =
     grid = ParamGridBuilder().addGrid(gbt.maxDepth, [4]).build()
     cv = CrossValidator(estimator=Pipeline(stages=[asm, gbt]), estimatorParamMaps=grid,
                         evaluator=RegressionEvaluator(labelCol=label, metricName="r2"), numFolds=folds, foldCol="fold",
-                        parallelism=4)
+                        parallelism=1)
     m = cv.fit(d)
     return df.sparkSession.createDataFrame([(folds, float(m.avgMetrics[0]), float(m.stdMetrics[0]))],
                                            "folds int, mean_r2 double, std_r2 double")

@@ -80,10 +80,8 @@ def _impact_model(spark, sf):
     L08) — like a model registry entry; keyed by application and input folder so it never goes stale."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _MODELS:
-        d = _train_frame(spark, sf)
-        train = d.filter(F.col("split") == "train").cache()
-        _MODELS[key] = ML.gbt_pipeline(_FEATS, "impact_score").fit(train)
-        train.unpersist()
+        d = _train_frame(spark, sf)      # GBT persists its own binned copy of the input; no extra cache
+        _MODELS[key] = ML.gbt_pipeline(_FEATS, "impact_score").fit(d.filter(F.col("split") == "train"))
     return _MODELS[key]
 
 
@@ -105,11 +103,8 @@ def q_model_scores(spark, sf):
 @query("gbt_grid_search")
 def q_gbt_grid_search(spark, sf):
     """Depth × rate grid (TrainValidationSplit, parallel fits)."""
-    d = _train_frame(spark, sf).filter(F.col("split") == "train").cache()
-    try:
-        return ML.grid_search(d, _FEATS, "impact_score")
-    finally:
-        d.unpersist()
+    d = _train_frame(spark, sf).filter(F.col("split") == "train")   # TrainValidationSplit caches its splits
+    return ML.grid_search(d, _FEATS, "impact_score")
 
 
 @query("feature_importance")
@@ -139,11 +134,7 @@ def q_model_comparison(spark, sf):
 @query("cross_validation")
 def q_cross_validation(spark, sf):
     """5-fold CV with an md5 fold column."""
-    d = _train_frame(spark, sf).cache()      # five fits share one feature computation
-    try:
-        return ML.cross_validate(d, _FEATS, "impact_score")
-    finally:
-        d.unpersist()
+    return ML.cross_validate(_train_frame(spark, sf), _FEATS, "impact_score")   # CrossValidator caches each fold
 
 
 @query("embedding_pca")
