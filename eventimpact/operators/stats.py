@@ -83,20 +83,49 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
                     "n"))
 
 
-def running_total(vals: DataFrame, col: str, weight: str, out: str, partitions: int | None = None) -> DataFrame:
-    """Running total of ``weight`` in ``col`` order over a table of distinct values — distributed.
+def split_points(df: DataFrame, cols: list[str], parts: int, per_part: int = 32) -> list:
+    """At most ``parts - 1`` rows that cut the order of ``cols`` into ranges of about equal size, as literals.
 
-    The values are range-partitioned; each range gets a local running sum (a window inside the range) and an
-    offset = the total of all lower ranges (one row per range, so the offset window is tiny). No task ever sees
-    more than one range, however many distinct values there are.
+    The sample is the ``parts * per_part`` distinct keys of smallest hash: bounded, the same on every run, and
+    taken in one pass (each task keeps its smallest)."""
+    h = F.xxhash64(*cols)
+    rows = (df.select(*cols, h.alias("__h")).distinct().orderBy("__h", *cols).limit(parts * per_part)
+            .orderBy(*cols).select(*cols).collect())
+    return [rows[i * len(rows) // parts] for i in range(1, parts) if len(rows) >= parts]
+
+
+def range_of(df: DataFrame, cols: list[str], points: list) -> Column:
+    """Number of the range that a row's key falls in: a pure function of the key (binary search over literals)."""
+    types = [df.schema[c].dataType for c in cols]
+    key = F.struct(*cols)
+
+    def at(p):
+        return F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(p, types, cols)])
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key <= at(points[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    return tree(0, len(points))
+
+
+def running_total(vals: DataFrame, cols: str | list[str], weight: str, out: str, partitions: int | None = None) -> DataFrame:
+    """Running total of ``weight`` in the order of ``cols``, over a table of distinct keys — distributed.
+
+    The key order is cut at literal split points, so a row's range is a pure function of its key and the two
+    branches below agree whether or not Spark reuses an exchange. Each range gets a local running sum and the
+    total of all lower ranges (one row per range). No task sees more than one range.
     """
+    cols = [cols] if isinstance(cols, str) else cols
     n = partitions or int(vals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    v = vals.repartitionByRange(n, col).withColumn("__rp", F.spark_partition_id())
-    local = Window.partitionBy("__rp").orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
-    v = v.withColumn("__local", F.sum(weight).over(local))
+    v = vals.withColumn("__rp", range_of(vals, cols, split_points(vals, cols, n)))
+    local = Window.partitionBy("__rp").orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0)
     offs = v.groupBy("__rp").agg(F.sum(weight).alias("__pt"))
     offs = offs.withColumn("__off", F.coalesce(
         F.sum("__pt").over(Window.orderBy("__rp").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    v = v.withColumn("__local", F.sum(weight).over(local))
     return (v.join(F.broadcast(offs.select("__rp", "__off")), "__rp")      # one row per range
             .withColumn(out, F.col("__local") + F.col("__off")).drop("__rp", "__local", "__off"))
 

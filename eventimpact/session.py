@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: UTC wall clock (all fixture timestamps are zone-less), AQE for
 # runtime coalescing and skew-join splitting, no UI server.
@@ -55,9 +56,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(d)
         return d
-    if not sc.master.startswith("local"):
+    if not (sc.master == "local" or sc.master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder for iterative jobs")
     d = tempfile.mkdtemp(prefix="eventimpact-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(d)
     spark.conf.set("spark.checkpoint.dir", d)
     return d
+
+
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A fresh folder under ``spark.checkpoint.dir``, removed when the application ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+def written(df: DataFrame, kind: str = "cut") -> DataFrame:
+    """``df`` written once to the shared folder and read again: one evaluation, a cut lineage that survives lost
+    executors. ``checkpoint()`` would evaluate the plan twice and keep rows uncompressed."""
+    path = shared_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
