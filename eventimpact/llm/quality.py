@@ -58,46 +58,39 @@ class Model:
 
 
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], buckets: int, dim: int, epochs: int, rate: float,
-        seed: int) -> Model:
-    """Stochastic gradient descent over (label, bucket ids, shares of the mean) rows; per-coordinate step sizes."""
+        seed: int, batch: int = 16) -> Model:
+    """Stochastic gradient descent over (label, bucket ids, shares of the mean) rows, with a falling step size.
+
+    A step moves each vector by its share of the document's mean, so features that many documents have learn
+    first and rare words are not learned by heart."""
     rng = np.random.default_rng(seed)
-    emb = rng.uniform(-0.5, 0.5, (buckets, dim)).astype(np.float32) / dim
-    out, bias = rng.normal(0, 1, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
-    g_emb, g_out, g_bias = np.full(buckets, 1e-8, np.float32), np.full((dim, 2), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
+    emb = rng.uniform(-1, 1, (buckets, dim)).astype(np.float32) / dim
+    out, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
     if not rows:
         return Model(np.zeros(buckets, np.float32), 0.0)
+    done, steps = 0, epochs * len(rows)
     for _ in range(epochs):
         order = rng.permutation(len(rows))
-        for lo in range(0, len(order), 32):
-            some = [rows[i] for i in order[lo:lo + 32]]
-            ids = np.concatenate([r[1] for r in some])
-            share = np.concatenate([r[2] for r in some])
-            doc = np.repeat(np.arange(len(some)), [len(r[1]) for r in some])
-            used, where = np.unique(ids, return_inverse=True)
-            mean = np.zeros((len(some), dim), np.float32)
-            vec = emb[ids] * share[:, None]
-            bounds = np.flatnonzero(np.diff(doc, prepend=-1))
-            if len(bounds):
-                mean[doc[bounds]] = np.add.reduceat(vec, bounds, axis=0)
+        for lo in range(0, len(order), batch):
+            some = [rows[i] for i in order[lo:lo + batch]]
+            step = rate * (1 - done / steps)
+            done += len(some)
+            mean = np.stack([share @ emb[ids] for _, ids, share in some])
             z = mean @ out + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(some)), [r[0] for r in some]] -= 1
             back = p @ out.T
-            grad = np.zeros((len(used), len(some)), np.float32)
-            np.add.at(grad, (where, doc), share)
-            g = grad @ back
-            g_emb[used] += (g * g).mean(1)
-            emb[used] -= rate * g / np.sqrt(g_emb[used])[:, None]
-            for par, acc, gr in ((out, g_out, mean.T @ p), (bias, g_bias, p.sum(0))):
-                acc += gr * gr
-                par -= 0.2 * rate * gr / np.sqrt(acc)
+            out -= np.clip(step * mean.T @ p, -1, 1)
+            bias -= 0.1 * step * p.mean(0)
+            for (_, ids, share), g in zip(some, back):
+                emb[ids] -= (step * share)[:, None] * g
     d = (out[:, 1] - out[:, 0]).astype(np.float64)
     return Model((emb @ d).astype(np.float32), float(bias[1] - bias[0]))
 
 
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label", buckets: int = 1 << 17,
-          dim: int = 16, epochs: int = 6, rate: float = 0.05, seed: int = 7) -> Model:
+          dim: int = 16, epochs: int = 5, rate: float = 2.0, seed: int = 7) -> Model:
     """Fits the classifier on ``labelled`` (a bounded sample; see ``sample_labels``).
 
     Features are hashed in parallel; the sparse rows of the sample meet in one task that runs the descent, and
