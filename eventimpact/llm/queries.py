@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, packing, quality, rans, sharding, warc
+from . import bpe, language, near_texts, near_vectors, packing, quality, rans, sharding, topk, warc
 from .common import bounded_batches, hash_bucket, read, shared_path
 
 
@@ -70,5 +70,24 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op3_packing, op4_sharding, op5_tokens, op6_language, op7_warc)}
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.93 within a label."""
+    bounded_batches(spark)
+    return near_vectors.link_components(read(spark, sf_dir, "embeddings"))
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer products of every twentieth embedding with all others."""
+    bounded_batches(spark)
+    return topk.top_products(read(spark, sf_dir, "embeddings")).withColumn("rank", F.col("rank").cast("int"))
+
+
+def op10_near_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    bounded_batches(spark)
+    return near_texts.near_classes(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op3_packing, op4_sharding, op5_tokens, op6_language, op7_warc,
+                                   op8_vectors, op9_topk, op10_near_texts)}
 ORACLES: dict[str, str] = {}
