@@ -9,8 +9,8 @@ No pair of points is emitted inside a dense area:
    produce point pairs, so a dense sub-cell costs one row, not k² pairs.
 3. Core points (neighbour weight ≥ min_samples) are grouped by sub-cell: all core points of a sub-cell are
    mutually within eps (the self offset is full), so components are computed over sub-cells. Edges come from full
-   offsets with cores on both sides and from rim core pairs within eps; min-label propagation runs to a fixed
-   point with the lineage cut by ``checkpoint()`` (folder: the cluster's ``spark.checkpoint.dir``).
+   offsets with cores on both sides and from rim core pairs within eps; components come from randomised
+   contraction (``graph.connected_components``), which ends when no edge is left, after O(log n) rounds.
 4. Border points take the smallest neighbouring core label; clusters are renumbered 0.. in order of their
    smallest core row id (the order a sequential scan discovers them); everything else is −1.
 """
@@ -22,7 +22,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import written
+from .graph import connected_components
 
 SUBCELLS_PER_EPS = 4
 
@@ -100,32 +101,22 @@ def neighbour_counts(df: DataFrame, eps: float = 0.01, min_samples: int = 5, lat
 
 
 def dbscan(df: DataFrame, eps: float = 0.01, min_samples: int = 5, lat: str = "latitude", lon: str = "longitude",
-           id_col: str = "id", checkpoint_every: int = 3, max_iter: int = 200, m: int = SUBCELLS_PER_EPS) -> DataFrame:
+           id_col: str = "id", m: int = SUBCELLS_PER_EPS) -> DataFrame:
     """``id_col``, ``geo_cluster`` for every row (−1 for noise and NULL coordinates)."""
-    checkpoint_dir(df.sparkSession)
     full, rim = offset_classes(m)
-    pts = core_points(weighted_points(df, eps, lat, lon, id_col, m), eps, min_samples, m).checkpoint()
+    pts = written(core_points(weighted_points(df, eps, lat, lon, id_col, m), eps, min_samples, m), "points")
     core = pts.filter("is_core")
     ccells = core.groupBy("cx", "cy").agg(F.min("pid").alias("label"))          # one node per core sub-cell
     node = ccells.select("cx", "cy")
     e_full = (_shift(node, full, ["cx", "cy"]).join(node.select(F.col("cx").alias("tx"), F.col("cy").alias("ty")),
                                                    ["tx", "ty"]).select("cx", "cy", "tx", "ty"))
     rp = rim_pairs(core, core, eps, rim).select("cx", "cy", "tx", "ty")
-    edges = e_full.unionByName(rp).distinct().checkpoint()
-    labels = ccells
-    for i in range(max_iter):
-        nb = edges.join(labels.select(F.col("cx").alias("tx"), F.col("cy").alias("ty"), F.col("label").alias("nl")),
-                        ["tx", "ty"]).groupBy("cx", "cy").agg(F.min("nl").alias("nl"))
-        new = labels.join(nb, ["cx", "cy"], "left").select(
-            "cx", "cy", F.least("label", F.coalesce("nl", "label")).alias("label"))
-        if (i + 1) % checkpoint_every == 0:
-            new = new.checkpoint()
-        changed = new.join(labels.withColumnRenamed("label", "old"), ["cx", "cy"]) \
-            .filter(F.col("label") != F.col("old")).count()
-        labels = new
-        if changed == 0:
-            break
-    labels = labels.checkpoint()
+    edges = e_full.unionByName(rp).distinct()
+    parts = connected_components(edges.select(F.struct("cx", "cy").alias("u"), F.struct(F.col("tx").alias("cx"), F.col("ty").alias("cy")).alias("v")))
+    cells = ccells.withColumn("node", F.struct("cx", "cy")).join(parts, "node", "left").withColumn(
+        "component", F.coalesce("component", "node")).drop("node")
+    least = cells.groupBy("component").agg(F.min("label").alias("least"))
+    labels = written(cells.join(least, "component").select("cx", "cy", F.col("least").alias("label")), "labels")
     # clusters renumbered by their smallest core row id (one row per cluster in the window)
     # the label of a component is its smallest core pid, so ranking labels renumbers clusters in discovery
     # order; the rank is a distributed running count (the cluster count grows with the data)

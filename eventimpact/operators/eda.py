@@ -14,6 +14,7 @@ from pyspark.sql import Window
 
 from ..sources.dims import WEEKDAY_NAMES
 from .profiles import NON_CORRIDOR, ranked_counts, with_class
+from .stats import exact_quantiles, with_quantiles, with_scalars
 
 
 def count_star():
@@ -73,32 +74,24 @@ def risk_heatmap(df: DataFrame, score: str = "impact_score") -> DataFrame:
                     F.coalesce("cell_avg", "corridor_avg", F.lit(0.0)).alias("risk"))
 
 
-def quantiles(col: str, probs: list[float], approx: bool = False):
-    if approx:
-        return F.percentile_approx(col, probs, 100000)
-    return F.percentile(col, F.array(*[F.lit(p) for p in probs]))
-
-
-def resolution_stats(df: DataFrame, col: str = "resolution_time_hours", approx: bool = False) -> DataFrame:
+def resolution_stats(df: DataFrame, col: str = "resolution_time_hours") -> DataFrame:
     """Median, mean, p90 (linear interpolation) and max."""
-    q = quantiles(col, [0.5, 0.9], approx)
-    return df.agg(q.alias("__q"), F.avg(col).alias("mean"), F.max(col).alias("max")).select(
-        F.col("__q")[0].alias("median"), "mean", F.col("__q")[1].alias("p90"), "max")
+    q = exact_quantiles(df, col, [0.5, 0.9], names=["median", "p90"])
+    return with_scalars(df.agg(F.avg(col).alias("mean"), F.max(col).alias("max")), q.drop("n")).select("median", "mean", "p90", "max")
 
 
 def group_median(df: DataFrame, key: str, col: str, min_count: int, top: int) -> DataFrame:
-    """Per-group median with HAVING count ≥ min_count, top groups by median desc."""
-    g = df.groupBy(key).agg(F.median(col).alias("median"), count_star().alias("n"))
+    """Per-group median of the values there are, with HAVING count ≥ min_count, top groups by median desc."""
+    g = exact_quantiles(df, col, [0.5], [key], ["median"])
     return g.filter(F.col("n") >= min_count).orderBy(F.desc("median"), key).limit(top)
 
 
 def box_stats(df: DataFrame, key: str, col: str, top: int = 10) -> DataFrame:
     """Quartiles and range per group for the ``top`` commonest keys."""
-    d = df.join(F.broadcast(top_keys(df, key, top)), key, "left_semi")
-    q = quantiles(col, [0.25, 0.5, 0.75])
-    g = d.groupBy(key).agg(q.alias("__q"), F.min(col).alias("min"), F.max(col).alias("max"), F.count(col).alias("n"))
-    return g.select(key, "n", "min", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
-                    F.col("__q")[2].alias("q3"), "max")
+    d = df.join(F.broadcast(top_keys(df, key, top)), key, "left_semi")      # at most ``top`` rows
+    q = exact_quantiles(d, col, [0.25, 0.5, 0.75], [key], ["q1", "median", "q3"])
+    g = d.groupBy(key).agg(F.min(col).alias("min"), F.max(col).alias("max"), F.count(col).alias("n"))
+    return with_quantiles(g, q, [key]).select(key, "n", "min", "q1", "median", "q3", "max")
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -141,7 +134,7 @@ def missing_values(df: DataFrame, top: int = 10) -> DataFrame:
 def dataset_summary(df: DataFrame, resolution: str = "resolution_time_hours") -> DataFrame:
     """A13 + A33: one-row dataset overview including geographic bounds."""
     ts = F.col("start_datetime")
-    return df.agg(
+    one = df.agg(
         count_star().alias("total_incidents"),
         F.min(ts).cast("date").alias("first_day"), F.max(ts).cast("date").alias("last_day"),
         F.floor((F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp")))
@@ -153,9 +146,11 @@ def dataset_summary(df: DataFrame, resolution: str = "resolution_time_hours") ->
         F.sum(F.when(F.col("event_type") == "planned", 1).otherwise(0)).cast("long").alias("planned_events"),
         F.sum(F.when(F.col("event_type") == "unplanned", 1).otherwise(0)).cast("long").alias("unplanned_events"),
         F.sum("requires_road_closure").cast("long").alias("road_closures"),
-        F.median(resolution).alias("median_resolution_hours"),
         F.min("latitude").alias("min_lat"), F.max("latitude").alias("max_lat"),
         F.min("longitude").alias("min_lon"), F.max("longitude").alias("max_lon"))
+    median = exact_quantiles(df, resolution, [0.5], names=["median_resolution_hours"]).drop("n")
+    cols = one.columns
+    return with_scalars(one, median).select(*cols[:-4], "median_resolution_hours", *cols[-4:])
 
 
 def daily_trend(df: DataFrame) -> DataFrame:
@@ -192,30 +187,38 @@ def weekday_distribution(df: DataFrame) -> DataFrame:
                     (F.col("weekday") == quietest).cast("int").alias("is_quietest"), weekend.alias("weekend_pct"))
 
 
+def _top(df: DataFrame, key: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """(the ``k`` commonest keys with their rank, the one-row total of all keys): each task keeps its best ``k``."""
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(count_star().alias("count"))
+    best = counts.orderBy(F.desc("count"), F.asc(key)).limit(k)
+    rank = F.row_number().over(Window.orderBy(F.desc("count"), F.asc(key)))          # over k rows
+    return best.withColumn("rnk", rank), counts.agg(F.sum("count").alias("__total"))
+
+
 def top_share(df: DataFrame, key: str, k_list: int = 15, k_share: int = 3) -> DataFrame:
     """Top ``k_list`` keys with counts, and the share held by the top ``k_share``."""
-    r = ranked_counts(df, [], key)
-    allw = Window.partitionBy()
-    tot = F.sum("count").over(allw)
-    top_tot = F.sum(F.when(F.col("rnk") <= k_share, F.col("count")).otherwise(0)).over(allw)
-    out = r.select(key, F.col("count").alias("n"), "rnk", top_tot.cast("long").alias("top_total"),
-                   (top_tot / tot * 100).alias("top_pct"))
-    return out.filter(F.col("rnk") <= k_list)
+    best, total = _top(df, key, max(k_list, k_share))
+    head = F.sum(F.when(F.col("rnk") <= k_share, F.col("count")).otherwise(0)).over(Window.partitionBy())
+    out = with_scalars(best.withColumn("__head", head), total)
+    return out.select(key, F.col("count").alias("n"), "rnk", F.col("__head").cast("long").alias("top_total"),
+                      (F.col("__head") / F.col("__total") * 100).alias("top_pct")).filter(F.col("rnk") <= k_list)
 
 
 def top_k_with_others(df: DataFrame, key: str, k: int = 8) -> DataFrame:
-    """Top-k keys plus an 'Others' bucket for the rest (re-grouped on the small aggregate)."""
-    r = ranked_counts(df, [], key)
-    label = F.when(F.col("rnk") <= k, F.col(key)).otherwise(F.lit("Others"))
-    return r.groupBy(label.alias(key)).agg(F.sum("count").cast("long").alias("n"))
+    """Top-k keys plus an 'Others' bucket for the rest (the total less the top k; absent when nothing is left)."""
+    best, total = _top(df, key, k)
+    left = with_scalars(best.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("__head")), total)
+    others = left.select(F.lit("Others").alias(key), (F.col("__total") - F.col("__head")).alias("n")).filter("n > 0")
+    return (best.select(key, F.col("count").alias("n")).unionAll(others).groupBy(key)
+            .agg(F.sum("n").cast("long").alias("n")))
 
 
 def conditional_profile(df: DataFrame, flag: str, resolution: str = "resolution_time_hours") -> DataFrame:
     """Count, closure rate %, median and mean resolution split by a flag column."""
-    return df.groupBy(flag).agg(count_star().alias("n"),
-                                (F.avg("requires_road_closure") * 100).alias("closure_rate"),
-                                F.median(resolution).alias("median_resolution"),
-                                F.avg(resolution).alias("mean_resolution"))
+    g = df.groupBy(flag).agg(count_star().alias("n"), (F.avg("requires_road_closure") * 100).alias("closure_rate"),
+                             F.avg(resolution).alias("mean_resolution"))
+    q = exact_quantiles(df, resolution, [0.5], [flag], ["median_resolution"])
+    return with_quantiles(g, q, [flag]).select(flag, "n", "closure_rate", "median_resolution", "mean_resolution")
 
 
 def fleet_demand(df: DataFrame, days: int = 150, top: int = 15) -> DataFrame:
@@ -234,7 +237,6 @@ def density_grid(df: DataFrame, gridsize: int = 30, score: str = "impact_score")
     d = df.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
     m = d.agg(F.min("latitude").alias("la0"), F.max("latitude").alias("la1"),
               F.min("longitude").alias("lo0"), F.max("longitude").alias("lo1"))
-    from .stats import with_scalars
     d = with_scalars(d, m)
 
     def cell(x, lo, hi):
@@ -268,7 +270,6 @@ def slot_forecast(df: DataFrame, score: str = "impact_score") -> DataFrame:
         F.max(score).alias("max_observed_score"))
     top = ranked_counts(df, ["corridor", "weekday", "hour"], "event_cause", 1).select(
         "corridor", "weekday", "hour", F.col("event_cause").alias("top_cause"))
-    from .stats import with_scalars
     g = with_scalars(g, weeks_in_data(df))
     return (g.join(top, ["corridor", "weekday", "hour"], "left")
             .select("corridor", "weekday", "hour", (F.col("n") / F.col("weeks")).alias("expected_events"),

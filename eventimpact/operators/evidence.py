@@ -68,8 +68,8 @@ def evidence_lookup(requests: DataFrame, history: DataFrame, cause: str = "cause
         for i, _ in enumerate(keys):
             c = F.col(req_keys[i]) == F.col(f"__k{i}")
             cond = c if cond is None else cond & c
-        # each grain has at most |causes| × |tiers| × 2 rows (dimension-bounded) → broadcast, requests never shuffle
-        out = out.join(F.broadcast(g), cond, "left").drop(*[f"__k{i}" for i in range(len(keys))])
+        # no hint: the keys are data, so AQE measures the aggregate and broadcasts it only when it is small
+        out = out.join(g, cond, "left").drop(*[f"__k{i}" for i in range(len(keys))])
     n1, n2 = F.coalesce(F.col("g1_n"), F.lit(0)), F.coalesce(F.col("g2_n"), F.lit(0))
     rung = F.when(n1 >= 5, 1).when(n2 >= 3, 2).otherwise(3)
     out = out.withColumn("rung", rung)
@@ -97,18 +97,26 @@ def confidence_level(matching: str = "matching_count"):
     return F.when(n >= 30, "High").when(n >= 10, "Medium").otherwise("Low")
 
 
-def evidence_examples(requests: DataFrame, history: DataFrame, key_cols: list[str], req_id: str = "request_id",
-                      n: int = 5) -> DataFrame:
-    """P11 inside M06: up to ``n`` examples per request in deterministic md5(id) order.
+def evidence_examples(requests: DataFrame, history: DataFrame, n: int = 5, cause: str = "cause", tier: str = "tier",
+                      closure: str = "closure", spread: int = 64) -> DataFrame:
+    """P11 inside M06: up to ``n`` examples per request, in the order of md5(id) (T23), on the rung of its evidence.
 
-    Examples are ranked once per evidence key on the history side (partition = one key's rows, sorted by a
-    hash) and only the top ``n`` per key are joined to the requests, so no request fans out over the history.
-    """
+    Each grain keeps the best ``n`` of each of ``spread`` slices of a key's rows before one window sees a key, so a hot
+    key is split; at most ``n`` rows a key are joined to the requests, so no request fans out over the history."""
     from pyspark.sql import Window
-    w = Window.partitionBy(*key_cols).orderBy(F.md5(F.col("id").cast("string")))
-    top = history.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= n)
-    return requests.join(top, key_cols, "inner").select(req_id, "id", "__r", *[c for c in top.columns
-                                                                                if c not in ("id", "__r")])
+    rows = history.select("id", "corridor", "hour", "impact_score", *GRAINS[0], F.md5(F.col("id").cast("string")).alias("__h"))
+    req_keys, out = (cause, tier, closure), None
+    for rung, keys in enumerate(GRAINS, start=1):
+        some = rows
+        for part in ([*keys, F.pmod(F.xxhash64("id"), F.lit(spread))], list(keys)):
+            w = Window.partitionBy(*part).orderBy("__h")
+            some = some.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= n)
+        some = some.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "pos", F.col("id").alias("example_id"), "corridor",
+                           "hour", "impact_score", F.col("requires_road_closure").alias("example_closure"))
+        on = [F.col(req_keys[i]) == F.col(f"__k{i}") for i in range(len(keys))]
+        got = requests.filter(F.col("rung") == rung).join(some, on).drop(*[f"__k{i}" for i in range(len(keys))])
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 def transit_chain(requests: DataFrame, history: DataFrame, cause: str = "cause", veh: str = "vehicle_type",

@@ -47,12 +47,20 @@ def first_outcome(outcomes: DataFrame, key: str, order_cols: list[str]) -> DataF
     return g.select(key, *[F.col("__b")[c].alias(c) for c in others])
 
 
-def drift(log: DataFrame, now: str, window_days: int = 30, ts: str = "ts") -> DataFrame:
-    """Strict window ``ts > now − N days``; needs ≥ 10 outcomes; MAE, MAPE, class accuracy; drift flag."""
-    cutoff = F.lit(now).cast("timestamp") - F.make_interval(days=F.lit(window_days))
-    r = log.filter((F.col(ts) > cutoff) & F.col("actual_impact").isNotNull())
-    a = r.agg(F.count(F.lit(1)).alias("predictions_analyzed"), F.avg("error_abs").alias("mae"),
-              F.avg("error_pct").alias("mape"), (F.avg(F.col("class_correct").cast("double")) * 100).alias("class_accuracy_pct"))
+def error_sums() -> list:
+    """Additive parts of the drift measures, over rows with an outcome."""
+    has = F.col("actual_impact").isNotNull()
+    out = [F.count(F.when(has, 1)).alias("n")]
+    for name, c in (("abs", F.col("error_abs")), ("pct", F.col("error_pct")), ("ok", F.col("class_correct").cast("double"))):
+        out += [F.coalesce(F.sum(F.when(has, c)), F.lit(0.0)).alias(f"s_{name}"), F.count(F.when(has, c)).alias(f"n_{name}")]
+    return out
+
+
+def drift_status(sums: DataFrame, window_days: int) -> DataFrame:
+    """M24 from summed ``error_sums``: needs ≥ 10 outcomes; MAE, MAPE, class accuracy; drift flag."""
+    mean = lambda k: F.when(F.col(f"n_{k}") > 0, F.col(f"s_{k}") / F.col(f"n_{k}"))
+    a = sums.select(F.coalesce("n", F.lit(0)).cast("long").alias("predictions_analyzed"), mean("abs").alias("mae"),
+                    mean("pct").alias("mape"), (mean("ok") * 100).alias("class_accuracy_pct"))
     enough = F.col("predictions_analyzed") >= 10
     det = (F.col("mae") > 5.0) | (F.col("class_accuracy_pct") < 70.0)
     return a.select(
@@ -64,6 +72,12 @@ def drift(log: DataFrame, now: str, window_days: int = 30, ts: str = "ts") -> Da
         F.when(enough, F.when(det, "Consider model retraining").otherwise("Model performing well")).alias("recommendation"))
 
 
+def drift(log: DataFrame, now: str, window_days: int = 30, ts: str = "ts") -> DataFrame:
+    """Strict window ``ts > now − N days``."""
+    cutoff = F.lit(now).cast("timestamp") - F.make_interval(days=F.lit(window_days))
+    return drift_status(log.filter(F.col(ts) > cutoff).agg(*error_sums()), window_days)
+
+
 def overall(log: DataFrame) -> DataFrame:
     """Overall errors, class accuracy and reporting rate."""
     has = F.col("actual_impact").isNotNull()

@@ -22,7 +22,7 @@ NON_CORRIDOR = "Non-corridor"
 def event_features(events: DataFrame, history: DataFrame) -> DataFrame:
     """17-column event feature table; corridor history count defaults to 100 when 0."""
     cnt = history.groupBy("corridor").agg(F.count(F.lit(1)).alias("__hc"))
-    e = events.join(F.broadcast(cnt), "corridor", "left")      # one row per corridor
+    e = events.join(cnt, "corridor", "left")
     hc = F.coalesce(F.col("__hc"), F.lit(0))
     return e.select(
         "event_id", F.coalesce(D.literal_map(D.EVENT_TYPE_ENCODING)[F.col("event_type")], F.lit(4)).alias("event_type_encoded"),
@@ -52,26 +52,24 @@ def similar_history(events: DataFrame, history: DataFrame, resolution: str = "re
     hh = h.groupBy("hour").agg(*stats)
     cc = h.groupBy("corridor").agg(*stats)
     al = h.agg(*stats)
-    e = events.select("event_id", "corridor", "hour")
-    off = e.withColumn("__h", F.explode(F.sequence(F.col("hour") - 2, F.col("hour") + 2)))
     names = ["n", "rs", "rn", "cs"]
 
-    def summed(df, keys, prefix):
-        # history aggregates have ≤ corridors × 24 rows → broadcast; the 5× event fan-out stays local
-        j = off.join(F.broadcast(df.withColumnRenamed("hour", "__h")), keys, "left")
-        return j.groupBy("event_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(prefix + c) for c in names])
+    def near(df, keys, prefix):
+        # the ±2 h sums are built on the aggregate (a few rows per corridor and hour), so events look up one row
+        f = df.withColumn("hour", F.explode(F.sequence(F.col("hour") - 2, F.col("hour") + 2)))
+        return f.groupBy(*keys).agg(*[F.sum(c).alias(prefix + c) for c in names])
 
-    wc = summed(ch, ["corridor", "__h"], "wc_")
-    wa = summed(hh, ["__h"], "wa_")
-    out = (e.join(wc, "event_id", "left").join(wa, "event_id", "left")
-           .join(F.broadcast(cc.select("corridor", *[F.col(c).alias("cc_" + c) for c in names])), "corridor", "left"))
+    e = events.select("event_id", "corridor", "hour")
+    out = (e.join(near(ch, ["corridor", "hour"], "wc_"), ["corridor", "hour"], "left")
+           .join(near(hh, ["hour"], "wa_"), "hour", "left")
+           .join(cc.select("corridor", *[F.col(c).alias("cc_" + c) for c in names]), "corridor", "left"))
     from .stats import with_scalars
     out = with_scalars(out, al.select(*[F.col(c).alias("al_" + c) for c in names]))
     use_c = (F.col("corridor") != NON_CORRIDOR) & (F.coalesce(F.col("cc_n"), F.lit(0)) > 0)
 
     def pick(c):
-        return (F.when(use_c, F.when(F.col("wc_n") > 0, F.col("wc_" + c)).otherwise(F.col("cc_" + c)))
-                .otherwise(F.when(F.col("wa_n") > 0, F.col("wa_" + c)).otherwise(F.col("al_" + c))))
+        return (F.when(use_c, F.when(F.coalesce(F.col("wc_n"), F.lit(0)) > 0, F.col("wc_" + c)).otherwise(F.col("cc_" + c)))
+                .otherwise(F.when(F.coalesce(F.col("wa_n"), F.lit(0)) > 0, F.col("wa_" + c)).otherwise(F.col("al_" + c))))
 
     n = F.coalesce(pick("n"), F.lit(0)).cast("long")
     return out.select(
@@ -86,21 +84,9 @@ def event_forecast(events: DataFrame, history: DataFrame) -> DataFrame:
     return event_score(events).join(similar_history(events, history), "event_id")
 
 
-# FIXED VALUES — proactive plan actions per class (in order).
-PLAN_ACTIONS = {
-    "Critical": ["Deploy traffic personnel 2 hours before event", "Set up barricades at key junctions 1 hour before",
-                 "Activate traffic diversion plan", "Coordinate with event organizers for crowd management",
-                 "Alert nearby hospitals and emergency services"],
-    "High": ["Deploy traffic personnel 1 hour before event", "Pre-position tow trucks if needed",
-             "Monitor traffic flow in real-time", "Coordinate with event organizers"],
-    "Medium": ["Monitor event remotely", "Keep rapid response team on standby", "Pre-plan diversion routes"],
-    "Low": ["Standard monitoring"],
-}
-
-
 def proactive_plan(forecast: DataFrame) -> DataFrame:
     """Ordered action list per event (class template + crowd > 50 000 + closure) as rows."""
-    tmpl = F.create_map(*[x for k, v in PLAN_ACTIONS.items() for x in (F.lit(k), F.array(*[F.lit(a) for a in v]))])
+    tmpl = F.create_map(*[x for k, v in D.PLAN_ACTIONS.items() for x in (F.lit(k), F.array(*[F.lit(a) for a in v]))])
     crowd = F.when(F.col("expected_crowd") > 50000,
                    F.array(F.format_string("Large crowd (%s) - Deploy crowd control barriers",
                                            F.format_number(F.col("expected_crowd"), 0)))).otherwise(F.array())
@@ -112,6 +98,17 @@ def proactive_plan(forecast: DataFrame) -> DataFrame:
     return out
 
 
+def proactive_timeline(forecast: DataFrame) -> DataFrame:
+    """Timeline steps per event (time, action, resources; NULL where a step needs none of a kind)."""
+    def step(t, a, r):
+        return F.struct(F.lit(t).alias("time"), F.lit(a).alias("action"),
+                        *[F.lit(r.get(k)).cast("int").alias(k) for k in D.PLAN_RESOURCES])
+
+    table = F.create_map(*[x for k, v in D.PLAN_TIMELINE.items() for x in (F.lit(k), F.array(*[step(*s) for s in v]))])
+    out = forecast.select("event_id", F.posexplode(table[F.col("predicted_risk_class")]).alias("seq", "s"))
+    return out.select("event_id", "seq", "s.*")
+
+
 def upcoming(forecast: DataFrame, now: str, days: int) -> DataFrame:
     """Events with ``now <= datetime <= now + days`` (inclusive)."""
     ts = F.col("event_datetime")
@@ -134,6 +131,11 @@ def event_briefing(forecast: DataFrame) -> DataFrame:
     return g.withColumn("briefing_summary", summary)
 
 
+def briefing_events(forecast: DataFrame) -> DataFrame:
+    """The High and Critical events of each day's briefing, one row each (a day's list is not bounded)."""
+    return forecast.filter(F.col("predicted_risk_class").isin("High", "Critical"))
+
+
 def high_risk_events(forecast: DataFrame, now: str, days: int = 30, corridor: str | None = None) -> DataFrame:
     """The High/Critical events of the next ``days`` days (optionally one corridor), one row each."""
     f = upcoming(forecast, now, days).filter(F.col("predicted_risk_class").isin("High", "Critical"))
@@ -155,6 +157,22 @@ CONFLICT_RULES = [  # (type, severity points, severity name)
 ]
 
 
+def conflict_texts(high_risk, closures, crowd) -> list[tuple]:
+    """(description, recommendation) of each rule, in the order of CONFLICT_RULES."""
+    return [
+        (F.lit("Multiple events on the same corridor will cause severe congestion"),
+         F.lit("Reschedule one event or prepare extensive diversion routes")),
+        (F.format_string("%d high-risk events on same day will strain resources", high_risk),
+         F.format_string("Pre-position %d additional officers and %d barricades", high_risk * 15, high_risk * 25)),
+        (F.format_string("%d road closures will significantly disrupt city traffic", closures),
+         F.lit("Coordinate closure timings to avoid overlap if possible")),
+        (F.format_string("Total %s people expected across events", F.format_number(crowd, 0)),
+         F.lit("Deploy crowd control units and setup emergency medical facilities")),
+        (F.lit("Events occurring within 2 hours of each other"),
+         F.lit("Ensure rapid resource redeployment between events")),
+    ]
+
+
 def event_conflicts(forecast: DataFrame) -> DataFrame:
     """Per date with more than one event — the five rules, severity sum and overall level."""
     hr = F.col("predicted_risk_class").isin("High", "Critical")
@@ -170,8 +188,10 @@ def event_conflicts(forecast: DataFrame) -> DataFrame:
         lambda i: (F.size(hours) > 1) & (F.element_at(hours, i + 1) - F.element_at(hours, i) <= 2))
     fired = [F.col("event_count") != F.col("__dc"), F.col("__hr") >= 2, F.col("__cl") >= 2,
              F.col("total_expected_crowd") > 100000, near]
-    rules = F.array(*[F.when(c, F.struct(F.lit(t).alias("type"), F.lit(p).alias("points"), F.lit(s).alias("severity")))
-                      for c, (t, p, s) in zip(fired, CONFLICT_RULES)])
+    texts = conflict_texts(F.col("__hr"), F.col("__cl"), F.col("total_expected_crowd"))
+    rules = F.array(*[F.when(c, F.struct(F.lit(i).alias("pos"), F.lit(t).alias("type"), F.lit(p).alias("points"),
+                                         F.lit(s).alias("severity"), d.alias("description"), r.alias("recommendation")))
+                      for i, (c, (t, p, s), (d, r)) in enumerate(zip(fired, CONFLICT_RULES, texts))])
     g = g.withColumn("rules", F.filter(rules, lambda x: x.isNotNull()))
     score = F.aggregate(F.col("rules"), F.lit(0), lambda a, x: a + x["points"])
     g = g.withColumn("conflict_severity_score", score)

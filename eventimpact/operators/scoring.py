@@ -50,26 +50,10 @@ def blend_score(model_score: Column, evidence_count: Column, hist_avg: Column, c
     return clip(b.cast("double"), 0.0, 100.0)
 
 
-# ---------------------------------------------------------------------------------------------
-# FIXED VALUES — base resource template per cause (fallback row "others").
-# cause: (police, barricades, crew, tow, diversion, resolution median, resolution range)
+# (police, barricades, crew, tow, diversion, resolution median, resolution range) of the one template in ``dims``.
 RESOURCE_TEMPLATES = {
-    "tree_fall": (2, 4, "BBMP Tree Crew", 0, True, "1.2h", "0.4h–4.0h"),
-    "vehicle_breakdown": (1, 0, "None", 1, False, "0.5h", "0.5h–1.0h"),
-    "accident": (2, 2, "Accident Investigation", 1, True, "2.0h", "1.0h–3.0h"),
-    "water_logging": (1, 2, "BWSSB Drainage Team", 0, True, "3.0h", "2.0h–8.0h"),
-    "construction": (1, 5, "BBMP Oversight", 0, True, "12.0h", "4.0h–48.0h"),
-    "pot_holes": (0, 2, "BBMP Road Crew", 0, False, "2.0h", "1.0h–4.0h"),
-    "public_event": (4, 8, "Event Management", 0, True, "6.0h", "4.0h–12.0h"),
-    "procession": (3, 5, "None", 0, True, "3.0h", "2.0h–6.0h"),
-    "vip_movement": (5, 8, "None", 0, True, "2.0h", "1.0h–4.0h"),
-    "protest": (6, 8, "None", 0, True, "5.0h", "2.0h–12.0h"),
-    "road_conditions": (1, 2, "BBMP Road Crew", 0, False, "3.0h", "2.0h–8.0h"),
-    "congestion": (1, 0, "None", 0, False, "1.5h", "1.0h–3.0h"),
-    "Debris": (1, 2, "BBMP Cleanup Crew", 0, False, "1.0h", "0.5h–2.0h"),
-    "others": (1, 1, "Standard", 0, False, "2.0h", "1.0h–4.0h"),
-}
-# ---------------------------------------------------------------------------------------------
+    k: (*[v["resources"][c] for c in ("police", "barricades", "crew", "tow", "diversion")], *v["resolution"])
+    for k, v in D.RESOURCE_TEMPLATES.items()}
 
 # Multiplier text "{risk × tier:.1f}x" for every (class, tier) pair, formatted once here so the half-even
 # formatting of the reference is exact (16 fixed entries, derived from the two multiplier tables).
@@ -111,8 +95,9 @@ def resource_scaling(requests: DataFrame, cause: str = "cause", risk: str = "ris
     def scaled(c):
         return F.greatest(F.lit(0), F.bround(F.col(c) * F.col("__m"), 0).cast("int"))
 
-    vkey = F.coalesce(D.literal_map({"BMTC Bus": "bmtc_bus", "KSRTC Bus": "ksrtc_bus", "Heavy Vehicle": "heavy_vehicle",
-                                     "Truck": "truck", "Private Bus": "private_bus"})[F.col(veh)], F.col(veh))
+    vkey = F.coalesce(D.literal_map(D.VEH_DISPLAY_MAP)[F.col(veh)], F.col(veh))
+    risk_text = F.format_string("%s (%sx)", F.col(risk), rm.cast("string"))
+    tier_text = F.when(F.col(tier) > 0, F.format_string("Tier %d (%sx)", F.col(tier), tm.cast("string"))).otherwise("Non-corridor (1.0x)")
     return j.select(
         *requests.columns,
         scaled("t_police").alias("police_units"), scaled("t_tow").alias("tow_trucks"),
@@ -120,13 +105,15 @@ def resource_scaling(requests: DataFrame, cause: str = "cause", risk: str = "ris
         (F.col("t_diversion") | (F.col(risk).isin("Critical", "High") & (F.col(tier) >= 1))).alias("diversion_required"),
         F.coalesce(D.literal_map(D.VEH_NOTES)[vkey], F.lit("")).alias("vehicle_note"),
         F.col("t_res_median").alias("resolution_median"), F.col("t_res_range").alias("resolution_range"),
+        risk_text.alias("risk_multiplier"), tier_text.alias("tier_multiplier"),
         D.literal_map(MULTIPLIER_TEXT)[F.concat_ws("|", F.col(risk), F.col(tier).cast("string"))]
         .alias("total_multiplier"))
 
 
 def barricade_placement(requests: DataFrame, total: str = "barricades", tier: str = "tier", cause: str = "cause",
                         risk: str = "risk_class", lat: str | None = None, lon: str | None = None) -> DataFrame:
-    """Up to three placements per request as rows (array of nullable structs → filter → explode)."""
+    """Up to three placements per request as rows; a request without barricades is one row that says so
+    (no placement, nothing to set up). ``gps_verified`` tells whether the request carries a location."""
     n, t = F.col(total), F.col(tier)
     la = F.col(lat) if lat else F.lit(D.DEFAULT_POINT[0])
     lo = F.col(lon) if lon else F.lit(D.DEFAULT_POINT[1])
@@ -137,25 +124,43 @@ def barricade_placement(requests: DataFrame, total: str = "barricades", tier: st
     rem2 = rem1 - F.coalesce(div, F.lit(0))
     ped = F.col(cause).isin("tree_fall", "water_logging", "protest")
 
-    def place(prio, ltype, plat, plon, cnt, ptype):
+    def place(prio, ltype, plat, plon, cnt, ptype, reason, when, metres):
         return F.struct(F.lit(prio).alias("priority"), ltype.alias("location_type"), plat.alias("latitude"),
-                        plon.alias("longitude"), cnt.cast("int").alias("count"), ptype.alias("type"))
+                        plon.alias("longitude"), cnt.cast("int").alias("count"), ptype.alias("type"),
+                        reason.alias("reason"), F.lit(when).alias("deployment_time"),
+                        metres.cast("int").alias("distance_from_incident_m"))
 
     p1 = place(1, F.lit("Incident Site - Entry Block"), la, lo, primary,
-               F.when(F.col(risk).isin("Critical", "High"), "full_closure").otherwise("partial_closure"))
-    p2 = F.when(div_on, place(2, F.lit("Upstream Junction - Diversion"), la + 0.0045, lo, div, F.lit("diversion_signage")))
+               F.when(F.col(risk).isin("Critical", "High"), "full_closure").otherwise("partial_closure"),
+               F.lit("Block vehicle entry to incident site"), "T-0 (immediate)", F.lit(None))
+    p2 = F.when(div_on, place(2, F.lit("Upstream Junction - Diversion"), la + 0.0045, lo, div, F.lit("diversion_signage"),
+                               F.lit("Redirect traffic to alternate route 500m before incident"), "T-0 to T+5min", F.lit(500)))
     p3 = F.when(rem2 >= 2, place(3, F.when(ped, "Pedestrian Safety Zone").otherwise("Downstream Exit Block"),
                                  F.when(ped, la).otherwise(la - 0.0027), F.when(ped, lo + 0.0018).otherwise(lo),
-                                 rem2, F.when(ped, "pedestrian_safety").otherwise("exit_control")))
+                                 rem2, F.when(ped, "pedestrian_safety").otherwise("exit_control"),
+                                 F.when(ped, "Protect pedestrian movement near incident").otherwise(
+                                     "Prevent vehicles from exiting blocked segment"),
+                                 "T+5min to T+10min", F.when(ped, 200).otherwise(300)))
     arr = F.when(n > 0, F.filter(F.array(p1, p2, p3), lambda x: x.isNotNull()))
-    strategy = (F.when(F.col(risk) == "Critical", "Immediate full closure with police escort for barricade deployment")
+    strategy = (F.when(n == 0, "No barricades required").when(F.col(risk) == "Critical", "Immediate full closure with police escort for barricade deployment")
                 .when(F.col(risk) == "High", "Phased deployment: Site blocking first, then diversion points")
                 .otherwise("Standard deployment: Sequential placement based on priority"))
-    keep = [c for c in requests.columns if c not in ("priority", "location_type", "latitude", "longitude", "count", "type")]
-    out = requests.select(*keep, F.explode(arr).alias("p"), (n * 2).alias("setup_time_min"),
-                          strategy.alias("deployment_strategy"),
-                          F.when(t >= 1, 800).otherwise(300).alias("total_coverage_area_m"))
-    return out.select(*keep, "p.*", "setup_time_min", "deployment_strategy", "total_coverage_area_m")
+    new = ("priority", "location_type", "latitude", "longitude", "count", "type", "reason", "deployment_time", "distance_from_incident_m")
+    keep = [c for c in requests.columns if c not in new]
+    known = (F.col(lat).isNotNull() & F.col(lon).isNotNull()) if lat and lon else F.lit(False)
+    out = requests.select(*keep, F.explode_outer(arr).alias("p"), F.when(n > 0, known).alias("gps_verified"),
+                          (n * 2).alias("setup_time_min"), strategy.alias("deployment_strategy"),
+                          F.when(n > 0, F.when(t >= 1, 800).otherwise(300)).alias("total_coverage_area_m"))
+    return out.select(*keep, "p.*", "gps_verified", "setup_time_min", "deployment_strategy", "total_coverage_area_m")
+
+
+def resource_timeline(requests: DataFrame, cause: str = "cause") -> DataFrame:
+    """The response timeline of each request's cause as rows (phase, actions in order)."""
+    steps = {k: F.array(*[F.struct(F.lit(ph).alias("phase"), F.lit(", ".join(acts)).alias("actions")) for ph, acts in v["timeline"]])
+             for k, v in D.RESOURCE_TEMPLATES.items()}
+    table = F.create_map(*[x for k, v in steps.items() for x in (F.lit(k), v)])
+    out = requests.select(*requests.columns, F.posexplode(F.coalesce(table[F.col(cause)], steps["others"])).alias("seq", "s"))
+    return out.select(*requests.columns, "seq", "s.phase", "s.actions")
 
 
 def prediction_breakdown(requests: DataFrame, cause: str = "cause", tier: str = "tier", closure: str = "closure",
@@ -219,36 +224,44 @@ def classify(score: Column) -> Column:
     return risk_class(score)
 
 
-def what_if_variants(requests: DataFrame) -> DataFrame:
-    """The base row plus up to six variants (toggle closure, Non-corridor, a tier-1 corridor, hour 9, hour 2,
-    weekday↔weekend); variants that change nothing are skipped. One ``explode`` — no self join of the input."""
-    t, c, h, w = F.col("tier"), F.col("closure"), F.col("hour"), F.col("weekday")
+NON_CORRIDOR = "Non-corridor"
+
+
+def what_if_variants(requests: DataFrame, tier1_corridor: str) -> DataFrame:
+    """Up to six variants per request (toggle closure, Non-corridor, the tier-1 corridor ``tier1_corridor``,
+    hour 9, hour 2, weekday↔weekend). A corridor variant is skipped only when the request already names that
+    corridor, an hour variant when it already has that hour. One ``explode``; all request columns are carried."""
+    t, c, h, w, name = F.col("tier"), F.col("closure"), F.col("hour"), F.col("weekday"), F.col("corridor")
 
-    def v(name, corridor, tier, closure, hour, weekday, cond=None):
-        s = F.struct(F.lit(name).alias("variant"), corridor.alias("corridor"), tier.cast("int").alias("tier"),
+    def v(variant, corridor, tier, closure, hour, weekday, cond=None):
+        s = F.struct(F.lit(variant).alias("variant"), corridor.alias("corridor"), tier.cast("int").alias("tier"),
                      closure.cast("int").alias("closure"), hour.cast("int").alias("hour"), weekday.cast("int").alias("weekday"))
         return s if cond is None else F.when(cond, s)
 
     arr = F.array(
-        v("base", F.col("corridor"), t, c, h, w),
-        v("closure_toggle", F.col("corridor"), t, 1 - c, h, w),
-        v("non_corridor", F.lit("Non-corridor"), F.lit(0), c, h, w, t != 0),
-        v("tier1_corridor", F.lit("C0"), F.lit(1), c, h, w, t != 1),
-        v("hour_9", F.col("corridor"), t, c, F.lit(9), w, h != 9),
-        v("hour_2", F.col("corridor"), t, c, F.lit(2), w, h != 2),
-        v("weekday_toggle", F.col("corridor"), t, c, h, F.when(w < 5, 5).otherwise(2)))
-    e = requests.select("request_id", "cause", F.explode(F.filter(arr, lambda x: x.isNotNull())).alias("v"))
-    return e.select("request_id", "cause", "v.*")
-
-
-def what_if(requests: DataFrame, history: DataFrame) -> DataFrame:
+        v("closure_toggle", name, t, 1 - c, h, w),
+        v("non_corridor", F.lit(NON_CORRIDOR), F.lit(0), c, h, w, ~name.eqNullSafe(F.lit(NON_CORRIDOR))),
+        v("tier1_corridor", F.lit(tier1_corridor), F.lit(1), c, h, w, ~name.eqNullSafe(F.lit(tier1_corridor))),
+        v("hour_9", name, t, c, F.lit(9), w, h != 9),
+        v("hour_2", name, t, c, F.lit(2), w, h != 2),
+        v("weekday_toggle", name, t, c, h, F.when(w < 5, 5).otherwise(2)))
+    keep = [x for x in requests.columns if x not in ("corridor", "tier", "closure", "hour", "weekday", "variant")]
+    e = requests.select(*keep, F.explode(F.filter(arr, lambda x: x.isNotNull())).alias("v"))
+    return e.select(*keep, "v.*")
+
+
+def _request_score(requests: DataFrame, history: DataFrame, out: str) -> DataFrame:
     from .evidence import evidence_lookup
-    v = evidence_lookup(what_if_variants(requests), history)
     base, _ = operational_baseline(F.col("cause"), F.col("tier"), F.col("closure"), F.col("hour"))
-    v = v.withColumn("score", blend_score(base.cast("double"), F.col("evidence_count"), F.col("average_score"),
-                                          F.col("closure"), F.col("tier"), F.col("cause"), F.col("hour")))
-    from pyspark.sql import Window
-    b = F.max(F.when(F.col("variant") == "base", F.col("score"))).over(Window.partitionBy("request_id"))
-    out = v.withColumn("__base", b).filter(F.col("variant") != "base")
-    return out.select("request_id", "variant", F.col("score").alias("variant_score"),
-                      risk_class(F.col("score")).alias("variant_class"), (F.col("score") - F.col("__base")).alias("delta"))
+    e = evidence_lookup(requests, history)
+    return e.select(*requests.columns, blend_score(base.cast("double"), F.col("evidence_count"), F.col("average_score"),
+                                                   F.col("closure"), F.col("tier"), F.col("cause"), F.col("hour")).alias(out))
+
+
+def what_if(requests: DataFrame, history: DataFrame, tier1_corridor: str) -> DataFrame:
+    """Score, class and difference of every variant. The request's own score is computed first and carried
+    through the ``explode``, so no row is shuffled by request."""
+    v = what_if_variants(_request_score(requests, history, "base_score"), tier1_corridor)
+    s = _request_score(v, history, "score")
+    return s.select("request_id", "variant", F.col("score").alias("variant_score"),
+                    risk_class(F.col("score")).alias("variant_class"), (F.col("score") - F.col("base_score")).alias("delta"))

@@ -5,14 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
-
-
-def median_expr(col: str, approx: bool = False, accuracy: int = 100000) -> Column:
-    """Exact median (``percentile``: its buffer is a value→count map, so memory follows the number of
-    distinct values, not rows) or, at scale, ``percentile_approx`` with bounded memory."""
-    if approx:
-        return F.percentile_approx(col, 0.5, accuracy).cast("double")
-    return F.median(col)
+from pyspark.sql.types import StructType
 
 
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
@@ -24,9 +17,55 @@ def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
     return out.select(*df.columns, *[F.col("__s")[c].alias(c) for c in cols])
 
 
-def impute_median(df: DataFrame, col: str, out: str, approx: bool = False, median_fn=None) -> DataFrame:
-    """``out = coalesce(col, median(col))`` with the median over the whole frame."""
-    m = df.agg((median_fn(col) if median_fn else median_expr(col, approx)).alias("__median"))
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], groups: list[str] | None = None,
+                    names: list[str] | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation (A07–A09), one row per group: ``names`` (default q0, q1, …) and
+    ``n``, the count of non-NULL values.
+
+    The values are counted, their running count is taken over ranges of the value order (``running_total``), and
+    the values at the two middle ranks are picked by a partial aggregate. No task holds a group's values, as
+    ``percentile`` would: its buffer is one value → count map per group. A group without values has no row.
+    """
+    groups, names = groups or [], names or [f"q{i}" for i in range(len(probs))]
+    keys = [F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)]
+    gs = [f"__g{i}" for i in range(len(groups))]
+    vals = df.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).cast("double").alias("__x")).agg(
+        F.count(F.lit(1)).alias("__c"))
+    cum = running_total(vals, [*gs, "__x"], "__c", "__end").withColumn("__begin", F.col("__end") - F.col("__c"))
+    span = cum.groupBy(*gs).agg(F.min("__begin").alias("__lo"), (F.max("__end") - F.min("__begin")).alias("__n"))
+    if gs:
+        s = span.select(*[F.col(g).alias(f"s{g}") for g in gs], "__lo", "__n")
+        on = [F.col(g).eqNullSafe(F.col(f"s{g}")) for g in gs]
+        rows = cum.join(s, on).drop(*[f"s{g}" for g in gs])
+    else:
+        rows = with_scalars(cum, span)
+    picks = []
+    for i, p in enumerate(probs):
+        at = F.lit(p) * (F.col("__n") - 1)
+        for tag, r in (("a", F.floor(at)), ("b", F.ceil(at))):
+            hit = (F.col("__begin") - F.col("__lo") <= r) & (r < F.col("__end") - F.col("__lo"))
+            picks.append(F.max(F.when(hit, F.col("__x"))).alias(f"__{tag}{i}"))
+    got = rows.groupBy(*gs).agg(F.max("__n").alias("n"), *picks)
+    if not gs:
+        got = got.withColumn("n", F.coalesce("n", F.lit(0)))
+    out = []
+    for i, (p, name) in enumerate(zip(probs, names)):
+        at = F.lit(p) * (F.col("n") - 1)
+        out.append((F.col(f"__a{i}") + (F.col(f"__b{i}") - F.col(f"__a{i}")) * (at - F.floor(at))).alias(name))
+    return got.select(*[F.col(g).alias(o) for g, o in zip(gs, groups)], *out, F.col("n").cast("long").alias("n"))
+
+
+def with_quantiles(agg: DataFrame, quantiles: DataFrame, groups: list[str]) -> DataFrame:
+    """``agg`` left join the quantile columns on its group keys (NULL keys are a group of their own)."""
+    q = quantiles.drop("n").select(*[F.col(g).alias(f"__q_{g}") for g in groups],
+                                   *[c for c in quantiles.columns if c not in [*groups, "n"]])
+    on = [F.col(g).eqNullSafe(F.col(f"__q_{g}")) for g in groups]
+    return agg.join(q, on, "left").drop(*[f"__q_{g}" for g in groups])
+
+
+def impute_median(df: DataFrame, col: str, out: str) -> DataFrame:
+    """``out = coalesce(col, median(col))`` with the exact median over the whole frame."""
+    m = exact_quantiles(df, col, [0.5], names=["__median"]).drop("n")
     return with_scalars(df, m).withColumn(out, F.coalesce(F.col(col), F.col("__median"))).drop("__median")
 
 
@@ -99,8 +138,13 @@ def range_of(df: DataFrame, cols: list[str], points: list) -> Column:
     types = [df.schema[c].dataType for c in cols]
     key = F.struct(*cols)
 
+    def literal(v, t) -> Column:
+        if isinstance(t, StructType):
+            return F.struct(*[literal(x, f.dataType).alias(f.name) for x, f in zip(v, t.fields)])
+        return F.lit(v).cast(t)
+
     def at(p):
-        return F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(p, types, cols)])
+        return F.struct(*[literal(v, t).alias(c) for v, t, c in zip(p, types, cols)])
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
@@ -143,32 +187,31 @@ def percentile_rank(df: DataFrame, col: str, out: str) -> DataFrame:
     return df.join(ranked, on=col, how="left")
 
 
-def impute_end(df: DataFrame, start: str, end: str, resolved: str | None, out: str = "duration_minutes",
-               approx: bool = False) -> DataFrame:
+def impute_end(df: DataFrame, start: str, end: str, resolved: str | None, out: str = "duration_minutes") -> DataFrame:
     """P17 + F14: missing end → resolved time when present, then the global median duration fills the rest."""
     from ..functions.temporal import duration_minutes
     e = F.coalesce(F.col(end), F.col(resolved)) if resolved else F.col(end)
     d = df.withColumn("__dur", duration_minutes(F.col(start), e))
-    return impute_median(d, "__dur", out, approx=approx).drop("__dur")
+    return impute_median(d, "__dur", out).drop("__dur")
 
 
 def fallback_to_centroid(df: DataFrame, centroids: DataFrame, lat: str = "latitude", lon: str = "longitude",
                          key: str = "corridor", drop_invalid: bool = False) -> DataFrame:
     """A (0, 0) or NULL coordinate is invalid → dropped, or replaced by the corridor centroid
-    (``centroids``: key, center_lat, center_lon — a fixed 21-row dimension, broadcast)."""
+    (``centroids``: key, center_lat, center_lon)."""
     bad = F.col(lat).isNull() | F.col(lon).isNull() | ((F.col(lat) == 0) & (F.col(lon) == 0))
     if drop_invalid:
         return df.filter(~bad)
-    j = df.join(F.broadcast(centroids), key, "left").withColumn("__bad", bad)
+    j = df.join(centroids, key, "left").withColumn("__bad", bad)
     return (j.withColumn(lat, F.when(F.col("__bad"), F.col("center_lat")).otherwise(F.col(lat)))
              .withColumn(lon, F.when(F.col("__bad"), F.col("center_lon")).otherwise(F.col(lon)))
              .drop("center_lat", "center_lon", "__bad"))
 
 
 def with_holidays(df: DataFrame, holidays: DataFrame, ts: str = "start_datetime", out: str = "is_holiday") -> DataFrame:
-    """Holiday flag from a calendar dimension (one row per date — broadcast left join on the date)."""
+    """Holiday flag from a calendar dimension (one row per date; a left join on the date, whose side AQE measures)."""
     h = holidays.select(F.col("date").cast("date").alias("__hd")).distinct().withColumn(out, F.lit(1))
-    j = df.join(F.broadcast(h), F.to_date(F.col(ts)) == F.col("__hd"), "left")
+    j = df.join(h, F.to_date(F.col(ts)) == F.col("__hd"), "left")
     return j.withColumn(out, F.coalesce(F.col(out), F.lit(0))).drop("__hd")
 
 

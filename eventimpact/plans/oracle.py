@@ -22,6 +22,7 @@ SELECT event_id AS id, ts AS start_datetime,
   CASE WHEN user_id % 8 = 7 THEN 'Non-corridor' ELSE concat('C', CAST(user_id % 8 AS {_STR})) END AS corridor,
   CAST(CASE WHEN user_id % 8 = 7 THEN 0 WHEN user_id % 8 <= 1 THEN 1 WHEN user_id % 8 <= 4 THEN 2 ELSE 3 END AS INT) AS corridor_tier,
   CASE WHEN user_id % 54 = 53 THEN NULL ELSE concat('S', CAST(user_id % 54 AS {_STR})) END AS police_station,
+  CASE WHEN user_id % 10 = 9 THEN NULL ELSE concat('J', CAST(user_id % 97 AS VARCHAR)) END AS junction,
   CASE k % 5 WHEN 0 THEN 'bmtc_bus' WHEN 1 THEN 'truck' WHEN 2 THEN 'private_car' WHEN 3 THEN 'ksrtc_bus' ELSE NULL END AS veh_type,
   CAST(CASE WHEN k < 8 THEN 1 ELSE 0 END AS INT) AS requires_road_closure,
   CAST(hour(ts) AS INT) AS hour, CAST({_wd('ts')} AS INT) AS weekday, CAST(month(ts) AS INT) AS month,
@@ -31,6 +32,23 @@ SELECT event_id AS id, ts AS start_datetime,
 FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events) e
 """
 
+# Density clusters by definition (needs WITH RECURSIVE): core points reach each other over core neighbours, a border
+# point takes the smallest neighbouring cluster, clusters are numbered by their smallest core row.
+GEO_SQL = """
+gp AS MATERIALIZED (SELECT latitude AS lat, longitude AS lon, count(*) AS w, min(id) AS pid FROM inc
+       WHERE latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY latitude, longitude),
+ge AS MATERIALIZED (SELECT a.pid AS a, b.pid AS b, b.w FROM gp a JOIN gp b
+       ON sqrt((a.lat - b.lat) * (a.lat - b.lat) + (a.lon - b.lon) * (a.lon - b.lon)) <= CAST(0.01 AS DOUBLE)),
+gc AS MATERIALIZED (SELECT a AS pid FROM ge GROUP BY a HAVING sum(w) >= 5),
+gn AS MATERIALIZED (SELECT a, b FROM ge WHERE a IN (SELECT pid FROM gc) AND b IN (SELECT pid FROM gc)),
+gr AS (SELECT pid AS src, pid AS node FROM gc UNION SELECT gr.src, gn.b FROM gr JOIN gn ON gr.node = gn.a WHERE gr.src <= gn.b),
+gl AS MATERIALIZED (SELECT node, min(src) AS label FROM gr GROUP BY node),
+gl2 AS MATERIALIZED (SELECT node, dense_rank() OVER (ORDER BY label) - 1 AS cid FROM gl),
+gb AS MATERIALIZED (SELECT ge.a AS node, min(gl2.cid) AS cid FROM ge JOIN gl2 ON ge.b = gl2.node GROUP BY ge.a),
+geo AS MATERIALIZED (SELECT i.id, CAST(coalesce(gl2.cid, gb.cid, -1) AS INT) AS geo_cluster FROM inc i
+       LEFT JOIN gp ON i.latitude = gp.lat AND i.longitude = gp.lon
+       LEFT JOIN gl2 ON gl2.node = gp.pid LEFT JOIN gb ON gb.node = gp.pid)"""
+
 SCORED = """
 SELECT s.*, least(100, greatest(0, least(40, greatest(0, dur / 10)) + requires_road_closure * 30
     + corridor_tier * 5 + is_peak_hour * 15)) AS impact_score

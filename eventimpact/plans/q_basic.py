@@ -285,13 +285,13 @@ SELECT id,
   round(requires_road_closure * ts, 6) AS closure_temporal, corridor_tier * corridor_tier AS tier_squared,
   round(corridor_tier * ts, 6) AS tier_temporal, round(requires_road_closure * corridor_tier * ts, 6) AS closure_tier_temporal,
   requires_road_closure * pk * corridor_tier AS closure_peak_tier, round(ti * corridor_tier, 6) AS intensity_tier,
-  pk * wk AS peak_weekend
-FROM (SELECT *, CASE WHEN hour IN (7, 8, 9, 17, 18, 19) THEN 1 ELSE 0 END AS pk,
+  pk * wk AS peak_weekend, sc * corridor_tier AS script_tier
+FROM (SELECT inc.*, CASE WHEN regexp_matches(coalesce(d.text, ''), '[\u0C80-\u0CFF]') THEN 1 ELSE 0 END AS sc, CASE WHEN hour IN (7, 8, 9, 17, 18, 19) THEN 1 ELSE 0 END AS pk,
         CASE WHEN weekday >= 5 THEN 1 ELSE 0 END AS wk, {_INTENSITY_SQL} AS ti,
-        {_INTENSITY_SQL} * {_WEIGHT_SQL} AS ts FROM inc) x""")
+        {_INTENSITY_SQL} * {_WEIGHT_SQL} AS ts FROM inc LEFT JOIN documents d ON inc.id = d.doc_id) x""")
 def q_interaction_features(spark, sf):
-    """interaction products."""
-    d = X.inc(spark, sf)
+    """the twelve interaction products (the description is the document of the incident's id)."""
+    d = X.inc(spark, sf).join(read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "id", "left")
     c, t = F.col("requires_road_closure"), F.col("corridor_tier")
     pk = T.is_peak(F.col("hour"), "code")
     wk = T.is_weekend(F.col("weekday"))
@@ -301,7 +301,7 @@ def q_interaction_features(spark, sf):
                     (c * pk).alias("closure_peak"), (c * ts).alias("closure_temporal"), (t * t).alias("tier_squared"),
                     (t * ts).alias("tier_temporal"), (c * t * ts).alias("closure_tier_temporal"),
                     (c * pk * t).alias("closure_peak_tier"), (ti * t).alias("intensity_tier"),
-                    (pk * wk).alias("peak_weekend"))
+                    (pk * wk).alias("peak_weekend"), (G.has_script(F.col("text")) * t).alias("script_tier"))
 
 
 @query("risk_classes", """
@@ -441,11 +441,9 @@ def q_label_encode(spark, sf):
     """E01 + G04: alphabetical codes of five columns (NULL → 'unknown'), composite ``cause_corridor`` key."""
     d = X.inc(spark, sf).select("id", "event_cause", "veh_type", "corridor", "police_station")
     d = d.withColumn("cause_corridor", G.composite_key(F.col("event_cause"), F.col("corridor")))
-    d = E.label_encode(d, "event_cause", "event_cause_encoded")
-    d = E.label_encode(d, "veh_type", "veh_type_encoded", fill="unknown")
-    d = E.label_encode(d, "corridor", "corridor_encoded")
-    d = E.label_encode(d, "police_station", "station_encoded", fill="unknown")
-    d = E.label_encode(d, "cause_corridor", "cause_corridor_encoded")
+    d = E.label_encode(d, {"event_cause_encoded": ("event_cause", None), "veh_type_encoded": ("veh_type", "unknown"),
+                           "corridor_encoded": ("corridor", None), "station_encoded": ("police_station", "unknown"),
+                           "cause_corridor_encoded": ("cause_corridor", None)})
     return d.select("id", "event_cause_encoded", "veh_type_encoded", "corridor_encoded", "station_encoded",
                     "cause_corridor_encoded")
 
@@ -514,8 +512,9 @@ def q_stress_index_minmax(spark, sf):
     from ..operators.profiles import NON_CORRIDOR
     d = X.scored(spark, sf).filter(F.col("corridor") != NON_CORRIDOR)
     g = d.groupBy("corridor").agg(F.count(F.lit(1)).alias("total_incidents"),
-                                  F.sum("requires_road_closure").cast("long").alias("closures"),
-                                  (F.median("dur") / 60).alias("median_resolution"))
+                                  F.sum("requires_road_closure").cast("long").alias("closures"))
+    g = S.with_quantiles(g, S.exact_quantiles(d, "dur", [0.5], ["corridor"], ["median_resolution"]), ["corridor"])
+    g = g.withColumn("median_resolution", F.col("median_resolution") / 60)
     g = g.withColumn("closure_rate", F.col("closures") * 100.0 / F.col("total_incidents"))
     g = S.minmax_scale(g, ["total_incidents", "closure_rate", "median_resolution"])
     st = (0.4 * F.col("total_incidents_mm") + 0.4 * F.col("closure_rate_mm") + 0.2 * F.col("median_resolution_mm")) * 100
@@ -526,30 +525,37 @@ def q_stress_index_minmax(spark, sf):
 @query("target_formulas", f"""
 WITH x AS (SELECT id, requires_road_closure AS c, corridor_tier AS t, event_cause AS cause,
              CASE WHEN hour IN (7, 8, 9, 17, 18, 19) THEN 1 ELSE 0 END AS pk, CASE WHEN weekday >= 5 THEN 1 ELSE 0 END AS wk,
-             {_INTENSITY_SQL} AS ti, {_INTENSITY_SQL} * {_WEIGHT_SQL} AS ts FROM inc),
+             {_INTENSITY_SQL} AS ti, {_INTENSITY_SQL} * {_WEIGHT_SQL} AS ts, coalesce(length(d.text), 0) AS dl,
+             CASE WHEN regexp_matches(coalesce(d.text, ''), '[\u0C80-\u0CFF]') THEN 1 ELSE 0 END AS sc
+      FROM inc LEFT JOIN documents d ON inc.id = d.doc_id),
 y AS (SELECT *, (rank() OVER (ORDER BY ts) + (count(*) OVER (PARTITION BY ts) - 1) / 2.0) / count(*) OVER () AS tp,
-             (count(*) OVER () + 1) / 2.0 / count(*) OVER () AS dp FROM x)
+             (rank() OVER (ORDER BY dl) + (count(*) OVER (PARTITION BY dl) - 1) / 2.0) / count(*) OVER () AS dp FROM x)
 SELECT id,
   least(100.0, greatest(0.0, CAST(c * 55 + t * 12 + c * t * 10 + pk * 7 AS DOUBLE))) AS v1,
-  least(100.0, greatest(0.0, coalesce({sql_case_map('cause', D.CAUSE_SEVERITY_T2)}, 6) * 1.5 + c * 35 + t * 10 + pk * 8 - wk * 4 + ts * 15)) AS v2,
-  least(100.0, greatest(0.0, c * 50 + pow(t, 1.5) * 8 + pow(ti, 2) * 12 + c * t * 15 + pk * t * 6 + ln(1 + 0) * 2)) AS v3,
+  least(100.0, greatest(0.0, coalesce({sql_case_map('cause', D.CAUSE_SEVERITY_T2)}, 6) * 1.5 + c * 35 + t * 10 + pk * 8 - wk * 4 + sc * 3 + ts * 15)) AS v2,
+  least(100.0, greatest(0.0, c * 50 + pow(t, 1.5) * 8 + pow(ti, 2) * 12 + c * t * 15 + pk * t * 6 + ln(1 + dl) * 2)) AS v3,
   least(100.0, greatest(0.0, CASE WHEN cause IN ('protest', 'water_logging', 'tree_fall', 'accident') THEN 3
       WHEN cause IN ('public_event', 'procession', 'vip_movement', 'construction', 'road_conditions') THEN 2 ELSE 1 END * 18
-    + pow(c, 1.2) * 42 + pow(t, 1.3) * 9 + exp(ts) * 5 + pk * 6)) AS m4,
+    + pow(c, 1.2) * 42 + pow(t, 1.3) * 9 + exp(ts) * 5 + pk * 6 + sc * 2.5 + ln(1 + dl) * 1.5)) AS m4,
   least(100.0, greatest(0.0, coalesce({sql_case_map('cause', D.CAUSE_SEVERITY_M5)}, 7) * 0.8 + c * 40 * 1.1 + (t / 3 * 25) * 0.9
-    + tp * 20 + dp * 10 * 0.5 + pk * 5)) AS m5,
+    + tp * 20 + dp * 10 * 0.5 + sc * 3.5 + pk * 5)) AS m5,
   least(100.0, greatest(0.0, coalesce({sql_case_map('cause', D.CAUSE_SEVERITY_M6)}, 5) * 1.3 + c * 32 + t * 11 + c * t * 12
-    + c * t * ts * 8 + c * pk * t * 4 + ts * 14 + ti * t * 3 + pk * 7 - wk * 3)) AS m6
+    + c * t * ts * 8 + c * pk * t * 4 + ts * 14 + sc * t * 2 + ti * t * 3 + pk * 7 - wk * 3)) AS m6
 FROM y""")
 def q_target_formulas(spark, sf):
-    """The six candidate targets (noise off); incidents carry no description (length 0)."""
-    d = X.inc(spark, sf)
+    """The six candidate targets (noise off); an incident's description is the document of its id."""
+    return trial_targets(spark, sf)
+
+
+def trial_targets(spark, sf):
+    text = read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    d = X.inc(spark, sf).join(text, "id", "left")
     h, w = F.col("hour"), F.col("weekday")
     d = d.select("id", "requires_road_closure", "corridor_tier", "event_cause", T.is_peak(h, "code").alias("pk"),
                  T.is_weekend(w).alias("wk"), T.traffic_intensity(h).alias("ti"), T.temporal_score(h, w).alias("ts"),
-                 F.lit(0).alias("desc_len"))
+                 G.text_length(F.col("text")).alias("desc_len"), G.has_script(F.col("text")).alias("script"))
     d = S.percentile_rank(d, "ts", "tp")
     d = S.percentile_rank(d, "desc_len", "dp")
     f = R.target_formulas(F.col("requires_road_closure"), F.col("corridor_tier"), F.col("pk"), F.col("wk"), F.col("ti"),
-                          F.col("ts"), F.col("event_cause"), F.lit(0), F.col("desc_len"), F.col("tp"), F.col("dp"))
+                          F.col("ts"), F.col("event_cause"), F.col("script"), F.col("desc_len"), F.col("tp"), F.col("dp"))
     return d.select("id", *[v.alias(k) for k, v in f.items()])

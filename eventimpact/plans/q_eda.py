@@ -87,10 +87,7 @@ SELECT corridor, round(median(duration_minutes / 60), 6) AS median, count(durati
 FROM inc GROUP BY corridor HAVING count(duration_minutes) >= 50 ORDER BY median DESC, corridor LIMIT 15""")
 def q_corridor_resolution(spark, sf):
     """Group median, HAVING count ≥ 50, top 15."""
-    d = res(spark, sf)
-    g = d.groupBy("corridor").agg(F.median("resolution_time_hours").alias("median"),
-                                  F.count("resolution_time_hours").alias("n"))
-    return g.filter(F.col("n") >= 50).orderBy(F.desc("median"), "corridor").limit(15)
+    return A.group_median(res(spark, sf), "corridor", "resolution_time_hours", 50, 15).select("corridor", "median", "n")
 
 
 @query("resolution_by_cause", """

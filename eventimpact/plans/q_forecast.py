@@ -23,6 +23,11 @@ def _history(spark, sf):
     return X.inc(spark, sf).withColumn("resolution_time_hours", F.col("duration_minutes") / 60)
 
 
+def _scored_events(spark, sf):
+    """Score and class only: the reports below use nothing of the similar history."""
+    return FC.event_score(_events(spark, sf))
+
+
 def _forecast(spark, sf):
     return FC.event_forecast(_events(spark, sf), _history(spark, sf))
 
@@ -100,7 +105,7 @@ def q_event_forecast(spark, sf):
 
 def _plan_actions_sql():
     rows = []
-    for cls, acts in FC.PLAN_ACTIONS.items():
+    for cls, acts in D.PLAN_ACTIONS.items():
         for i, a in enumerate(acts):
             rows.append(f"('{cls}', {i}, '{a}')")
     return "(VALUES " + ", ".join(rows) + ") AS pa(cls, i, action)"
@@ -123,7 +128,32 @@ UNION ALL SELECT event_id, pre_deployment_required, CAST(seq AS INT), action FRO
 UNION ALL SELECT event_id, pre_deployment_required, CAST(seq AS INT), action FROM c""")
 def q_proactive_plan(spark, sf):
     """Class template + crowd + closure actions, one row per action."""
-    return FC.proactive_plan(_forecast(spark, sf))
+    return FC.proactive_plan(_scored_events(spark, sf))
+
+
+def _plan_timeline_sql():
+    rows = [f"('{cls}', {i}, '{t}', '{a}', " + ", ".join(str(r[k]) if k in r else "NULL" for k in D.PLAN_RESOURCES) + ")"
+            for cls, steps in D.PLAN_TIMELINE.items() for i, (t, a, r) in enumerate(steps)]
+    return "(VALUES " + ", ".join(rows) + ") AS pt(cls, seq, time, action, " + ", ".join(D.PLAN_RESOURCES) + ")"
+
+
+@query("proactive_timeline", f"""
+WITH {FORECAST_SQL}
+SELECT event_id, CAST(seq AS INT) AS seq, time, action, {", ".join(f"CAST({k} AS INT) AS {k}" for k in D.PLAN_RESOURCES)}
+FROM evc JOIN {_plan_timeline_sql()} ON evc.predicted_risk_class = pt.cls""")
+def q_proactive_timeline(spark, sf):
+    """Deployment timeline with resources, one row per step."""
+    return FC.proactive_timeline(_scored_events(spark, sf))
+
+
+@query("event_briefing_events", f"""
+WITH {FORECAST_SQL}
+SELECT event_date, event_id, corridor, predicted_impact_score, predicted_risk_class, confidence_level, similar_count
+FROM fc WHERE predicted_risk_class IN ('High', 'Critical')""")
+def q_event_briefing_events(spark, sf):
+    """The high-risk events of every daily briefing with their forecasts."""
+    return FC.briefing_events(_forecast(spark, sf)).select(
+        "event_date", "event_id", "corridor", "predicted_impact_score", "predicted_risk_class", "confidence_level", "similar_count")
 
 
 @query("upcoming_events", f"""
@@ -132,7 +162,7 @@ SELECT event_id, event_datetime, corridor, predicted_impact_score, predicted_ris
 WHERE event_datetime >= TIMESTAMP '{NOW} 00:00:00' AND event_datetime <= TIMESTAMP '{NOW} 00:00:00' + INTERVAL 7 DAY""")
 def q_upcoming_events(spark, sf):
     """Next 7 days (inclusive) with forecasts, sorted by time."""
-    f = FC.upcoming(_forecast(spark, sf), NOW, 7)
+    f = FC.upcoming(_scored_events(spark, sf), NOW, 7)
     return f.select("event_id", "event_datetime", "corridor", "predicted_impact_score", "predicted_risk_class") \
             .orderBy("event_datetime", "event_id")
 
@@ -148,7 +178,7 @@ SELECT event_date, count(*) AS event_count, array_to_string(list_sort(list_disti
 FROM fc GROUP BY event_date""")
 def q_event_briefing(spark, sf):
     """Daily briefing for every date at once."""
-    return FC.event_briefing(_forecast(spark, sf))
+    return FC.event_briefing(_scored_events(spark, sf))
 
 
 @query("high_risk_periods", f"""
@@ -159,7 +189,7 @@ FROM fc WHERE event_datetime >= TIMESTAMP '{NOW} 00:00:00' AND event_datetime <=
 GROUP BY event_date""")
 def q_high_risk_periods(spark, sf):
     """M16."""
-    return FC.high_risk_periods(_forecast(spark, sf), NOW, 30).orderBy(F.desc("max_risk_score"), "event_date")
+    return FC.high_risk_periods(_scored_events(spark, sf), NOW, 30).orderBy(F.desc("max_risk_score"), "event_date")
 
 
 @query("high_risk_period_events", f"""
@@ -169,7 +199,7 @@ WHERE event_datetime >= TIMESTAMP '{NOW} 00:00:00' AND event_datetime <= TIMESTA
   AND predicted_risk_class IN ('High', 'Critical')""")
 def q_high_risk_period_events(spark, sf):
     """The events of each high-risk period, long form."""
-    return FC.high_risk_events(_forecast(spark, sf), NOW, 30).select(
+    return FC.high_risk_events(_scored_events(spark, sf), NOW, 30).select(
         "event_date", "event_id", "corridor", "predicted_impact_score", "predicted_risk_class")
 
 
@@ -200,19 +230,25 @@ SELECT event_date, event_count, total_expected_crowd, conflict_severity_score,
        WHEN conflict_severity_score >= 1 THEN 'Medium' ELSE 'Low' END AS overall_severity FROM sc""")
 def q_event_conflicts(spark, sf):
     """Conflict report for every date with more than one event."""
-    c = FC.event_conflicts(_forecast(spark, sf))
+    c = FC.event_conflicts(_scored_events(spark, sf))
     return c.select("event_date", "event_count", "total_expected_crowd", "conflict_severity_score", "overall_severity")
 
 
 @query("event_conflict_rules", f"""
 WITH {CONFLICT_SQL}
-SELECT event_date, CAST(pos AS INT) AS pos, type, points, severity FROM fired""")
+SELECT event_date, CAST(pos AS INT) AS pos, type, points, severity,
+  CASE pos WHEN 0 THEN 'Multiple events on the same corridor will cause severe congestion'
+    WHEN 1 THEN printf('%d high-risk events on same day will strain resources', hr)
+    WHEN 2 THEN printf('%d road closures will significantly disrupt city traffic', cl)
+    WHEN 3 THEN printf('Total %s people expected across events', format('{{:,}}', total_expected_crowd))
+    ELSE 'Events occurring within 2 hours of each other' END AS description,
+  CASE pos WHEN 0 THEN 'Reschedule one event or prepare extensive diversion routes'
+    WHEN 1 THEN printf('Pre-position %d additional officers and %d barricades', hr * 15, hr * 25)
+    WHEN 2 THEN 'Coordinate closure timings to avoid overlap if possible'
+    WHEN 3 THEN 'Deploy crowd control units and setup emergency medical facilities'
+    ELSE 'Ensure rapid resource redeployment between events' END AS recommendation
+FROM fired JOIN r USING (event_date)""")
 def q_event_conflict_rules(spark, sf):
     """Fired rules as rows."""
-    c = FC.event_conflicts(_forecast(spark, sf))
-    r = c.select("event_date", F.posexplode("rules").alias("__i", "r"))
-    order = F.when(F.col("r.type") == "Same Corridor Conflict", 0).when(F.col("r.type") == "Multiple High-Risk Events", 1) \
-        .when(F.col("r.type") == "Multiple Road Closures", 2).when(F.col("r.type") == "Excessive Crowd Accumulation", 3) \
-        .otherwise(4)
-    return r.select("event_date", order.alias("pos"), F.col("r.type").alias("type"), F.col("r.points").alias("points"),
-                    F.col("r.severity").alias("severity"))
+    c = FC.event_conflicts(_scored_events(spark, sf))
+    return c.select("event_date", F.explode("rules").alias("r")).select("event_date", "r.*")

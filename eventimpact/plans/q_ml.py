@@ -8,9 +8,11 @@ from ..operators import clustering as CL
 from ..operators import evidence as EV
 from ..operators import ml as ML
 from ..operators import scoring as SC
+from ..session import written
 from ..sources import fixtures as X
 from ..sources.tables import read_table
 from .q_scoring import BASELINE_SQL, BLEND_SQL, CLASS, EVIDENCE_SQL
+from .oracle import GEO_SQL
 from .registry import query
 
 EPS_SQL = "CAST(0.01 AS DOUBLE)"
@@ -30,9 +32,9 @@ def q_neighbour_counts(spark, sf):
     return CL.neighbour_counts(d).select("id", "neighbour_count", "is_core")
 
 
-@query("geo_clusters")
+@query("geo_clusters", f"WITH RECURSIVE {GEO_SQL} SELECT id, geo_cluster FROM geo")
 def q_geo_clusters(spark, sf):
-    """Density clusters (rows-only here; labels are checked against a brute-force DBSCAN in tests)."""
+    """Density clusters."""
     return CL.dbscan(X.inc(spark, sf).select("id", "latitude", "longitude"))
 
 
@@ -53,73 +55,70 @@ fv AS (SELECT i.*,
   CAST(CASE WHEN k % 3 = 0 THEN 'yes' ELSE 'no' END = 'yes' AS INT) AS authenticated,
   coalesce(CASE WHEN police_station IS NULL THEN NULL
        ELSE row_number() OVER (PARTITION BY police_station ORDER BY start_datetime, id) - 1 END, 0) AS station_event_count,
-  CAST(0 AS BIGINT) AS junction_event_count,
+  coalesce(CASE WHEN junction IS NULL THEN NULL
+       ELSE row_number() OVER (PARTITION BY junction ORDER BY start_datetime, id) - 1 END, 0) AS junction_event_count,
   row_number() OVER (PARTITION BY corridor ORDER BY start_datetime, id) - 1 AS corridor_event_count
-FROM inc i CROSS JOIN (SELECT min(latitude) la0, max(latitude) la1, min(longitude) lo0, max(longitude) lo1 FROM inc) m)"""
-FV_COLS = [c for c in ML.SERVED_FEATURES if c != "geo_cluster"]
+FROM (SELECT inc.*, geo.geo_cluster FROM inc JOIN geo USING (id)) i CROSS JOIN (SELECT min(latitude) la0, max(latitude) la1, min(longitude) lo0, max(longitude) lo1 FROM inc) m)"""
 
 
-@query("feature_vector", f"WITH {FV_SQL} SELECT id, " + ", ".join(FV_COLS) + " FROM fv")
+@query("feature_vector", f"WITH RECURSIVE {GEO_SQL}, {FV_SQL} SELECT id, " + ", ".join(ML.SERVED_FEATURES) + " FROM fv")
 def q_feature_vector(spark, sf):
-    """The served feature columns (the DBSCAN cluster id comes from ``geo_clusters``)."""
-    return ML.feature_table(X.inc(spark, sf)).select("id", *FV_COLS)
+    """The 26 served feature columns."""
+    return _features(X.inc(spark, sf)).select("id", *ML.SERVED_FEATURES)
 
 
-def _train_frame(spark, sf, with_cluster: bool = False):
-    s = X.scored(spark, sf)
-    geo = CL.dbscan(s.select("id", "latitude", "longitude")) if with_cluster else None
-    return ML.split(ML.feature_table(s, geo))
+def _features(d):
+    return ML.feature_table(d.withColumn("authenticated", F.when(F.col("k") % 3 == 0, "yes").otherwise("no")),
+                            CL.dbscan(d.select("id", "latitude", "longitude")))
 
 
-_FEATS = [c for c in ML.SERVED_FEATURES if c != "geo_cluster"]
-_MODELS: dict = {}
+def _train_frame(spark, sf):
+    """The assembled feature table of the scored incidents, evaluated once and written (S05): fits, folds and metrics
+    read the columns back instead of running the feature lineage again."""
+    d = ML.split(_features(X.scored(spark, sf)))
+    keep = ["id", "event_cause", "impact_score", "split", "is_val", *ML.SERVED_FEATURES]
+    return written(d.select(*keep), "features")
 
 
-def _impact_model(spark, sf):
-    """The v2-label GBT of this session and input, fitted once and shared by the model queries (L01, M02, L07,
-    L08) — like a model registry entry; keyed by application and input folder so it never goes stale."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _MODELS:
-        d = _train_frame(spark, sf)      # GBT persists its own binned copy of the input; no extra cache
-        _MODELS[key] = ML.gbt_pipeline(_FEATS, "impact_score").fit(d.filter(F.col("split") == "train"))
-    return _MODELS[key]
+_FEATS = ML.SERVED_FEATURES
+
+
+def _impact_model(d):
+    return ML.gbt_pipeline(_FEATS, "impact_score").fit(d.filter(F.col("split") == "train"))
 
 
 @query("gbt_impact_model")
 def q_gbt_impact_model(spark, sf):
     """L01 + M02 + L03: GBT on the served features (early stopping on a validation slice); train/test metrics."""
     d = _train_frame(spark, sf)
-    pred = ML.score(_impact_model(spark, sf), d, "impact_score")
-    return ML.metrics(pred, "impact_score")
+    return ML.metrics(ML.score(_impact_model(d), d, "impact_score"), "impact_score")
 
 
 @query("model_scores")
 def q_model_scores(spark, sf):
     """Clipped model score, class and raw output for every test incident."""
     d = _train_frame(spark, sf)
-    return ML.score(_impact_model(spark, sf), d.filter(F.col("split") == "test"), "impact_score")
+    return ML.score(_impact_model(d), d.filter(F.col("split") == "test"), "impact_score")
 
 
 @query("gbt_grid_search")
 def q_gbt_grid_search(spark, sf):
-    """Depth × rate grid (TrainValidationSplit, parallel fits)."""
-    d = _train_frame(spark, sf).filter(F.col("split") == "train")   # TrainValidationSplit caches its splits
-    return ML.grid_search(d, _FEATS, "impact_score")
+    """The 12-point depth × rate grid on the hash split; the best point by validation R² is marked."""
+    return ML.grid_search(_train_frame(spark, sf), _FEATS, "impact_score")
 
 
 @query("feature_importance")
 def q_feature_importance(spark, sf):
     """Top-15 feature importances of the fitted GBT."""
-    return ML.feature_importance(_impact_model(spark, sf), _FEATS)
+    return ML.feature_importance(_impact_model(_train_frame(spark, sf)), _FEATS)
 
 
 @query("model_comparison")
 def q_model_comparison(spark, sf):
     """Test metrics of the GBT vs the rule baseline (M03) for the v2 label; best first."""
     d = _train_frame(spark, sf)
-    model = _impact_model(spark, sf)
     test = d.filter(F.col("split") == "test")
-    gbt = ML.metrics(ML.score(model, test, "impact_score"), "impact_score").withColumn("model", F.lit("gbt"))
+    gbt = ML.metrics(ML.score(_impact_model(d), test, "impact_score"), "impact_score").withColumn("model", F.lit("gbt"))
     base, _ = SC.operational_baseline(F.col("event_cause"), F.col("corridor_tier"), F.col("requires_road_closure"),
                                       F.col("hour"))
     rule = ML.metrics(test.withColumn("impact_score_pred", base.cast("double")), "impact_score").withColumn(
@@ -131,10 +130,20 @@ def q_model_comparison(spark, sf):
             .withColumn("improvement_r2", F.max("r2").over(w) - F.min("r2").over(w)).orderBy(F.desc("r2")))
 
 
+@query("target_comparison")
+def q_target_comparison(spark, sf):
+    """The same model fitted on each of the six trial targets; test R², MAE and RMSE, best first."""
+    from .q_basic import trial_targets
+    d = _train_frame(spark, sf)
+    targets = trial_targets(spark, sf)
+    d = written(d.join(targets, "id"), "targets")
+    return ML.compare_targets(d, _FEATS, [c for c in targets.columns if c != "id"])
+
+
 @query("cross_validation")
 def q_cross_validation(spark, sf):
     """5-fold CV with an md5 fold column."""
-    return ML.cross_validate(_train_frame(spark, sf), _FEATS, "impact_score")   # CrossValidator caches each fold
+    return ML.cross_validate(_train_frame(spark, sf), _FEATS, "impact_score")
 
 
 @query("embedding_pca")
@@ -166,8 +175,8 @@ base AS (SELECT id AS request_id, event_cause AS cause, corridor, corridor_tier
 req AS (
   SELECT *, 'base' AS variant FROM base
   UNION ALL SELECT request_id, cause, corridor, tier, 1 - closure, hour, weekday, 'closure_toggle' FROM base
-  UNION ALL SELECT request_id, cause, 'Non-corridor', 0, closure, hour, weekday, 'non_corridor' FROM base WHERE tier <> 0
-  UNION ALL SELECT request_id, cause, 'C0', 1, closure, hour, weekday, 'tier1_corridor' FROM base WHERE tier <> 1
+  UNION ALL SELECT request_id, cause, 'Non-corridor', 0, closure, hour, weekday, 'non_corridor' FROM base WHERE corridor <> 'Non-corridor'
+  UNION ALL SELECT request_id, cause, 'C0', 1, closure, hour, weekday, 'tier1_corridor' FROM base WHERE corridor <> 'C0'
   UNION ALL SELECT request_id, cause, corridor, tier, closure, 9, weekday, 'hour_9' FROM base WHERE hour <> 9
   UNION ALL SELECT request_id, cause, corridor, tier, closure, 2, weekday, 'hour_2' FROM base WHERE hour <> 2
   UNION ALL SELECT request_id, cause, corridor, tier, closure, hour, CASE WHEN weekday < 5 THEN 5 ELSE 2 END, 'weekday_toggle' FROM base)"""
@@ -176,13 +185,14 @@ req AS (
 @query("what_if", f"""
 WITH {_VARIANT_SQL}, {EVIDENCE_SQL},
 s AS (SELECT *, CAST({BASELINE_SQL} AS DOUBLE) AS bs FROM evf),
-b AS (SELECT *, {BLEND_SQL} AS final_score FROM s)
-SELECT v.request_id, v.variant, v.final_score AS variant_score, {CLASS.format(s='v.final_score')} AS variant_class,
-  v.final_score - o.final_score AS delta
-FROM b v JOIN b o ON v.request_id = o.request_id AND o.variant = 'base' WHERE v.variant <> 'base'""")
+b AS (SELECT request_id, variant, {BLEND_SQL} AS final_score FROM s),
+o AS (SELECT *, max(CASE WHEN variant = 'base' THEN final_score END) OVER (PARTITION BY request_id) AS base_score FROM b)
+SELECT request_id, variant, final_score AS variant_score, {CLASS.format(s='final_score')} AS variant_class,
+  final_score - base_score AS delta
+FROM o WHERE variant <> 'base'""")
 def q_what_if(spark, sf):
     """Up to six counterfactual variants per incident, no-ops skipped, rescored with M04, delta vs base."""
     from .q_scoring import requests
     r = requests(spark, sf).select("request_id", "cause", "corridor", "tier", "closure", "hour", "weekday")
-    out = SC.what_if(r, X.scored(spark, sf))
+    out = SC.what_if(r, X.scored(spark, sf), "C0")
     return out

@@ -96,6 +96,13 @@ _LADDER_REQ_SQL = """req AS (SELECT c.cause, CAST(t.tier AS INT) AS tier, CAST(k
   CROSS JOIN range(5) t(tier) CROSS JOIN range(2) k(closure))"""
 
 
+def _ladder_requests(spark, sf):
+    causes = (X.inc(spark, sf).select(F.col("event_cause").alias("cause"))
+              .union(X.plan(spark, sf).select(F.col("event_type").alias("cause"))).distinct())
+    return (causes.select("cause", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("tier"))
+            .select("cause", "tier", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("closure")))
+
+
 @query("evidence_lookup", f"""
 WITH {_LADDER_REQ_SQL}, {EVIDENCE_SQL}
 SELECT cause, tier, closure, rung, evidence_count, round(critical_rate, 6) AS critical_rate,
@@ -103,12 +110,7 @@ SELECT cause, tier, closure, rung, evidence_count, round(critical_rate, 6) AS cr
 def q_evidence_lookup(spark, sf):
     """Fallback ladder for every (cause × tier 0–4 × closure) request; causes come from the
     incidents and the calendar (calendar types have no history → zeros); tier 4 never exists → rung 3."""
-    inc = X.inc(spark, sf)
-    causes = (inc.select(F.col("event_cause").alias("cause"))
-              .union(X.plan(spark, sf).select(F.col("event_type").alias("cause"))).distinct())
-    req = (causes.select("cause", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("tier"))
-           .select("cause", "tier", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("closure")))
-    out = EV.evidence_lookup(req, X.scored(spark, sf))
+    out = EV.evidence_lookup(_ladder_requests(spark, sf), X.scored(spark, sf))
     return out.select("cause", "tier", "closure", "rung", "evidence_count", "critical_rate", "average_score", "n_low",
                       "n_medium", "n_high", "n_critical", "matching_count")
 
@@ -166,20 +168,23 @@ def _res_sql(src: str, risk: str) -> str:
                           src=src, tpl=sql_values(rows, cols), tpl2=sql_values(rows, cols).replace("AS t(", "AS o("))
 
 
-_VEH_INTERNAL = {"BMTC Bus": "bmtc_bus", "KSRTC Bus": "ksrtc_bus", "Heavy Vehicle": "heavy_vehicle", "Truck": "truck",
-                 "Private Bus": "private_bus"}
 RES_SELECT = f"""greatest(0, CAST(round_even(t_police * mult, 0) AS INT)) AS police_units,
   greatest(0, CAST(round_even(t_tow * mult, 0) AS INT)) AS tow_trucks,
   greatest(0, CAST(round_even(t_barricades * mult, 0) AS INT)) AS barricades, t_crew AS special_team,
   (t_div OR (risk_class IN ('Critical', 'High') AND tier >= 1)) AS diversion_required,
-  coalesce({sql_case_map(f"coalesce({sql_case_map('vehicle_type', _VEH_INTERNAL)}, vehicle_type)", D.VEH_NOTES)}, '') AS vehicle_note,
-  t_rmed AS resolution_median, t_rrange AS resolution_range, {sql_case_map("risk_class || '|' || CAST(tier AS VARCHAR)", SC.MULTIPLIER_TEXT)} AS total_multiplier"""
+  coalesce({sql_case_map(f"coalesce({sql_case_map('vehicle_type', D.VEH_DISPLAY_MAP)}, vehicle_type)", D.VEH_NOTES)}, '') AS vehicle_note,
+  t_rmed AS resolution_median, t_rrange AS resolution_range,
+  risk_class || ' (' || coalesce({sql_case_map("risk_class", {k: f"{v}x" for k, v in D.RISK_MULTIPLIER.items()})}, '1.0x') || ')' AS risk_multiplier,
+  CASE WHEN tier > 0 THEN 'Tier ' || CAST(tier AS VARCHAR) || ' (' || coalesce({sql_case_map("tier", {k: f"{v}x" for k, v in D.TIER_MULTIPLIER.items()})}, '1.0x') || ')'
+    ELSE 'Non-corridor (1.0x)' END AS tier_multiplier, {sql_case_map("risk_class || '|' || CAST(tier AS VARCHAR)", SC.MULTIPLIER_TEXT)} AS total_multiplier"""
 
 
 def _risk_requests(spark, sf):
     """Requests with the class of their incident's v2 label."""
-    s = X.scored(spark, sf).select(F.col("id").alias("request_id"), risk_class(F.col("impact_score")).alias("risk_class"))
-    return requests(spark, sf).join(s, "request_id")
+    return X.scored(spark, sf).select(
+        F.col("id").alias("request_id"), F.col("event_cause").alias("cause"), "corridor", F.col("corridor_tier").alias("tier"),
+        F.col("requires_road_closure").alias("closure"), F.col("veh_type").alias("vehicle_type"), "hour", "weekday",
+        "latitude", "longitude", risk_class(F.col("impact_score")).alias("risk_class"))
 
 
 RISK_REQ_SQL = f"""rq AS (SELECT r.*, {CLASS.format(s='s.impact_score')} AS risk_class FROM req r JOIN scored s ON r.request_id = s.id)"""
@@ -205,27 +210,62 @@ r AS (SELECT *, rem1 - coalesce(p2, 0) AS rem2, cause IN ('tree_fall', 'water_lo
 u AS (
   SELECT request_id, total, tier, risk_class, 1 AS priority, 'Incident Site - Entry Block' AS location_type, latitude,
     longitude, p1 AS count,
-    CASE WHEN risk_class IN ('Critical', 'High') THEN 'full_closure' ELSE 'partial_closure' END AS type FROM r
+    CASE WHEN risk_class IN ('Critical', 'High') THEN 'full_closure' ELSE 'partial_closure' END AS type,
+    'Block vehicle entry to incident site' AS reason, 'T-0 (immediate)' AS deployment_time, CAST(NULL AS INT) AS metres FROM r
   UNION ALL
   SELECT request_id, total, tier, risk_class, 2, 'Upstream Junction - Diversion', latitude + 0.0045, longitude, p2,
-    'diversion_signage' FROM r WHERE p2 IS NOT NULL
+    'diversion_signage', 'Redirect traffic to alternate route 500m before incident', 'T-0 to T+5min', 500 FROM r WHERE p2 IS NOT NULL
   UNION ALL
   SELECT request_id, total, tier, risk_class, 3, CASE WHEN ped THEN 'Pedestrian Safety Zone' ELSE 'Downstream Exit Block' END,
     CASE WHEN ped THEN latitude ELSE latitude - 0.0027 END, CASE WHEN ped THEN longitude + 0.0018 ELSE longitude END, rem2,
-    CASE WHEN ped THEN 'pedestrian_safety' ELSE 'exit_control' END FROM r WHERE rem2 >= 2)
-SELECT request_id, priority, location_type, latitude, longitude, CAST(count AS INT) AS count, type,
-  total * 2 AS setup_time_min,
-  CASE WHEN risk_class = 'Critical' THEN 'Immediate full closure with police escort for barricade deployment'
+    CASE WHEN ped THEN 'pedestrian_safety' ELSE 'exit_control' END,
+    CASE WHEN ped THEN 'Protect pedestrian movement near incident' ELSE 'Prevent vehicles from exiting blocked segment' END,
+    'T+5min to T+10min', CASE WHEN ped THEN 200 ELSE 300 END FROM r WHERE rem2 >= 2
+  UNION ALL
+  SELECT request_id, total, tier, risk_class, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM n WHERE total = 0)
+SELECT request_id, priority, location_type, latitude, longitude, CAST(count AS INT) AS count, type, reason, deployment_time,
+  metres AS distance_from_incident_m, CASE WHEN total > 0 THEN true END AS gps_verified, total * 2 AS setup_time_min,
+  CASE WHEN total = 0 THEN 'No barricades required'
+       WHEN risk_class = 'Critical' THEN 'Immediate full closure with police escort for barricade deployment'
        WHEN risk_class = 'High' THEN 'Phased deployment: Site blocking first, then diversion points'
        ELSE 'Standard deployment: Sequential placement based on priority' END AS deployment_strategy,
-  CASE WHEN tier >= 1 THEN 800 ELSE 300 END AS total_coverage_area_m FROM u""")
+  CASE WHEN total > 0 THEN CASE WHEN tier >= 1 THEN 800 ELSE 300 END END AS total_coverage_area_m FROM u""")
 def q_barricade_placement(spark, sf):
     """Placements as rows, at each incident's coordinates."""
     r = SC.resource_scaling(_risk_requests(spark, sf))
     out = SC.barricade_placement(r.select("request_id", "cause", "risk_class", "tier", "latitude", "longitude",
                                           "barricades"), lat="latitude", lon="longitude")
-    return out.select("request_id", "priority", "location_type", "latitude", "longitude", "count", "type",
-                      "setup_time_min", "deployment_strategy", "total_coverage_area_m")
+    return out.select("request_id", "priority", "location_type", "latitude", "longitude", "count", "type", "reason", "deployment_time",
+                      "distance_from_incident_m", "gps_verified", "setup_time_min", "deployment_strategy", "total_coverage_area_m")
+
+
+_TIMELINE_ROWS = [(k, i, ph, ", ".join(a)) for k, v in D.RESOURCE_TEMPLATES.items() for i, (ph, a) in enumerate(v["timeline"])]
+
+
+@query("resource_timeline", f"""
+WITH {REQ_SQL}, tl AS (SELECT * FROM {sql_values(_TIMELINE_ROWS, ["tcause", "seq", "phase", "actions"])}),
+k AS (SELECT request_id, CASE WHEN cause IN (SELECT tcause FROM tl) THEN cause ELSE 'others' END AS tcause FROM req)
+SELECT request_id, CAST(seq AS INT) AS seq, phase, actions FROM k JOIN tl USING (tcause)""")
+def q_resource_timeline(spark, sf):
+    """Response timeline of every request."""
+    return SC.resource_timeline(requests(spark, sf).select("request_id", "cause")).select("request_id", "seq", "phase", "actions")
+
+
+@query("evidence_examples", f"""
+WITH {_LADDER_REQ_SQL}, {EVIDENCE_SQL},
+hx AS (SELECT id, event_cause, corridor_tier, requires_road_closure, corridor, hour, impact_score, md5(CAST(id AS VARCHAR)) AS h FROM scored),
+m AS (SELECT r.cause, r.tier, r.closure, r.rung, hx.*, row_number() OVER (PARTITION BY r.cause, r.tier, r.closure ORDER BY h) AS pos
+      FROM evf r JOIN hx ON r.cause = hx.event_cause AND (r.rung = 3 OR r.tier = hx.corridor_tier)
+        AND (r.rung > 1 OR r.closure = hx.requires_road_closure))
+SELECT cause, tier, closure, rung, CAST(pos AS INT) AS pos, id AS example_id, corridor, hour, impact_score,
+  {CLASS.format(s='impact_score')} AS impact_class, requires_road_closure AS example_closure FROM m WHERE pos <= 5""")
+def q_evidence_examples(spark, sf):
+    """Up to five examples for every (cause × tier × closure) request, on the rung its evidence uses."""
+    history = X.scored(spark, sf)
+    ev = EV.evidence_lookup(_ladder_requests(spark, sf), history).select("cause", "tier", "closure", "rung")
+    out = EV.evidence_examples(ev, history)
+    return out.select("cause", "tier", "closure", "rung", "pos", "example_id", "corridor", "hour", "impact_score",
+                      risk_class(F.col("impact_score")).alias("impact_class"), "example_closure")
 
 
 @query("transit_chain", f"""
@@ -282,8 +322,7 @@ def q_prediction_breakdown(spark, sf):
     """Additive contributions in long form (``pos`` keeps the reference's item order)."""
     r = requests(spark, sf)
     st = P.stress_index(X.scored(spark, sf)).select("corridor", "stress_index")
-    # the stress table has one row per corridor (dimension-bounded) → broadcast
-    r = r.join(F.broadcast(st), "corridor", "left").withColumn(
+    r = r.join(st, "corridor", "left").withColumn(
         "tier", F.when(F.col("stress_index").isNull(), 0).otherwise(F.col("tier")))
     out = SC.prediction_breakdown(r.select("request_id", "cause", "tier", "closure", "hour", "weekday", "stress_index"))
     return out.select("request_id", "pos", "feature", "value", "contribution", "impact", "total_estimated_score")
@@ -311,20 +350,56 @@ WITH {REQ_SQL}, {EVIDENCE_SQL}, {_STRESS_CTE},
 s AS (SELECT *, CAST({BASELINE_SQL} AS DOUBLE) AS bs FROM evf),
 b AS (SELECT *, {BLEND_SQL} AS final_score FROM s),
 c AS (SELECT *, {CLASS.format(s='final_score')} AS risk_class FROM b),
-{_res_sql('c', 'risk_class')[:-1]})
+{_res_sql('c', 'risk_class')[:-1]}),
+cp AS (SELECT corridor, count(*) AS corridor_incidents, avg(requires_road_closure) * 100 AS corridor_closure_rate,
+         CAST(sum(CASE WHEN impact_score >= 75 THEN 1 ELSE 0 END) AS BIGINT) AS corridor_critical_count
+       FROM scored WHERE corridor <> 'Non-corridor' GROUP BY corridor),
+hc AS (SELECT count(*) AS hc FROM inc WHERE event_cause = 'vehicle_breakdown'
+        AND replace(lower(coalesce(veh_type, '')), ' ', '_') IN ('bmtc_bus', 'ksrtc_bus') AND corridor_tier = 1),
+z AS (SELECT res.*, st.stress_index, cp.corridor_incidents, cp.corridor_closure_rate, cp.corridor_critical_count, hc.hc,
+        round(average_score + 1e-9 * sign(average_score), 1) AS avg1,
+        cause = 'vehicle_breakdown' AND replace(lower(coalesce(vehicle_type, '')), ' ', '_') IN ('bmtc_bus', 'ksrtc_bus') AND tier = 1 AS transit
+      FROM res LEFT JOIN st ON res.corridor = st.corridor AND res.corridor <> 'Non-corridor'
+      LEFT JOIN cp ON res.corridor = cp.corridor CROSS JOIN hc)
 SELECT request_id, round(final_score, 6) AS final_score, risk_class, evidence_count, matching_count,
   CASE WHEN matching_count >= 30 THEN 'High' WHEN matching_count >= 10 THEN 'Medium' ELSE 'Low' END AS confidence,
-  CAST(bs AS INT) AS baseline_score, {RES_SELECT}, st.stress_index AS corridor_stress
-FROM res LEFT JOIN st ON res.corridor = st.corridor AND res.corridor <> 'Non-corridor'""")
+  rung, critical_rate, average_score, CAST(n_low AS BIGINT) AS n_low, CAST(n_medium AS BIGINT) AS n_medium,
+  CAST(n_high AS BIGINT) AS n_high, CAST(n_critical AS BIGINT) AS n_critical,
+  CAST(bs AS INT) AS baseline_score, bs AS raw_model_output,
+  concat_ws('; ', CASE WHEN closure = 1 THEN 'Road Closure:+35' END,
+    CASE WHEN tier IN (1, 2, 3) THEN printf('Tier %d Corridor:+%d', tier, CASE tier WHEN 1 THEN 30 WHEN 2 THEN 20 ELSE 10 END) END,
+    printf('Cause Severity (%s):+%d', cause, {SEV_SQL}),
+    CASE WHEN hour BETWEEN 7 AND 10 OR hour BETWEEN 16 AND 20 THEN 'Rush Hour:+5' END,
+    CASE WHEN hour >= 22 OR hour <= 5 THEN 'Night Hours:-5' END) AS components,
+  CASE WHEN evidence_count = 0 THEN printf('Limited historical data for %s incidents in this context.', cause)
+  ELSE printf('The AI learned that incidents with these characteristics historically evolve into %s-severity events. '
+              || 'Based on %d similar historical incidents with an average impact of %s, the predicted score of %s aligns with observed patterns.',
+              CASE WHEN avg1 >= 50 THEN 'high' ELSE 'moderate' END, evidence_count, CAST(avg1 AS VARCHAR),
+              CAST(CAST(round_even(final_score, 0) AS BIGINT) AS VARCHAR)) END AS narrative,
+  {RES_SELECT}, stress_index AS corridor_stress, corridor_incidents, corridor_closure_rate, corridor_critical_count,
+  transit AS transit_triggered, CASE WHEN transit THEN hc END AS transit_cases, CASE WHEN transit THEN hc * 60 END AS transit_passengers
+FROM z""")
 def q_predict_enriched(spark, sf):
-    """Full incident analysis for every request in one plan (J01/J02/J03/J04/J05 + M03/M04/M05/M09)."""
-    s = scored_requests(spark, sf)
-    s = s.withColumn("confidence", EV.confidence_level())
-    r = SC.resource_scaling(s)
-    st = P.stress_index(X.scored(spark, sf)).select("corridor", F.col("stress_index").alias("corridor_stress"))
-    st = F.broadcast(st)   # one row per corridor
-    r = r.join(st, (r.corridor == st.corridor) & (r.corridor != P.NON_CORRIDOR), "left")
-    return r.select("request_id", "final_score", "risk_class", "evidence_count", "matching_count", "confidence",
-                    F.col("baseline_score").cast("int").alias("baseline_score"), "police_units", "tow_trucks",
-                    "barricades", "special_team", "diversion_required", "vehicle_note", "resolution_median",
-                    "resolution_range", "total_multiplier", "corridor_stress")
+    """Full incident analysis for every request in one plan (J01–J05, M02–M06, M09, A29, G06): score and class,
+    evidence with rate and distribution, baseline components, narrative, resources with multiplier texts, corridor profile
+    and transit flag. Its lists are tables by request: ``resource_timeline``, ``barricade_placement``, ``evidence_examples``.
+    The frozen model is absent, so the raw score is the baseline."""
+    r = scored_requests(spark, sf).withColumn("confidence", EV.confidence_level())
+    r = SC.resource_scaling(r)
+    history = X.scored(spark, sf)
+    profile = P.stress_index(history).select("corridor", F.col("stress_index").alias("corridor_stress"),
+                                             F.col("frequency").alias("corridor_incidents"), F.col("closure_rate").alias("corridor_closure_rate"))
+    crit = history.filter(F.col("corridor") != P.NON_CORRIDOR).groupBy("corridor").agg(
+        F.sum(F.when(F.col("impact_score") >= 75, 1).otherwise(0)).cast("long").alias("corridor_critical_count"))
+    r = r.join(profile.join(crit, "corridor"), "corridor", "left")
+    r = EV.transit_chain(r, X.inc(spark, sf))
+    avg1 = round_half(F.col("average_score"), 1)
+    text = SC.impact_narrative(F.col("cause"), F.col("evidence_count"), avg1, F.col("final_score"))
+    return r.select("request_id", "final_score", "risk_class", "evidence_count", "matching_count", "confidence", "rung", "critical_rate",
+                    "average_score", "n_low", "n_medium", "n_high", "n_critical",
+                    F.col("baseline_score").cast("int").alias("baseline_score"), F.col("baseline_score").alias("raw_model_output"),
+                    "components", text.alias("narrative"), "police_units", "tow_trucks", "barricades", "special_team",
+                    "diversion_required", "vehicle_note", "resolution_median", "resolution_range", "risk_multiplier", "tier_multiplier",
+                    "total_multiplier", "corridor_stress", "corridor_incidents", "corridor_closure_rate", "corridor_critical_count",
+                    F.col("triggered").alias("transit_triggered"), F.col("historical_cases").alias("transit_cases"),
+                    F.col("estimated_passenger_disruption").alias("transit_passengers"))

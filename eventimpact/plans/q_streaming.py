@@ -40,7 +40,11 @@ def q_system_pulse(spark, sf):
 
 @query("traffic_conditions", f"""
 WITH {SLIDE_SQL},
-g AS (SELECT window_start, window_end, corridor, count(*) AS active_incidents FROM swe GROUP BY window_start, window_end, corridor),
+cor AS (SELECT 'Non-corridor' AS corridor UNION ALL SELECT concat('C', CAST(i AS VARCHAR)) FROM range(0, 7) t(i)),
+k AS (SELECT window_start, window_end, corridor, count(*) AS n FROM swe GROUP BY window_start, window_end, corridor),
+g AS (SELECT w.window_start, w.window_end, cor.corridor, coalesce(k.n, 0) AS active_incidents
+      FROM (SELECT DISTINCT window_start, window_end FROM swe) w CROSS JOIN cor
+      LEFT JOIN k ON w.window_start = k.window_start AND cor.corridor = k.corridor),
 b AS (SELECT *, CASE WHEN hour(window_end) IN (8, 9, 17, 18, 19) AND (isodow(window_end) - 1) NOT IN (5, 6) THEN 70
                      WHEN hour(window_end) IN (8, 9, 17, 18, 19) THEN 50 WHEN (isodow(window_end) - 1) IN (5, 6) THEN 20 ELSE 30 END AS base FROM g),
 c AS (SELECT *, CAST(CASE WHEN active_incidents > 0 THEN least(100, base + active_incidents * 15) ELSE base END AS INT) AS congestion_level FROM b)
@@ -48,8 +52,16 @@ SELECT window_start, window_end, corridor, active_incidents, congestion_level,
   CASE WHEN congestion_level >= 70 THEN 'Heavy' WHEN congestion_level >= 40 THEN 'Moderate' ELSE 'Light' END AS status,
   greatest(10.0, 60 - 0.5 * congestion_level) AS avg_speed_kmph FROM c""")
 def q_traffic_conditions(spark, sf):
-    """R03 / F07."""
-    return L.traffic_conditions(X.inc(spark, sf))
+    """Every corridor of the fixture dimension in every window, quiet ones included."""
+    return L.traffic_conditions(X.inc(spark, sf), X.CORRIDORS)
+
+
+@query("pulse_breakdown", f"""
+WITH {SLIDE_SQL}
+SELECT window_start, window_end, event_cause, count(*) AS n FROM swe GROUP BY window_start, window_end, event_cause""")
+def q_pulse_breakdown(spark, sf):
+    """Active incidents by cause per window."""
+    return L.pulse_breakdown(X.inc(spark, sf))
 
 
 @query("tumbling_hourly", """

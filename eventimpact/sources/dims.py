@@ -88,6 +88,90 @@ BASELINE_TIER_POINTS = {1: 30, 2: 20, 3: 10, 0: 0}
 RISK_MULTIPLIER = {"Critical": 2.0, "High": 1.5, "Medium": 1.0, "Low": 0.7}
 TIER_MULTIPLIER = {0: 1.0, 1: 1.5, 2: 1.25, 3: 1.1}
 
+# Resource template per cause (fallback "others"): response timeline, resolution (median, range), base resources.
+RESOURCE_TEMPLATES = {
+    "tree_fall": {
+        "timeline": [("0-15 min", ["Police Units", "Area Barricading"]), ("15-30 min", ["BBMP Tree Crew"]),
+                     ("30-60 min", ["Barricades", "Traffic Diversion"])],
+        "resolution": ("1.2h", "0.4h–4.0h"),
+        "resources": {"police": 2, "barricades": 4, "crew": "BBMP Tree Crew", "tow": 0, "diversion": True}},
+    "vehicle_breakdown": {
+        "timeline": [("0-15 min", ["Police Unit"]), ("15-30 min", ["Tow Truck"])],
+        "resolution": ("0.5h", "0.5h–1.0h"),
+        "resources": {"police": 1, "barricades": 0, "crew": "None", "tow": 1, "diversion": False}},
+    "accident": {
+        "timeline": [("0-15 min", ["Police Units (2)", "Ambulance"]), ("15-30 min", ["Tow Truck", "Barricades"]),
+                     ("30-60 min", ["Investigation Team", "Traffic Diversion"])],
+        "resolution": ("2.0h", "1.0h–3.0h"),
+        "resources": {"police": 2, "barricades": 2, "crew": "Accident Investigation", "tow": 1, "diversion": True}},
+    "water_logging": {
+        "timeline": [("0-15 min", ["Police Unit", "Barricading"]), ("15-60 min", ["BWSSB Drainage Team"]),
+                     ("Ongoing", ["Traffic Diversion"])],
+        "resolution": ("3.0h", "2.0h–8.0h"),
+        "resources": {"police": 1, "barricades": 2, "crew": "BWSSB Drainage Team", "tow": 0, "diversion": True}},
+    "construction": {
+        "timeline": [("0-15 min", ["Police Unit", "Barricading"]), ("Ongoing", ["BBMP Oversight", "Traffic Diversion"])],
+        "resolution": ("12.0h", "4.0h–48.0h"),
+        "resources": {"police": 1, "barricades": 5, "crew": "BBMP Oversight", "tow": 0, "diversion": True}},
+    "pot_holes": {
+        "timeline": [("0-15 min", ["Barricading"]), ("15-60 min", ["BBMP Road Crew"])],
+        "resolution": ("2.0h", "1.0h–4.0h"),
+        "resources": {"police": 0, "barricades": 2, "crew": "BBMP Road Crew", "tow": 0, "diversion": False}},
+    "public_event": {
+        "timeline": [("Pre-event", ["Police Units (4)", "Barricading (8)"]), ("During", ["Traffic Diversion", "Crowd Control"])],
+        "resolution": ("6.0h", "4.0h–12.0h"),
+        "resources": {"police": 4, "barricades": 8, "crew": "Event Management", "tow": 0, "diversion": True}},
+    "procession": {
+        "timeline": [("Pre-event", ["Police Units (3)", "Route Barricading"]), ("During", ["Escort", "Traffic Diversion"])],
+        "resolution": ("3.0h", "2.0h–6.0h"),
+        "resources": {"police": 3, "barricades": 5, "crew": "None", "tow": 0, "diversion": True}},
+    "vip_movement": {
+        "timeline": [("Pre-event", ["Police Units (5)", "Route Clearance"]), ("During", ["Escort", "Full Diversion"])],
+        "resolution": ("2.0h", "1.0h–4.0h"),
+        "resources": {"police": 5, "barricades": 8, "crew": "None", "tow": 0, "diversion": True}},
+    "protest": {
+        "timeline": [("0-15 min", ["Police Units (6)", "Barricading"]), ("During", ["Crowd Control", "Full Diversion"])],
+        "resolution": ("5.0h", "2.0h–12.0h"),
+        "resources": {"police": 6, "barricades": 8, "crew": "None", "tow": 0, "diversion": True}},
+    "road_conditions": {
+        "timeline": [("0-15 min", ["Police Unit", "Barricading"]), ("15-60 min", ["BBMP Road Crew"])],
+        "resolution": ("3.0h", "2.0h–8.0h"),
+        "resources": {"police": 1, "barricades": 2, "crew": "BBMP Road Crew", "tow": 0, "diversion": False}},
+    "congestion": {
+        "timeline": [("0-15 min", ["Police Unit"]), ("15-30 min", ["Signal Override / Manual Control"])],
+        "resolution": ("1.5h", "1.0h–3.0h"),
+        "resources": {"police": 1, "barricades": 0, "crew": "None", "tow": 0, "diversion": False}},
+    "Debris": {
+        "timeline": [("0-15 min", ["Police Unit", "Barricading"]), ("15-30 min", ["BBMP Cleanup Crew"])],
+        "resolution": ("1.0h", "0.5h–2.0h"),
+        "resources": {"police": 1, "barricades": 2, "crew": "BBMP Cleanup Crew", "tow": 0, "diversion": False}},
+    "others": {
+        "timeline": [("0-15 min", ["Police Unit"]), ("15-30 min", ["Assessment & Dispatch"])],
+        "resolution": ("2.0h", "1.0h–4.0h"),
+        "resources": {"police": 1, "barricades": 1, "crew": "Standard", "tow": 0, "diversion": False}},
+}
+
+# Proactive plan per class: actions in order, and timeline steps (time, action, resources).
+PLAN_ACTIONS = {
+    "Critical": ["Deploy traffic personnel 2 hours before event", "Set up barricades at key junctions 1 hour before",
+                 "Activate traffic diversion plan", "Coordinate with event organizers for crowd management",
+                 "Alert nearby hospitals and emergency services"],
+    "High": ["Deploy traffic personnel 1 hour before event", "Pre-position tow trucks if needed",
+             "Monitor traffic flow in real-time", "Coordinate with event organizers"],
+    "Medium": ["Monitor event remotely", "Keep rapid response team on standby", "Pre-plan diversion routes"],
+    "Low": ["Standard monitoring"],
+}
+PLAN_TIMELINE = {
+    "Critical": [("T-2 hours", "Deploy 8-10 traffic officers to corridor", {"officers": 10, "barricades": 20}),
+                 ("T-1 hour", "Set up full barricading and signage", {"barricades": 20, "signage": 15}),
+                 ("Event start", "Monitor and adjust traffic flow", {"officers": 10, "patrol_vehicles": 3})],
+    "High": [("T-1 hour", "Deploy 5-6 traffic officers", {"officers": 6, "barricades": 10}),
+             ("Event start", "Active traffic management", {"officers": 6, "patrol_vehicles": 2})],
+    "Medium": [("Event start", "Monitor from command center", {"officers": 2, "standby_team": 4})],
+    "Low": [("Event time", "Routine patrol", {"officers": 1})],
+}
+PLAN_RESOURCES = ["officers", "barricades", "signage", "patrol_vehicles", "standby_team"]
+
 # Vehicle notes.
 VEH_NOTES = {
     "bmtc_bus": "Coordinate BMTC depot for replacement bus",

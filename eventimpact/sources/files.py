@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,10 +40,17 @@ RESOURCE_TEMPLATE_TYPE = T.MapType(T.StringType(), T.StructType([
 ]))
 
 
-def read_raw_incidents(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV, fixed schema, PERMISSIVE (malformed fields → NULL)."""
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists in the file system that its own URI names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_raw_incidents(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Header CSV, fixed schema, PERMISSIVE (malformed fields → NULL). ``multi_line`` allows line breaks inside
+    quoted fields, at the price of one task per file."""
     return (spark.read.schema(RAW_INCIDENT_SCHEMA).option("header", True).option("mode", "PERMISSIVE")
-            .option("multiLine", True).option("escape", '"').csv(path))
+            .option("multiLine", multi_line).option("escape", '"').csv(path))
 
 
 def clean_incidents(raw: DataFrame) -> DataFrame:
@@ -90,7 +95,7 @@ def write_profile(df: DataFrame, path: str, fmt: str = "json") -> None:
 def read_log_or_empty(spark: SparkSession, path: str) -> DataFrame:
     """The prediction log, or an empty typed log when the folder does not exist yet."""
     from ..operators.feedback import PREDICTION_LOG_SCHEMA, empty_log
-    if os.path.exists(path):
+    if path_exists(spark, path):
         return spark.read.schema(PREDICTION_LOG_SCHEMA).parquet(path)
     return empty_log(spark)
 

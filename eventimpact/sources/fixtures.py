@@ -17,6 +17,7 @@ from .tables import read_table
 # Fixed parameters of the fixture queries (FIXTURES.md §2).
 INC_NOW = "2024-01-30 12:00:00"
 PLAN_NOW = "1998-06-01"
+CORRIDORS = ["Non-corridor", *[f"C{i}" for i in range(7)]]
 
 
 def corridor_of(key: Column) -> Column:
@@ -50,6 +51,7 @@ def inc(spark: SparkSession, sf_dir: str) -> DataFrame:
         tier_of(u).alias("corridor_tier"),
         F.when(u % 54 == 53, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("S"), (u % 54).cast("string"))).alias("police_station"),
+        F.when(u % 10 != 9, F.concat(F.lit("J"), (u % 97).cast("string"))).alias("junction"),
         veh.alias("veh_type"),
         F.when(k < 8, 1).otherwise(0).cast("int").alias("requires_road_closure"),
         F.hour(ts).cast("int").alias("hour"),
@@ -62,12 +64,12 @@ def inc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scored(spark: SparkSession, sf_dir: str, median_fn=None) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.rules import impact_score_v2
     from ..functions.temporal import is_peak
     from ..operators.stats import impute_median
 
-    df = impute_median(inc(spark, sf_dir), "duration_minutes", "dur", median_fn=median_fn)
+    df = impute_median(inc(spark, sf_dir), "duration_minutes", "dur")
     df = df.withColumn("is_peak_hour", is_peak(F.col("hour"), "code"))
     return df.withColumn("impact_score", impact_score_v2(F.col("dur"), F.col("requires_road_closure"),
                                                           F.col("corridor_tier"), F.col("is_peak_hour")))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
@@ -11,8 +9,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 
 def table_path(sf_dir: str, name: str) -> str:
-    p = os.path.join(sf_dir, f"{name}.parquet")
-    return p if os.path.exists(p) else os.path.join(sf_dir, name)
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

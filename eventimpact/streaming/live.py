@@ -58,11 +58,17 @@ def base_congestion(hour: Column, weekday: Column) -> Column:
     return F.when(rush & ~wkend, 70).when(rush & wkend, 50).when(wkend, 20).otherwise(30)
 
 
-def traffic_conditions(df: DataFrame, ts: str = "start_datetime", length: str = "2 hours",
+def traffic_conditions(df: DataFrame, corridors: list[str], ts: str = "start_datetime", length: str = "2 hours",
                        slide: str = "15 minutes") -> DataFrame:
-    """Per sliding window and corridor, as seen at the window end: congestion (+15 per active incident,
-    capped at 100, only when there are incidents), status, speed."""
-    g = _flat_window(df.groupBy(F.window(ts, length, slide), "corridor").agg(F.count(F.lit(1)).alias("active_incidents")))
+    """Per sliding window and corridor of the fixed dimension ``corridors``, as seen at the window end:
+    congestion (+15 per active incident, capped at 100, only when there are incidents), status, speed.
+
+    One aggregate per window counts every corridor, so a corridor without an incident is answered too, and the same
+    plan serves a batch and a watermarked stream (no join against the dimension)."""
+    counts = [F.count(F.when(F.col("corridor") == c, 1)).alias(f"__n{i}") for i, c in enumerate(corridors)]
+    g = _flat_window(df.groupBy(F.window(ts, length, slide)).agg(*counts))
+    rows = F.array(*[F.struct(F.lit(c).alias("corridor"), F.col(f"__n{i}").alias("active_incidents")) for i, c in enumerate(corridors)])
+    g = g.select("window_start", "window_end", F.explode(rows).alias("c")).select("window_start", "window_end", "c.*")
     end = F.col("window_end")
     base = base_congestion(F.hour(end), F.weekday(end))
     n = F.col("active_incidents")
@@ -108,8 +114,9 @@ def _lifecycle(max_age_hours: int):
         if state.hasTimedOut:
             first, resolved, corridor, cause = state.get
             state.remove()
-            yield pd.DataFrame([{"id": iid, "status": "expired", "first_ts": first, "resolved_ts": resolved,
-                                 "corridor": corridor, "cause": cause}])
+            if first is not None:      # a resolve whose report never came is "not found": nothing to report
+                yield pd.DataFrame([{"id": iid, "status": "expired", "first_ts": first, "resolved_ts": resolved,
+                                     "corridor": corridor, "cause": cause}])
             return
         first = resolved = corridor = cause = None
         if state.exists:
@@ -118,9 +125,14 @@ def _lifecycle(max_age_hours: int):
             for row in pdf.sort_values("ts").itertuples(index=False):
                 if row.kind == "report" and first is None:
                     first, corridor, cause = row.ts, row.corridor, row.cause
-                elif row.kind == "resolve" and first is not None and resolved is None:
+                    if resolved is not None and resolved < first:      # an older resolve does not close it
+                        resolved = None
+                elif row.kind == "resolve" and (resolved is None or first is None) and (first is None or row.ts >= first):
                     resolved = row.ts
-        if first is None:        # resolve for an unknown id: "not found", nothing kept
+        if first is None:              # keep a resolve that lands before its report until the watermark passes it
+            if resolved is not None:
+                state.update((None, resolved, None, None))
+                state.setTimeoutTimestamp(int(pd.Timestamp(resolved).timestamp() * 1000) + age_ms)
             return
         state.update((first, resolved, corridor, cause))
         state.setTimeoutTimestamp(int(pd.Timestamp(first).timestamp() * 1000) + age_ms)
@@ -131,8 +143,8 @@ def _lifecycle(max_age_hours: int):
 
 
 def incident_lifecycle(events: DataFrame, max_age_hours: int = 2, watermark: str = "2 hours") -> DataFrame:
-    """Keyed state per incident id — open on the first report, resolved on the first resolve,
-    expired (state removed) once the watermark passes first report + ``max_age_hours``. Late rows behind the
+    """Keyed state per incident id — open on the first report, resolved on the first resolve (also
+    one that lands in an earlier micro-batch than its report: it waits in the state), expired (state removed) once the watermark passes first report + ``max_age_hours``. Late rows behind the
     watermark are dropped by Spark (counted in ``StreamingQueryProgress``)."""
     return (events.withWatermark("ts", watermark).groupBy("id")
             .applyInPandasWithState(_lifecycle(max_age_hours), LIFECYCLE_OUT, LIFECYCLE_STATE, "update",
@@ -150,18 +162,29 @@ def predictions_with_outcomes(predictions: DataFrame, outcomes: DataFrame, wait:
 
 
 def drift_monitor(log_path: str, now_col: str = "ts", window_days: int = 30):
-    """A ``foreachBatch`` function that appends each micro-batch to the log table and recomputes drift
-    over the whole log, writing one status row per batch next to it."""
-    from ..operators.feedback import drift, with_errors
+    """A ``foreachBatch`` function that logs each micro-batch and writes the drift status (M24) after it.
+
+    Every output folder carries the batch number and is overwritten, so a replayed micro-batch counts once. A batch
+    adds one row of partial sums per day; the status sums the days that lie inside the window as a whole and reads
+    the log of the one day that the window cuts, not the whole log."""
+    from ..operators.feedback import drift_status, error_sums, with_errors
 
     def fn(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        batch.write.mode("append").parquet(f"{log_path}/log")
-        log = batch.sparkSession.read.parquet(f"{log_path}/log")
-        now = log.agg(F.max(now_col)).first()[0]
-        out = drift(with_errors(log), str(now), window_days, ts=now_col).withColumn("batch_id", F.lit(batch_id))
-        out.write.mode("append").parquet(f"{log_path}/drift")
+        spark = batch.sparkSession
+        rows = with_errors(batch).withColumn("day", F.to_date(now_col))
+        rows.write.mode("overwrite").partitionBy("day").parquet(f"{log_path}/log/batch_id={batch_id}")
+        spark.read.parquet(f"{log_path}/log/batch_id={batch_id}").groupBy("day").agg(
+            F.max(now_col).alias("last"), *error_sums()).write.mode("overwrite").parquet(f"{log_path}/days/batch_id={batch_id}")
+        days = spark.read.parquet(f"{log_path}/days")
+        now = days.agg(F.max("last")).first()[0]
+        cutoff = F.lit(now) - F.make_interval(days=F.lit(window_days))
+        edge = spark.read.parquet(f"{log_path}/log").filter((F.col("day") == F.to_date(cutoff)) & (F.col(now_col) > cutoff))
+        sums = [c for c in days.columns if c not in ("day", "last", "batch_id")]
+        parts = days.filter(F.col("day") > F.to_date(cutoff)).select(*sums).unionByName(edge.agg(*error_sums()).select(*sums))
+        drift_status(parts.agg(*[F.sum(c).alias(c) for c in sums]), window_days).write.mode("overwrite").parquet(
+            f"{log_path}/drift/batch_id={batch_id}")
 
     return fn
 

@@ -11,11 +11,12 @@ from eventimpact.session import get_spark  # noqa: E402
 
 
 def main():
-    import __spark_entry__ as E
+    from eventimpact.plans import registry
+    registry.load_all()
     spark = get_spark("local[4]", shuffle_partitions=4)
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
     out = {}
-    for k, fn in sorted(E.queries().items()):
+    for k, fn in sorted(registry.QUERIES.items()):
         try:
             sch = fn(spark, sf).schema
         except Exception as ex:
