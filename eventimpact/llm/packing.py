@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import library_coder
-from .common import map_text, written
+from .chunks import cut_ids, library_coder
+from .common import map_text, utf8, written
 
 
 def cut(n: int, capacity: int) -> list[int]:
@@ -31,7 +31,7 @@ def tokenised_pieces(df: DataFrame, path: str, capacity: int, text_col: str = "t
 
         def f(texts):
             rows = []
-            for got in coder([t or "" for t in texts.to_pylist()]):
+            for got in cut_ids(*coder(*utf8(texts))):
                 ids, at, row = got + end, 0, []
                 for n in cut(len(ids) // 4, capacity):
                     row.append(ids[4 * at:4 * (at + n)])
@@ -75,8 +75,8 @@ class _Search:
     """Depth-first bin completion. A node fills bins around the largest length left; ``count`` is changed in place
     and put back on the way up."""
 
-    def __init__(self, count: dict[int, int], capacity: int, width: int):
-        self.count, self.capacity, self.width = dict(count), capacity, width
+    def __init__(self, count: dict[int, int], capacity: int, width: int, few: bool):
+        self.count, self.capacity, self.width, self.few = dict(count), capacity, width, few
         self.sizes = sorted(s for s, c in count.items() if c > 0)
         self.rest = sum(s * c for s, c in count.items())
 
@@ -109,33 +109,33 @@ class _Search:
         return room, chosen
 
     def completions(self) -> list[tuple[int, int, list[int]]]:
-        """(waste, - largest item, filling) of the undominated fillings found around the largest length: the largest
-        single that fits, and pairs that fill more than it does, each made maximal; least waste first."""
+        """(waste, items, filling) of the undominated fillings found around the largest length: the largest single
+        that fits, and pairs that fill more than it does, each made maximal. Least waste first, then the largest item
+        or, with ``few``, the fewest items, which leaves short lengths for the gaps of later bins."""
         top = self.sizes[-1]
         room, used = self.capacity - top, {top: 1}
         one = self.largest(room, used)
         if not one:
             return [(room, 0, [])]
         if one == room:
-            return [(0, -one, [one])]
+            return [(0, 1, [one])]
         found = [self.fill([one], room, used)]
-        if found[0][0]:
-            sizes = np.array(self.sizes[:bisect.bisect_right(self.sizes, room)])
-            mate = np.searchsorted(sizes, room - sizes, "right") - 1
-            both = np.where(mate >= 0, sizes + sizes[np.maximum(mate, 0)], 0)
-            both[(sizes < sizes[np.maximum(mate, 0)]) | (both <= one)] = 0
-            for i in np.argsort(-both, kind="stable")[:4 * self.width]:
-                if not both[i] or len(found) > self.width:
-                    break
-                x, y = int(sizes[i]), int(sizes[mate[i]])
-                need = {top: 1}
-                for z in (x, y):
-                    need[z] = need.get(z, 0) + 1
-                if all(self.count[z] >= k for z, k in need.items()):
-                    found.append(self.fill([x, y], room, used))
-                    if not found[-1][0]:
-                        break
-        unique = {tuple(sorted(items)): (waste, -max(items), items) for waste, items in found}
+        if not found[0][0] and not self.few:
+            return [(0, 0, found[0][1])]
+        sizes = np.array(self.sizes[:bisect.bisect_right(self.sizes, room)])
+        mate = np.searchsorted(sizes, room - sizes, "right") - 1
+        both = np.where(mate >= 0, sizes + sizes[np.maximum(mate, 0)], 0)
+        both[(sizes < sizes[np.maximum(mate, 0)]) | (both <= one)] = 0
+        for i in np.argsort(-both, kind="stable")[:4 * self.width]:
+            if not both[i] or len(found) > self.width:
+                break
+            x, y = int(sizes[i]), int(sizes[mate[i]])
+            need = {top: 1}
+            for z in (x, y):
+                need[z] = need.get(z, 0) + 1
+            if all(self.count[z] >= k for z, k in need.items()):
+                found.append(self.fill([x, y], room, used))
+        unique = {tuple(sorted(items)): (waste, len(items) if self.few else -max(items), items) for waste, items in found}
         return sorted(unique.values())[:self.width]
 
     def apply(self, filling: list[int]) -> tuple[Pattern, dict[int, int]]:
@@ -165,12 +165,23 @@ def complete_bins(count: dict[int, int], capacity: int, width: int = 4, nodes: i
     The first descent always takes the filling of least waste, which is best fit, and gives the incumbent. The
     search then backs up and tries the other fillings; a node is cut off when the bins so far and the waste bound
     of the rest cannot beat the incumbent. It ends when the lower bound is met, the tree is exhausted, or after
-    ``nodes`` nodes beyond the first descent (the incumbent stands; the packing is whole in any case).
+    ``nodes`` nodes beyond the first descent (the incumbent stands; the packing is whole in any case). It runs once
+    for each order of equally good fillings, and the better packing counts.
     """
-    search, best, best_bins = _Search(count, capacity, width), None, float("inf")
+    bound, best = lower_bound(count, capacity), None
+    for few in (False, True):
+        got = _branch_and_bound(_Search(count, capacity, width, few), bound, nodes)
+        if best is None or sum(p.times for p in got) < sum(p.times for p in best):
+            best = got
+        if sum(p.times for p in best) <= bound:
+            break
+    return best
+
+
+def _branch_and_bound(search: _Search, bound: int, nodes: int) -> list[Pattern]:
+    best, best_bins, spent, capacity = None, float("inf"), 0, search.capacity
     if not search.sizes:
         return []
-    bound, spent = lower_bound(count, capacity), 0
     path, choices, bins = [], [search.completions()], 0
     while choices:
         if best is not None:

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import library_coder
+from .chunks import cut_ids, library_coder
 from .common import file_system, partitions, slices, utf8, written
 
 MAGIC = b"RANSTOK1"
@@ -194,7 +194,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
 
         for b in parts:
             for i, j in slices(utf8(b.column(1))[1], 1 << 20):
-                got = coder([t or "" for t in b.column(1).slice(i, j - i).to_pylist()])
+                got = cut_ids(*coder(*utf8(b.column(1).slice(i, j - i))))
                 for name, ids in zip(b.column(0).slice(i, j - i).to_pylist(), got):
                     names.append(name)
                     sizes.append(len(ids) // 4 + 1)
