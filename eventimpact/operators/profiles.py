@@ -94,6 +94,14 @@ def corridor_profile(df: DataFrame, tiers: DataFrame | None = None, default_tier
         F.coalesce("stress_index", F.lit(0.0)).alias("stress_index"))
 
 
+def slot_filter(df: DataFrame, weekday: int | None = None, hour: int | None = None) -> DataFrame:
+    """Slots of a weekday, of an hour, of both, or all."""
+    for c, v in (("weekday", weekday), ("hour", hour)):
+        if v is not None:
+            df = df.filter(F.col(c) == v)
+    return df
+
+
 def slot_grid(spark) -> DataFrame:
     """The full 7×24 grid (168 rows) — a constant-size dimension."""
     return (spark.range(7).select(F.col("id").cast("int").alias("weekday"))

@@ -83,7 +83,7 @@ def q_risk_window(spark, sf):
 @query("risk_window_slot", f"WITH {RISK_WINDOW_SQL} SELECT * FROM rw WHERE weekday = 4")
 def q_risk_window_slot(spark, sf):
     """Optional slot filter (weekday = Friday, every hour)."""
-    return P.risk_window(X.scored(spark, sf)).filter(F.col("weekday") == 4)
+    return P.slot_filter(P.risk_window(X.scored(spark, sf)), weekday=4)
 
 
 TOPK_SQL = """

@@ -64,4 +64,4 @@ def output_schemas() -> dict[str, list[list[str]]]:
 
 def load_all() -> None:
     from . import (q_basic, q_eda, q_profiles, q_windows, q_scoring, q_forecast,  # noqa: F401
-                   q_feedback, q_misc, q_streaming, q_ml)
+                   q_feedback, q_misc, q_streaming, q_ml, q_quality)

@@ -33,7 +33,7 @@ def tier_of(key: Column) -> Column:
 def inc(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events").select(
         "event_id", "ts", "user_id", "event_type", "value",
-        F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"))
+        F.get_json_object("props", "$.k").cast("int").alias("k"))
     k, u, ts = F.col("k"), F.col("user_id"), F.col("ts")
     cause = (F.when(F.col("event_type") == "error", "accident")
              .when(F.col("event_type") == "click", "vehicle_breakdown")
@@ -138,7 +138,7 @@ def corridor_name(user_id: Column) -> Column:
 def closure_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diversion requests: every closure incident, closed from its point to 0.01° north-east (ours)."""
     e = read_table(spark, sf_dir, "events").select(
-        "event_id", "user_id", F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"))
+        "event_id", "user_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
     u = F.col("user_id")
     lat = F.lit(12.5) + ((u * 37) % 1000) / F.lit(1000.0)
     lon = F.lit(77.0) + ((u * 91) % 1000) / F.lit(1000.0)
