@@ -55,7 +55,7 @@ class PieceCoder:
     """Texts to ids. ``encode`` gives (ids in a row, number of ids of each) of a list of strings. A text with ``special``
     in it, which may hold a special token, is one piece. Pieces are known by 64-bit hashes; about ``limit`` are kept."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: bytes = b"<|", limit: int = 2_000_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: bytes = b"<|", limit: int = 1_000_000):
         self.encode, self.special, self.limit = encode, special, limit
         self._empty()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,6 +71,19 @@ def hash_bucket(col, modulus: int):
     return F.coalesce(F.crc32(col.cast("string")) % modulus, F.lit(0))
 
 
+def tidy(run):
+    """A function over the batches of a task that gives the memory it has freed back to the system when it ends: idle
+    Python workers stay, and the next stage needs the room."""
+    def wrapped(parts):
+        yield from run(parts)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):            # another C library
+            pass
+    return wrapped
+
+
 def map_text(df: DataFrame, text_col: str, fields: list[tuple[str, str]], make, keep: list[str] | None = None,
              most: int = 4 << 20) -> DataFrame:
     """``keep`` columns (default: all) plus ``fields`` computed from the text column in Arrow batches.
@@ -96,7 +110,7 @@ def map_text(df: DataFrame, text_col: str, fields: list[tuple[str, str]], make,
                 cols = [b.column(k).slice(i, j - i) for k in range(len(keep))] + list(got)
                 yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(cols, out_schema.types)], schema=out_schema)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 # Random odd multipliers of the byte and word hashes (drawn once from a fixed seed, the same on every machine).

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import cut_ids, library_coder
-from .common import map_text, utf8, written
+from .common import map_text, tidy, utf8, written
 
 
 def cut(n: int, capacity: int) -> list[int]:
@@ -259,7 +259,7 @@ def pack(pieces: DataFrame, capacity: int, order: list[str], length_col: str = "
             cols = [*b.columns[:-2], pa.array(base + (rank - first) // copies), pa.array(at + (rank - first) % copies * length)]
             yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(cols, arrow.types)], schema=arrow)
 
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(tidy(place), schema)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text",

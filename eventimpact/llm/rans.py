@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import cut_ids, library_coder
-from .common import file_system, partitions, slices, utf8, written
+from .common import file_system, partitions, slices, tidy, utf8, written
 
 MAGIC = b"RANSTOK1"
 SCALE, LANES, STEPS = 20, 64, 256
@@ -205,7 +205,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
         if names:
             yield close()
 
-    files = written(src.mapInArrow(write, "part int, seq int, path string, docs long, ids long"), "manifest")
+    files = written(src.mapInArrow(tidy(write), "part int, seq int, path string, docs long, ids long"), "manifest")
     upto = F.sum("ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, 0))  # one row a file
     return files.withColumn("base", upto - F.col("ids")).select("path", "docs", "ids", "base")
 
@@ -232,4 +232,4 @@ def read_tokens(manifest: DataFrame, id_out: str = "doc_id", span: int = 1 << 20
                         names=[id_out, "start", "n_tokens", "ids"])
                     first = stop
 
-    return spans.mapInArrow(decode, f"`{id_out}` long, start long, n_tokens long, ids binary")
+    return spans.mapInArrow(tidy(decode), f"`{id_out}` long, start long, n_tokens long, ids binary")
