@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import map_text, mix, slices, utf8, word_hashes, written
+from .common import map_text, mix, slices, tidy, utf8, word_hashes, written
 
 WORDS = 5                 # words of a shingle
 BANDS, ROWS = 24, 5       # a pair of similarity 0.8 shares no band with a chance of 7e-5
@@ -91,28 +91,33 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def similarities(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """Exact weighted Jaccard similarity of the shingle multisets of two columns of texts, row by row."""
+def overlaps(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles in common, shingles in all) of two columns of texts, row by row, counted with multiplicity."""
     (da, oa), (db, ob) = utf8(a), utf8(b)
-    out = np.zeros(len(oa) - 1)
-    for lo in range(0, len(out), 256):
-        hi = min(lo + 256, len(out))
-        x, y = ([*bag(d[o[lo]:o[hi]], o[lo:hi + 1] - o[lo])] for d, o in ((da, oa), (db, ob)))
-        n = hi - lo
-        kx, ky = (z[0] | (z[1].astype(np.uint64) << np.uint64(48)) for z in (x, y))
-        at = np.minimum(np.searchsorted(ky, kx), max(len(ky) - 1, 0))
-        hit = ky[at] == kx if len(ky) else np.zeros(len(kx), bool)
-        both = np.bincount(x[1][hit], np.minimum(x[2][hit], y[2][at[hit]]), n)
-        total = np.bincount(x[1], x[2], n) + np.bincount(y[1], y[2], n)
-        out[lo:hi] = np.where(total > 0, both / np.maximum(total - both, 1), 0.0)
-    return out
+    common, total = np.zeros(len(oa) - 1, np.int64), np.zeros(len(oa) - 1, np.int64)
+    for lo in range(0, len(common), 256):
+        hi = min(lo + 256, len(common))
+        x, y = (bag(d[o[lo]:o[hi]], o[lo:hi + 1] - o[lo]) for d, o in ((da, oa), (db, ob)))
+        at, hit = _find(x, y)
+        common[lo:hi] = np.bincount(x[1][hit], np.minimum(x[2][hit], y[2][at[hit]]), hi - lo)
+        total[lo:hi] = np.bincount(x[1], x[2], hi - lo) + np.bincount(y[1], y[2], hi - lo)
+    return common, total
+
+
+def _find(x: tuple, y: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """For each shingle of the bags ``x`` its place in the bags ``y`` of the same rows, and whether it is there."""
+    kx, ky = (z[0] | (z[1].astype(np.uint64) << np.uint64(48)) for z in (x, y))
+    if not len(ky):
+        return np.zeros(len(kx), np.int64), np.zeros(len(kx), bool)
+    at = np.minimum(np.searchsorted(ky, kx), len(ky) - 1)
+    return at, ky[at] == kx
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``same`` (identity of the text), ``weight`` (shingles) and ``bands``, for every text with a word."""
     text = F.col(text_col).cast("string")
     src = docs.select(F.col(id_col).alias("id"), text.alias("text")).filter(F.col("id").isNotNull() & text.isNotNull())
-    src = src.withColumn("same", F.unhex(F.md5(F.concat(F.length("text").cast("string"), F.lit(":"), F.col("text")))))
+    src = src.withColumn("same", identity(F.col("text")))
 
     def make():
         def f(texts):
@@ -142,10 +147,10 @@ def near_classes(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", te
     have a weighted Jaccard similarity of at least ``least``; classes are what hangs together. Equal texts are one
     vertex. Candidates share a band of the signature; each link is verified on the whole texts.
 
-    No pair inside a class is needed once both are known to be in it, so candidates are taken in rounds. In each
-    bucket the members that are not in the bucket's commonest class so far are compared with one member of that
-    class, and classes merge; when a round links nothing new, what still shares a bucket across classes is compared
-    in full. So a group of copies of any size costs a few comparisons for each of its texts, and no candidate is lost.
+    First every text is compared with the centre of each of its buckets, the text that meets most others, and classes
+    form: at most BANDS comparisons a text, and mostly one in a group of copies, however large it is. What is left are pairs of one bucket in different classes.
+    They are not listed: a text that has been compared with a centre can only be near another one that holds enough of
+    its shingles that the centre lacks (``remaining``), and those are rare. No candidate pair is lost.
 
     Null texts, texts without a word and null ids are classes of their own (a null id: null class). A text of fewer
     than five words is one shingle. Rows that repeat an id get the smallest class of any of them. Other columns are
@@ -155,62 +160,122 @@ def near_classes(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", te
     reps = sig.groupBy("same").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("weight").alias("weight"))
     reps = written(reps, "texts")
     rows = reps.select("node", "weight", F.explode(F.array_distinct("bands")).alias("bucket"))
-    full = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("bucket")
-    buckets = written(rows.join(full, "bucket"), "buckets")
-    texts = None
-    kind = dict(reps.dtypes)["node"]
-    same_text = sig.select("id", "same").join(reps.select("same", "node"), "same").select(F.col("id").alias("u"), F.col("node").alias("v"))
-    classes, links, checked = None, None, None
-    for last in (False, False, True):
-        now = buckets if classes is None else buckets.join(classes, "node", "left")
-        now = now.withColumn("class", F.col("node") if classes is None else F.coalesce("component", "node")).select("bucket", "node", "weight", "class")
-        if classes is not None:
-            now = written(now, "classes")
-        parts = now.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "weight")).alias("m"))
-        main = parts.groupBy("bucket").agg(F.max(F.struct("n", F.struct(-F.xxhash64("class")).alias("h"), "class", "m")).alias("top"),
-                                           F.count(F.lit(1)).alias("k")).filter("k > 1")
-        main = main.select("bucket", F.col("top.class").alias("main"), F.col("top.m.node").alias("b"), F.col("top.m.weight").alias("wb"))
-        loose = now.join(main, "bucket").filter("class <> main")
-        if last:
-            other = now.select("bucket", F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("class").alias("cb"))
-            cand = loose.select("bucket", F.col("node").alias("a"), F.col("weight").alias("wa"), "class").join(other, "bucket").filter("class <> cb")
-        else:
-            cand = loose.select(F.col("node").alias("a"), F.col("weight").alias("wa"), "b", "wb")
-        cand = cand.filter(F.least("wa", "wb") >= F.lit(least) * F.greatest("wa", "wb"))
-        cand = cand.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        if checked is None:          # of the first centres only that with the most buckets in common
-            best = cand.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-            cand = best.groupBy("b").agg(F.max(F.struct("n", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-        else:
-            cand = cand.distinct().join(checked, ["a", "b"], "left_anti")
-        cand = written(cand, "candidates")
-        if cand.isEmpty():
-            continue
-        if texts is None:
-            nodes = buckets.select("node").distinct()
-            body = docs.select(F.col(id_col).alias("node"), F.col(text_col).cast("string").alias("text"))
-            body = body.withColumn("same", F.unhex(F.md5(F.concat(F.length("text").cast("string"), F.lit(":"), F.col("text")))))
-            texts = written(body.join(reps.select("node", "same").join(nodes, "node"), ["node", "same"]).select("node", "text")
-                            .dropDuplicates(["node"]), "texts")
-        tested = written(verify(cand, texts, kind), "tested")
-        checked = tested.select("a", "b") if checked is None else checked.unionAll(tested.select("a", "b"))
-        found = tested.filter(F.col("similarity") >= least).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        links = found if links is None else links.unionAll(found)
-        if not found.isEmpty():
-            classes = connected_components(links)
-    if classes is None:
-        classes = reps.select("node", F.col("node").alias("component")).limit(0)
-    member = same_text.join(classes.select(F.col("node").alias("v"), "component"), "v", "left").select(
-        F.col("u").alias("id"), F.coalesce("component", "v").alias("component"))
-    member = member.groupBy("id").agg(F.min("component").alias("component"))
+    full = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = written(rows.join(full, "bucket"), "shared")
+    rank = shared.groupBy("node").agg(F.sum("n").alias("met"))              # with how many texts it shares a bucket
+    shared = shared.join(rank, "node")
+    first = shared.groupBy("bucket").agg(F.max(F.struct("met", "node", "weight")).alias("c"))
+    buckets = shared.join(first.select("bucket", F.col("c.node").alias("centre"), F.col("c.weight").alias("wc")), "bucket")
+    buckets = written(buckets.select("bucket", "node", "weight", "centre", "wc"), "buckets")
+    body = docs.select(F.col(id_col).alias("node"), F.col(text_col).cast("string").alias("text"))
+    body = body.withColumn("same", identity(F.col("text")))
+    wanted = reps.select("node", "same").join(buckets.select("node").distinct(), "node")
+    texts = written(body.join(wanted, ["node", "same"]).select("node", "text").dropDuplicates(["node"]), "texts")
+
+    star = buckets.filter("node <> centre and least(weight, wc) >= %r * greatest(weight, wc)" % least)
+    star = star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    tested = written(verify(star, texts), "tested")
+    links = tested.filter(F.col("similarity") >= least).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    classes = connected_components(links)
+    rest = written(verify(remaining(buckets, classes, tested, texts, least), texts), "tested")
+    more = rest.filter(F.col("similarity") >= least).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if not more.isEmpty():
+        classes = connected_components(classes.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more))
+    same_text = sig.select("id", "same").join(reps.select("same", "node"), "same")
+    member = same_text.join(classes, "node", "left").groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("component"))
     out = docs.select(F.col(id_col).alias("id")).join(member, "id", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), component.alias("class_id"),
                       F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def verify(pairs: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
-    """(a, b, similarity) of pairs of nodes."""
+def remaining(buckets: DataFrame, classes: DataFrame, tested: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) that share a bucket, are in different classes and may still be linked.
+
+    In a bucket, the texts outside its commonest class are loose; a missing link has a loose end A. Let c be the text
+    with which A has most in common so far (``tested``), O their overlap, and R what A holds beyond c. A text x of
+    weight w is near A only if they share t / (1 + t) * (|A| + w) shingles, of which at most O are in c; so x holds at
+    least theta = t / (1 + t) * (|A| + w) - O of R, where w is at least the least weight in A's buckets. Of R sorted by frequency, the commonest shingles of a total below theta
+    may be left out, and x must hold one of the others: an exact join on rare shingles. Only where theta is not positive
+    (A just misses c, and x is shorter) the members of the bucket of that weight are taken themselves.
+    """
+    share, kind = least / (1 + least), dict(texts.dtypes)["node"]
+    now = buckets.join(classes, "node", "left").select("bucket", "node", "weight", F.coalesce("component", "node").alias("class"))
+    now = written(now, "classes")
+    sizes = now.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "class")).alias("top"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    opened = written(now.join(main.select("bucket", F.col("top.class").alias("main")), "bucket"), "open")
+    loose = opened.filter("class <> main")
+    both = tested.select(F.col("a").alias("node"), F.col("b").alias("c"), "overlap").unionAll(
+        tested.select(F.col("b").alias("node"), F.col("a").alias("c"), "overlap"))
+    centre = both.groupBy("node").agg(F.max(F.struct("overlap", "c")).alias("m")).select("node", "m.c")
+    lightest = opened.groupBy("bucket").agg(F.min("weight").alias("w"))
+    ends = loose.join(lightest, "bucket").groupBy("node", "weight", "class").agg(F.min("w").alias("least"))
+    ask = ends.join(centre, "node", "left").join(texts, "node")
+    ask = ask.join(texts.select(F.col("node").alias("c"), F.col("text").alias("tc")), "c", "left").select(
+        "node", "weight", "class", "least", F.coalesce("c", "node").alias("c"), "text", "tc")
+    pair_arrow = pa.list_(pa.struct([("h", pa.int64()), ("m", pa.int64())]))
+
+    def beyond(parts):
+        for b in parts:
+            n, cols = b.num_rows, []
+            (da, oa), (db, ob) = utf8(b.column(5)), utf8(b.column(6))
+            for lo in range(0, n, 256):
+                hi = min(lo + 256, n)
+                x, y = (bag(d[o[lo]:o[hi]], o[lo:hi + 1] - o[lo]) for d, o in ((da, oa), (db, ob)))
+                at, hit = _find(x, y)
+                both = np.zeros(len(x[0]), np.int64)
+                both[hit] = np.minimum(x[2][hit], y[2][at[hit]])
+                overlap = np.bincount(x[1], both, hi - lo)
+                left = x[2] - both
+                keep = left > 0
+                ends = np.searchsorted(x[1][keep], np.arange(hi - lo + 1))
+                pairs = pa.StructArray.from_arrays([pa.array(x[0][keep].astype(np.int64)), pa.array(left[keep])], names=["h", "m"])
+                cols.append((overlap, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pairs)))
+            if n:
+                yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(np.concatenate([c[0] for c in cols])),
+                                                  pa.concat_arrays([c[1].cast(pair_arrow) for c in cols])],
+                                                 names=["node", "weight", "class", "least", "c", "overlap", "beyond"])
+
+    base = written(ask.mapInArrow(tidy(beyond), f"node {kind}, weight long, class {kind}, least long, c {kind}, overlap double, beyond array<struct<h:long,m:long>>"), "beyond")
+    start = F.greatest(F.col("weight") * least, F.col("least").cast("double"))
+    low = F.greatest(start, F.col("overlap") / share - F.col("weight"))      # theta is not positive below
+    base = base.withColumn("start", start).withColumn("low", low).withColumn("theta", F.greatest(share * (F.col("weight") + F.col("low")) - F.col("overlap") - 1e-6, F.lit(1e-6)))
+    res = base.select("node", "weight", "class", "c", "overlap", "low", "theta", F.explode("beyond").alias("s")).select(
+        "node", "weight", "class", "c", "overlap", "low", "theta", "s.h", "s.m")
+    # of two loose texts with one centre the one that has less in common with it asks: its theta is the larger
+    mine = ~F.coalesce((F.col("xc") == F.col("c")) & (F.col("xo") < F.col("overlap")), F.lit(False))
+    known = base.select("node", F.col("c").alias("xc"), F.col("overlap").alias("xo"))
+
+    def holders(parts):
+        for b in parts:
+            data, off = utf8(b.column(5))
+            for i, j in slices(off, 1 << 20):
+                h, row, _ = bag(data[off[i]:off[j]], off[i:j + 1] - off[i])
+                at = pa.array(row + i)
+                yield pa.RecordBatch.from_arrays([*[b.column(k).take(at) for k in range(5)], pa.array(h.astype(np.int64))],
+                                                 names=["x", "wx", "cx", "xc", "xo", "h"])
+
+    members = opened.select("node", "weight", "class").distinct().join(known, "node", "left").join(texts, "node")
+    held = members.mapInArrow(tidy(holders), f"x {kind}, wx long, cx {kind}, xc {kind}, xo double, h long").join(res.select("h").distinct(), "h")
+    held = written(held, "holders")
+    seen = held.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    so_far = F.sum("m").over(Window.partitionBy("node").orderBy(F.desc("df"), "h").rowsBetween(Window.unboundedPreceding, 0))
+    rare = res.join(seen, "h").withColumn("so_far", so_far).filter("so_far >= theta and df > 1")
+    near = rare.join(held, "h").filter((F.col("class") != F.col("cx")) & mine & (F.col("wx") >= F.col("low")) & (F.col("wx") * least <= F.col("weight")))
+    near = near.select("node", "x")
+    short = base.filter("low > start").select("node", "c", "overlap", "low")
+    short = loose.join(short, "node").select("bucket", "node", "weight", "class", "c", "overlap", "low")
+    other = opened.join(known, "node", "left").select("bucket", F.col("node").alias("x"), F.col("weight").alias("wx"), F.col("class").alias("cx"), "xc", "xo")
+    close = short.join(other, "bucket").filter((F.col("class") != F.col("cx")) & mine & (F.col("wx") <= F.col("low")) &
+                                               (F.col("wx") >= F.col("weight") * least)).select("node", "x")
+    pairs = near.unionAll(close).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+    return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, overlap, similarity) of pairs of nodes, on the whole texts."""
+    kind = dict(texts.dtypes)["node"]
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
@@ -218,6 +283,12 @@ def verify(pairs: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
     def run(parts):
         for b in parts:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(similarities(b.column(2), b.column(3)))],
-                                                 names=["a", "b", "similarity"])
-    return both.mapInArrow(run, f"a {kind}, b {kind}, similarity double")
+                common, total = overlaps(b.column(2), b.column(3))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(common), pa.array(common / np.maximum(total - common, 1))],
+                                                 names=["a", "b", "overlap", "similarity"])
+    return both.mapInArrow(tidy(run), f"a {kind}, b {kind}, overlap long, similarity double")
+
+
+def identity(text):
+    """128 bits that stand for a whole text (its length and MD5)."""
+    return F.unhex(F.md5(F.concat(F.length(text).cast("string"), F.lit(":"), text)))
