@@ -80,10 +80,12 @@ def build(langs: list[str], lang: np.ndarray, path: np.ndarray, count: np.ndarra
     below = None                                     # paths and bits of the level before
     parents = np.zeros(1, np.uint64)
     for j in range(1, depth + 1):
-        code = path & np.uint64((1 << (8 * j)) - 1)
-        paths, where = np.unique(code, return_inverse=True)
+        mask = np.uint64((1 << (8 * j)) - 1)
+        code = path & mask
+        # contexts of the next level are nodes too, also those that only stand before a text's first byte
+        paths = np.unique(np.concatenate([code, (path >> np.uint64(8)) & mask]) if j < depth else code)
         seen_in = np.zeros((len(paths), size))
-        np.add.at(seen_in, (where, lang), count)
+        np.add.at(seen_in, (np.searchsorted(paths, code), lang), count)
         if j == depth and len(parents) > contexts:   # the bound of the model: the commonest longest contexts
             weight = np.bincount(np.searchsorted(parents, paths >> np.uint64(8)), seen_in.sum(1), len(parents))
             top = np.zeros(len(parents), bool)
