@@ -140,7 +140,7 @@ WITH n AS (SELECT count(*) AS total FROM inc),
 u AS (""" + " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, count(*) - count({c}) AS missing_count FROM inc"
     for c in ["id", "start_datetime", "event_cause", "event_type", "corridor", "corridor_tier", "police_station",
-              "veh_type", "requires_road_closure", "hour", "weekday", "month", "duration_minutes", "latitude",
+              "junction", "veh_type", "requires_road_closure", "hour", "weekday", "month", "duration_minutes", "latitude",
               "longitude", "k"]) + """)
 SELECT column_name, missing_count, round(missing_count * 100.0 / total, 6) AS missing_pct
 FROM u CROSS JOIN n WHERE missing_count > 0 ORDER BY missing_count DESC, column_name LIMIT 10""")
