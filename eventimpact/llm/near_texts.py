@@ -210,7 +210,9 @@ def remaining(buckets: DataFrame, classes: DataFrame, tested: DataFrame, texts:
         tested.select(F.col("b").alias("node"), F.col("a").alias("c"), "overlap"))
     centre = both.groupBy("node").agg(F.max(F.struct("overlap", "c")).alias("m")).select("node", "m.c")
     lightest = opened.groupBy("bucket").agg(F.min("weight").alias("w"))
-    ends = loose.join(lightest, "bucket").groupBy("node", "weight", "class").agg(F.min("w").alias("least"))
+    # all buckets of an asker count, not only those it is loose in: it also asks for texts that leave a pair to it
+    asked = opened.join(loose.select("node").distinct(), "node", "left_semi")
+    ends = asked.join(lightest, "bucket").groupBy("node", "weight", "class").agg(F.min("w").alias("least"))
     ask = ends.join(centre, "node", "left").join(texts, "node")
     ask = ask.join(texts.select(F.col("node").alias("c"), F.col("text").alias("tc")), "c", "left").select(
         "node", "weight", "class", "least", F.coalesce("c", "node").alias("c"), "text", "tc")
@@ -265,11 +267,14 @@ def remaining(buckets: DataFrame, classes: DataFrame, tested: DataFrame, texts:
     near = rare.join(held, "h").filter((F.col("class") != F.col("cx")) & mine & (F.col("wx") >= F.col("low")) & (F.col("wx") * least <= F.col("weight")))
     near = near.select("node", "x")
     short = base.filter("low > start").select("node", "c", "overlap", "low")
-    short = loose.join(short, "node").select("bucket", "node", "weight", "class", "c", "overlap", "low")
-    other = opened.join(known, "node", "left").select("bucket", F.col("node").alias("x"), F.col("weight").alias("wx"), F.col("class").alias("cx"), "xc", "xo")
-    close = short.join(other, "bucket").filter((F.col("class") != F.col("cx")) & mine & (F.col("wx") <= F.col("low")) &
-                                               (F.col("wx") >= F.col("weight") * least)).select("node", "x")
-    pairs = near.unionAll(close).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+    short = opened.join(short, "node").select("bucket", "node", "weight", "class", "main", "c", "overlap", "low")
+    other = opened.join(known, "node", "left").select("bucket", "main", F.col("node").alias("x"), F.col("weight").alias("wx"), F.col("class").alias("cx"), "xc", "xo")
+    fits = (F.col("class") != F.col("cx")) & (F.col("wx") <= F.col("low")) & (F.col("wx") >= F.col("weight") * least)
+    close = short.filter("class <> main").join(other.drop("main"), "bucket").filter(fits & mine).select("node", "x")
+    # in a bucket of its own class a text asks for what the loose ones there leave to it (``mine``)
+    left = other.filter("cx <> main and xc is not null").withColumnRenamed("xc", "c").drop("main")
+    left = short.filter("class = main").join(left, ["bucket", "c"]).filter(fits & (F.col("xo") > F.col("overlap"))).select("node", "x")
+    pairs = near.unionAll(close).unionAll(left).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
     return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
 

@@ -341,6 +341,40 @@ def test_near_classes_in_a_large_group(spark):
     assert got == slow_classes(rows) and got[2001] == 2000 and got[2002] == 2002
 
 
+def test_a_pair_left_to_a_text_of_the_main_class(spark):
+    # 1 and 2 both just miss the longer centre 9; 2 has less in common with it, so 1 leaves the pair to 2. Their only
+    # common bucket is one where 2 is of the main class (with 3), and 1 is too light for 2's exact join.
+    w = ["w%d" % i for i in range(124)]
+    x = w[7:107] + ["x%d" % i for i in range(4)]
+    texts = {9: w, 1: w[:101] + ["a0", "a1", "a2"], 2: x, 3: x[20:104]}
+    bags = {k: slow_bag(" ".join(v)) for k, v in texts.items()}
+    common = lambda a, b: sum((bags[a] & bags[b]).values())
+    assert [sum(bags[k].values()) for k in (9, 1, 2, 3)] == [120, 100, 100, 80]
+    member = [(1, 1, 3), (1, 2, 3), (1, 3, 3), (2, 1, 9), (2, 9, 9), (3, 2, 9), (3, 9, 9)]
+    buckets = spark.createDataFrame([(b, k, sum(bags[k].values()), c, sum(bags[c].values())) for b, k, c in member],
+                                    "bucket long, node long, weight long, centre long, wc long")
+    tested = [(a, b, common(a, b), common(a, b) / (sum(bags[a].values()) + sum(bags[b].values()) - common(a, b)))
+              for a, b in ((1, 3), (2, 3), (1, 9), (2, 9))]
+    assert [t[3] >= 0.8 for t in tested] == [False, True, False, False]
+    body = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "node long, text string")
+    got = near_texts.remaining(buckets, spark.createDataFrame([(2, 2), (3, 2)], "node long, component long"),
+                               spark.createDataFrame(tested, "a long, b long, overlap long, similarity double"), body, 0.8)
+    links = near_texts.verify(got, body).filter("similarity >= 0.8").collect()
+    assert (1, 2) in [(r["a"], r["b"]) for r in links]
+
+
+def test_near_classes_of_trimmed_copies_around_longer_centres(spark):
+    rng, rows = np.random.default_rng(5), []
+    for g in range(12):
+        c = ["g%dw%d" % (g, i) for i in range(124)]
+        rows += [(100 * g + 90 + k, " ".join(c + ["c%d" % k] * (k > 0))) for k in range(3)]
+        for k in range(20):
+            lo, n = int(rng.integers(0, 25)), int(rng.integers(90, 105))
+            rows.append((100 * g + k, " ".join(c[lo:lo + n] + ["g%do%d" % (g, i) for i in range(int(rng.integers(0, 6)))])))
+    got = {r["doc_id"]: r["class_id"] for r in near_texts.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == slow_classes(rows)
+
+
 def test_near_classes_cases(odd, empty):
     got = {(r.doc_id, r.class_id, r.kept) for r in near_texts.near_classes(odd).collect()}
     assert {(7, 6, False), (12, 11, False), (2, 2, True), (3, 3, True), (4, 4, True), (None, None, True), (1, 1, True)} <= got
