@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline
+from pyspark import SparkContext
+from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,15 +61,58 @@ def feature_table(df: DataFrame, geo_cluster: DataFrame) -> DataFrame:
     return d.fillna(0, subset=[c for c in SERVED_FEATURES if c != "geo_cluster"]).fillna(-1, subset=["geo_cluster"])
 
 
-MAX_TREES = 200      # only a bound: early stopping on the validation slice ends a fit long before
-
-
-def gbt_pipeline(features: list[str], label: str, max_depth: int = 4, step: float = 0.1, seed: int = 42) -> Pipeline:
-    """Boosting goes on until the error on the rows of ``is_val`` no longer falls."""
+FIRST_TREES, MAX_TREES, PATIENCE = 100, 1000, 50      # the bound and the patience are the reference's
+
+
+class PatientGBT(Estimator):
+    """GBT on ``features`` that ends when the error on the rows of ``is_val`` has not fallen for ``patience`` rounds or after
+    ``most`` rounds, and keeps the trees up to the least error. (Spark's own early stopping ends at the first round that
+    gains too little.) Spark can't go on with a fit: one that has not ended in ``first`` rounds is repeated with more."""
+
+    def __init__(self, label: str, max_depth: int, step: float, seed: int, first: int = FIRST_TREES, most: int = MAX_TREES,
+                 patience: int = PATIENCE):
+        super().__init__()
+        self.gbt = GBTRegressor(featuresCol="features", labelCol=label, maxDepth=max_depth, stepSize=step, seed=seed)
+        self.first, self.most, self.patience = first, most, patience
+
+    def _fit(self, df: DataFrame) -> GBTRegressionModel:
+        train, val, rounds = df.filter(~F.col("is_val")), df.filter("is_val"), min(self.first, self.most)
+        while True:
+            model = self.gbt.copy({self.gbt.maxIter: rounds}).fit(train)
+            best, ended = stopping_point(model.evaluateEachIteration(val, "squared"), self.patience)
+            if ended or rounds == self.most:
+                return first_trees(model, best)
+            rounds = min(4 * rounds, self.most)
+
+
+def stopping_point(errors: list[float], patience: int) -> tuple[int, bool]:
+    """(rounds up to the least error, whether ``patience`` rounds without a smaller one follow it)."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The model of the first ``n`` trees."""
+    sc, java = SparkContext._active_spark_context, model._java_obj
+    kinds, all_trees, all_weights = sc._jvm.org.apache.spark.ml.regression, java.trees(), java.treeWeights()
+    trees, weights = sc._gateway.new_array(kinds.DecisionTreeRegressionModel, n), sc._gateway.new_array(sc._jvm.double, n)
+    for i in range(n):
+        trees[i], weights[i] = all_trees[i], all_weights[i]
+    cut = GBTRegressionModel(kinds.GBTRegressionModel(model.uid, trees, weights, model.numFeatures))
+    cut._resetUid(model.uid)
+    model._copyValues(cut)._transfer_params_to_java()
+    return cut
+
+
+def gbt_pipeline(features: list[str], label: str, max_depth: int = 4, step: float = 0.05, seed: int = 42) -> Pipeline:
+    """Boosting goes on until the error on the rows of ``is_val`` has not fallen for PATIENCE rounds."""
     asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    gbt = GBTRegressor(featuresCol="features", labelCol=label, maxDepth=max_depth, stepSize=step, maxIter=MAX_TREES,
-                       seed=seed, validationIndicatorCol="is_val", validationTol=0.01)
-    return Pipeline(stages=[asm, gbt])
+    return Pipeline(stages=[asm, PatientGBT(label, max_depth, step, seed)])
 
 
 def split(df: DataFrame, id_col: str = "id") -> DataFrame:
