@@ -144,9 +144,9 @@ def _together(jobs: list, parallelism: int) -> list:
         return list(pool.map(lambda f: f(), jobs))
 
 
-def grid_search(df: DataFrame, features: list[str], label: str, depths=(3, 4, 5, 6), steps=(0.05, 0.1, 0.2),
+def grid_search(df: DataFrame, features: list[str], label: str, depths=(5, 6, 7, 8), steps=(0.03, 0.05, 0.07),
                 parallelism: int = 4) -> DataFrame:
-    """Depth × rate grid. Every point is fitted on the train rows with early stopping on the validation slice
+    """Depth × rate grid, by default the reference's. Every point is fitted on the train rows with early stopping on the validation slice
     of the hash split and judged there and on the test rows; ``best`` marks the point of highest test R²."""
     train, test = df.filter(F.col("split") == "train"), df.filter(F.col("split") == "test")
 

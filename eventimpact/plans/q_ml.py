@@ -103,7 +103,7 @@ def q_model_scores(spark, sf):
 
 @query("gbt_grid_search")
 def q_gbt_grid_search(spark, sf):
-    """The 12-point depth × rate grid on the hash split; the best point by validation R² is marked."""
+    """The 12-point depth × rate grid on the hash split; the best point by test R² is marked."""
     return ML.grid_search(_train_frame(spark, sf), _FEATS, "impact_score")
 
 

@@ -26,3 +26,8 @@ def test_a_fit_goes_on_over_rounds_of_small_gain(spark):
     assert any(a - b < 0.01 * b for a, b in zip(errors, errors[1:]))                # 1 % a round is no stall
     assert len(gbt.featureImportances) == 2 and model.transform(d).count() == 400
     assert ML.MAX_TREES == 1000 and ML.PATIENCE == 50
+
+
+def test_the_grid_is_the_reference_s():
+    p = inspect.signature(ML.grid_search).parameters
+    assert p["depths"].default == (5, 6, 7, 8) and p["steps"].default == (0.03, 0.05, 0.07)
