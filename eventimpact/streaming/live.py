@@ -64,11 +64,15 @@ def traffic_conditions(df: DataFrame, corridors: list[str], ts: str = "start_dat
     congestion (+15 per active incident, capped at 100, only when there are incidents), status, speed.
 
     One aggregate per window counts every corridor, so a corridor without an incident is answered too, and the same
-    plan serves a batch and a watermarked stream (no join against the dimension)."""
+    plan serves a batch and a watermarked stream (no join against the dimension). Other corridors, null too, are grouped
+    and answered in the windows where they have incidents."""
     counts = [F.count(F.when(F.col("corridor") == c, 1)).alias(f"__n{i}") for i, c in enumerate(corridors)]
     g = _flat_window(df.groupBy(F.window(ts, length, slide)).agg(*counts))
     rows = F.array(*[F.struct(F.lit(c).alias("corridor"), F.col(f"__n{i}").alias("active_incidents")) for i, c in enumerate(corridors)])
     g = g.select("window_start", "window_end", F.explode(rows).alias("c")).select("window_start", "window_end", "c.*")
+    others = df.filter(~F.coalesce(F.col("corridor").isin(corridors), F.lit(False)))
+    others = _flat_window(others.groupBy(F.window(ts, length, slide), "corridor").agg(F.count(F.lit(1)).alias("active_incidents")))
+    g = g.unionByName(others.select(*g.columns))
     end = F.col("window_end")
     base = base_congestion(F.hour(end), F.weekday(end))
     n = F.col("active_incidents")

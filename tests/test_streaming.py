@@ -149,3 +149,10 @@ def test_late_rows_are_dropped_and_drift_monitor(spark):
     q2.awaitTermination(300)
     drift = spark.read.parquet(os.path.join(base, "drift")).orderBy(F.desc("batch_id")).first()
     assert drift["status"] == "model_healthy" and drift["predictions_analyzed"] == 12
+
+
+def test_conditions_of_unlisted_and_null_corridors(spark):
+    rows = [("C0", "2024-01-01 10:00:00"), ("new", "2024-01-01 10:00:00"), ("new", "2024-01-01 10:05:00"), (None, "2024-01-01 10:01:00")]
+    d = spark.createDataFrame(rows, "corridor string, t string").select("corridor", F.col("t").cast("timestamp").alias("start_datetime"))
+    got = L.traffic_conditions(d, ["C0", "C1"], length="1 hour", slide="1 hour").collect()
+    assert {(r.corridor, r.active_incidents) for r in got} == {("C0", 1), ("C1", 0), ("new", 2), (None, 1)} and len(got) == 4
