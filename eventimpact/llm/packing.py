@@ -138,12 +138,59 @@ class _Search:
         unique = {tuple(sorted(items)): (waste, len(items) if self.few else -max(items), items) for waste, items in found}
         return sorted(unique.values())[:self.width]
 
-    def apply(self, filling: list[int]) -> tuple[Pattern, dict[int, int]]:
+    def maximal(self):
+        """Every filling around the largest length that leaves no room for a length left; None at a dead end."""
         top = self.sizes[-1]
-        need: dict[int, int] = {top: 1}
+        sizes = list(self.sizes)
+        have = [self.count[s] - (s == top) for s in sizes]
+        below = np.cumsum([0] + [s * n for s, n in zip(sizes, have)]).tolist()
+
+        def fill(room: int, end: int, skipped: int, chosen: list[int]):
+            # ``skipped``: the smallest length passed over, which must not fit in the end
+            ended = True
+            for j in range(min(end, bisect.bisect_right(sizes, room)) - 1, -1, -1):
+                s, n = sizes[j], have[j]
+                if not n:
+                    continue
+                if room - below[j + 1] >= skipped:
+                    yield None
+                    return
+                ended = False
+                for k in range(min(n, room // s), 0, -1):
+                    yield from fill(room - k * s, j, s if k < n else skipped, chosen + [s] * k)
+                skipped = s
+            yield chosen if ended and room < skipped else None
+
+        yield from fill(self.capacity - top, len(sizes), self.capacity + 1, [])
+
+    def need(self, filling: list[int]) -> dict[int, int]:
+        need = {self.sizes[-1]: 1}
         for x in filling:
             need[x] = need.get(x, 0) + 1
-        times = min(self.count[x] // k for x, k in need.items())
+        return need
+
+    def branches(self, whole: bool = True):
+        """(filling, how often at most) of a node, None at a dead end: first what ``completions`` finds, as often as it
+        goes, then, if ``whole``, the same once only and every other maximal filling. One length that fits exactly, or
+        none that fits, dominates the rest."""
+        found = [f for _, _, f in self.completions()]
+        yield from ((f, self.rest) for f in found)
+        if not whole or not found[0] or found[0] == [self.capacity - self.sizes[-1]]:
+            return
+        known = {tuple(sorted(f)) for f in found}
+        often = lambda f: min(self.count[x] // k for x, k in self.need(f).items()) > 1
+        yield from ((f, 1) for f in found if often(f))
+        for f in self.maximal():
+            if f is None:
+                yield None
+            elif tuple(sorted(f)) not in known:
+                yield f, self.rest
+                if often(f):
+                    yield f, 1
+
+    def apply(self, filling: list[int], most: int) -> tuple[Pattern, dict[int, int]]:
+        need = self.need(filling)
+        times = min(most, *(self.count[x] // k for x, k in need.items()))
         for x, k in need.items():
             self.take(x, k * times)
         return Pattern(list(need.items()), times), need
@@ -165,12 +212,13 @@ def complete_bins(count: dict[int, int], capacity: int, width: int = 4, nodes: i
     The first descent always takes the filling of least waste, which is best fit, and gives the incumbent. The
     search then backs up and tries the other fillings; a node is cut off when the bins so far and the waste bound
     of the rest cannot beat the incumbent. It ends when the lower bound is met, the tree is exhausted, or after
-    ``nodes`` nodes beyond the first descent (the incumbent stands; the packing is whole in any case). It runs once
-    for each order of equally good fillings, and the better packing counts.
+    ``nodes`` nodes and dead ends beyond the first descent (the incumbent stands; the packing is whole in any case). It runs once
+    for each order of equally good fillings over the best ``width`` fillings of a node, then over all maximal fillings
+    and fewer repeats of one, and the best packing counts.
     """
     bound, best = lower_bound(count, capacity), None
-    for few in (False, True):
-        got = _branch_and_bound(_Search(count, capacity, width, few), bound, nodes)
+    for whole, few in ((False, False), (False, True), (True, False), (True, True)):
+        got = _branch_and_bound(_Search(count, capacity, width, few), bound, nodes, whole)
         if best is None or sum(p.times for p in got) < sum(p.times for p in best):
             best = got
         if sum(p.times for p in best) <= bound:
@@ -178,31 +226,34 @@ def complete_bins(count: dict[int, int], capacity: int, width: int = 4, nodes: i
     return best
 
 
-def _branch_and_bound(search: _Search, bound: int, nodes: int) -> list[Pattern]:
+def _branch_and_bound(search: _Search, bound: int, nodes: int, whole: bool) -> list[Pattern]:
     best, best_bins, spent, capacity = None, float("inf"), 0, search.capacity
     if not search.sizes:
         return []
-    path, choices, bins = [], [search.completions()], 0
+    path, choices, bins, end = [], [search.branches(whole)], 0, object()
     while choices:
         if best is not None:
             spent += 1
             if best_bins <= bound or spent > nodes:
                 break
-        if not choices[-1] or bins + -(-search.rest // capacity) >= best_bins:
+        got = next(choices[-1], end) if bins + -(-search.rest // capacity) < best_bins else end
+        if got is None:
+            continue
+        if got is end:
             choices.pop()
             if path:
                 step = path.pop()
                 bins -= step[0].times
                 search.undo(step)
             continue
-        path.append(search.apply(choices[-1].pop(0)[2]))
+        path.append(search.apply(*got))
         bins += path[-1][0].times
         if search.sizes:
-            choices.append(search.completions())
+            choices.append(search.branches(whole))
             continue
         if bins < best_bins:
             best, best_bins = [p for p, _ in path], bins
-        choices.append([])
+        choices.append(iter(()))
     return best
 
 

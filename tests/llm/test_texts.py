@@ -113,6 +113,24 @@ def test_bin_completion_is_optimal_on_small_cases():
     assert packing.complete_bins({}, 30) == []
 
 
+def test_bin_completion_tries_every_maximal_filling():
+    search = packing._Search({1000: 2, 698: 2, 350: 3, 349: 4}, 2048, 4, False)
+    got = {tuple(sorted(b[0])): [] for b in search.branches() if b}
+    assert set(got) >= {(350, 698), (349, 698), (349, 349, 350), (1000,)}
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        search = packing._Search(collections.Counter(rng.integers(3, 21, 7).tolist()), 30, 4, False)
+        top = search.sizes[-1]
+        items = sorted((collections.Counter(search.count) - collections.Counter([top])).elements())
+        want = set()
+        for m in range(1 << len(items)):
+            inside = [x for i, x in enumerate(items) if m >> i & 1]
+            room = 30 - top - sum(inside)
+            if 0 <= room and all(x > room for i, x in enumerate(items) if not m >> i & 1):
+                want.add(tuple(inside))
+        assert {tuple(sorted(f)) for f in search.maximal() if f is not None} == want
+
+
 def check_packing(rows, want, capacity):
     docs = collections.defaultdict(list)
     for r in rows:
