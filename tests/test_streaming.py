@@ -6,7 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from eventimpact.plans import q_streaming as QS
 from eventimpact.sources import fixtures as X
 from eventimpact.streaming import live as L
