@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import SF, TEXTS
+from llm_rows import SF, TEXTS
 from eventimpact.llm import near_vectors, queries, sharding, topk, warc
 
 

@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from conftest import SF, TEXTS
+from llm_rows import SF, TEXTS
 from eventimpact.llm import bpe, language, near_texts, packing, quality, queries, rans
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
