@@ -148,3 +148,11 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     value[~solid] = 0
     h = mix(np.add.reduceat(value, start))
     return h, np.diff(np.searchsorted(start, off))
+
+
+def forget(df: DataFrame) -> None:
+    """Removes the folder of a written table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
