@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, language, main_text, near_texts, near_vectors, packing, quality, rans, sharding, topk, warc
+from . import bpe, centroids, language, main_text, near_texts, near_vectors, packing, quality, rans, sharding, spelling, topk, warc
 from .common import bounded_batches, hash_bucket, read, shared_path
-from .oracles import centroid_sql
+from .oracles import centroid_sql, spelling_sql
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +89,12 @@ def op10_near_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_texts.near_classes(read(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, commoner form and root."""
+    bounded_batches(spark, 20_000)
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     bounded_batches(spark)
@@ -102,5 +108,5 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op3_packing, op4_sharding, op5_tokens, op6_language, op7_warc,
-                                   op8_vectors, op9_topk, op10_near_texts, op12_main_text, op13_centroids)}
-ORACLES: dict[str, str] = {"op13_centroids": centroid_sql()}
+                                   op8_vectors, op9_topk, op10_near_texts, op11_spelling, op12_main_text, op13_centroids)}
+ORACLES: dict[str, str] = {"op11_spelling": spelling_sql(), "op13_centroids": centroid_sql()}
