@@ -49,12 +49,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0]:off[-1]], off - off[0]
 
 
-def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``most`` bytes each; a longer text is a range of its own."""
+def slices(offsets: np.ndarray, most: int, rows: int = 1 << 31) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``most`` bytes and ``rows`` rows each; a longer text is a range of its own."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1
-        j = min(max(j, i + 1), n)
+        j = min(max(j, i + 1), n, i + rows)
         yield i, j
         i = j
 
@@ -95,7 +95,7 @@ def map_text(df: DataFrame, text_col: str, fields: list[tuple[str, str]], make,
     new = [n.lower() for n, _ in fields]
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
-    schema = StructType(src.drop("__text").schema.fields + StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in fields)).fields)
+    schema = StructType(src.schema.fields[:-1] + StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in fields)).fields)
     from pyspark.sql.pandas.types import to_arrow_schema
     out_schema = to_arrow_schema(schema)
 
@@ -156,3 +156,10 @@ def forget(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    while name.lower() in [c.lower() for c in df.columns]:
+        name += "_"
+    return name

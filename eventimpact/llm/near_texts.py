@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -116,16 +118,15 @@ def _find(x: tuple, y: tuple) -> tuple[np.ndarray, np.ndarray]:
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``same`` (identity of the text), ``weight`` (shingles) and ``bands``, for every text with a word."""
     text = F.col(text_col).cast("string")
-    src = docs.select(F.col(id_col).alias("id"), text.alias("text")).filter(F.col("id").isNotNull() & text.isNotNull())
-    src = src.withColumn("same", identity(F.col("text")))
+    src = docs.select(F.col(id_col).alias("id"), text.alias("text")).filter(text.isNotNull()).withColumn("same", identity(F.col("text")))
 
     def make():
         def f(texts):
             data, off = utf8(texts)
             n = len(off) - 1
             sig, total = np.zeros((n, SIZE), np.uint64), np.zeros(n, np.int64)
-            parts = []
-            for i, j in slices(off, 1 << 20):
+            parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for i, j in slices(off, 1 << 20, 1 << 15):
                 s, t, w = bag(data[off[i]:off[j]], off[i:j + 1] - off[i])
                 parts.append((s, t + i, w))
             s, t, w = (np.concatenate(x) for x in zip(*parts))
@@ -144,154 +145,194 @@ def near_classes(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", te
     """id, ``class_id`` (smallest id of the class) and ``kept`` (id = class_id) of every row.
 
     Two texts are linked if their multisets of five-word shingles (white space between words, ASCII case ignored)
-    have a weighted Jaccard similarity of at least ``least``; classes are what hangs together. Equal texts are one
-    vertex. Candidates share a band of the signature; each link is verified on the whole texts.
-
-    First every text is compared with the centre of each of its buckets, the text that meets most others, and classes
-    form: at most BANDS comparisons a text, and mostly one in a group of copies, however large it is. What is left are pairs of one bucket in different classes.
-    They are not listed: a text that has been compared with a centre can only be near another one that holds enough of
-    its shingles that the centre lacks (``remaining``), and those are rare. No candidate pair is lost.
+    have a weighted Jaccard similarity of at least ``least`` (``text_classes``); classes are what hangs together.
 
     Null texts, texts without a word and null ids are classes of their own (a null id: null class). A text of fewer
-    than five words is one shingle. Rows that repeat an id get the smallest class of any of them. Other columns are
-    ignored; an empty table gives an empty result.
+    than five words is one shingle. Rows that repeat an id are one document: their texts hang together. Other columns
+    are ignored; an empty table gives an empty result.
+    """
+    rows = docs.filter(F.col(id_col).isNotNull())
+    sig = written(sketches(rows, id_col, text_col), "sketches")
+    classes, named = text_classes(rows, sig, least, id_col, text_col), sig.select("id", F.col("same").alias("node")).distinct()
+    twice = written(named.join(named.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "id"), "twice")
+    if not twice.isEmpty():
+        tied = twice.join(twice.groupBy("id").agg(F.min("node").alias("u")), "id").select("u", F.col("node").alias("v"))
+        classes = connected_components(classes.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(tied))
+    member = named.join(classes, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
+    first = member.groupBy("component").agg(F.min("id").alias("class_id"))
+    class_of = member.join(first, "component").select("id", "class_id").distinct()
+    out = docs.select(F.col(id_col).alias("id")).join(class_of, "id", "left")
+    found = F.coalesce("class_id", "id")
+    return out.select(F.col("id").alias(id_col), found.alias("class_id"), F.coalesce(F.col("id") == found, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each class of texts the row of smallest id stays.
+
+    Classes are those of texts (``text_classes``): of rows that repeat an id with different texts, both can stay. Of
+    rows of one id and one text the one of smallest hash over all columns stays, rows without an id come last. Null
+    texts and texts without a word all stay.
     """
+    own = docs.columns
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(f"`{id_col}`").alias("id"),
+                        identity(F.col(f"`{text_col}`").cast("string")).alias("node"), F.xxhash64(*[F.col(f"`{c}`") for c in own]).alias("hash"))
     sig = written(sketches(docs, id_col, text_col), "sketches")
-    reps = sig.groupBy("same").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("weight").alias("weight"))
+    classes = text_classes(docs, sig, least, id_col, text_col)
+    wordy = sig.select(F.col("same").alias("node")).distinct()
+    rows = keyed.select("id", "node", "hash").join(wordy, "node", "left_semi").join(classes, "node", "left")
+    rank = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("node").alias("c"), F.col("hash").alias("d"))
+    best = written(rows.groupBy(F.coalesce("component", "node").alias("g")).agg(F.min(rank).alias("r")), "kept")
+    best = best.select(F.col("r.c").alias("_node"), F.col("r.d").alias("_hash"), F.col("r.b").alias("_id"))
+    same_row = (F.col("node") == F.col("_node")) & (F.col("hash") == F.col("_hash")) & F.col("id").eqNullSafe(F.col("_id"))
+    kept = keyed.join(best, same_row, "left_semi").dropDuplicates(["node", "hash"])
+    rest = keyed.join(wordy, "node", "left_anti")
+    return kept.select("row").unionAll(rest.select("row")).select("row.*")
+
+
+GOES_ON = 8       # a bucket gets another centre while a centre takes at least this part (one in ...) of its texts
+
+
+def text_classes(docs: DataFrame, sig: DataFrame, least: float, id_col: str, text_col: str) -> DataFrame:
+    """``node`` (identity of a text) and ``component`` of the texts that hang together with others.
+
+    Candidates share a band of the signature; each link is verified on the whole texts. Equal texts are one node.
+    Pairs of a bucket are not listed. In rounds, all texts of a bucket that no centre has taken yet are compared with a
+    new centre, the one among them that meets most others; near ones are taken. This goes on while centres take a
+    fair part of what is left, so a text is compared a bounded number of times in each of its buckets, however large
+    the bucket is. A pair of a bucket that is not taken by one centre was compared with a common centre that is not
+    near one of them; such pairs are found by what the two have in common in their differences from it (``missing``).
+    """
+    reps = sig.groupBy(F.col("same").alias("node")).agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("weight").alias("weight"))
     reps = written(reps, "texts")
     rows = reps.select("node", "weight", F.explode(F.array_distinct("bands")).alias("bucket"))
     full = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = written(rows.join(full, "bucket"), "shared")
-    rank = shared.groupBy("node").agg(F.sum("n").alias("met"))              # with how many texts it shares a bucket
-    shared = shared.join(rank, "node")
-    first = shared.groupBy("bucket").agg(F.max(F.struct("met", "node", "weight")).alias("c"))
-    buckets = shared.join(first.select("bucket", F.col("c.node").alias("centre"), F.col("c.weight").alias("wc")), "bucket")
-    buckets = written(buckets.select("bucket", "node", "weight", "centre", "wc"), "buckets")
-    body = docs.select(F.col(id_col).alias("node"), F.col(text_col).cast("string").alias("text"))
-    body = body.withColumn("same", identity(F.col("text")))
-    wanted = reps.select("node", "same").join(buckets.select("node").distinct(), "node")
-    texts = written(body.join(wanted, ["node", "same"]).select("node", "text").dropDuplicates(["node"]), "texts")
-
-    star = buckets.filter("node <> centre and least(weight, wc) >= %r * greatest(weight, wc)" % least)
-    star = star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    tested = written(verify(star, texts), "tested")
-    links = tested.filter(F.col("similarity") >= least).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    met = shared.groupBy("node").agg(F.sum("n").alias("met"))              # with how many texts it shares a bucket
+    body = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("node", identity(F.col("text")))
+    wanted = reps.join(met, "node", "left_semi").select("node", F.col("id").alias("__id"))
+    body = body.join(wanted.withColumnRenamed("node", "__node"), (F.col("node") == F.col("__node")) & F.col("id").eqNullSafe(F.col("__id")), "left_semi")
+    texts = written(body.select("node", "text").dropDuplicates(["node"]), "texts")
+    left = written(shared.select("bucket", "node", "weight").join(met, "node"), "open")
+
+    done, judged = [], []                                                   # comparisons of the rounds, and what they mean for buckets
+    union = lambda parts: functools.reduce(DataFrame.unionAll, parts)
+    while not left.isEmpty():
+        first = left.groupBy("bucket").agg(F.max(F.struct("met", "node", "weight")).alias("c"), F.count(F.lit(1)).alias("n"))
+        stars = left.join(first.select("bucket", "n", F.col("c.node").alias("c")), "bucket").filter("node <> c")
+        pairs = stars.select("node", "c").distinct()
+        if done:
+            pairs = pairs.join(union(done).select("node", "c"), ["node", "c"], "left_anti")
+        done.append(written(verify(pairs, texts).select("node", "c", (F.col("similarity") >= least).alias("near")), "tested"))
+        stars = written(stars.join(union(done), ["node", "c"]), "stars")
+        took = stars.groupBy("bucket").agg(F.sum(F.col("near").cast("long")).alias("k"), F.first("n").alias("n"))
+        # one text left has no partner left; a centre that takes none, or too few, is the bucket's last
+        on = took.filter(f"k > 0 and (k + 1) * {GOES_ON} >= n and n - 1 - k > 1").select("bucket", F.lit(True).alias("on"))
+        stars = stars.join(on, "bucket", "left").withColumn("last", F.col("on").isNull())
+        left = written(stars.filter("not last and not near").select("bucket", "node", "weight", "met"), "open")
+        judged.append(stars.select("c", "node", "near", "last"))
+    if not done:
+        return reps.select("node", F.col("node").alias("component")).filter("false")
+    tested, judged = union(done), union(judged)
+    links = tested.filter("near").select(F.col("node").alias("u"), F.col("c").alias("v"))
     classes = connected_components(links)
-    rest = written(verify(remaining(buckets, classes, tested, texts, least), texts), "tested")
-    more = rest.filter(F.col("similarity") >= least).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    if not more.isEmpty():
-        classes = connected_components(classes.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more))
-    same_text = sig.select("id", "same").join(reps.select("same", "node"), "same")
-    member = same_text.join(classes, "node", "left").groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("component"))
-    out = docs.select(F.col(id_col).alias("id")).join(member, "id", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), component.alias("class_id"),
-                      F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
-
-
-def remaining(buckets: DataFrame, classes: DataFrame, tested: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) that share a bucket, are in different classes and may still be linked.
-
-    In a bucket, the texts outside its commonest class are loose; a missing link has a loose end A. Let c be the text
-    with which A has most in common so far (``tested``), O their overlap, and R what A holds beyond c. A text x of
-    weight w is near A only if they share t / (1 + t) * (|A| + w) shingles, of which at most O are in c; so x holds at
-    least theta = t / (1 + t) * (|A| + w) - O of R, where w is at least the least weight in A's buckets. Of R sorted by frequency, the commonest shingles of a total below theta
-    may be left out, and x must hold one of the others: an exact join on rare shingles. Only where theta is not positive
-    (A just misses c, and x is shorter) the members of the bucket of that weight are taken themselves.
+    rest = missing(judged, tested, classes, reps.select("node", "weight"), texts, least)
+    more = written(verify(rest, texts).filter(F.col("similarity") >= least).select(F.col("node").alias("u"), F.col("c").alias("v")), "links")
+    if more.isEmpty():
+        return classes
+    return connected_components(classes.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more))
+
+
+def missing(judged: DataFrame, tested: DataFrame, classes: DataFrame, weights: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (node, c) of different classes that may be near though no common centre took both.
+
+    Say both were compared with the centre c, and A is not near it. For a text X let E be the shingles of c that X
+    lacks and D those that X has beyond c, with multiplicity. Counting gives that A and X are near if and only if the
+    differences that they have in common (of E_A and E_X, and of D_A and D_X) weigh at least g_A + g_X - base, where
+    g = (1 - s) |E| + s |D|, s = t / (1 + t) and base = (1 - 2 s) |c|. As A is not near c, theta = g_A - base is
+    positive: X must share at least g_X + theta of its differences, and A at least theta + g_X of its own. So with the
+    differences in one order, rare ones first, both hold the rarest common one after the commonest of a total below
+    that bound have been left out: an exact join on (centre, difference).
+
+    A asks if it is not near c; X holds if it is near c or c was its bucket's last centre. Who finds only its own class
+    on the other side is left out, and differences that nobody on the other side has are not counted.
     """
-    share, kind = least / (1 + least), dict(texts.dtypes)["node"]
-    now = buckets.join(classes, "node", "left").select("bucket", "node", "weight", F.coalesce("component", "node").alias("class"))
-    now = written(now, "classes")
-    sizes = now.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "class")).alias("top"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    opened = written(now.join(main.select("bucket", F.col("top.class").alias("main")), "bucket"), "open")
-    loose = opened.filter("class <> main")
-    both = tested.select(F.col("a").alias("node"), F.col("b").alias("c"), "overlap").unionAll(
-        tested.select(F.col("b").alias("node"), F.col("a").alias("c"), "overlap"))
-    centre = both.groupBy("node").agg(F.max(F.struct("overlap", "c")).alias("m")).select("node", "m.c")
-    lightest = opened.groupBy("bucket").agg(F.min("weight").alias("w"))
-    # all buckets of an asker count, not only those it is loose in: it also asks for texts that leave a pair to it
-    asked = opened.join(loose.select("node").distinct(), "node", "left_semi")
-    ends = asked.join(lightest, "bucket").groupBy("node", "weight", "class").agg(F.min("w").alias("least"))
-    ask = ends.join(centre, "node", "left").join(texts, "node")
-    ask = ask.join(texts.select(F.col("node").alias("c"), F.col("text").alias("tc")), "c", "left").select(
-        "node", "weight", "class", "least", F.coalesce("c", "node").alias("c"), "text", "tc")
-    pair_arrow = pa.list_(pa.struct([("h", pa.int64()), ("m", pa.int64())]))
-
-    def beyond(parts):
-        for b in parts:
-            n, cols = b.num_rows, []
-            (da, oa), (db, ob) = utf8(b.column(5)), utf8(b.column(6))
-            for lo in range(0, n, 256):
-                hi = min(lo + 256, n)
-                x, y = (bag(d[o[lo]:o[hi]], o[lo:hi + 1] - o[lo]) for d, o in ((da, oa), (db, ob)))
-                at, hit = _find(x, y)
-                both = np.zeros(len(x[0]), np.int64)
-                both[hit] = np.minimum(x[2][hit], y[2][at[hit]])
-                overlap = np.bincount(x[1], both, hi - lo)
-                left = x[2] - both
-                keep = left > 0
-                ends = np.searchsorted(x[1][keep], np.arange(hi - lo + 1))
-                pairs = pa.StructArray.from_arrays([pa.array(x[0][keep].astype(np.int64)), pa.array(left[keep])], names=["h", "m"])
-                cols.append((overlap, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pairs)))
-            if n:
-                yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(np.concatenate([c[0] for c in cols])),
-                                                  pa.concat_arrays([c[1].cast(pair_arrow) for c in cols])],
-                                                 names=["node", "weight", "class", "least", "c", "overlap", "beyond"])
-
-    base = written(ask.mapInArrow(tidy(beyond), f"node {kind}, weight long, class {kind}, least long, c {kind}, overlap double, beyond array<struct<h:long,m:long>>"), "beyond")
-    start = F.greatest(F.col("weight") * least, F.col("least").cast("double"))
-    low = F.greatest(start, F.col("overlap") / share - F.col("weight"))      # theta is not positive below
-    base = base.withColumn("start", start).withColumn("low", low).withColumn("theta", F.greatest(share * (F.col("weight") + F.col("low")) - F.col("overlap") - 1e-6, F.lit(1e-6)))
-    res = base.select("node", "weight", "class", "c", "overlap", "low", "theta", F.explode("beyond").alias("s")).select(
-        "node", "weight", "class", "c", "overlap", "low", "theta", "s.h", "s.m")
-    # of two loose texts with one centre the one that has less in common with it asks: its theta is the larger
-    mine = ~F.coalesce((F.col("xc") == F.col("c")) & (F.col("xo") < F.col("overlap")), F.lit(False))
-    known = base.select("node", F.col("c").alias("xc"), F.col("overlap").alias("xo"))
-
-    def holders(parts):
+    share = least / (1 + least)
+    pair = judged.groupBy("c", "node").agg(F.max("near").alias("near"), F.max("last").alias("last"))
+    pair = pair.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
+    role = F.explode(F.filter(F.array(F.when(~F.col("near"), F.lit("a")), F.when(F.col("near") | F.col("last"), F.lit("h"))), lambda x: x.isNotNull()))
+    roles = written(pair.select("c", "node", "class", role.alias("role")), "roles")
+    kinds = roles.groupBy("c", F.when(F.col("role") == "a", "h").otherwise("a").alias("role")).agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+    roles = written(roles.join(kinds, ["c", "role"]).filter("not (lo = class and hi = class)").select("c", "node", "class", "role"), "roles")
+    both = roles.groupBy("c", "node").agg((F.count(F.lit(1)) > 1).alias("twin")).join(texts.withColumnRenamed("text", "tx"), "node")
+    both = both.join(texts.select(F.col("node").alias("c"), F.col("text").alias("tc")), "c").select("node", "c", "tx", "tc", "twin")
+    features = pa.list_(pa.struct([("f", pa.int64()), ("m", pa.int64())]))
+
+    def differ(parts):
         for b in parts:
-            data, off = utf8(b.column(5))
-            for i, j in slices(off, 1 << 20):
-                h, row, _ = bag(data[off[i]:off[j]], off[i:j + 1] - off[i])
-                at = pa.array(row + i)
-                yield pa.RecordBatch.from_arrays([*[b.column(k).take(at) for k in range(5)], pa.array(h.astype(np.int64))],
-                                                 names=["x", "wx", "cx", "xc", "xo", "h"])
-
-    members = opened.select("node", "weight", "class").distinct().join(known, "node", "left").join(texts, "node")
-    held = members.mapInArrow(tidy(holders), f"x {kind}, wx long, cx {kind}, xc {kind}, xo double, h long").join(res.select("h").distinct(), "h")
-    held = written(held, "holders")
-    seen = held.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    so_far = F.sum("m").over(Window.partitionBy("node").orderBy(F.desc("df"), "h").rowsBetween(Window.unboundedPreceding, 0))
-    rare = res.join(seen, "h").withColumn("so_far", so_far).filter("so_far >= theta and df > 1")
-    near = rare.join(held, "h").filter((F.col("class") != F.col("cx")) & mine & (F.col("wx") >= F.col("low")) & (F.col("wx") * least <= F.col("weight")))
-    near = near.select("node", "x")
-    short = base.filter("low > start").select("node", "c", "overlap", "low")
-    short = opened.join(short, "node").select("bucket", "node", "weight", "class", "main", "c", "overlap", "low")
-    other = opened.join(known, "node", "left").select("bucket", "main", F.col("node").alias("x"), F.col("weight").alias("wx"), F.col("class").alias("cx"), "xc", "xo")
-    fits = (F.col("class") != F.col("cx")) & (F.col("wx") <= F.col("low")) & (F.col("wx") >= F.col("weight") * least)
-    close = short.filter("class <> main").join(other.drop("main"), "bucket").filter(fits & mine).select("node", "x")
-    # in a bucket of its own class a text asks for what the loose ones there leave to it (``mine``)
-    left = other.filter("cx <> main and xc is not null").withColumnRenamed("xc", "c").drop("main")
-    left = short.filter("class = main").join(left, ["bucket", "c"]).filter(fits & (F.col("xo") > F.col("overlap"))).select("node", "x")
-    pairs = near.unionAll(close).unionAll(left).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-    return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            (dx, ox), (dc, oc) = utf8(b.column(2)), utf8(b.column(3))
+            for lo in range(0, b.num_rows, 64):
+                hi = min(lo + 64, b.num_rows)
+                x, c = (bag(d[o[lo]:o[hi]], o[lo:hi + 1] - o[lo]) for d, o in ((dx, ox), (dc, oc)))
+                rows, gap, sign = [], [], []
+                for one, other, minus in ((x, c, False), (c, x, True)):
+                    at, hit = _find(one, other)
+                    m = one[2].copy()
+                    m[hit] -= np.minimum(one[2][hit], other[2][at[hit]])
+                    keep = m > 0
+                    h = one[0][keep].astype(np.int64)
+                    rows.append(one[1][keep])
+                    gap.append(m[keep])
+                    sign.append(~h if minus else h)
+                row, m, f = (np.concatenate(z) for z in (rows, gap, sign))
+                order = np.argsort(row, kind="stable")
+                row, m, f = row[order], m[order], f[order]
+                n = hi - lo
+                more, less = (np.bincount(row[k], m[k], n) for k in (f >= 0, f < 0))
+                g = (1 - share) * less + share * more
+                ends = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
+                found = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(f), pa.array(m)], names=["f", "m"]))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), b.column(1).slice(lo, n), pa.array(g),
+                                                  pa.array(g - (1 - 2 * share) * np.bincount(c[1], c[2], n)), found.cast(features), b.column(4).slice(lo, n)],
+                                                 names=["node", "c", "g", "theta", "features", "twin"])
+
+    base = written(both.mapInArrow(tidy(differ), "node binary, c binary, g double, theta double, features array<struct<f:long,m:long>>, twin boolean"), "differences")
+    roles = roles.join(base.select("node", "c", "g", "theta"), ["node", "c"]).join(weights, "node")
+    own = F.when(F.col("role") == "a", F.col("theta")).otherwise(F.col("g"))
+    bounds = roles.groupBy("c", F.when(F.col("role") == "a", "h").otherwise("a").alias("role")).agg(F.min(own).alias("least"))
+    roles = roles.withColumn("own", own).join(bounds, ["c", "role"]).withColumn("need", F.col("own") + F.col("least") - 1e-6)
+    roles = written(roles.select("c", "node", "class", "role", "weight", "own", "need"), "roles")
+    flat = base.select("node", "c", "twin", F.explode("features").alias("s")).select("node", "c", "twin", "s.f", "s.m").join(roles, ["node", "c"])
+    flat = written(flat, "features")
+    asks = F.col("role") == "a"
+    seen = flat.groupBy("c", "f").agg(F.sum(asks.cast("long")).alias("na"), F.sum((~asks).cast("long")).alias("nh"))
+    useful = F.when(asks, F.col("nh")).otherwise(F.col("na")) > F.col("twin").cast("int")     # somebody else on the other side
+    flat = flat.join(seen, ["c", "f"]).filter(useful)
+    each = Window.partitionBy("c", "node", "role")
+    so_far = F.sum("m").over(each.orderBy(F.desc(F.col("na") + F.col("nh")), "f").rowsBetween(Window.unboundedPreceding, 0))
+    rare = flat.withColumn("so_far", so_far).withColumn("sum", F.sum("m").over(each)).filter("so_far >= need")
+    rare = written(rare.select("c", "f", "node", "class", "role", "weight", "own", "sum"), "rare")
+    a = rare.filter(asks).drop("role")
+    h = rare.filter(~asks).select("c", "f", *[F.col(x).alias(f"x_{x}") for x in ("node", "class", "weight", "own", "sum")])
+    fits = (F.col("class") != F.col("x_class")) & (F.col("node") != F.col("x_node")) & (F.least("weight", "x_weight") >= least * F.greatest("weight", "x_weight"))
+    fits = fits & (F.col("own") + F.col("x_own") - 1e-6 <= F.least("sum", "x_sum"))
+    pairs = a.join(h, ["c", "f"]).filter(fits).select(F.least("node", "x_node").alias("node"), F.greatest("node", "x_node").alias("c")).distinct()
+    known = tested.select(F.least("node", "c").alias("node"), F.greatest("node", "c").alias("c"))
+    return pairs.join(known, ["node", "c"], "left_anti")
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, overlap, similarity) of pairs of nodes, on the whole texts."""
-    kind = dict(texts.dtypes)["node"]
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    """(node, c, overlap, similarity) of pairs of nodes, on the whole texts."""
+    left = texts.select("node", F.col("text").alias("ta"))
+    right = texts.select(F.col("node").alias("c"), F.col("text").alias("tb"))
+    both = pairs.join(left, "node").join(right, "c").select("node", "c", "ta", "tb")
 
     def run(parts):
         for b in parts:
             if b.num_rows:
                 common, total = overlaps(b.column(2), b.column(3))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(common), pa.array(common / np.maximum(total - common, 1))],
-                                                 names=["a", "b", "overlap", "similarity"])
-    return both.mapInArrow(tidy(run), f"a {kind}, b {kind}, overlap long, similarity double")
+                                                 names=["node", "c", "overlap", "similarity"])
+    return both.mapInArrow(tidy(run), "node binary, c binary, overlap long, similarity double")
 
 
 def identity(text):

@@ -146,7 +146,8 @@ def upper_trees(words: DataFrame, sample: int = SAMPLE, cell: int = CELL) -> dic
     """For each length of word a tree that cuts the words into cells: (tree, number of its first cell, parts of each
     cell). A cell that cannot be cut further, but holds many words by the sample, is dealt to several parts by hash."""
     total = words.count()
-    some = [r.word for r in words.select("word").orderBy(F.xxhash64("word"), "word").limit(sample).collect()]
+    share = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(min(1.0, sample / max(total, 1)) * (1 << 30))
+    some = sorted(r.word for r in words.filter(share).select("word").collect())       # about ``sample`` words
     by_length: dict[int, list] = {}
     for w in some:
         by_length.setdefault(len(w), []).append(w)

@@ -359,26 +359,80 @@ def test_near_classes_in_a_large_group(spark):
     assert got == slow_classes(rows) and got[2001] == 2000 and got[2002] == 2002
 
 
-def test_a_pair_left_to_a_text_of_the_main_class(spark):
-    # 1 and 2 both just miss the longer centre 9; 2 has less in common with it, so 1 leaves the pair to 2. Their only
-    # common bucket is one where 2 is of the main class (with 3), and 1 is too light for 2's exact join.
-    w = ["w%d" % i for i in range(124)]
-    x = w[7:107] + ["x%d" % i for i in range(4)]
-    texts = {9: w, 1: w[:101] + ["a0", "a1", "a2"], 2: x, 3: x[20:104]}
-    bags = {k: slow_bag(" ".join(v)) for k, v in texts.items()}
-    common = lambda a, b: sum((bags[a] & bags[b]).values())
-    assert [sum(bags[k].values()) for k in (9, 1, 2, 3)] == [120, 100, 100, 80]
-    member = [(1, 1, 3), (1, 2, 3), (1, 3, 3), (2, 1, 9), (2, 9, 9), (3, 2, 9), (3, 9, 9)]
-    buckets = spark.createDataFrame([(b, k, sum(bags[k].values()), c, sum(bags[c].values())) for b, k, c in member],
-                                    "bucket long, node long, weight long, centre long, wc long")
-    tested = [(a, b, common(a, b), common(a, b) / (sum(bags[a].values()) + sum(bags[b].values()) - common(a, b)))
-              for a, b in ((1, 3), (2, 3), (1, 9), (2, 9))]
-    assert [t[3] >= 0.8 for t in tested] == [False, True, False, False]
-    body = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "node long, text string")
-    got = near_texts.remaining(buckets, spark.createDataFrame([(2, 2), (3, 2)], "node long, component long"),
-                               spark.createDataFrame(tested, "a long, b long, overlap long, similarity double"), body, 0.8)
-    links = near_texts.verify(got, body).filter("similarity >= 0.8").collect()
-    assert (1, 2) in [(r["a"], r["b"]) for r in links]
+def test_missing_finds_every_pair_that_no_centre_took(spark):
+    """Texts around one centre, edited by replacing, deleting, inserting and trimming: each near pair that the star
+    does not put into one class is among the pairs to verify, and they are few."""
+    rng = np.random.default_rng(9)
+    c = ["w%d" % i for i in range(120)]
+    texts = {0: " ".join(c)}
+    for k in range(1, 140):
+        w, kind = list(c), int(rng.integers(0, 4))
+        for _ in range(int(rng.integers(1, 9))):
+            at = int(rng.integers(0, len(w)))
+            if kind == 0:
+                w[at] = "x%d" % rng.integers(0, 10**6)
+            elif kind == 1:
+                del w[at]
+            elif kind == 2:
+                w.insert(at, "y%d" % rng.integers(0, 3))
+        if kind == 3:
+            lo = int(rng.integers(0, 30))
+            w = w[lo:lo + int(rng.integers(60, 120))] + w[:int(rng.integers(1, 12))]
+        texts[k] = " ".join(w)
+    bags = {k: slow_bag(t) for k, t in texts.items()}
+    size = {k: sum(b.values()) for k, b in bags.items()}
+
+    def near(a, b):
+        n = sum((bags[a] & bags[b]).values())
+        return n / (size[a] + size[b] - n) >= 0.8
+    name = lambda k: k.to_bytes(2, "big")
+    star = [(name(0), name(k), near(0, k), True) for k in texts if k]
+    classes = [(name(k), name(0)) for k in texts if k == 0 or near(0, k)]
+    judged = spark.createDataFrame(star, "c binary, node binary, near boolean, last boolean")
+    tested = judged.select("node", "c", "near")
+    got = near_texts.missing(judged, tested, spark.createDataFrame(classes, "node binary, component binary"),
+                             spark.createDataFrame([(name(k), n) for k, n in size.items()], "node binary, weight long"),
+                             spark.createDataFrame([(name(k), t) for k, t in texts.items()], "node binary, text string"), 0.8)
+    found = {(int.from_bytes(r.node, "big"), int.from_bytes(r.c, "big")) for r in got.collect()}
+    loose = [k for k in texts if k and not near(0, k)]
+    want = {(min(a, b), max(a, b)) for a in loose for b in texts if b and a != b and near(a, b)}
+    assert len(loose) > 30 and len(want) > 20 and want <= found
+    assert len(found) < 0.25 * len(loose) * len(texts)
+
+
+def test_rows_that_repeat_an_id_are_one_document(spark):
+    a, b = " ".join("a%d" % i for i in range(60)), " ".join("b%d" % i for i in range(60))
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (4, "quite another text of a few words"), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), str(r.class_id), r.kept) for r in near_texts.near_classes(df).collect())
+    assert got == [("1", "1", True), ("1", "1", True), ("2", "1", False), ("3", "1", False), ("4", "4", True), ("None", "None", True)]
+    kept = sorted((r.doc_id, r.text) for r in near_texts.one_of_each(df).collect())
+    assert kept == sorted([(1, a), (1, b), (4, rows[4][1])])                # two texts of one id are not near
+
+
+def test_one_of_each_keeps_one_row_a_class(spark, odd, empty):
+    a = " ".join("a%d" % i for i in range(60))
+    rows = [(5, a, "x"), (5, a, "y"), (5, a, "y"), (None, a + " q", "x"), (9, None, "x"), (9, None, "x"), (7, "", "x"), (None, "alone here", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    one = near_texts.one_of_each(df).collect()
+    assert sorted(map(str, [(r.doc_id, r.text) for r in one])) == sorted(map(str, [(5, a), (9, None), (9, None), (7, ""), (None, "alone here")]))
+    assert one == near_texts.one_of_each(df.repartition(3)).collect() or sorted(map(str, one)) == sorted(map(str, near_texts.one_of_each(df.repartition(3)).collect()))
+    assert near_texts.one_of_each(odd).columns == odd.columns and near_texts.one_of_each(empty).count() == 0
+
+
+def test_two_large_groups_in_one_bucket_and_their_links(spark):
+    """A centre takes one group, the next centre the other; links between the groups are found."""
+    rng = np.random.default_rng(21)
+    c = ["w%d" % i for i in range(140)]
+    d = c[:118] + ["v%d" % i for i in range(22)]                               # about 0.7 of c
+    rows = []
+    for k in range(260):
+        w = list(c if k % 2 else d)
+        for _ in range(int(rng.integers(0, 4))):
+            w[int(rng.integers(0, 140))] = "x%d" % rng.integers(0, 40)
+        rows.append((k, " ".join(w)))
+    got = {r["doc_id"]: r["class_id"] for r in near_texts.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == slow_classes(rows)
 
 
 def test_near_classes_of_trimmed_copies_around_longer_centres(spark):
