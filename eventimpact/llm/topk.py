@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from .common import partitions, written
 
 BLOCK, ASKED = 1024, 256   # vectors of a block of the index, queries of a block of queries
+TILE = 64                  # blocks of queries that share one copy of a block of the index
+STEPS = (1, 4, 16, None)   # annuli that a block of queries searches in each round; in the last all that are left in reach
+LOWEST = -2**62            # below all scores
 PIVOTS, SAMPLE = 64, 4096  # pivots, and the vectors they are chosen from (any pivots give the same result)
 
 
@@ -52,9 +55,10 @@ def top_products(vectors: DataFrame, k: int = 20, every: int = 20, scale: int =
 
     A component is floor(scale * x). With one more coordinate that gives all vectors the same norm, a higher product
     is a smaller Euclidean distance. Vectors are keyed by nearest pivot and distance, sorted and cut into blocks,
-    each an annulus around its pivot. A block of queries first searches the nearest annulus of its own pivot; the
-    k-th score found bounds how far a better one can lie, and by the triangle inequality only annuli that reach
-    into that distance are searched. Block pairs emit at most k rows a query, none below its bound.
+    each an annulus around its pivot. Blocks of queries search annuli in the order of their distance, in rounds: the
+    k-th score found so far bounds how far a better one can lie, and by the triangle inequality only annuli that reach
+    into that distance are searched. A block of the index travels once to each tile of queries; a pair of blocks gives
+    at most k rows a query, none below its bound.
 
     Null, empty or non-finite vectors and null ids take no part, zero vectors do. Only vectors of one length are
     compared. A query with fewer than k others returns all. Products must fit 64 bits.
@@ -127,37 +131,13 @@ def top_products(vectors: DataFrame, k: int = 20, every: int = 20, scale: int =
 
     base = index(rows, False, BLOCK)
     asked = index(rows.filter(F.pmod("id", F.lit(every)) == 0), True, ASKED).select(
-        F.col("block").alias("q"), "dim", F.col("pivot").alias("own"), F.col("near").alias("qnear"), F.col("far").alias("qfar"),
-        F.col("ids").alias("qids"), F.col("vecs").alias("qvecs"))
+        F.col("block").alias("q"), "dim", F.col("ids").alias("qids"), F.col("vecs").alias("qvecs"))
     annuli = base.select("block", "dim", "pivot", "near", "far")
-
-    def search(parts):
-        """Scores of a block of queries with a block of the index."""
-        for b in parts:
-            for r in b.to_pylist():
-                ids, qids = np.array(r["ids"]), np.array(r["qids"])
-                x, q = (np.frombuffer(r[c], "<i8").reshape(-1, r["dim"]) for c in ("vecs", "qvecs"))
-                s = products(q, x)
-                own = qids[:, None] == ids[None, :]
-                tau = np.array(r["tau"]) if "tau" in r else np.full(len(q), np.iinfo(np.int64).min)
-                yield r, ids, qids, s, own, tau
-
-    def bound(parts):
-        for r, ids, qids, s, own, _ in search(parts):
-            s = np.where(own, np.iinfo(np.int64).min, s)
-            tau = -np.partition(-s, k - 1, axis=1)[:, k - 1] if s.shape[1] > k else np.full(len(s), np.iinfo(np.int64).min)
-            yield pa.RecordBatch.from_pylist([{"q": r["q"], "tau": tau.tolist()}], pa.schema([("q", pa.int64()), ("tau", pa.list_(pa.int64()))]))
-
-    gap = F.abs(F.col("near") + F.col("far") - F.col("qnear") - F.col("qfar"))
-    home = asked.select("q", "dim", "own", "qnear", "qfar").join(annuli.withColumnRenamed("pivot", "own"), ["dim", "own"])
-    home = home.groupBy("q").agg(F.min_by("block", F.struct(gap.alias("g"), "block")).alias("block"))
-    first = home.join(asked.drop("dim"), "q").join(base.select("block", "dim", "ids", "vecs"), "block")
-    tau = written(first.mapInArrow(bound, "q long, tau array<long>"), "bounds")
-    lowest = F.transform("qids", lambda _: F.lit(-2**63).cast("long"))
-    queries = asked.join(tau, "q", "left").withColumn("tau", F.coalesce("tau", lowest))
-    queries = written(queries.select("q", "dim", "qids", "qvecs", "tau"), "queries")
+    tiles = max(1, asked.count() // TILE)
+    queries = asked.withColumn("tau", F.transform("qids", lambda _: F.lit(LOWEST).cast("long")))
 
     def reach(parts):
+        """For a block of queries and each pivot: their distances to it, and between what distances a better score can lie."""
         pv, top = shared.value
         for b in parts:
             out = []
@@ -166,28 +146,61 @@ def top_products(vectors: DataFrame, k: int = 20, every: int = 20, scale: int =
                 t = np.array(r["tau"], np.float64)
                 far = np.sqrt(np.maximum((x * x).sum(1) + top[r["dim"]] - 2 * t, 0)) * (1 + 1e-9) + 1e-3
                 d = distances(x, np.zeros(len(x)), pv[r["dim"]])
-                out += [{"q": r["q"], "dim": r["dim"], "pivot": p, "lo": float(np.min(d[:, p] - far)), "hi": float(np.max(d[:, p] + far))}
-                        for p in range(d.shape[1])]
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("q", pa.int64()), ("dim", pa.int32()), ("pivot", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64())]))
-
-    ranges = queries.mapInArrow(reach, "q long, dim int, pivot int, lo double, hi double")
-    pairs = written(ranges.join(annuli, ["dim", "pivot"]).filter("far >= lo and near <= hi").select("q", "block"), "pairs")
-    both = pairs.join(queries.drop("dim"), "q").join(base.select("block", "dim", "ids", "vecs"), "block")
-
-    def best(parts):
-        for r, ids, qids, s, own, tau in search(parts):
-            hit = (s >= tau[:, None]) & ~own
-            rows_, cols = [], []
-            for i in np.flatnonzero(hit.any(1)):
-                c = np.flatnonzero(hit[i])
-                if len(c) > k:
-                    c = c[np.lexsort((ids[c], -s[i, c]))[:k]]
-                rows_.append(np.full(len(c), i))
-                cols.append(c)
-            if rows_:
+                out += [{"q": r["q"], "dim": r["dim"], "pivot": p, "from": float(d[:, p].min()), "to": float(d[:, p].max()),
+                         "lo": float(np.min(d[:, p] - far)), "hi": float(np.max(d[:, p] + far))} for p in range(d.shape[1])]
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("q", pa.int64()), ("dim", pa.int32()), ("pivot", pa.int32()), ("from", pa.float64()),
+                                                             ("to", pa.float64()), ("lo", pa.float64()), ("hi", pa.float64())]))
+
+    def search(parts):
+        """The best scores of blocks of queries with a block of the index, which comes before them, once a tile."""
+        ids, x = None, None
+        for b in parts:
+            for r in b.to_pylist():
+                vecs = np.frombuffer(r["vecs"], "<i8").reshape(-1, r["dim"])
+                if r["tau"] is None:
+                    ids, x = np.array(r["ids"]), vecs
+                    continue
+                qids, tau = np.array(r["ids"]), np.array(r["tau"])
+                s = products(vecs, x)
+                hit = (s >= tau[:, None]) & (qids[:, None] != ids[None, :])
+                rows_, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for i in np.flatnonzero(hit.any(1)):
+                    c = np.flatnonzero(hit[i])
+                    if len(c) > k:
+                        c = c[np.lexsort((ids[c], -s[i, c]))[:k]]
+                    rows_.append(np.full(len(c), i))
+                    cols.append(c)
                 i, c = np.concatenate(rows_), np.concatenate(cols)
                 yield pa.RecordBatch.from_arrays([pa.array(qids[i]), pa.array(ids[c]), pa.array(s[i, c])], names=["query_id", "vec_id", "score"])
 
-    found = both.mapInArrow(best, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def best(found):
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+    columns = ["block", "tile", "q", "dim", "ids", "vecs", "tau"]
+    found, seen = None, None
+    for take in STEPS:
+        ranges = queries.mapInArrow(reach, "q long, dim int, pivot int, `from` double, to double, lo double, hi double")
+        pairs = ranges.join(annuli, ["dim", "pivot"]).filter("far >= lo and near <= hi")
+        if seen is not None:
+            pairs = pairs.join(seen, ["q", "block"], "left_anti")
+        if take:                                                  # annuli in the order of their least distance
+            gap = F.greatest(F.col("near") - F.col("to"), F.col("from") - F.col("far"), F.lit(0.0))
+            middle = F.abs(F.col("near") + F.col("far") - F.col("from") - F.col("to"))
+            order = F.row_number().over(Window.partitionBy("q").orderBy(gap, middle, "block"))
+            pairs = pairs.withColumn("order", order).filter(F.col("order") <= take)
+        pairs = written(pairs.select("q", "block", F.pmod("q", F.lit(tiles)).alias("tile")), "pairs")
+        seen = pairs.select("q", "block") if seen is None else seen.unionAll(pairs.select("q", "block"))
+        asks = pairs.join(queries, "q").select("block", "tile", "q", "dim", F.col("qids").alias("ids"), F.col("qvecs").alias("vecs"), "tau")
+        held = pairs.select("block", "tile").distinct().join(base, "block")
+        held = held.withColumn("q", F.lit(-1).cast("long")).withColumn("tau", F.lit(None).cast("array<long>"))
+        both = held.select(columns).unionAll(asks.select(columns)).repartition(partitions(spark), "block", "tile")
+        new = both.sortWithinPartitions("block", "tile", "q").mapInArrow(search, "query_id long, vec_id long, score long")
+        found = written(best(new if found is None else found.unionAll(new)).drop("rank"), "found")
+        if take:
+            kth = found.groupBy("query_id").agg(F.min("score").alias("score"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k)
+            each = queries.select("q", F.posexplode("qids").alias("i", "query_id")).join(kth, "query_id", "left")
+            bound = F.struct("i", F.coalesce("score", F.lit(LOWEST)).alias("t"))
+            tau = each.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(bound)), lambda z: z["t"]).alias("tau"))
+            queries = written(queries.drop("tau").join(tau, "q"), "queries")
+    return best(found).select("query_id", "rank", "vec_id", "score")

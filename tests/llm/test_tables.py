@@ -166,6 +166,33 @@ def test_top_products(spark, monkeypatch):
     check_top(topk.top_products(df).collect(), slow_top([(i, [int(np.floor(64 * c)) for c in v]) for i, v in rows]))
 
 
+def test_top_products_of_clustered_unit_vectors(spark):
+    """Queries and their own rows fall into the same annuli, which hold far more than k vectors."""
+    rng = np.random.default_rng(17)
+    centres = rng.normal(size=(60, 64))
+    x = centres[rng.integers(0, 60, 4800)] + 0.2 * rng.normal(size=(4800, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[1000:1040] = x[1000]                                            # ties
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    z = np.floor(64 * x).astype(np.int64)
+    s = z[::20] @ z.T
+    want = {}
+    for a in range(240):
+        order = [j for j in np.lexsort((np.arange(4800), -s[a])) if j != 20 * a][:20]
+        want[20 * a] = [(int(j), int(s[a, j])) for j in order]
+    check_top(topk.top_products(df).collect(), want)
+
+
+def test_top_products_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    monkeypatch.setattr(topk, "ASKED", 4)
+    monkeypatch.setattr(topk, "TILE", 2)
+    rng = np.random.default_rng(18)
+    x = rng.normal(size=(900, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    check_top(topk.top_products(df, 7, 10).collect(), slow_top([(i, [int(np.floor(64 * c)) for c in v]) for i, v in enumerate(x)], 7, 10))
+
+
 def test_top_product_cases(spark):
     nan = float("nan")
     rows = [(0, [1.0, 1.0]), (20, [0.0, 0.0]), (40, [nan, 1.0]), (60, None), (80, [1.0, None]), (100, [1.0, 1.0, 1.0]), (3, [-1.0, 5.0]), (4, [2.0, 1e9]),
