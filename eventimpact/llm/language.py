@@ -26,14 +26,58 @@ def windows(data: np.ndarray, off: np.ndarray, depth: int) -> np.ndarray:
     return code
 
 
+@dataclass
+class Children:
+    """The node that a node and a symbol lead to, of one level. Sparse: an open-addressed table of at least twice as
+    many slots as paths, so it grows with the paths seen, not with contexts times symbols."""
+    width: int
+    none: int                   # the node of paths never seen
+    keys: np.ndarray            # node * width + symbol + 1, 0 in empty slots
+    nodes: np.ndarray
+
+    @classmethod
+    def of(cls, width: int, up: np.ndarray, symbol: np.ndarray) -> Children:
+        """Child i hangs below node ``up[i]`` by ``symbol[i]``."""
+        key = up.astype(np.uint64) * np.uint64(width) + symbol.astype(np.uint64) + np.uint64(1)
+        size = 1 << max(4, int(2 * len(key)).bit_length())
+        keys, nodes = np.zeros(size, np.uint64), np.full(size, len(key), np.int32)
+        slot, todo = cls.slots(key, size), np.arange(len(key))
+        while len(todo):
+            free = keys[slot[todo]] == 0
+            keys[slot[todo[free]]] = key[todo[free]]           # of several for one slot the last stays
+            won = keys[slot[todo]] == key[todo]
+            nodes[slot[todo[won]]] = todo[won]
+            todo = todo[~won]
+            slot[todo] = (slot[todo] + 1) & (size - 1)
+        return cls(width, len(key), keys, nodes)
+
+    @staticmethod
+    def slots(key: np.ndarray, size: int) -> np.ndarray:
+        return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+    def find(self, node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        key = node.astype(np.uint64) * np.uint64(self.width) + symbol.astype(np.uint64) + np.uint64(1)
+        slot = self.slots(key, len(self.keys))
+        held = self.keys[slot]
+        out = np.where(held == key, self.nodes[slot], np.int32(self.none))
+        todo = np.flatnonzero((held != key) & (held != 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & (len(self.keys) - 1)
+            held = self.keys[slot[todo]]
+            hit = held == key[todo]
+            out[todo[hit]] = self.nodes[slot[todo[hit]]]
+            todo = todo[~hit & (held != 0)]
+        return out
+
+
 @dataclass
 class Model:
-    """Frozen statistics. Level j holds the paths of j bytes seen in any language, as a tree: ``child[j][node of
-    j-1 bytes, symbol]``. ``bits[j][node, language]`` is the full code length of the path's last byte after the
+    """Frozen statistics. Level j holds the paths of j bytes seen in any language, as a tree: ``child[j]`` finds the
+    node of a node of j-1 bytes and a symbol. ``bits[j][node, language]`` is the full code length of the path's last byte after the
     others, escapes included; ``escape[j][node of j-1 bytes, language]`` what leaving that context costs."""
     langs: list[str]
     symbol: np.ndarray
-    child: list[np.ndarray]
+    child: list[Children]
     bits: list[np.ndarray]
     escape: list[np.ndarray]
 
@@ -47,7 +91,7 @@ class Model:
         for j in range(depth):
             node = np.empty(len(wide), np.int32)
             node[0] = len(self.bits[j]) - 1
-            node[1:] = self.child[j][nodes[-1][:-1], wide[1:]]
+            node[1:] = self.child[j].find(nodes[-1][:-1], wide[1:])
             nodes.append(node)
         total = np.zeros((n, len(self.langs)))
         cost = np.zeros((len(at), len(self.langs)), np.float32)
@@ -65,7 +109,7 @@ class Model:
         return total
 
 
-def build(langs: list[str], lang: np.ndarray, path: np.ndarray, count: np.ndarray, order: int, contexts: int) -> Model:
+def build(langs: list[str], lang: np.ndarray, path: np.ndarray, count: np.ndarray, order: int) -> Model:
     """The model from counts of ``order + 1`` byte paths per language (escape method C: a context seen n times
     with d different followers codes a follower seen c times as c / (n + d) and escapes with d / (n + d))."""
     depth, size = order + 1, len(langs)
@@ -86,12 +130,6 @@ def build(langs: list[str], lang: np.ndarray, path: np.ndarray, count: np.ndarra
         paths = np.unique(np.concatenate([code, (path >> np.uint64(8)) & mask]) if j < depth else code)
         seen_in = np.zeros((len(paths), size))
         np.add.at(seen_in, (np.searchsorted(paths, code), lang), count)
-        if j == depth and len(parents) > contexts:   # the bound of the model: the commonest longest contexts
-            weight = np.bincount(np.searchsorted(parents, paths >> np.uint64(8)), seen_in.sum(1), len(parents))
-            top = np.zeros(len(parents), bool)
-            top[np.argsort(-weight, kind="stable")[:contexts]] = True
-            ok = top[np.searchsorted(parents, paths >> np.uint64(8))]
-            paths, seen_in = paths[ok], seen_in[ok]
         up = np.searchsorted(parents, paths >> np.uint64(8))
         n, d = np.zeros((len(parents) + 1, size)), np.zeros((len(parents) + 1, size))
         np.add.at(n, up, seen_in)
@@ -104,9 +142,7 @@ def build(langs: list[str], lang: np.ndarray, path: np.ndarray, count: np.ndarra
         else:
             shorter = below[1][np.searchsorted(below[0], paths & np.uint64((1 << (8 * (j - 1))) - 1))]
         full = np.where(seen_in > 0, own, esc[up] + shorter)
-        table = np.full((len(parents) + 1, width), len(paths), np.int32)
-        table[up, symbol[(paths & np.uint64(255)).astype(np.int64)]] = np.arange(len(paths))
-        child.append(table)
+        child.append(Children.of(width, up, symbol[(paths & np.uint64(255)).astype(np.int64)]))
         bits.append(np.vstack([full, np.zeros((1, size))]).astype(np.float32))
         escape.append(esc.astype(np.float32))
         below, parents = (paths, full), paths
@@ -114,7 +150,7 @@ def build(langs: list[str], lang: np.ndarray, path: np.ndarray, count: np.ndarra
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = 3,
-          docs_per_lang: int = 1500, contexts: int = 100_000, id_col: str = "doc_id") -> Model:
+          docs_per_lang: int = 1500, id_col: str = "doc_id") -> Model:
     """Context trees from about ``docs_per_lang`` texts of each language, chosen by a hash of the id (the
     documented bound); counts are summed by Spark, and the driver gets distinct paths of the sample only.
     Rows with null language or text teach nothing; without any row the model knows no language.
@@ -123,7 +159,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order
     sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
     langs = sorted(sizes)
     if not langs:
-        return build([], np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0), order, contexts)
+        return build([], np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0), order)
     pick = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 20))
     rate = F.lit(0)
     number = F.lit(None)
@@ -146,7 +182,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order
 
     got = some.mapInArrow(count, "lang int, path long, n long").groupBy("lang", "path").agg(F.sum("n").alias("n")).toArrow()
     lang, path, n = (got.column(c).to_numpy() for c in ("lang", "path", "n"))
-    return build(langs, lang.astype(np.int64), path.astype(np.uint64), n.astype(np.float64), order, contexts)
+    return build(langs, lang.astype(np.int64), path.astype(np.uint64), n.astype(np.float64), order)
 
 
 def detect(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred",
