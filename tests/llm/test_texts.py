@@ -258,7 +258,7 @@ def test_code_lengths_equal_the_plain_recursion():
                 for k in range(order + 1):
                     grams[name][data[t - k:t]][data[t]] += 1
     lang, path, n = (np.array(x) for x in zip(*[(i, p, c) for (i, p), c in rows.items()]))
-    m = language.build(list(train), lang, path.astype(np.uint64), n.astype(float), order, 10**6)
+    m = language.build(list(train), lang, path.astype(np.uint64), n.astype(float), order)
     texts = ["abra nebel", "zzz", "", "dich\ncad"]
     data, off = np.frombuffer("".join(texts).encode(), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     got = m.code_lengths(data, off)
@@ -282,6 +282,42 @@ def test_language_cases(spark, odd, empty):
     assert {r.lang_pred for r in language.detect(odd, blank).collect()} == {"und"}
 
 
+def test_language_and_posterior_equal_plain_prediction(spark):
+    """Training counts, prediction and posterior against plain Python over all rows of a small table."""
+    rng = np.random.default_rng(31)
+    letters = {"aa": "abcdeé ", "bb": "abcfgh ", "cc": "cdxyzß "}
+    rows = [(i, "".join(rng.choice(list(letters[g]), int(rng.integers(1, 60)))), g) for i, g in enumerate(rng.choice(list(letters), 90))]
+    rows += [(200, None, "aa"), (201, "", "bb"), (202, "123 4", "cc"), (203, "abc abc", None)]
+    df = spark.createDataFrame([(i, t, None if g is None else str(g)) for i, t, g in rows], "doc_id long, text string, lang string")
+    order, grams = 3, {}
+    for _, t, g in rows:
+        if t and g is not None:
+            own = grams.setdefault(str(g), collections.defaultdict(collections.Counter))
+            data = b"\n" * order + t.encode()
+            for at in range(order, len(data)):
+                for k in range(order + 1):
+                    own[data[at - k:at]][data[at]] += 1
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.detect(df, language.train(df)).collect()}
+    for i, t, _ in rows:
+        if not t or not any(c.isalpha() for c in t):
+            assert got[i] == ("und", 0.0)
+            continue
+        bits = {g: slow_bits(grams, t, g, order) for g in sorted(grams)}
+        best = min(bits, key=bits.get)
+        assert got[i][0] == best
+        assert abs(got[i][1] - 1 / sum(2.0 ** (bits[best] - b) for b in bits.values())) < 1e-3
+
+
+def test_sparse_children_find_what_was_put_in():
+    rng = np.random.default_rng(32)
+    up, symbol = np.divmod(rng.choice(40_000 * 60, 70_000, replace=False), 60)
+    table = language.Children.of(60, up, symbol)
+    assert (table.find(up, symbol) == np.arange(70_000)).all()
+    known = set(zip(up.tolist(), symbol.tolist()))
+    other = [(a, b) for a, b in zip(rng.integers(0, 50_000, 5000).tolist(), rng.integers(0, 60, 5000).tolist()) if (a, b) not in known]
+    assert (table.find(*(np.array(x) for x in zip(*other))) == 70_000).all()
+
+
 def test_op6_held_out_accuracy(spark):
     got = queries.op6_language(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id")
     held = got.filter("held_out")
