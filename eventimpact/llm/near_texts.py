@@ -153,16 +153,30 @@ def near_classes(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", te
     """
     rows = docs.filter(F.col(id_col).isNotNull())
     sig = written(sketches(rows, id_col, text_col), "sketches")
-    classes, named = text_classes(rows, sig, least, id_col, text_col), sig.select("id", F.col("same").alias("node")).distinct()
-    twice = written(named.join(named.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "id"), "twice")
+    classes = text_classes(rows, sig, least, id_col, text_col)
+    # a text without a word has no sketch and is no node; a document may repeat an id with and without words
+    named = rows.select(F.col(id_col).alias("id"), identity(F.col(text_col).cast("string")).alias("node"))
+    mark = F.coalesce(F.xxhash64("node"), F.lit(0))
+    twice = written(named.groupBy("id").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).filter("lo <> hi").select("id"), "twice")
+    tied = None
     if not twice.isEmpty():
-        tied = twice.join(twice.groupBy("id").agg(F.min("node").alias("u")), "id").select("u", F.col("node").alias("v"))
-        classes = connected_components(classes.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(tied))
-    member = named.join(classes, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
-    first = member.groupBy("component").agg(F.min("id").alias("class_id"))
-    class_of = member.join(first, "component").select("id", "class_id").distinct()
-    out = docs.select(F.col(id_col).alias("id")).join(class_of, "id", "left")
-    found = F.coalesce("class_id", "id")
+        tied = written(named.filter("node is not null").join(twice, "id"), "tied")
+        ties = tied.join(tied.groupBy("id").agg(F.min("node").alias("u")), "id").select("u", F.col("node").alias("v"))
+        classes = connected_components(classes.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(ties))
+    of_text = sig.groupBy(F.col("same").alias("node")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    of_text = written(of_text.join(classes, "node", "left").filter("component is not null or n > 1"), "classes")
+    ids = of_text.select("component", "id")
+    if tied is not None:
+        ids = ids.unionAll(tied.join(classes, "node").select("component", "id"))
+    first = ids.filter("component is not null").groupBy("component").agg(F.min("id").alias("class_id"))
+    class_of = of_text.filter("component is null").select(F.col("node").alias("__node"), F.col("id").alias("class_id"))
+    class_of = class_of.unionAll(of_text.join(first, "component").select("node", "class_id"))
+    out = docs.select(F.col(id_col).alias("id"), identity(F.col(text_col).cast("string")).alias("node"))
+    out = out.join(class_of, F.col("node") == F.col("__node"), "left").select("id", "class_id")
+    if tied is not None:
+        of_id = tied.join(class_of, F.col("node") == F.col("__node")).groupBy("id").agg(F.min("class_id").alias("__class"))
+        out = out.join(of_id, "id", "left").select("id", F.coalesce("__class", "class_id").alias("class_id"))
+    found = F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id"))
     return out.select(F.col("id").alias(id_col), found.alias("class_id"), F.coalesce(F.col("id") == found, F.lit(True)).alias("kept"))
 
 
@@ -189,7 +203,8 @@ def one_of_each(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", tex
     return kept.select("row").unionAll(rest.select("row")).select("row.*")
 
 
-GOES_ON = 8       # a bucket gets another centre while a centre takes at least this part (one in ...) of its texts
+TAKES, PART = 16, 32     # a bucket gets another centre while one takes at least TAKES texts and one in PART of those left
+SALT = 16                # parts into which the texts of one centre are dealt
 
 
 def text_classes(docs: DataFrame, sig: DataFrame, least: float, id_col: str, text_col: str) -> DataFrame:
@@ -203,46 +218,47 @@ def text_classes(docs: DataFrame, sig: DataFrame, least: float, id_col: str, tex
     near one of them; such pairs are found by what the two have in common in their differences from it (``missing``).
     """
     reps = sig.groupBy(F.col("same").alias("node")).agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("weight").alias("weight"))
-    reps = written(reps, "texts")
-    rows = reps.select("node", "weight", F.explode(F.array_distinct("bands")).alias("bucket"))
+    rows = written(reps.select("node", "id", "weight", F.explode(F.array_distinct("bands")).alias("bucket")), "bands")
     full = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = written(rows.join(full, "bucket"), "shared")
-    met = shared.groupBy("node").agg(F.sum("n").alias("met"))              # with how many texts it shares a bucket
+    met = F.sum("n").over(Window.partitionBy("node"))                          # with how many texts it shares a bucket
+    shared = written(rows.join(full, "bucket").withColumn("met", met), "shared")
     body = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("node", identity(F.col("text")))
-    wanted = reps.join(met, "node", "left_semi").select("node", F.col("id").alias("__id"))
-    body = body.join(wanted.withColumnRenamed("node", "__node"), (F.col("node") == F.col("__node")) & F.col("id").eqNullSafe(F.col("__id")), "left_semi")
+    wanted = shared.select(F.col("node").alias("__node"), F.col("id").alias("__id")).distinct()
+    body = body.join(wanted, (F.col("node") == F.col("__node")) & F.col("id").eqNullSafe(F.col("__id")), "left_semi")
     texts = written(body.select("node", "text").dropDuplicates(["node"]), "texts")
-    left = written(shared.select("bucket", "node", "weight").join(met, "node"), "open")
 
-    done, judged = [], []                                                   # comparisons of the rounds, and what they mean for buckets
+    left, judged = shared.select("bucket", "node", "weight", "met"), []
     union = lambda parts: functools.reduce(DataFrame.unionAll, parts)
     while not left.isEmpty():
-        first = left.groupBy("bucket").agg(F.max(F.struct("met", "node", "weight")).alias("c"), F.count(F.lit(1)).alias("n"))
+        first = left.groupBy("bucket").agg(F.max(F.struct("met", "node")).alias("c"), F.count(F.lit(1)).alias("n"))
         stars = left.join(first.select("bucket", "n", F.col("c.node").alias("c")), "bucket").filter("node <> c")
-        pairs = stars.select("node", "c").distinct()
-        if done:
-            pairs = pairs.join(union(done).select("node", "c"), ["node", "c"], "left_anti")
-        done.append(written(verify(pairs, texts).select("node", "c", (F.col("similarity") >= least).alias("near")), "tested"))
-        stars = written(stars.join(union(done), ["node", "c"]), "stars")
-        took = stars.groupBy("bucket").agg(F.sum(F.col("near").cast("long")).alias("k"), F.first("n").alias("n"))
-        # one text left has no partner left; a centre that takes none, or too few, is the bucket's last
-        on = took.filter(f"k > 0 and (k + 1) * {GOES_ON} >= n and n - 1 - k > 1").select("bucket", F.lit(True).alias("on"))
-        stars = stars.join(on, "bucket", "left").withColumn("last", F.col("on").isNull())
-        left = written(stars.filter("not last and not near").select("bucket", "node", "weight", "met"), "open")
-        judged.append(stars.select("c", "node", "near", "last"))
-    if not done:
-        return reps.select("node", F.col("node").alias("component")).filter("false")
-    tested, judged = union(done), union(judged)
-    links = tested.filter("near").select(F.col("node").alias("u"), F.col("c").alias("v"))
+        pairs = stars.groupBy("node", "c", "weight", "met").agg(F.collect_list(F.struct("bucket", "n")).alias("in"))     # at most BANDS
+        now = verify(pairs, texts, ["weight", "met", "in"]).withColumn("near", F.col("similarity") >= least)
+        now = written(now.select("node", "c", "weight", "met", "near", F.explode("in").alias("b")).select("node", "c", "weight", "met", "near", "b.*"), "stars")
+        took = now.groupBy("bucket").agg(F.sum(F.col("near").cast("long")).alias("k"), F.first("n").alias("n"))
+        on = took.filter(f"k >= {TAKES} and k * {PART} >= n and n - 1 - k > 1").select("bucket", F.lit(True).alias("on"))
+        now = written(now.join(on, "bucket", "left").withColumn("last", F.col("on").isNull()), "judged")
+        judged.append(now.select("c", "node", "weight", "near", "last"))
+        left = now.filter("not last and not near").select("bucket", "node", "weight", "met")
+    if not judged:
+        return rows.select("node", F.col("node").alias("component")).filter("false")
+    judged = union(judged)
+    links = judged.filter("near").select(F.col("node").alias("u"), F.col("c").alias("v"))
     classes = connected_components(links)
-    rest = missing(judged, tested, classes, reps.select("node", "weight"), texts, least)
+    rest = missing(judged, classes, texts, least)
     more = written(verify(rest, texts).filter(F.col("similarity") >= least).select(F.col("node").alias("u"), F.col("c").alias("v")), "links")
     if more.isEmpty():
         return classes
     return connected_components(classes.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more))
 
 
-def missing(judged: DataFrame, tested: DataFrame, classes: DataFrame, weights: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def of_group(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined with the one row of their group; the rows of a group are dealt to SALT tasks."""
+    salt = F.explode(F.array(*[F.lit(i) for i in range(SALT)])).alias("__salt")
+    return rows.withColumn("__salt", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int")).join(groups.select("*", salt), [*keys, "__salt"]).drop("__salt")
+
+
+def missing(judged: DataFrame, classes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Pairs (node, c) of different classes that may be near though no common centre took both.
 
     Say both were compared with the centre c, and A is not near it. For a text X let E be the shingles of c that X
@@ -257,14 +273,16 @@ def missing(judged: DataFrame, tested: DataFrame, classes: DataFrame, weights: D
     on the other side is left out, and differences that nobody on the other side has are not counted.
     """
     share = least / (1 + least)
-    pair = judged.groupBy("c", "node").agg(F.max("near").alias("near"), F.max("last").alias("last"))
+    pair = judged.groupBy("c", "node").agg(F.first("weight").alias("weight"), F.max("near").alias("near"), F.max("last").alias("last"))
     pair = pair.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
     role = F.explode(F.filter(F.array(F.when(~F.col("near"), F.lit("a")), F.when(F.col("near") | F.col("last"), F.lit("h"))), lambda x: x.isNotNull()))
-    roles = written(pair.select("c", "node", "class", role.alias("role")), "roles")
-    kinds = roles.groupBy("c", F.when(F.col("role") == "a", "h").otherwise("a").alias("role")).agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
-    roles = written(roles.join(kinds, ["c", "role"]).filter("not (lo = class and hi = class)").select("c", "node", "class", "role"), "roles")
-    both = roles.groupBy("c", "node").agg((F.count(F.lit(1)) > 1).alias("twin")).join(texts.withColumnRenamed("text", "tx"), "node")
-    both = both.join(texts.select(F.col("node").alias("c"), F.col("text").alias("tc")), "c").select("node", "c", "tx", "tc", "twin")
+    roles = written(pair.select("c", "node", "weight", "class", role.alias("role")), "roles")
+    other = F.when(F.col("role") == "a", "h").otherwise("a").alias("role")
+    kinds = roles.groupBy("c", other).agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+    roles = of_group(roles, kinds, ["c", "role"]).filter("not (lo = class and hi = class)")
+    both = roles.groupBy("c", "node", "weight", "class").agg(F.collect_list("role").alias("roles"))
+    both = both.join(texts.withColumnRenamed("text", "tx"), "node")
+    both = both.join(texts.select(F.col("node").alias("c"), F.col("text").alias("tc")), "c").select("node", "c", "tx", "tc", "weight", "class", "roles")
     features = pa.list_(pa.struct([("f", pa.int64()), ("m", pa.int64())]))
 
     def differ(parts):
@@ -292,17 +310,18 @@ def missing(judged: DataFrame, tested: DataFrame, classes: DataFrame, weights: D
                 ends = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
                 found = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(f), pa.array(m)], names=["f", "m"]))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), b.column(1).slice(lo, n), pa.array(g),
-                                                  pa.array(g - (1 - 2 * share) * np.bincount(c[1], c[2], n)), found.cast(features), b.column(4).slice(lo, n)],
-                                                 names=["node", "c", "g", "theta", "features", "twin"])
-
-    base = written(both.mapInArrow(tidy(differ), "node binary, c binary, g double, theta double, features array<struct<f:long,m:long>>, twin boolean"), "differences")
-    roles = roles.join(base.select("node", "c", "g", "theta"), ["node", "c"]).join(weights, "node")
-    own = F.when(F.col("role") == "a", F.col("theta")).otherwise(F.col("g"))
-    bounds = roles.groupBy("c", F.when(F.col("role") == "a", "h").otherwise("a").alias("role")).agg(F.min(own).alias("least"))
-    roles = roles.withColumn("own", own).join(bounds, ["c", "role"]).withColumn("need", F.col("own") + F.col("least") - 1e-6)
-    roles = written(roles.select("c", "node", "class", "role", "weight", "own", "need"), "roles")
-    flat = base.select("node", "c", "twin", F.explode("features").alias("s")).select("node", "c", "twin", "s.f", "s.m").join(roles, ["node", "c"])
-    flat = written(flat, "features")
+                                                  pa.array(g - (1 - 2 * share) * np.bincount(c[1], c[2], n)), found.cast(features), *[b.column(k).slice(lo, n) for k in (4, 5, 6)]],
+                                                 names=["node", "c", "g", "theta", "features", "weight", "class", "roles"])
+
+    ddl = "node binary, c binary, g double, theta double, features array<struct<f:long,m:long>>, weight long, class binary, roles array<string>"
+    base = written(both.mapInArrow(tidy(differ), ddl), "differences")
+    twin = (F.size("roles") > 1).alias("twin")
+    roles = base.select("c", "node", "weight", "class", twin, "g", "theta", "features", F.explode("roles").alias("role"))
+    roles = roles.withColumn("own", F.when(F.col("role") == "a", F.col("theta")).otherwise(F.col("g")))
+    bounds = roles.groupBy("c", other).agg(F.min("own").alias("least"))
+    roles = of_group(roles, bounds, ["c", "role"]).withColumn("need", F.col("own") + F.col("least") - 1e-6)
+    flat = roles.select("c", "node", "weight", "class", "twin", "role", "own", "need", F.explode("features").alias("s"))
+    flat = written(flat.select("c", "node", "weight", "class", "twin", "role", "own", "need", "s.f", "s.m"), "features")
     asks = F.col("role") == "a"
     seen = flat.groupBy("c", "f").agg(F.sum(asks.cast("long")).alias("na"), F.sum((~asks).cast("long")).alias("nh"))
     useful = F.when(asks, F.col("nh")).otherwise(F.col("na")) > F.col("twin").cast("int")     # somebody else on the other side
@@ -316,23 +335,28 @@ def missing(judged: DataFrame, tested: DataFrame, classes: DataFrame, weights: D
     fits = (F.col("class") != F.col("x_class")) & (F.col("node") != F.col("x_node")) & (F.least("weight", "x_weight") >= least * F.greatest("weight", "x_weight"))
     fits = fits & (F.col("own") + F.col("x_own") - 1e-6 <= F.least("sum", "x_sum"))
     pairs = a.join(h, ["c", "f"]).filter(fits).select(F.least("node", "x_node").alias("node"), F.greatest("node", "x_node").alias("c")).distinct()
-    known = tested.select(F.least("node", "c").alias("node"), F.greatest("node", "c").alias("c"))
-    return pairs.join(known, ["node", "c"], "left_anti")
+    known = judged.select(F.least("node", "c").alias("node"), F.greatest("node", "c").alias("c"))
+    return pairs.join(known.distinct(), ["node", "c"], "left_anti")
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, c, overlap, similarity) of pairs of nodes, on the whole texts."""
+def verify(pairs: DataFrame, texts: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(node, c, overlap, similarity) of pairs of nodes, on the whole texts, and the columns ``keep``."""
+    from pyspark.sql.types import StructType
+    keep = keep or []
     left = texts.select("node", F.col("text").alias("ta"))
     right = texts.select(F.col("node").alias("c"), F.col("text").alias("tb"))
-    both = pairs.join(left, "node").join(right, "c").select("node", "c", "ta", "tb")
+    both = pairs.join(left, "node").join(right, "c").select("node", "c", "ta", "tb", *keep)
+    own = StructType.fromDDL("node binary, c binary, overlap long, similarity double").fields
+    schema = StructType(own + pairs.select(*keep).schema.fields)
+    names = schema.names
 
     def run(parts):
         for b in parts:
             if b.num_rows:
                 common, total = overlaps(b.column(2), b.column(3))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(common), pa.array(common / np.maximum(total - common, 1))],
-                                                 names=["node", "c", "overlap", "similarity"])
-    return both.mapInArrow(tidy(run), "node binary, c binary, overlap long, similarity double")
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(common), pa.array(common / np.maximum(total - common, 1)),
+                                                  *b.columns[4:]], names=names)
+    return both.mapInArrow(tidy(run), schema)
 
 
 def identity(text):

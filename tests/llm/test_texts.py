@@ -424,10 +424,8 @@ def test_missing_finds_every_pair_that_no_centre_took(spark):
     name = lambda k: k.to_bytes(2, "big")
     star = [(name(0), name(k), near(0, k), True) for k in texts if k]
     classes = [(name(k), name(0)) for k in texts if k == 0 or near(0, k)]
-    judged = spark.createDataFrame(star, "c binary, node binary, near boolean, last boolean")
-    tested = judged.select("node", "c", "near")
-    got = near_texts.missing(judged, tested, spark.createDataFrame(classes, "node binary, component binary"),
-                             spark.createDataFrame([(name(k), n) for k, n in size.items()], "node binary, weight long"),
+    judged = spark.createDataFrame([(a, b, size[int.from_bytes(b, "big")], c, d) for a, b, c, d in star], "c binary, node binary, weight long, near boolean, last boolean")
+    got = near_texts.missing(judged, spark.createDataFrame(classes, "node binary, component binary"),
                              spark.createDataFrame([(name(k), t) for k, t in texts.items()], "node binary, text string"), 0.8)
     found = {(int.from_bytes(r.node, "big"), int.from_bytes(r.c, "big")) for r in got.collect()}
     loose = [k for k in texts if k and not near(0, k)]
