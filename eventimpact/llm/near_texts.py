@@ -162,7 +162,7 @@ def near_classes(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", te
     if not twice.isEmpty():
         tied = written(named.filter("node is not null").join(twice, "id"), "tied")
         ties = tied.join(tied.groupBy("id").agg(F.min("node").alias("u")), "id").select("u", F.col("node").alias("v"))
-        classes = connected_components(classes.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(ties))
+        classes = joined_classes(classes, ties)
     of_text = sig.groupBy(F.col("same").alias("node")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     of_text = written(of_text.join(classes, "node", "left").filter("component is not null or n > 1"), "classes")
     ids = of_text.select("component", "id")
@@ -244,12 +244,25 @@ def text_classes(docs: DataFrame, sig: DataFrame, least: float, id_col: str, tex
         return rows.select("node", F.col("node").alias("component")).filter("false")
     judged = union(judged)
     links = judged.filter("near").select(F.col("node").alias("u"), F.col("c").alias("v"))
-    classes = connected_components(links)
+    classes = connected_components(links, stars=True)
     rest = missing(judged, classes, texts, least)
     more = written(verify(rest, texts).filter(F.col("similarity") >= least).select(F.col("node").alias("u"), F.col("c").alias("v")), "links")
-    if more.isEmpty():
+    return joined_classes(classes, more)
+
+
+def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes`` (node, component) after further links (u, v) between nodes, of which some may be in no class yet:
+    only the classes that links touch are contracted."""
+    if links.isEmpty():
         return classes
-    return connected_components(classes.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more))
+    of = classes.select("node", "component")
+    ends = links.join(of.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left")
+    ends = ends.join(of.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
+    ends = written(ends.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")), "ends")
+    top = connected_components(ends, stars=True).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    moved = classes.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    alone = top.join(of.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("top").alias("component"))
+    return written(moved.unionAll(alone), "classes")
 
 
 def of_group(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
