@@ -103,10 +103,40 @@ def data_quality_flags(endlat: Column, endlon: Column, lat: Column, lon: Column)
     return has_end.cast("int"), complete.cast("int")
 
 
+# FIXED VALUES: mean and standard deviation of the noise in each candidate target.
+TARGET_NOISE = {"v1": (15.0, 6.0), "v2": (8.0, 4.0), "v3": (12.0, 5.0), "m4": (10.0, 4.5), "m5": (7.0, 3.5), "m6": (9.0, 4.0)}
+
+
+def hash_uniform(key: Column, stream: str, second: bool = False) -> Column:
+    """A uniform draw in (0, 1) that depends on ``key`` and ``stream`` alone: 52 bits of an MD5 (``second``: 52 others).
+    The same row has the same draw under any partitioning, on every run, and in any engine with MD5."""
+    digest = F.md5(F.concat(F.lit(f"{stream}:"), key.cast("string")))
+    return (F.conv(F.substring(digest, 14 if second else 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def gauss(key: Column, stream: str, mean: float = 0.0, sd: float = 1.0) -> Column:
+    """A normal draw of the same kind, by Box–Muller from the two uniforms."""
+    turn = F.cos(F.lit(2.0) * F.pi() * hash_uniform(key, stream, True))
+    return F.lit(mean) + F.lit(sd) * F.sqrt(F.lit(-2.0) * F.log(hash_uniform(key, stream))) * turn
+
+
+def hash_poisson(key: Column, stream: str, rate: Column) -> Column:
+    """A Poisson draw of a rate of at most 1, by inversion: below 2^-52 the chance of 20 or more cannot be told from 0."""
+    u, none = hash_uniform(key, stream), F.exp(-rate)
+
+    def step(a, k):                                        # one more chance of exactly k: P(k) = P(k - 1) rate / k
+        p = a["p"] * rate / k
+        return F.struct(p.alias("p"), (a["below"] + p).alias("below"), (a["w"] + (u >= a["below"]).cast("int")).alias("w"))
+    start = F.struct(none.alias("p"), none.alias("below"), F.lit(0).alias("w"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(20)), start, step, lambda a: a["w"])
+
+
+
 def target_formulas(c: Column, t: Column, pk: Column, wk: Column, ti: Column, ts: Column, cause: Column,
-                    has_script: Column, desc_len: Column, temporal_pct: Column, desc_pct: Column) -> dict[str, Column]:
-    """The six candidate training targets (trials v1–v3, methods m4–m6) without their Gaussian noise
-    terms, each clipped to 0–100. Inputs: closure, tier, peak, weekend, intensity, temporal score, cause, script
+                    has_script: Column, desc_len: Column, temporal_pct: Column, desc_pct: Column,
+                    noise_key: Column | None = None) -> dict[str, Column]:
+    """The six candidate training targets (trials v1–v3, methods m4–m6), with their Gaussian noise (``gauss``
+    of ``noise_key``) if a key is given, each clipped to 0–100. Inputs: closure, tier, peak, weekend, intensity, temporal score, cause, script
     flag, description length and the two percentile ranks (E07)."""
     ct = c * t
     v1 = c * 55 + t * 12 + ct * 10 + pk * 7
@@ -118,5 +148,7 @@ def target_formulas(c: Column, t: Column, pk: Column, wk: Column, ti: Column, ts
           + desc_pct * 10 * 0.5 + has_script * 3.5 + pk * 5)
     m6 = (cause_severity(cause, "m6") * 1.3 + c * 32 + t * 11 + ct * 12 + ct * ts * 8 + c * pk * t * 4 + ts * 14
           + has_script * t * 2 + ti * t * 3 + pk * 7 + wk * -3)
-    return {k: clip(v.cast("double"), 0.0, 100.0) for k, v in
-            {"v1": v1, "v2": v2, "v3": v3, "m4": m4, "m5": m5, "m6": m6}.items()}
+    plain = {"v1": v1, "v2": v2, "v3": v3, "m4": m4, "m5": m5, "m6": m6}
+    if noise_key is not None:
+        plain = {k: v + gauss(noise_key, k, *TARGET_NOISE[k]) for k, v in plain.items()}
+    return {k: clip(v.cast("double"), 0.0, 100.0) for k, v in plain.items()}

@@ -6,6 +6,8 @@ per task; rankings and shares are windows over those small aggregates, never ove
 
 from __future__ import annotations
 
+import math
+
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -247,6 +249,30 @@ def density_grid(df: DataFrame, gridsize: int = 30, score: str = "impact_score")
     return d.groupBy("cell_x", "cell_y").agg(count_star().alias("n"), F.avg(F.col(score) / 100).alias("weight"))
 
 
+def hexagon_grid(df: DataFrame, gridsize: int = 30, score: str = "impact_score") -> DataFrame:
+    """Counts and mean weight score/100 in hexagons, ``gridsize`` across the longitudes and gridsize/√3 up the
+    latitudes of the data. A point belongs to the nearer centre of two lattices of rectangles, the second offset by half
+    a side both ways (distances with latitudes stretched by √3, ties to the second). Axial coordinates ``q``, ``r``
+    number the hexagons, ``r`` upwards and ``q`` along a row."""
+    ny = int(gridsize / math.sqrt(3))
+    d = df.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    m = d.agg(F.min("latitude").alias("la0"), F.max("latitude").alias("la1"), F.min("longitude").alias("lo0"), F.max("longitude").alias("lo1"))
+    d = with_scalars(d, m)
+
+    def place(x, lo, hi, n):
+        return F.when(F.col(hi) == F.col(lo), 0.0).otherwise((F.col(x) - F.col(lo)) / (F.col(hi) - F.col(lo)) * n)
+
+    d = d.withColumn("__x", place("longitude", "lo0", "lo1", gridsize)).withColumn("__y", place("latitude", "la0", "la1", ny))
+    x, y, x1, y1, x2, y2 = F.col("__x"), F.col("__y"), F.rint("__x"), F.rint("__y"), F.floor("__x"), F.floor("__y")
+    d1 = (x - x1) * (x - x1) + 3 * (y - y1) * (y - y1)
+    d2 = (x - x2 - 0.5) * (x - x2 - 0.5) + 3 * (y - y2 - 0.5) * (y - y2 - 0.5)
+    d = d.withColumn("__c", F.when(d1 < d2, 2 * x1).otherwise(2 * x2 + 1).cast("int")).withColumn("r", F.when(d1 < d2, 2 * y1).otherwise(2 * y2 + 1).cast("int"))
+    g = d.groupBy("__c", "r", "la0", "la1", "lo0", "lo1").agg(count_star().alias("n"), F.avg(F.col(score) / 100).alias("weight"))
+    return g.select(((F.col("__c") - F.col("r")) / 2).cast("int").alias("q"), "r",
+                    (F.col("lo0") + (F.col("lo1") - F.col("lo0")) / gridsize * F.col("__c") / 2).alias("center_lon"),
+                    (F.col("la0") + (F.col("la1") - F.col("la0")) / ny * F.col("r") / 2).alias("center_lat"), "n", "weight")
+
+
 def slot_intensity(profile: DataFrame, count_col: str = "event_count") -> DataFrame:
     """Slot intensity = count / max count (max at least 1) with the four colour thresholds."""
     mx = F.greatest(F.max(count_col).over(Window.partitionBy()), F.lit(1))

@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import clip, crowd_tier, risk_class
+from ..functions.rules import clip, crowd_tier, hash_poisson, hash_uniform, risk_class
 from ..functions.temporal import is_night
 from ..sources import dims as D
 from .scoring import operational_baseline
+from .stats import with_scalars
 
 NON_CORRIDOR = "Non-corridor"
 
@@ -173,6 +174,60 @@ def conflict_texts(high_risk, closures, crowd) -> list[tuple]:
     ]
 
 
+def resampled_training_set(history: DataFrame, target: int = 1000, max_crowd: int = 80_000, id_col: str = "id") -> DataFrame:
+    """About ``target`` synthetic planned events drawn from ``history`` with replacement, in one pass.
+
+    A row is drawn a Poisson number of times of mean target / n (the Poisson bootstrap), so no task needs to know what
+    others have drawn; a mean above 1 is split over replicates of at most 1. Draws depend on (replicate, id) alone. Each
+    draw gets a crowd of its own, which lengthens its resolution by ``crowd_factor`` = 1 + crowd / 100,000 and raises its
+    impact label by 5 points a crowd tier, to at most 100.
+    """
+    n = history.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("__n"))
+    d = with_scalars(history.filter(F.col(id_col).isNotNull()), n)
+    reps = F.greatest(F.lit(1), F.ceil(F.lit(float(target)) / F.col("__n")).cast("int"))
+    d = d.withColumn("__r", reps).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.col("__r") - 1)))
+    rate = F.lit(float(target)) / F.col("__n") / F.col("__r")
+    key = F.concat_ws("/", F.col("replicate").cast("string"), F.col(id_col).cast("string"))
+    d = d.withColumn("__w", hash_poisson(key, "draw", rate)).filter("__w > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__w"))))
+    crowd = F.floor(hash_uniform(F.concat_ws("/", key, F.col("copy").cast("string")), "crowd") * max_crowd).cast("int")
+    d = d.withColumn("expected_crowd", crowd).withColumn("crowd_tier", crowd_tier(F.col("expected_crowd")))
+    factor = 1 + F.col("expected_crowd") / 100_000
+    return d.select(id_col, "replicate", "copy", "expected_crowd", "crowd_tier", factor.alias("crowd_factor"),
+                    (F.col("dur") * factor).alias("resolution_minutes"),
+                    F.least(F.lit(100.0), F.col("impact_score") + 5 * F.col("crowd_tier")).alias("target"))
+
+
+def event_neighbours(events: DataFrame, hours: int = 2, keys: tuple[str, ...] = ("event_date", "corridor")) -> DataFrame:
+    """J10 / W08 per event: ``n_same`` others of its date and corridor, ``n_near`` of those at most ``hours`` hours apart,
+    the nearest of them (``nearest_id``; ties: smaller id) and its ``gap_hours``.
+
+    No pair of events is made. Events are counted per (date, corridor, hour), a cell that keeps its two smallest ids, and
+    each cell looks into its own and the 2·``hours`` cells around it; a day has 24. The event itself is taken off its
+    cell's count, and the second id stands in where it is the first. A hot date is a partial aggregate per task and one
+    skewed side of the join back to the events. A null date, corridor or hour has no others; ids are unique.
+    """
+    keys = list(keys)
+    known = events.filter(F.expr(" and ".join(f"{k} is not null" for k in [*keys, "hour"])))
+    first = known.groupBy(*keys, "hour").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("id1"))
+    second = known.join(first.select(*keys, "hour", "id1"), [*keys, "hour"]).filter("event_id <> id1").groupBy(*keys, "hour").agg(
+        F.min("event_id").alias("id2"))
+    cells = first.join(second, [*keys, "hour"], "left")
+    day = first.groupBy(*keys).agg(F.sum("n").alias("n_day"))
+    gaps = F.explode(F.array(*[F.lit(d) for d in range(-hours, hours + 1)])).alias("gap")
+    around = cells.select(*keys, F.col("hour").alias("at"), "n", "id1", "id2", gaps).withColumn("hour", F.col("at") + F.col("gap"))
+    far = F.abs("gap")
+    seen = around.groupBy(*keys, "hour").agg(
+        F.sum("n").alias("__n"), F.max(F.when(F.col("gap") == 0, F.col("id1"))).alias("__own1"), F.max(F.when(F.col("gap") == 0, F.col("id2"))).alias("__own2"),
+        F.min(F.when(F.col("gap") != 0, F.struct(far.alias("gap"), F.col("id1").alias("id")))).alias("__other"))
+    seen = seen.filter("__own1 is not null").join(day, keys)
+    e = events.join(seen, [*keys, "hour"], "left")
+    same = F.when(F.col("event_id") == F.col("__own1"), F.col("__own2")).otherwise(F.col("__own1"))
+    best = F.coalesce(F.when(same.isNotNull(), F.struct(F.lit(0).alias("gap"), same.alias("id"))), F.col("__other"))
+    e = e.withColumn("__best", best)
+    return e.select(*events.columns, (F.coalesce("n_day", F.lit(1)) - 1).alias("n_same"), (F.coalesce("__n", F.lit(1)) - 1).alias("n_near"),
+                    F.col("__best.id").alias("nearest_id"), F.col("__best.gap").alias("gap_hours"))
+
+
 def event_conflicts(forecast: DataFrame) -> DataFrame:
     """Per date with more than one event — the five rules, severity sum and overall level."""
     hr = F.col("predicted_risk_class").isin("High", "Critical")

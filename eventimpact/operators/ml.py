@@ -1,28 +1,27 @@
-"""Model features, training and evaluation with Spark ML.
+"""Model features, training and evaluation.
 
-Splits are md5 buckets of the row id (deterministic under any partitioning, unlike ``randomSplit``); every fit
-is a distributed Spark ML job. The reference's gradient-boosting library and frozen models are not available,
-so accuracy numbers are not comparable with its published ones (its targets also contain random noise).
+Splits are md5 buckets of the row id (deterministic under any partitioning, unlike ``randomSplit``). Models are those
+of ``boosting``: all points of a grid, all folds and all targets grow together. The reference's gradient-boosting
+library and frozen models are not available, so accuracy numbers are not those it has published.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark import SparkContext
-from pyspark.ml import Estimator, Pipeline
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import encoding as E
 from ..functions import temporal as T
+from ..functions import rules as R
+from ..functions import text as G
 from ..functions.rules import clip, risk_class
+from . import boosting as B
 from .stats import equal_width_bin
 from .windows import prior_count
 
+# FIXED VALUES: the names of the served features, and of the features of the best trial.
 SERVED_FEATURES = [
     "event_cause_encoded", "event_type_encoded", "veh_type_encoded",
     "corridor_tier", "is_corridor", "geo_cluster",
@@ -33,6 +32,13 @@ SERVED_FEATURES = [
     "requires_road_closure", "authenticated",
     "station_event_count", "junction_event_count", "corridor_event_count",
 ]
+TRIAL_FEATURES = [
+    "event_cause_encoded", "veh_type_encoded", "corridor_tier", "is_corridor", "hour", "weekday", "is_weekend", "is_night", "is_peak",
+    "hour_sin", "hour_cos", "weekday_sin", "weekday_cos", "requires_road_closure", "traffic_intensity", "weekday_weight", "temporal_score",
+    "closure_tier", "peak_tier", "weekend_tier", "closure_peak", "closure_temporal", "tier_squared", "tier_temporal", "has_kannada",
+    "desc_length", "desc_word_count", "cause_cluster", "has_end_coords", "coords_complete", "hour_deviation", "is_extreme_hour",
+    "closure_tier_temporal", "closure_peak_tier", "kannada_tier", "intensity_tier",
+]
 
 
 def bucket(id_col: str = "id", salt: str = "42"):
@@ -61,69 +67,41 @@ def feature_table(df: DataFrame, geo_cluster: DataFrame) -> DataFrame:
     return d.fillna(0, subset=[c for c in SERVED_FEATURES if c != "geo_cluster"]).fillna(-1, subset=["geo_cluster"])
 
 
-FIRST_TREES, MAX_TREES, PATIENCE = 100, 1000, 50      # the bound and the patience are the reference's
-
-
-class PatientGBT(Estimator):
-    """GBT on ``features`` that ends when the error on the rows of ``is_val`` has not fallen for ``patience`` rounds or after
-    ``most`` rounds, and keeps the trees up to the least error. (Spark's own early stopping ends at the first round that
-    gains too little.) Spark can't go on with a fit: one that has not ended in ``first`` rounds is repeated with more."""
-
-    def __init__(self, label: str, max_depth: int, step: float, seed: int, first: int = FIRST_TREES, most: int = MAX_TREES,
-                 patience: int = PATIENCE):
-        super().__init__()
-        self.gbt = GBTRegressor(featuresCol="features", labelCol=label, maxDepth=max_depth, stepSize=step, seed=seed)
-        self.first, self.most, self.patience = first, most, patience
-
-    def _fit(self, df: DataFrame) -> GBTRegressionModel:
-        train, val, rounds = df.filter(~F.col("is_val")), df.filter("is_val"), min(self.first, self.most)
-        while True:
-            model = self.gbt.copy({self.gbt.maxIter: rounds}).fit(train)
-            best, ended = stopping_point(model.evaluateEachIteration(val, "squared"), self.patience)
-            if ended or rounds == self.most:
-                return first_trees(model, best)
-            rounds = min(4 * rounds, self.most)
-
-
-def stopping_point(errors: list[float], patience: int) -> tuple[int, bool]:
-    """(rounds up to the least error, whether ``patience`` rounds without a smaller one follow it)."""
-    best = 0
-    for i, e in enumerate(errors):
-        if e < errors[best]:
-            best = i
-        elif i - best >= patience:
-            return best + 1, True
-    return best + 1, False
-
-
-def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
-    """The model of the first ``n`` trees."""
-    sc, java = SparkContext._active_spark_context, model._java_obj
-    kinds, all_trees, all_weights = sc._jvm.org.apache.spark.ml.regression, java.trees(), java.treeWeights()
-    trees, weights = sc._gateway.new_array(kinds.DecisionTreeRegressionModel, n), sc._gateway.new_array(sc._jvm.double, n)
-    for i in range(n):
-        trees[i], weights[i] = all_trees[i], all_weights[i]
-    cut = GBTRegressionModel(kinds.GBTRegressionModel(model.uid, trees, weights, model.numFeatures))
-    cut._resetUid(model.uid)
-    model._copyValues(cut)._transfer_params_to_java()
-    return cut
-
-
-def gbt_pipeline(features: list[str], label: str, max_depth: int = 4, step: float = 0.05, seed: int = 42) -> Pipeline:
-    """Boosting goes on until the error on the rows of ``is_val`` has not fallen for PATIENCE rounds."""
-    asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    return Pipeline(stages=[asm, PatientGBT(label, max_depth, step, seed)])
+def trial_features(df: DataFrame) -> DataFrame:
+    """``id`` and the 36 features of the best trial. ``df`` carries the cleaned incident columns, the description as
+    ``text`` (null: empty) and the end point as ``endlatitude``, ``endlongitude``. Codes are first-appearance ones (E02)."""
+    d = E.appearance_encode(df, "event_cause", "event_cause_encoded", ["start_datetime", "id"])
+    d = d.withColumn("__veh", F.coalesce("veh_type", F.lit("Others")))
+    d = E.appearance_encode(d, "__veh", "veh_type_encoded", ["start_datetime", "id"])
+    hour, day, c, t = F.col("hour"), F.col("weekday"), F.col("requires_road_closure"), F.col("corridor_tier")
+    (hs, hc), (ws, wc) = T.cyclical(hour, 24), T.cyclical(day, 7)
+    has_end, complete = R.data_quality_flags(F.col("endlatitude"), F.col("endlongitude"), F.col("latitude"), F.col("longitude"))
+    d = d.select("id", "event_cause_encoded", "veh_type_encoded", "corridor_tier", "hour", "weekday", "requires_road_closure",
+                 (t > 0).cast("int").alias("is_corridor"), T.is_weekend(day).alias("is_weekend"),
+                 ((hour >= 22) | (hour <= 5)).cast("int").alias("is_night"), T.is_peak(hour, "code").alias("is_peak"),
+                 hs.alias("hour_sin"), hc.alias("hour_cos"), ws.alias("weekday_sin"), wc.alias("weekday_cos"),
+                 T.traffic_intensity(hour).alias("traffic_intensity"), T.weekday_weight(day).alias("weekday_weight"),
+                 T.temporal_score(hour, day).alias("temporal_score"), G.has_script(F.coalesce("text", F.lit(""))).alias("has_kannada"),
+                 F.coalesce(F.length("text"), F.lit(0)).alias("desc_length"),
+                 F.coalesce(G.word_count(F.col("text")), F.lit(0)).alias("desc_word_count"), R.cause_cluster(F.col("event_cause")).alias("cause_cluster"),
+                 has_end.alias("has_end_coords"), complete.alias("coords_complete"), T.hour_deviation(hour).alias("hour_deviation"),
+                 T.is_extreme_hour(hour).alias("is_extreme_hour"))
+    peak, ts = F.col("is_peak"), F.col("temporal_score")
+    d = d.withColumns({"closure_tier": c * t, "peak_tier": peak * t, "weekend_tier": F.col("is_weekend") * t, "closure_peak": c * peak,
+                       "closure_temporal": c * ts, "tier_squared": t * t, "tier_temporal": t * ts, "closure_tier_temporal": c * t * ts,
+                       "closure_peak_tier": c * peak * t, "kannada_tier": F.col("has_kannada") * t, "intensity_tier": F.col("traffic_intensity") * t})
+    return d.select("id", *[F.coalesce(F.col(x).cast("double"), F.lit(0.0)).alias(x) for x in TRIAL_FEATURES])
 
 
 def split(df: DataFrame, id_col: str = "id") -> DataFrame:
-    """80/20 test split plus a 10 % validation slice of the training part for early stopping."""
+    """80/20 test split; of the training part a tenth of all rows is the validation slice for early stopping."""
     b = bucket(id_col)
-    return df.withColumn("split", F.when(b < 20, "test").otherwise("train")).withColumn("is_val", (b >= 20) & (b < 30))
+    return df.withColumn("split", F.when(b < 20, "test").otherwise("train")).withColumn("is_val", (b >= 20) & (b < 30)).withColumn("is_train", b >= 30)
 
 
-def score(model, df: DataFrame, label: str) -> DataFrame:
+def score(df: DataFrame, model: B.Model, label: str) -> DataFrame:
     """Model score clipped to 0–100 with its class and the raw output."""
-    p = model.transform(df)
+    p = B.predict(df, {"prediction": model})
     return p.select("id", label, F.col("prediction").alias("raw_model_output"),
                     clip(F.col("prediction"), 0.0, 100.0).alias("impact_score_pred"),
                     risk_class(clip(F.col("prediction"), 0.0, 100.0)).alias("risk_class_pred"), "split")
@@ -138,66 +116,71 @@ def metrics(pred: DataFrame, label: str, pred_col: str = "impact_score_pred") ->
     return g.select("split", "n", (1 - F.col("__ssr") / (F.col("__v") * F.col("n"))).alias("r2"), "mae", "rmse")
 
 
-def _together(jobs: list, parallelism: int) -> list:
-    """Runs independent fits from a few driver threads; Spark shares the cluster among their jobs."""
-    with ThreadPoolExecutor(parallelism) as pool:
-        return list(pool.map(lambda f: f(), jobs))
-
-
-def grid_search(df: DataFrame, features: list[str], label: str, depths=(5, 6, 7, 8), steps=(0.03, 0.05, 0.07),
-                parallelism: int = 4) -> DataFrame:
-    """Depth × rate grid, by default the reference's. Every point is fitted on the train rows with early stopping on the validation slice
-    of the hash split and judged there and on the test rows; ``best`` marks the point of highest test R²."""
-    train, test = df.filter(F.col("split") == "train"), df.filter(F.col("split") == "test")
-
-    def point(depth, step):
-        model = gbt_pipeline(features, label, depth, step).fit(train)
-        r2 = {}
-        for name, rows in (("validation", train.filter("is_val")), ("test", test)):
-            r2[name] = metrics(score(model, rows, label).withColumn("split", F.lit(name)), label).first()["r2"]
-        return depth, step, model.stages[-1].getNumTrees, float(r2["validation"]), float(r2["test"])
-
-    rows = _together([lambda d=d, s=s: point(d, s) for d in depths for s in steps], parallelism)
-    top = max(rows, key=lambda r: (r[4], -r[0], -r[1]))
-    return df.sparkSession.createDataFrame([(*r, r == top) for r in rows],
-                                           "max_depth int, step_size double, trees int, validation_r2 double, test_r2 double, best boolean")
-
-
-def compare_targets(df: DataFrame, features: list[str], targets: list[str], parallelism: int = 4) -> DataFrame:
-    """One model per trial target on the same features and split; test metrics, best R² first."""
-    train, test = df.filter(F.col("split") == "train"), df.filter(F.col("split") == "test")
-
-    def one(target):
-        m = metrics(score(gbt_pipeline(features, target).fit(train), test, target), target).first()
-        return target, int(m["n"]), float(m["r2"]), float(m["mae"]), float(m["rmse"])
-
-    rows = sorted(_together([lambda t=t: one(t) for t in targets], parallelism), key=lambda r: (-r[2], r[0]))
-    return df.sparkSession.createDataFrame([(*r, i == 0) for i, r in enumerate(rows)],
-                                           "target string, n long, r2 double, mae double, rmse double, best boolean")
-
-
-def cross_validate(df: DataFrame, features: list[str], label: str, folds: int = 5, parallelism: int = 3) -> DataFrame:
-    """K-fold CV with deterministic folds (md5 bucket mod k, a filter on the written table); each fold's model stops
-    early on a tenth of its own training rows."""
-    d = df.withColumn("fold", (bucket() % folds).cast("int")).withColumn("is_val", bucket(salt="cv") < 10)
-
-    def one(k):
-        model = gbt_pipeline(features, label).fit(d.filter(F.col("fold") != k))
-        return float(metrics(score(model, d.filter(F.col("fold") == k), label), label).agg(
-            (F.sum(F.col("r2") * F.col("n")) / F.sum("n"))).first()[0])
-
-    got = _together([lambda k=k: one(k) for k in range(folds)], parallelism)
-    mean = sum(got) / folds
-    return df.sparkSession.createDataFrame([(folds, mean, (sum((x - mean) ** 2 for x in got) / folds) ** 0.5)],
+def metrics_of_many(df: DataFrame, models: dict[str, B.Model], part: Column) -> list:
+    """L03 for many models in one pass: one row per value of ``part`` (null ones left out), with n, r2, mae and rmse of
+    each model as ``<name>_n`` and so on; predictions clipped to 0–100."""
+    p = B.predict(df.withColumn("__part", part).filter("__part is not null"), models)
+    aggs = []
+    for name, m in models.items():
+        y = F.col(m.spec.label)
+        e = y - clip(F.col(name), 0.0, 100.0)
+        ssr, n = F.sum(e * e), F.count(y)
+        aggs += [n.alias(f"{name}_n"), (1 - ssr / (F.var_pop(y) * n)).alias(f"{name}_r2"), F.avg(F.abs(e)).alias(f"{name}_mae"),
+                 F.sqrt(F.avg(e * e)).alias(f"{name}_rmse")]
+    return p.groupBy("__part").agg(*aggs).collect()                              # a row a part
+
+
+def grid_search(df: DataFrame, features: list[str], label: str, depths=(5, 6, 7, 8), rates=(0.03, 0.05, 0.07), l2s=(3.0,),
+                rounds: int = 1000) -> DataFrame:
+    """Depth × rate × l2 grid, by default the reference's first. All points grow together on the train rows,
+    each with its own early stopping on the validation slice, and are judged there and on the test rows; ``best`` marks
+    the point of highest test R²."""
+    specs = [B.Spec(label, d, r, float(l2), rounds=rounds) for d in depths for r in rates for l2 in l2s]
+    models = {f"m{i}": m for i, m in enumerate(B.fitted(df, features, specs))}
+    part = F.when(F.col("split") == "test", "test").when(F.col("is_val"), "validation")
+    got = {r["__part"]: r for r in metrics_of_many(df, models, part)}
+
+    def r2(part, name):
+        v = got[part][f"{name}_r2"] if part in got else None
+        return float(v) if v is not None else float("nan")
+
+    rows = [(m.spec.depth, m.spec.rate, m.spec.l2, len(m.errors) - 1, len(m.trees), r2("validation", n), r2("test", n)) for n, m in models.items()]
+    top = max(rows, key=lambda r: (r[6], -r[0], -r[1], -r[2]))
+    return df.sparkSession.createDataFrame([(*r, r == top) for r in rows], "max_depth int, learning_rate double, l2 double, rounds int, trees int, "
+                                           "validation_r2 double, test_r2 double, best boolean")
+
+
+def compare_targets(df: DataFrame, features: list[str], targets: list[str], depth: int = 6, rounds: int = 1200) -> DataFrame:
+    """One model per trial target on the same features and split, grown together; test metrics, best R² first."""
+    models = dict(zip(targets, B.fitted(df, features, [B.Spec(t, depth, rounds=rounds) for t in targets])))
+    named = {f"p_{t}": m for t, m in models.items()}
+    got = {r["__part"]: r for r in metrics_of_many(df, named, F.col("split"))}
+    rows = [(t, int(got["test"][f"p_{t}_n"]), len(m.trees), float(got["train"][f"p_{t}_r2"]), float(got["test"][f"p_{t}_r2"]),
+             float(got["test"][f"p_{t}_mae"]), float(got["test"][f"p_{t}_rmse"])) for t, m in models.items()]
+    rows.sort(key=lambda r: (-r[4], r[0]))
+    return df.sparkSession.createDataFrame([(*r, i == 0) for i, r in enumerate(rows)], "target string, n long, trees int, train_r2 double, "
+                                           "r2 double, mae double, rmse double, best boolean")
+
+
+def cross_validate(df: DataFrame, features: list[str], label: str, folds: int = 5) -> DataFrame:
+    """K-fold CV with deterministic folds (md5 bucket mod k); the folds' models grow together, and each stops early
+    on a tenth of its own training rows."""
+    fold, val = (bucket() % folds).cast("int"), bucket(salt="cv") < 10
+    d = df.select("*", fold.alias("fold")).withColumns({f"train_{k}": (F.col("fold") != k) & ~val for k in range(folds)} |
+                                                       {f"val_{k}": (F.col("fold") != k) & val for k in range(folds)})
+    specs = [B.Spec(label, train=f"train_{k}", val=f"val_{k}") for k in range(folds)]
+    models = {f"m{k}": m for k, m in enumerate(B.fitted(d, features, specs))}
+    got = {r["__part"]: r for r in metrics_of_many(d, models, F.col("fold"))}
+    r2 = [float(got[k][f"m{k}_r2"]) for k in sorted(got) if got[k][f"m{k}_r2"] is not None]
+    mean = sum(r2) / max(len(r2), 1)
+    return df.sparkSession.createDataFrame([(folds, mean, (sum((x - mean) ** 2 for x in r2) / max(len(r2), 1)) ** 0.5)],
                                            "folds int, mean_r2 double, std_r2 double")
 
 
-def feature_importance(model, features: list[str], top: int = 15) -> DataFrame:
-    """Importances of the fitted GBT (a vector of len(features) — model metadata, not data)."""
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    rows = sorted(zip(features, [float(x) for x in imp]), key=lambda t: (-t[1], t[0]))[:top]
-    from pyspark.sql import SparkSession
-    return SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double")
+def feature_importance(spark, model: B.Model, top: int = 15) -> DataFrame:
+    """The ``top`` features by prediction change, in per cent of all (model metadata, not data)."""
+    rows = sorted(zip(model.features, model.importance), key=lambda t: (-t[1], t[0]))[:top]
+    return spark.createDataFrame([(f, float(x)) for f, x in rows], "feature string, importance double")
 
 
 def pca(df: DataFrame, k: int = 32, col: str = "embedding", id_col: str = "vec_id") -> DataFrame:

@@ -522,7 +522,7 @@ def q_stress_index_minmax(spark, sf):
             .orderBy(F.desc("stress_index"), "corridor").limit(15))
 
 
-@query("target_formulas", f"""
+_TARGETS_SQL = f"""
 WITH x AS (SELECT id, requires_road_closure AS c, corridor_tier AS t, event_cause AS cause,
              CASE WHEN hour IN (7, 8, 9, 17, 18, 19) THEN 1 ELSE 0 END AS pk, CASE WHEN weekday >= 5 THEN 1 ELSE 0 END AS wk,
              {_INTENSITY_SQL} AS ti, {_INTENSITY_SQL} * {_WEIGHT_SQL} AS ts, coalesce(length(d.text), 0) AS dl,
@@ -530,24 +530,46 @@ WITH x AS (SELECT id, requires_road_closure AS c, corridor_tier AS t, event_caus
       FROM inc LEFT JOIN documents d ON inc.id = d.doc_id),
 y AS (SELECT *, (rank() OVER (ORDER BY ts) + (count(*) OVER (PARTITION BY ts) - 1) / 2.0) / count(*) OVER () AS tp,
              (rank() OVER (ORDER BY dl) + (count(*) OVER (PARTITION BY dl) - 1) / 2.0) / count(*) OVER () AS dp FROM x)
-SELECT id,
-  least(100.0, greatest(0.0, CAST(c * 55 + t * 12 + c * t * 10 + pk * 7 AS DOUBLE))) AS v1,
-  least(100.0, greatest(0.0, coalesce({sql_case_map('cause', D.CAUSE_SEVERITY_T2)}, 6) * 1.5 + c * 35 + t * 10 + pk * 8 - wk * 4 + sc * 3 + ts * 15)) AS v2,
-  least(100.0, greatest(0.0, c * 50 + pow(t, 1.5) * 8 + pow(ti, 2) * 12 + c * t * 15 + pk * t * 6 + ln(1 + dl) * 2)) AS v3,
-  least(100.0, greatest(0.0, CASE WHEN cause IN ('protest', 'water_logging', 'tree_fall', 'accident') THEN 3
+"""
+_TARGET_SQL = {
+    "v1": f"""CAST(c * 55 + t * 12 + c * t * 10 + pk * 7 AS DOUBLE)""",
+    "v2": f"""coalesce({sql_case_map('cause', D.CAUSE_SEVERITY_T2)}, 6) * 1.5 + c * 35 + t * 10 + pk * 8 - wk * 4 + sc * 3 + ts * 15""",
+    "v3": f"""c * 50 + pow(t, 1.5) * 8 + pow(ti, 2) * 12 + c * t * 15 + pk * t * 6 + ln(1 + dl) * 2""",
+    "m4": f"""CASE WHEN cause IN ('protest', 'water_logging', 'tree_fall', 'accident') THEN 3
       WHEN cause IN ('public_event', 'procession', 'vip_movement', 'construction', 'road_conditions') THEN 2 ELSE 1 END * 18
-    + pow(c, 1.2) * 42 + pow(t, 1.3) * 9 + exp(ts) * 5 + pk * 6 + sc * 2.5 + ln(1 + dl) * 1.5)) AS m4,
-  least(100.0, greatest(0.0, coalesce({sql_case_map('cause', D.CAUSE_SEVERITY_M5)}, 7) * 0.8 + c * 40 * 1.1 + (t / 3 * 25) * 0.9
-    + tp * 20 + dp * 10 * 0.5 + sc * 3.5 + pk * 5)) AS m5,
-  least(100.0, greatest(0.0, coalesce({sql_case_map('cause', D.CAUSE_SEVERITY_M6)}, 5) * 1.3 + c * 32 + t * 11 + c * t * 12
-    + c * t * ts * 8 + c * pk * t * 4 + ts * 14 + sc * t * 2 + ti * t * 3 + pk * 7 - wk * 3)) AS m6
-FROM y""")
+    + pow(c, 1.2) * 42 + pow(t, 1.3) * 9 + exp(ts) * 5 + pk * 6 + sc * 2.5 + ln(1 + dl) * 1.5""",
+    "m5": f"""coalesce({sql_case_map('cause', D.CAUSE_SEVERITY_M5)}, 7) * 0.8 + c * 40 * 1.1 + (t / 3 * 25) * 0.9
+    + tp * 20 + dp * 10 * 0.5 + sc * 3.5 + pk * 5""",
+    "m6": f"""coalesce({sql_case_map('cause', D.CAUSE_SEVERITY_M6)}, 5) * 1.3 + c * 32 + t * 11 + c * t * 12
+    + c * t * ts * 8 + c * pk * t * 4 + ts * 14 + sc * t * 2 + ti * t * 3 + pk * 7 - wk * 3""",
+}
+
+
+def _noise_sql(name: str) -> str:
+    mean, sd = R.TARGET_NOISE[name]
+    u = "(CAST('0x' || substr(md5('{n}:' || id), {at}, 13) AS BIGINT) + 0.5) / 4503599627370496"
+    return f"{mean} + {sd} * sqrt(-2 * ln({u.format(n=name, at=1)})) * cos(2 * pi() * {u.format(n=name, at=14)})"
+
+
+@query("target_formulas", _TARGETS_SQL + "SELECT id, " + ", ".join(
+    f"least(100.0, greatest(0.0, {e})) AS {n}" for n, e in _TARGET_SQL.items()) + " FROM y")
 def q_target_formulas(spark, sf):
     """The six candidate targets (noise off); an incident's description is the document of its id."""
     return trial_targets(spark, sf)
 
 
-def trial_targets(spark, sf):
+@query("target_formulas_noisy", _TARGETS_SQL + "SELECT id, " + ", ".join(
+    f"least(100.0, greatest(0.0, {e} + {_noise_sql(n)})) AS {n}" for n, e in _TARGET_SQL.items()) + " FROM y")
+def q_target_formulas_noisy(spark, sf):
+    """the six candidate targets with their seeded Gaussian noise."""
+    return noisy_targets(spark, sf)
+
+
+def noisy_targets(spark, sf):
+    return trial_targets(spark, sf, F.col("id"))
+
+
+def trial_targets(spark, sf, noise_key=None):
     text = read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     d = X.inc(spark, sf).join(text, "id", "left")
     h, w = F.col("hour"), F.col("weekday")
@@ -557,5 +579,5 @@ def trial_targets(spark, sf):
     d = S.percentile_rank(d, "ts", "tp")
     d = S.percentile_rank(d, "desc_len", "dp")
     f = R.target_formulas(F.col("requires_road_closure"), F.col("corridor_tier"), F.col("pk"), F.col("wk"), F.col("ti"),
-                          F.col("ts"), F.col("event_cause"), F.col("script"), F.col("desc_len"), F.col("tp"), F.col("dp"))
+                          F.col("ts"), F.col("event_cause"), F.col("script"), F.col("desc_len"), F.col("tp"), F.col("dp"), noise_key)
     return d.select("id", *[v.alias(k) for k, v in f.items()])

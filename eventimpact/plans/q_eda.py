@@ -270,6 +270,22 @@ def q_density_grid(spark, sf):
     return A.density_grid(X.scored(spark, sf))
 
 
+@query("hexagon_grid", """
+WITH d AS (SELECT * FROM scored WHERE latitude IS NOT NULL AND longitude IS NOT NULL),
+m AS (SELECT min(latitude) la0, max(latitude) la1, min(longitude) lo0, max(longitude) lo1 FROM d),
+p AS (SELECT impact_score, m.*, CASE WHEN lo1 = lo0 THEN 0 ELSE (longitude - lo0) / (lo1 - lo0) * 30 END AS x,
+        CASE WHEN la1 = la0 THEN 0 ELSE (latitude - la0) / (la1 - la0) * 17 END AS y FROM d CROSS JOIN m),
+c AS (SELECT *, round_even(x, 0) AS x1, round_even(y, 0) AS y1, floor(x) AS x2, floor(y) AS y2 FROM p),
+h AS (SELECT *, (x - x1) * (x - x1) + 3 * (y - y1) * (y - y1) < (x - x2 - 0.5) * (x - x2 - 0.5) + 3 * (y - y2 - 0.5) * (y - y2 - 0.5) AS one FROM c),
+k AS (SELECT *, CAST(CASE WHEN one THEN 2 * x1 ELSE 2 * x2 + 1 END AS INT) AS col, CAST(CASE WHEN one THEN 2 * y1 ELSE 2 * y2 + 1 END AS INT) AS r FROM h)
+SELECT CAST((col - r) / 2 AS INT) AS q, r, any_value(lo0) + (any_value(lo1) - any_value(lo0)) / 30 * col / 2 AS center_lon,
+  any_value(la0) + (any_value(la1) - any_value(la0)) / 17 * r / 2 AS center_lat, count(*) AS n, avg(impact_score / 100) AS weight
+FROM k GROUP BY col, r""")
+def q_hexagon_grid(spark, sf):
+    """Hexagonal density at gridsize 30."""
+    return A.hexagon_grid(X.scored(spark, sf))
+
+
 @query("corridor_centroid", """
 SELECT corridor, round(avg(latitude), 6) AS center_lat, round(avg(longitude), 6) AS center_lon, count(*) AS n
 FROM inc WHERE corridor <> 'Non-corridor' GROUP BY corridor""")

@@ -234,6 +234,17 @@ def q_event_conflicts(spark, sf):
     return c.select("event_date", "event_count", "total_expected_crowd", "conflict_severity_score", "overall_severity")
 
 
+@query("event_conflict_neighbours", """
+WITH p AS (SELECT a.event_id, count(*) AS n_same, count(CASE WHEN abs(a.hour - b.hour) <= 2 THEN 1 END) AS n_near,
+    min(CASE WHEN abs(a.hour - b.hour) <= 2 THEN struct_pack(gap := abs(a.hour - b.hour), id := b.event_id) END) AS m
+  FROM plan a JOIN plan b ON a.event_date = b.event_date AND a.corridor = b.corridor AND a.event_id <> b.event_id GROUP BY a.event_id)
+SELECT e.event_id, e.event_date, e.corridor, e.hour, coalesce(n_same, 0) AS n_same, coalesce(n_near, 0) AS n_near,
+  p.m.id AS nearest_id, CAST(p.m.gap AS INT) AS gap_hours FROM plan e LEFT JOIN p ON p.event_id = e.event_id""")
+def q_event_conflict_neighbours(spark, sf):
+    """For every event the others of its date and corridor, those within 2 hours, and the nearest."""
+    return FC.event_neighbours(X.plan(spark, sf).select("event_id", "event_date", "corridor", "hour"))
+
+
 @query("event_conflict_rules", f"""
 WITH {CONFLICT_SQL}
 SELECT event_date, CAST(pos AS INT) AS pos, type, points, severity,

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
+from ..operators import boosting as B
 from ..operators import clustering as CL
 from ..operators import evidence as EV
 from ..operators import ml as ML
@@ -13,6 +16,7 @@ from ..sources import fixtures as X
 from ..sources.tables import read_table
 from .q_scoring import BASELINE_SQL, BLEND_SQL, CLASS, EVIDENCE_SQL
 from .oracle import GEO_SQL
+from .q_basic import _INTENSITY_SQL, _WEIGHT_SQL
 from .registry import query
 
 EPS_SQL = "CAST(0.01 AS DOUBLE)"
@@ -76,29 +80,38 @@ def _train_frame(spark, sf):
     """The assembled feature table of the scored incidents, evaluated once and written (S05): fits, folds and metrics
     read the columns back instead of running the feature lineage again."""
     d = ML.split(_features(X.scored(spark, sf)))
-    keep = ["id", "event_cause", "impact_score", "split", "is_val", *ML.SERVED_FEATURES]
+    keep = ["id", "event_cause", "impact_score", "split", "is_val", "is_train", *ML.SERVED_FEATURES]
     return written(d.select(*keep), "features")
 
 
+def _trial_frame(spark, sf):
+    """The 36 features of the best trial and the six noisy targets; an incident's description is the document of its id."""
+    from .q_basic import noisy_targets
+    from .q_quality import _end
+    text = read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    d = X.inc(spark, sf).join(text, "id", "left").withColumns({"endlatitude": _end("latitude"), "endlongitude": _end("longitude")})
+    return written(ML.split(ML.trial_features(d).join(noisy_targets(spark, sf), "id")), "trial")
+
+
 _FEATS = ML.SERVED_FEATURES
 
 
 def _impact_model(d):
-    return ML.gbt_pipeline(_FEATS, "impact_score").fit(d.filter(F.col("split") == "train"))
+    return B.fitted(d, _FEATS, [B.Spec("impact_score")])[0]
 
 
 @query("gbt_impact_model")
 def q_gbt_impact_model(spark, sf):
-    """L01 + M02 + L03: GBT on the served features (early stopping on a validation slice); train/test metrics."""
+    """L01 + M02 + L03: boosting on the served features (early stopping on a validation slice); train/test metrics."""
     d = _train_frame(spark, sf)
-    return ML.metrics(ML.score(_impact_model(d), d, "impact_score"), "impact_score")
+    return ML.metrics(ML.score(d, _impact_model(d), "impact_score"), "impact_score")
 
 
 @query("model_scores")
 def q_model_scores(spark, sf):
     """Clipped model score, class and raw output for every test incident."""
     d = _train_frame(spark, sf)
-    return ML.score(_impact_model(d), d.filter(F.col("split") == "test"), "impact_score")
+    return ML.score(d.filter(F.col("split") == "test"), _impact_model(d), "impact_score")
 
 
 @query("gbt_grid_search")
@@ -107,18 +120,55 @@ def q_gbt_grid_search(spark, sf):
     return ML.grid_search(_train_frame(spark, sf), _FEATS, "impact_score")
 
 
+@query("gbt_grid_search_l2")
+def q_gbt_grid_search_l2(spark, sf):
+    """The 48-point depth × rate × l2 grid on the 36 features of the best trial and its noisy target m4."""
+    return ML.grid_search(_trial_frame(spark, sf), ML.TRIAL_FEATURES, "m4", (4, 5, 6, 7), (0.02, 0.03, 0.04, 0.05), (2.0, 3.0, 4.0), 1200)
+
+
+TRIAL_SQL = """
+tf AS (SELECT i.id,
+  CAST(corridor_tier AS DOUBLE) AS corridor_tier, CAST(requires_road_closure AS DOUBLE) AS c, CAST(hour AS DOUBLE) AS hour, CAST(weekday AS DOUBLE) AS weekday,
+  CASE WHEN hour IN (7, 8, 9, 17, 18, 19) THEN 1.0::DOUBLE ELSE 0 END AS is_peak, CASE WHEN weekday >= 5 THEN 1.0::DOUBLE ELSE 0 END AS is_weekend,
+  CASE WHEN hour >= 22 OR hour <= 5 THEN 1.0::DOUBLE ELSE 0 END AS is_night, CASE WHEN hour <= 3 OR hour >= 22 THEN 1.0::DOUBLE ELSE 0 END AS is_extreme_hour,
+  CASE WHEN regexp_matches(coalesce(d.text, ''), '[\u0C80-\u0CFF]') THEN 1.0::DOUBLE ELSE 0 END AS has_kannada,
+  CAST(coalesce(length(d.text), 0) AS DOUBLE) AS desc_length, {intensity}::DOUBLE AS traffic_intensity, {weight}::DOUBLE AS weekday_weight,
+  CASE WHEN k % 4 = 0 THEN 0.0::DOUBLE ELSE 1 END AS has_end_coords,
+  CASE WHEN k % 4 <> 1 AND latitude IS NOT NULL AND longitude IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END AS coords_complete
+  FROM inc i LEFT JOIN documents d ON i.id = d.doc_id)"""
+
+
+@query("trial_features", "WITH " + TRIAL_SQL.format(intensity=_INTENSITY_SQL, weight=_WEIGHT_SQL) + """
+SELECT id, corridor_tier, c AS requires_road_closure, hour, weekday, is_peak, is_weekend, is_night, is_extreme_hour, has_kannada, desc_length,
+  traffic_intensity, weekday_weight, round(traffic_intensity * weekday_weight, 6) AS temporal_score, has_end_coords, coords_complete,
+  abs(hour - 12) AS hour_deviation, c * corridor_tier AS closure_tier, is_peak * corridor_tier AS peak_tier, is_weekend * corridor_tier AS weekend_tier,
+  c * is_peak AS closure_peak, corridor_tier * corridor_tier AS tier_squared, c * is_peak * corridor_tier AS closure_peak_tier,
+  has_kannada * corridor_tier AS kannada_tier, round(traffic_intensity * corridor_tier, 6) AS intensity_tier,
+  round(c * corridor_tier * traffic_intensity * weekday_weight, 6) AS closure_tier_temporal,
+  round(corridor_tier * traffic_intensity * weekday_weight, 6) AS tier_temporal, CASE WHEN corridor_tier > 0 THEN 1.0::DOUBLE ELSE 0 END AS is_corridor
+FROM tf""")
+def q_trial_features(spark, sf):
+    """Of the 36 features of the best trial those that no other query checks, products rounded to six digits."""
+    from .q_quality import _end
+    text = read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    d = X.inc(spark, sf).join(text, "id", "left").withColumns({"endlatitude": _end("latitude"), "endlongitude": _end("longitude")})
+    rounded = {"temporal_score", "intensity_tier", "closure_tier_temporal", "tier_temporal"}
+    other = {"event_cause_encoded", "veh_type_encoded", "hour_sin", "hour_cos", "weekday_sin", "weekday_cos", "closure_temporal", "desc_word_count", "cause_cluster"}
+    return ML.trial_features(d).select("id", *[F.round(x, 6).alias(x) if x in rounded else F.col(x) for x in ML.TRIAL_FEATURES if x not in other])
+
+
 @query("feature_importance")
 def q_feature_importance(spark, sf):
-    """Top-15 feature importances of the fitted GBT."""
-    return ML.feature_importance(_impact_model(_train_frame(spark, sf)), _FEATS)
+    """Top-15 features of the impact model by prediction change."""
+    return ML.feature_importance(spark, _impact_model(_train_frame(spark, sf)))
 
 
 @query("model_comparison")
 def q_model_comparison(spark, sf):
-    """Test metrics of the GBT vs the rule baseline (M03) for the v2 label; best first."""
+    """Test metrics of the boosted model vs the rule baseline (M03) for the v2 label; best first."""
     d = _train_frame(spark, sf)
     test = d.filter(F.col("split") == "test")
-    gbt = ML.metrics(ML.score(_impact_model(d), test, "impact_score"), "impact_score").withColumn("model", F.lit("gbt"))
+    gbt = ML.metrics(ML.score(test, _impact_model(d), "impact_score"), "impact_score").withColumn("model", F.lit("gbt"))
     base, _ = SC.operational_baseline(F.col("event_cause"), F.col("corridor_tier"), F.col("requires_road_closure"),
                                       F.col("hour"))
     rule = ML.metrics(test.withColumn("impact_score_pred", base.cast("double")), "impact_score").withColumn(
@@ -132,12 +182,8 @@ def q_model_comparison(spark, sf):
 
 @query("target_comparison")
 def q_target_comparison(spark, sf):
-    """The same model fitted on each of the six trial targets; test R², MAE and RMSE, best first."""
-    from .q_basic import trial_targets
-    d = _train_frame(spark, sf)
-    targets = trial_targets(spark, sf)
-    d = written(d.join(targets, "id"), "targets")
-    return ML.compare_targets(d, _FEATS, [c for c in targets.columns if c != "id"])
+    """One model on each of the six noisy trial targets, 36 features; test R², MAE and RMSE, best first."""
+    return ML.compare_targets(_trial_frame(spark, sf), ML.TRIAL_FEATURES, ["v1", "v2", "v3", "m4", "m5", "m6"])
 
 
 @query("cross_validation")
@@ -169,6 +215,31 @@ def q_event_training_set(spark, sf):
                     F.least(F.lit(100.0), F.col("impact_score") + 5 * t).alias("target"))
 
 
+def _uniform_sql(stream: str, key: str) -> str:
+    return f"((CAST('0x' || substr(md5('{stream}:' || {key}), 1, 13) AS BIGINT) + 0.5) / 4503599627370496)"
+
+
+_DRAWS_SQL = " + ".join("CASE WHEN u >= " + " + ".join(f"exp(-rate) * pow(rate, {i}) / {math.factorial(i)}" for i in range(k + 1)) + " THEN 1 ELSE 0 END"
+                        for k in range(20))
+
+
+@query("event_training_resampled", f"""
+WITH m AS (SELECT greatest(count(*), 1) AS n FROM scored),
+s AS (SELECT id, dur, impact_score, n, CAST(greatest(1, ceil(1000.0::DOUBLE / n)) AS INT) AS reps FROM scored CROSS JOIN m WHERE id IS NOT NULL),
+r AS (SELECT *, CAST(unnest(range(0, reps)) AS INT) AS replicate FROM s),
+d AS (SELECT *, 1000.0::DOUBLE / n / reps AS rate, {_uniform_sql('draw', "replicate || '/' || id")} AS u FROM r),
+w AS (SELECT *, {_DRAWS_SQL} AS weight FROM d),
+c AS (SELECT *, CAST(unnest(range(1, CAST(weight AS BIGINT) + 1)) AS INT) AS copy FROM w WHERE weight > 0),
+x AS (SELECT *, CAST(floor({_uniform_sql('crowd', "replicate || '/' || id || '/' || copy")} * 80000) AS INT) AS expected_crowd FROM c),
+t AS (SELECT *, CASE WHEN expected_crowd <= 10000 THEN 0 WHEN expected_crowd <= 30000 THEN 1 WHEN expected_crowd <= 50000 THEN 2 ELSE 3 END AS crowd_tier FROM x)
+SELECT id, replicate, copy, expected_crowd, crowd_tier, 1 + expected_crowd / 100000 AS crowd_factor,
+  dur * (1 + expected_crowd / 100000) AS resolution_minutes, least(100.0, impact_score + 5 * crowd_tier) AS target FROM t""")
+def q_event_training_resampled(spark, sf):
+    """About 1,000 synthetic planned events, drawn from all incidents with replacement."""
+    from ..operators.forecast import resampled_training_set
+    return resampled_training_set(X.scored(spark, sf))
+
+
 _VARIANT_SQL = """
 base AS (SELECT id AS request_id, event_cause AS cause, corridor, corridor_tier AS tier, requires_road_closure AS closure,
            hour, weekday FROM inc),

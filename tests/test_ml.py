@@ -1,33 +1,147 @@
-"""Model fits: early stopping with patience and the reference's grid."""
+"""Boosting against a plain numpy booster; the reference's grids; importance; seeded draws."""
 
 import inspect
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from eventimpact.functions import rules as R
+from eventimpact.operators import boosting as B
+from eventimpact.operators import forecast as FC
 from eventimpact.operators import ml as ML
 
 
-def test_stopping_point_waits_for_the_patience():
-    assert ML.stopping_point([5, 4, 4.5, 4.4, 3, 3.1, 3.2], 3) == (5, False)
-    assert ML.stopping_point([5, 4, 4.5, 4.4, 4.3, 3], 3) == (2, True)
-    assert ML.stopping_point([3, 2, 1], 3) == (3, False)
+def plain_tree(x, g, depth, l2, cuts):
+    """Nested (feature, cut, left, right) or leaf value, grown level by level on binned rows."""
+    if depth == 0:
+        return -g.sum() / (len(g) + l2)
+    best = None
+    for f in range(x.shape[1]):
+        for c in range(cuts[f]):
+            left = x[:, f] <= c
+            if left.any() and not left.all():
+                a, b = g[left], g[~left]
+                gain = a.sum() ** 2 / (len(a) + l2) + b.sum() ** 2 / (len(b) + l2) - g.sum() ** 2 / (len(g) + l2)
+                if gain > 1e-9 and (best is None or gain > best[0] * (1 + 1e-12)):
+                    best = gain, f, c
+    if best is None:
+        return -g.sum() / (len(g) + l2)
+    left = x[:, best[1]] <= best[2]
+    return best[1], best[2], plain_tree(x[left], g[left], depth - 1, l2, cuts), plain_tree(x[~left], g[~left], depth - 1, l2, cuts)
 
 
-def test_a_fit_goes_on_over_rounds_of_small_gain(spark):
-    d = spark.range(0, 400, 1, 1).select("id", (F.col("id") % 20).cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("z"))
-    d = d.select("*", (F.sin("x") * 10 + F.col("z") * F.col("x")).alias("y"), (F.col("id") % 5 == 0).alias("is_val"))
-    asm = VectorAssembler(inputCols=["x", "z"], outputCol="features")
-    model = Pipeline(stages=[asm, ML.PatientGBT("y", 2, 0.05, 42, first=8, most=24, patience=5)]).fit(d)
-    gbt = model.stages[-1]
-    errors = gbt.evaluateEachIteration(asm.transform(d).filter("is_val"), "squared")
-    assert gbt.getNumTrees == len(errors) > 8 and min(errors) == errors[-1]       # 8 rounds were not enough
-    assert any(a - b < 0.01 * b for a, b in zip(errors, errors[1:]))                # 1 % a round is no stall
-    assert len(gbt.featureImportances) == 2 and model.transform(d).count() == 400
-    assert ML.MAX_TREES == 1000 and ML.PATIENCE == 50
+def plain_value(t, row):
+    while isinstance(t, tuple):
+        t = t[2] if row[t[0]] <= t[1] else t[3]
+    return t
 
 
-def test_the_grid_is_the_reference_s():
+def plain_boost(x, y, train, val, spec, cuts):
+    pred = np.full(len(y), y[train].mean())
+    out, errors = [pred.copy()], [((pred - y)[val] ** 2).mean()]
+    while len(errors) - 1 < spec.rounds and len(errors) - 1 - int(np.argmin(errors)) < spec.patience:
+        t = plain_tree(x[train], (pred - y)[train], spec.depth, spec.l2, cuts)
+        pred = pred + spec.rate * np.array([plain_value(t, r) for r in x])
+        out.append(pred.copy())
+        errors.append(((pred - y)[val] ** 2).mean())
+    return out[int(np.argmin(errors))], errors
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = np.random.default_rng(1)
+    x = np.stack([rng.integers(0, 2, 500), rng.integers(0, 12, 500), rng.normal(size=500), rng.integers(0, 3, 500)], 1).astype(float)
+    y = 20 * x[:, 0] + 3 * np.abs(x[:, 1] - 6) + 8 * np.sin(2 * x[:, 2]) + 5 * x[:, 0] * x[:, 3] + rng.normal(0, 1.5, 500)
+    z = x[:, 1] * x[:, 3] + rng.normal(0, 4, 500)
+    part = rng.integers(0, 5, 500)
+    return x, y, z, part
+
+
+@pytest.fixture(scope="module")
+def frame(spark, rows):
+    x, y, z, part = rows
+    data = [(i, *map(float, r), float(a), float(b), bool(p > 1), bool(p == 1)) for i, (r, a, b, p) in enumerate(zip(x, y, z, part))]
+    return spark.createDataFrame(data, "id long, a double, b double, c double, d double, y double, z double, is_train boolean, is_val boolean").repartition(3)
+
+
+FEATURES = ["a", "b", "c", "d"]
+
+
+def test_models_of_a_batch_equal_a_plain_booster(spark, frame, rows):
+    x, y, z, part = rows
+    borders = B.bin_borders(frame, FEATURES, "id")
+    assert max(map(len, borders)) <= B.BINS - 1
+    binned = np.stack([np.searchsorted(b, x[:, i], "left") for i, b in enumerate(borders)], 1)
+    specs = [B.Spec("y", 3, 0.3, 2.0, rounds=25, patience=4), B.Spec("z", 2, 0.2, 4.0, rounds=60, patience=3), B.Spec("y", 4, 0.1, 3.0, rounds=13)]
+    models = B.fit_many(frame, FEATURES, specs, borders=borders)
+    got = {r.id: r for r in B.predict(frame.select("id", *FEATURES), {f"p{i}": m for i, m in enumerate(models)}).collect()}
+    for i, (s, m) in enumerate(zip(specs, models)):
+        want, errors = plain_boost(binned, y if s.label == "y" else z, part > 1, part == 1, s, [len(b) for b in borders])
+        assert np.allclose(m.errors, errors, rtol=1e-9) and len(m.trees) == int(np.argmin(errors))
+        assert max(abs(got[k][f"p{i}"] - want[k]) for k in range(500)) < 1e-9
+    assert len(models[1].errors) - 1 < 60 and len(models[2].trees) == 13                    # one stopped early, one ran out
+
+
+def test_importance_equals_a_plain_walk(frame, rows):
+    x, y, _, part = rows
+    m = B.fit_many(frame, FEATURES, [B.Spec("y", 3, 0.3, 2.0, rounds=8)])[0]
+    binned = np.stack([np.searchsorted(b, x[:, i], "left") for i, b in enumerate(m.borders)], 1)[part > 1]
+    total = np.zeros(4)
+    for t in m.trees:
+        value = m.spec.rate * t.value[t.leaf(binned)]
+
+        def walk(node, at, t=t, value=value):
+            if node >= len(t.feature) or not len(at):
+                return
+            f = t.feature[node]
+            right = (binned[at, f] > t.cut[node]) & (f >= 0)
+            if f >= 0:
+                for side in (at[right], at[~right]):
+                    total[f] += len(side) * (value[side].mean() - value[at].mean()) ** 2
+            walk(2 * node + 1, at[~right])
+            walk(2 * node + 2, at[right])
+        walk(0, np.arange(len(binned)))
+    assert np.allclose(m.importance, 100 * total / total.sum()) and abs(sum(m.importance) - 100) < 1e-9
+
+
+def test_models_are_kept_by_content(spark, frame):
+    spec = [B.Spec("y", 2, 0.3, rounds=3)]
+    first, again = B.fitted(frame, FEATURES, spec)[0], B.fitted(frame, FEATURES, spec)[0]
+    assert first.to_json() == again.to_json()
+    other = B.fitted(frame.withColumn("y", F.col("y") + F.when(F.col("id") == 7, 1.0).otherwise(0.0)), FEATURES, spec)[0]
+    assert other.to_json() != first.to_json()
+
+
+def test_empty_and_odd_tables(spark, frame):
+    m = B.fit_many(frame.limit(0), FEATURES, [B.Spec("y", 2, rounds=3)])[0]
+    assert m.trees == [] and m.base == 0.0
+    odd = frame.withColumn("y", F.when(F.col("id") % 3 != 0, F.col("y"))).withColumn("c", F.when(F.col("id") % 2 == 0, F.col("c")))
+    m = B.fit_many(odd, FEATURES, [B.Spec("y", 2, rounds=3)])[0]
+    assert 0 < len(m.trees) <= 3 and B.predict(odd, {"p": m}).filter("p is null").count() == 0
+
+
+def test_the_grids_are_the_reference_s():
     p = inspect.signature(ML.grid_search).parameters
-    assert p["depths"].default == (5, 6, 7, 8) and p["steps"].default == (0.03, 0.05, 0.07)
+    assert p["depths"].default == (5, 6, 7, 8) and p["rates"].default == (0.03, 0.05, 0.07) and p["l2s"].default == (3.0,)
+    assert B.Spec("y").patience == 50 and B.Spec("y").rounds == 1000 and len(ML.TRIAL_FEATURES) == 36
+
+
+def test_seeded_noise_has_its_mean_and_deviation(spark):
+    d = spark.range(20_000)
+    for k, (mean, sd) in R.TARGET_NOISE.items():
+        r = d.agg(F.avg(R.gauss(F.col("id"), k, mean, sd)).alias("m"), F.stddev(R.gauss(F.col("id"), k, mean, sd)).alias("s")).first()
+        assert abs(r.m - mean) < 4 * sd / 20_000**0.5 and abs(r.s - sd) < 0.03 * sd
+    a = {r.id: r.x for r in d.limit(50).select("id", R.gauss(F.col("id"), "v1").alias("x")).collect()}
+    b = {r.id: r.x for r in d.repartition(7).filter("id < 50").select("id", R.gauss(F.col("id"), "v1").alias("x")).collect()}
+    assert all(a[k] == b[k] for k in a)
+
+
+def test_resampling_draws_about_the_target(spark):
+    for n in (300, 5000):
+        h = spark.range(n).select("id", F.lit(60.0).alias("dur"), F.lit(50.0).alias("impact_score"))
+        e = FC.resampled_training_set(h)
+        total, distinct = e.count(), e.select("id").distinct().count()
+        assert abs(total - 1000) < 4 * 1000**0.5 and distinct < total
+        assert abs(distinct - n * (1 - np.exp(-1000 / n))) < 60
+    assert FC.resampled_training_set(h.limit(0)).count() == 0
