@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
@@ -123,48 +123,47 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
 
 
 def split_points(df: DataFrame, cols: list[str], parts: int, per_part: int = 32) -> list:
-    """At most ``parts - 1`` rows that cut the order of ``cols`` into ranges of about equal size, as literals.
+    """At most ``parts - 1`` rows that cut the order of ``cols`` into ranges of about equal size.
 
-    The sample is the ``parts * per_part`` distinct keys of smallest hash: bounded, the same on every run, and
-    taken in one pass (each task keeps its smallest)."""
-    h = F.xxhash64(*cols)
-    rows = (df.select(*cols, h.alias("__h")).distinct().orderBy("__h", *cols).limit(parts * per_part)
-            .orderBy(*cols).select(*cols).collect())
+    The sample is the distinct keys whose hash lies below a threshold that lets about ``parts * per_part`` rows pass:
+    bounded, the same on every run, and chosen before anything is shuffled."""
+    share = int(min(1.0, parts * per_part / max(df.count(), 1)) * (1 << 30))
+    some = df.select(*cols).filter(F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) < share)
+    rows = some.distinct().orderBy(*cols).collect()
     return [rows[i * len(rows) // parts] for i in range(1, parts) if len(rows) >= parts]
 
 
-def range_of(df: DataFrame, cols: list[str], points: list) -> Column:
-    """Number of the range that a row's key falls in: a pure function of the key (binary search over literals)."""
-    types = [df.schema[c].dataType for c in cols]
-    key = F.struct(*cols)
+def with_range(df: DataFrame, cols: list[str], points: list, out: str) -> DataFrame:
+    """``df`` with the number of the range that a row's key falls in, the count of points below it: a pure function of
+    the key. The points are one sorted array, read as a scalar; a row finds its place by binary search, so neither the
+    plan nor the work of planning grows with the ranges."""
+    if not points:
+        return df.withColumn(out, F.lit(0))
+    kind = StructType([StructField(f"c{i}", df.schema[c].dataType) for i, c in enumerate(cols)])
+    table = df.sparkSession.createDataFrame([([tuple(p) for p in points],)], StructType([StructField("p", ArrayType(kind))]))
+    key = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    steps = len(points).bit_length()
+    jumps = F.array(*[F.lit(1 << (steps - 1 - i)) for i in range(steps)])
 
-    def literal(v, t) -> Column:
-        if isinstance(t, StructType):
-            return F.struct(*[literal(x, f.dataType).alias(f.name) for x, f in zip(v, t.fields)])
-        return F.lit(v).cast(t)
+    def step(at, jump):
+        to = at + jump
+        below = (to <= len(points)) & (F.element_at("__points", F.least(to, F.lit(len(points)))) < F.col("__key"))
+        return F.when(below, to).otherwise(at)
 
-    def at(p):
-        return F.struct(*[literal(v, t).alias(c) for v, t, c in zip(p, types, cols)])
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key <= at(points[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(points))
+    found = df.withColumn("__points", table.select("p").scalar()).withColumn("__key", key)
+    return found.withColumn(out, F.aggregate(jumps, F.lit(0), step)).drop("__points", "__key")
 
 
 def running_total(vals: DataFrame, cols: str | list[str], weight: str, out: str, partitions: int | None = None) -> DataFrame:
     """Running total of ``weight`` in the order of ``cols``, over a table of distinct keys — distributed.
 
-    The key order is cut at literal split points, so a row's range is a pure function of its key and the two
+    The key order is cut at split points of a sample, so a row's range is a pure function of its key and the two
     branches below agree whether or not Spark reuses an exchange. Each range gets a local running sum and the
     total of all lower ranges (one row per range). No task sees more than one range.
     """
     cols = [cols] if isinstance(cols, str) else cols
     n = partitions or int(vals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    v = vals.withColumn("__rp", range_of(vals, cols, split_points(vals, cols, n)))
+    v = with_range(vals, cols, split_points(vals, cols, n), "__rp")
     local = Window.partitionBy("__rp").orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0)
     offs = v.groupBy("__rp").agg(F.sum(weight).alias("__pt"))
     offs = offs.withColumn("__off", F.coalesce(

@@ -1,7 +1,7 @@
 """Window features without look-ahead.
 
 Scale rule: a window partitioned only by a category key puts a hot key (one corridor may hold a third of all
-rows) into one task. The rows are therefore cut into ranges of (key, time, id) order at literal split points of about
+rows) into one task. The rows are therefore cut into ranges of (key, time, id) order at split points of about
 equal size (``stats.split_points``), so a hot key, or a hot day of it, spans many ranges. A window runs inside one
 (key, range), and what lies before it in the key comes from a pre-aggregate with one row per (key, range).
 """
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .stats import range_of, split_points
+from .stats import split_points, with_range
 
 DAY_US = 86400 * 1000000
 
@@ -24,7 +24,7 @@ def _micros(ts: str) -> Column:
 def _ranges(df: DataFrame, cols: list[str]) -> DataFrame:
     """Adds ``__rp``, the range of the row's key: a pure function of ``cols``."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.withColumn("__rp", range_of(df, cols, split_points(df, cols, n)))
+    return with_range(df, cols, split_points(df, cols, n), "__rp")
 
 
 def _earlier(key: str) -> Window:
