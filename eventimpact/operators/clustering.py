@@ -5,11 +5,11 @@ No pair of points is emitted inside a dense area:
 1. Equal coordinates collapse into one weighted point (one aggregate).
 2. Points are keyed by sub-cells of side eps / m. A neighbouring sub-cell offset is classified once by geometry:
    *full* when every point pair of the two sub-cells is within eps (their whole weight counts, a cell-level
-   join), *rim* when some pairs may be (exact point tests), or beyond reach. Only rim offsets of the eps-disk
-   produce point pairs, so a dense sub-cell costs one row, not k² pairs.
+   join), *rim* when some pairs may be, or beyond reach. At rim offsets a point meets cells that are cut into quadrants
+   along the rim of its disk (``disk_reach``), so k points in a dense sub-cell cost far fewer than k² rows.
 3. Core points (neighbour weight ≥ min_samples) are grouped by sub-cell: all core points of a sub-cell are
    mutually within eps (the self offset is full), so components are computed over sub-cells. Edges come from full
-   offsets with cores on both sides and from rim core pairs within eps; components come from randomised
+   offsets with cores on both sides and from rim offsets where any core pair is within eps; components come from randomised
    contraction (``graph.connected_components``), which ends when no edge is left, after O(log n) rounds.
 4. Border points take the smallest neighbouring core label; clusters are renumbered 0.. in order of their
    smallest core row id (the order a sequential scan discovers them); everything else is −1.
@@ -17,6 +17,7 @@ No pair of points is emitted inside a dense area:
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame
@@ -69,13 +70,52 @@ def _shift(df: DataFrame, offs, cols) -> DataFrame:
     return e.select(*cols, (F.col("cx") + F.col("o.dx")).alias("tx"), (F.col("cy") + F.col("o.dy")).alias("ty"))
 
 
-def rim_pairs(a: DataFrame, b: DataFrame, eps: float, rim) -> DataFrame:
-    """Point pairs (a.pid, b.qid) within eps whose sub-cells are at a rim offset."""
-    probe = _shift(a, rim, ["pid", "lat", "lon", "cx", "cy"])
-    q = b.select(F.col("pid").alias("qid"), F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), "w",
-                 F.col("cx").alias("tx"), F.col("cy").alias("ty"))
-    j = probe.join(q, ["tx", "ty"])
-    return j.filter(_dist("lat", "lon", "qlat", "qlon") <= eps)
+LEAF = 16         # points of a cell that are tested one by one
+
+
+def disk_reach(probe: DataFrame, points: DataFrame, eps: float, s: float, first: bool = False, log: list | None = None) -> DataFrame:
+    """Weight of ``points`` within eps of each probe's point, in the cell (tx, ty) that the probe names: rows (key, w) to be
+    summed by key. With ``first`` only whether there is any: each key that has one comes at least once.
+
+    A cell has the bounding box of its points. If the box lies wholly in the probe's disk its weight counts, if wholly
+    beyond it does not; otherwise a cell of at most LEAF points is tested point by point, a larger one is cut into its
+    four quadrants and the probe goes on there. So a probe meets the cells along the rim of its disk, not all points of
+    a dense cell. Distances to box sides are computed as those to points are, and rounding keeps their order, so the
+    answer is exact. Distinct points end up in cells of their own, which ends the cutting. With ``first`` a key that has
+    found a point asks no further. ``log`` receives the number of rows of each level.
+    """
+    level, out = 0, []
+    while True:
+        scale = float(1 << level)
+        at = points.select("lat", "lon", "w", F.floor(F.col("lon") / s * scale).cast("long").alias("tx"),
+                           F.floor(F.col("lat") / s * scale).cast("long").alias("ty"))
+        cells = at.groupBy("tx", "ty").agg(F.sum("w").alias("W"), F.count(F.lit(1)).alias("n"), F.min("lat").alias("la0"), F.max("lat").alias("la1"),
+                                           F.min("lon").alias("lo0"), F.max("lon").alias("lo1"))
+        j = probe.join(cells, ["tx", "ty"])
+
+        def side(x, lo, hi):
+            return (F.greatest(F.col(lo) - F.col(x), F.col(x) - F.col(hi), F.lit(0.0)),
+                    F.greatest(F.abs(F.col(x) - F.col(lo)), F.abs(F.col(x) - F.col(hi))))
+        (ny, fy), (nx, fx) = side("lat", "la0", "la1"), side("lon", "lo0", "lo1")
+        j = j.withColumn("__far", F.sqrt(fy * fy + fx * fx)).filter(F.sqrt(ny * ny + nx * nx) <= eps)
+        kind = F.when(F.col("__far") <= eps, "in").when(F.col("n") <= LEAF, "leaf").otherwise("cut")
+        j = written(j.select("key", "lat", "lon", "tx", "ty", "W", kind.alias("kind")), "reach")
+        leaf = j.filter("kind = 'leaf'").select("key", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), "tx", "ty").join(at, ["tx", "ty"])
+        found = j.filter("kind = 'in'").select("key", F.col("W").alias("w")).unionAll(
+            leaf.filter(_dist("qlat", "qlon", "lat", "lon") <= eps).select("key", "w"))
+        if log is not None:
+            log.append(j.count() + leaf.count())
+        probe = j.filter("kind = 'cut'").select("key", "lat", "lon", "tx", "ty")
+        if first:
+            found = written(found.select("key", F.lit(1).alias("w")).distinct(), "found")
+            probe = probe.join(found.select("key"), "key", "left_anti")
+        out.append(found)
+        if j.filter("kind = 'cut'").isEmpty():
+            return functools.reduce(DataFrame.unionAll, out)
+        quads = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])
+        probe = probe.withColumn("o", F.explode(quads)).select("key", "lat", "lon", (2 * F.col("tx") + F.col("o.a")).alias("tx"),
+                                                               (2 * F.col("ty") + F.col("o.b")).alias("ty"))
+        level += 1
 
 
 def core_points(points: DataFrame, eps: float = 0.01, min_samples: int = 5,
@@ -86,7 +126,8 @@ def core_points(points: DataFrame, eps: float = 0.01, min_samples: int = 5,
     fw = (_shift(cells, full, ["cx", "cy"])
           .join(cells.select(F.col("cx").alias("tx"), F.col("cy").alias("ty"), "W"), ["tx", "ty"])
           .groupBy("cx", "cy").agg(F.sum("W").alias("full_w")))
-    rw = rim_pairs(points, points, eps, rim).groupBy("pid").agg(F.sum("w").alias("rim_w"))
+    probe = _shift(points, rim, ["pid", "lat", "lon", "cx", "cy"]).select(F.col("pid").alias("key"), "lat", "lon", "tx", "ty")
+    rw = disk_reach(probe, points, eps, eps / m).groupBy(F.col("key").alias("pid")).agg(F.sum("w").alias("rim_w"))
     pts = points.join(fw, ["cx", "cy"], "left").join(rw, "pid", "left")
     n = (F.coalesce(F.col("full_w"), F.lit(0)) + F.coalesce(F.col("rim_w"), F.lit(0))).cast("long")
     return pts.withColumn("neighbour_count", n).withColumn("is_core", n >= min_samples).drop("full_w", "rim_w")
@@ -110,7 +151,10 @@ def dbscan(df: DataFrame, eps: float = 0.01, min_samples: int = 5, lat: str = "l
     node = ccells.select("cx", "cy")
     e_full = (_shift(node, full, ["cx", "cy"]).join(node.select(F.col("cx").alias("tx"), F.col("cy").alias("ty")),
                                                    ["tx", "ty"]).select("cx", "cy", "tx", "ty"))
-    rp = rim_pairs(core, core, eps, rim).select("cx", "cy", "tx", "ty")
+    half = [(dx, dy) for dx, dy in rim if (dx, dy) > (0, 0)]                    # an edge is found from one of its ends
+    pair = F.struct("cx", "cy", F.col("tx").alias("ox"), F.col("ty").alias("oy")).alias("key")
+    probe = _shift(core, half, ["lat", "lon", "cx", "cy"]).select(pair, "lat", "lon", "tx", "ty")
+    rp = disk_reach(probe, core, eps, eps / m, first=True).select("key.cx", "key.cy", F.col("key.ox").alias("tx"), F.col("key.oy").alias("ty"))
     edges = e_full.unionByName(rp).distinct()
     parts = connected_components(edges.select(F.struct("cx", "cy").alias("u"), F.struct(F.col("tx").alias("cx"), F.col("ty").alias("cy")).alias("v")))
     cells = ccells.withColumn("node", F.struct("cx", "cy")).join(parts, "node", "left").withColumn(
@@ -130,8 +174,10 @@ def dbscan(df: DataFrame, eps: float = 0.01, min_samples: int = 5, lat: str = "l
     bf = (_shift(nonc, full, ["pid", "cx", "cy"])
           .join(cell_cid.select(F.col("cx").alias("tx"), F.col("cy").alias("ty"), "cid"), ["tx", "ty"])
           .select("pid", "cid"))
-    br = (rim_pairs(nonc, core, eps, rim)
-          .join(cell_cid.select(F.col("cx").alias("tx"), F.col("cy").alias("ty"), "cid"), ["tx", "ty"])
+    cell = F.struct("pid", F.col("tx").alias("ox"), F.col("ty").alias("oy")).alias("key")
+    probe = _shift(nonc, rim, ["pid", "lat", "lon", "cx", "cy"]).select(cell, "lat", "lon", "tx", "ty")
+    hit = disk_reach(probe, core, eps, eps / m, first=True)
+    br = (hit.select("key.pid", F.col("key.ox").alias("tx"), F.col("key.oy").alias("ty")).join(cell_cid.select(F.col("cx").alias("tx"), F.col("cy").alias("ty"), "cid"), ["tx", "ty"])
           .select("pid", "cid"))
     border = bf.unionByName(br).groupBy("pid").agg(F.min("cid").alias("cid"))
     point_lab = core_lab.unionByName(border)

@@ -62,3 +62,35 @@ def test_dbscan_lattice_with_exact_eps_distances(spark):
         assert [got[i] for i in range(len(pts))] == want
         nc = {r["id"]: r["is_core"] for r in neighbour_counts(df, eps, ms).collect()}
         assert [bool(nc[i]) for i in range(len(pts))] == core
+
+
+def test_dense_rim_cells_cost_far_fewer_rows_than_pairs(spark):
+    """k distinct points in each of two cells that the rim of the disks crosses: rows examined grow like k^1.5 at most."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from eventimpact.operators import clustering as C
+    eps, s, rows = 0.01, 0.0025, {}
+    for k in (1000, 10_000):
+        rng = np.random.default_rng(k)
+        x, y = rng.random(2 * k), rng.random(2 * k)
+        lon, lat = np.where(np.arange(2 * k) < k, x, 3 + x) * s, y * s
+        pts = spark.createDataFrame([(i, float(a), float(b), 1) for i, (a, b) in enumerate(zip(lat, lon))], "pid long, lat double, lon double, w int")
+        probe = pts.select(F.col("pid").alias("key"), "lat", "lon", F.when(F.col("pid") < k, 3).otherwise(0).cast("long").alias("tx"),
+                           F.lit(0).cast("long").alias("ty"))
+        log = []
+        got = {r.key: r.n for r in C.disk_reach(probe, pts, eps, s, log=log).groupBy("key").agg(F.sum("w").alias("n")).collect()}
+        a, b = slice(0, k), slice(k, 2 * k)
+        for i in range(0, k, 97):
+            d = np.sqrt((lat[i] - lat[b]) * (lat[i] - lat[b]) + (lon[i] - lon[b]) * (lon[i] - lon[b]))
+            assert got.get(i, 0) == int((d <= eps).sum())
+            d = np.sqrt((lat[k + i] - lat[a]) ** 2 + (lon[k + i] - lon[a]) ** 2)
+            assert got.get(k + i, 0) == int((d <= eps).sum())
+        rows[k] = sum(log)
+        # an edge between the two cells is found at once: few points have to ask
+        log = []
+        pair = probe.filter(F.col("pid" if "pid" in probe.columns else "key") < k).withColumn("key", F.lit("edge"))
+        assert C.disk_reach(pair, pts, eps, s, first=True, log=log).distinct().count() == 1
+        assert sum(log) < 40 * k
+    assert rows[1000] < 0.3 * 2 * 1000**2 and rows[10_000] < 0.06 * 2 * 10_000**2
+    assert rows[10_000] / rows[1000] < 45
