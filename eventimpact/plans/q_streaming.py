@@ -56,6 +56,25 @@ def q_traffic_conditions(spark, sf):
     return L.traffic_conditions(X.inc(spark, sf), X.CORRIDORS)
 
 
+@query("traffic_conditions_always", """
+WITH m AS (SELECT epoch_us(min(start_datetime)) // 900000000 * 900000000 - 6300000000 AS lo, epoch_us(max(start_datetime)) // 900000000 * 900000000 AS hi FROM inc),
+w AS (SELECT make_timestamp(CAST(lo + i * 900000000 AS BIGINT)) AS window_start FROM m, unnest(range(0, CAST((hi - lo) // 900000000 AS BIGINT) + 1)) t(i)),
+cor AS (SELECT 'Non-corridor' AS corridor UNION ALL SELECT concat('C', CAST(i AS VARCHAR)) FROM range(0, 7) t(i)),
+k AS (SELECT make_timestamp(CAST((epoch_us(start_datetime) // 900000000 - t.wk) * 900000000 AS BIGINT)) AS window_start, corridor, count(*) AS n
+      FROM inc, unnest(range(0, 8)) t(wk) GROUP BY 1, 2),
+g AS (SELECT w.window_start, w.window_start + INTERVAL 2 HOUR AS window_end, cor.corridor, coalesce(k.n, 0) AS active_incidents
+      FROM w CROSS JOIN cor LEFT JOIN k ON w.window_start = k.window_start AND cor.corridor = k.corridor),
+b AS (SELECT *, CASE WHEN hour(window_end) IN (8, 9, 17, 18, 19) AND (isodow(window_end) - 1) NOT IN (5, 6) THEN 70
+                     WHEN hour(window_end) IN (8, 9, 17, 18, 19) THEN 50 WHEN (isodow(window_end) - 1) IN (5, 6) THEN 20 ELSE 30 END AS base FROM g),
+c AS (SELECT *, CAST(CASE WHEN active_incidents > 0 THEN least(100, base + active_incidents * 15) ELSE base END AS INT) AS congestion_level FROM b)
+SELECT window_start, window_end, corridor, active_incidents, congestion_level,
+  CASE WHEN congestion_level >= 70 THEN 'Heavy' WHEN congestion_level >= 40 THEN 'Moderate' ELSE 'Light' END AS status,
+  greatest(10.0, 60 - 0.5 * congestion_level) AS avg_speed_kmph FROM c""")
+def q_traffic_conditions_always(spark, sf):
+    """Every corridor in every window of the time that the table spans, also while the whole city is quiet."""
+    return L.traffic_conditions_always(X.inc(spark, sf), X.CORRIDORS)
+
+
 @query("pulse_breakdown", f"""
 WITH {SLIDE_SQL}
 SELECT window_start, window_end, event_cause, count(*) AS n FROM swe GROUP BY window_start, window_end, event_cause""")

@@ -6,8 +6,8 @@ drop-in format) and all live state sits in Spark's checkpointed state store:
 * windowed aggregates (pulse, traffic, hourly counts) are the same function for a batch frame (the "batch twin"
   checked against SQL) and a watermarked stream (append mode emits each window once it is final);
 * duplicate reports are dropped with ``dropDuplicatesWithinWatermark``;
-* the per-incident lifecycle (open → resolved / expired) is keyed state (``applyInPandasWithState``) with an
-  event-time timeout, so an incident ages out when the watermark passes ``first report + N hours``;
+* the per-incident lifecycle (open → resolved / expired) is keyed state (``transformWithState``) with event-time
+  timers, so an incident ages out when the watermark passes ``first report + N hours``; the state is a table to read;
 * predictions and late outcomes meet in a stream–stream left-outer join bounded by watermarks.
 """
 
@@ -16,9 +16,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StreamingQueryListener
 
 from ..functions.rules import congestion_speed
+from ..sources.files import path_exists
 
 INCIDENT_EVENT_SCHEMA = "id long, ts timestamp, kind string, corridor string, cause string, closure int"
 
@@ -83,6 +84,30 @@ def traffic_conditions(df: DataFrame, corridors: list[str], ts: str = "start_dat
             .withColumn("avg_speed_kmph", congestion_speed(c.cast("double")))
 
 
+def traffic_conditions_always(df: DataFrame, corridors: list[str], ts: str = "start_datetime", length_minutes: int = 120,
+                              slide_minutes: int = 15) -> DataFrame:
+    """R03 for every window from the first incident to the last, also those in which no corridor has one, and every
+    corridor of the dimension (other corridors as ``traffic_conditions`` answers them). The windows are a sequence of the
+    slide, so their number grows with the time that the table spans."""
+    got = traffic_conditions(df, corridors, ts, f"{length_minutes} minutes", f"{slide_minutes} minutes")
+    us, slide, length = F.unix_micros(F.col(ts).cast("timestamp")), slide_minutes * 60_000_000, length_minutes * 60_000_000
+    span = df.agg(F.min(us).alias("lo"), F.max(us).alias("hi")).filter("lo is not null")
+    first = F.floor(F.col("lo") / slide).cast("long") * slide - (length - slide)
+    starts = span.select(F.explode(F.sequence(first, F.floor(F.col("hi") / slide).cast("long") * slide, F.lit(slide).cast("long"))).alias("us"))
+    names = F.explode(F.array(*[F.lit(c) for c in corridors])).alias("corridor")
+    grid = starts.select(F.timestamp_micros("us").alias("window_start"), F.timestamp_micros(F.col("us") + length).alias("window_end"), names)
+    grid = grid.select(*[F.col(c).alias(f"__{c}") for c in grid.columns])
+    cast = got.withColumns({c: F.col(c).cast("timestamp") for c in ("window_start", "window_end")})
+    quiet = grid.join(cast, (F.col("window_start") == F.col("__window_start")) & (F.col("corridor") == F.col("__corridor")), "left_anti")
+    base = base_congestion(F.hour("__window_end"), F.weekday("__window_end")).cast("int")
+    quiet = quiet.select(F.col("__window_start").alias("window_start"), F.col("__window_end").alias("window_end"), F.col("__corridor").alias("corridor"),
+                         F.lit(0).cast("long").alias("active_incidents"), base.alias("congestion_level"))
+    c = F.col("congestion_level")
+    quiet = quiet.withColumn("status", F.when(c >= 70, "Heavy").when(c >= 40, "Moderate").otherwise("Light")).withColumn(
+        "avg_speed_kmph", congestion_speed(c.cast("double")))
+    return cast.unionByName(quiet)
+
+
 def tumbling_hourly(df: DataFrame, ts: str = "start_datetime") -> DataFrame:
     """Tumbling hourly counts per corridor and cause."""
     return _flat_window(df.groupBy(F.window(ts, "1 hour"), "corridor", "event_cause").agg(F.count(F.lit(1)).alias("n")))
@@ -107,52 +132,132 @@ def status_as_of(events: DataFrame, now: str, key: str = "id", ts: str = "ts") -
 
 
 LIFECYCLE_OUT = "id long, status string, first_ts timestamp, resolved_ts timestamp, corridor string, cause string"
-LIFECYCLE_STATE = "first_ts timestamp, resolved_ts timestamp, corridor string, cause string"
+LIFECYCLE_STATE = "first_us long, resolved_us long, pending_us long, corridor string, cause string"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Lifecycle(StatefulProcessor):
+    """State of one incident: first report, its resolve, and the latest resolve that has no report yet. An event-time
+    timer at first report (or waiting resolve) + ``max_age_hours`` clears it. The rows of a micro-batch are reduced by
+    minima and maxima, whatever their order."""
+
+    def __init__(self, max_age_hours: int):
+        self.age_us = max_age_hours * 3_600_000_000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("incident", LIFECYCLE_STATE)
+
+    def answer(self, key, status, first, resolved, corridor, cause):
+        at = lambda us: pd.Timestamp(us, unit="us") if us is not None else pd.NaT
+        return pd.DataFrame({"id": [key[0]], "status": [status], "first_ts": [at(first)], "resolved_ts": [at(resolved)], "corridor": [corridor],
+                             "cause": [cause]})
+
+    def handleInputRows(self, key, rows, timerValues):
+        first, resolved, pending, corridor, cause = self.state.get() if self.state.exists() else (None,) * 5
+        asked = False
+        for pdf in rows:
+            us = pdf["ts"].astype("datetime64[us]").astype("int64")
+            reports, resolves = us[pdf["kind"] == "report"], us[pdf["kind"] == "resolve"]
+            if len(reports) and (first is None or reports.min() < first):
+                at = reports.idxmin()
+                first, corridor, cause = int(us[at]), pdf["corridor"][at], pdf["cause"][at]
+            if len(resolves):
+                asked = True
+                pending = max(pending if pending is not None else -1, int(resolves.max()))
+                if first is not None and resolved is None and (resolves >= first).any():
+                    resolved = int(resolves[resolves >= first].min())
+        if first is not None and resolved is None and pending is not None and pending >= first:
+            resolved = pending
+        self.state.update((first, resolved, pending, corridor, cause))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(((first if first is not None else pending) + self.age_us) // 1000)
+        if first is None and asked:                       # resolve of an id that nobody has reported: not found
+            yield self.answer(key, "unknown", None, None, None, None)
+        elif first is not None:
+            yield self.answer(key, "resolved" if resolved is not None else "open", first, resolved, corridor, cause)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        first, resolved, _, corridor, cause = self.state.get() if self.state.exists() else (None,) * 5
+        self.state.clear()
+        if first is not None:
+            yield self.answer(key, "expired", first, resolved, corridor, cause)
+
+    def close(self) -> None:
+        pass
 
 
-def _lifecycle(max_age_hours: int):
-    age_ms = max_age_hours * 3600 * 1000
+def incident_lifecycle(events: DataFrame, max_age_hours: int = 2, watermark: str = "2 hours") -> DataFrame:
+    """Keyed state per incident id (``transformWithState``) — open on the first report, resolved on the
+    first resolve (also one that lands in an earlier micro-batch than its report), unknown where a resolve finds no
+    report, expired (state removed) once the watermark passes first report + ``max_age_hours``. Late rows behind the
+    watermark are dropped by Spark; ``split_late`` keeps them."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    return events.withWatermark("ts", watermark).groupBy("id").transformWithStateInPandas(
+        statefulProcessor=Lifecycle(max_age_hours), outputStructType=LIFECYCLE_OUT, outputMode="Update", timeMode="EventTime")
+
+
+def live_states(spark, checkpoint: str) -> DataFrame:
+    """The lifecycle's state as a table, read from its checkpoint: id, first_ts, resolved_ts, corridor, cause."""
+    s = spark.read.format("statestore").option("stateVarName", "incident").load(checkpoint)
+    v = F.col("value")
+    return s.select(F.col("key.id").alias("id"), F.timestamp_micros(v["first_us"]).alias("first_ts"),
+                    F.timestamp_micros(v["resolved_us"]).alias("resolved_ts"), v["corridor"].alias("corridor"), v["cause"].alias("cause"))
+
+
+def active_now(spark, checkpoint: str) -> DataFrame:
+    """R01 from the state: reported, not resolved, not expired."""
+    return live_states(spark, checkpoint).filter("first_ts is not null and resolved_ts is null")
 
-    def fn(key, pdfs, state):
-        (iid,) = key
-        if state.hasTimedOut:
-            first, resolved, corridor, cause = state.get
-            state.remove()
-            if first is not None:      # a resolve whose report never came is "not found": nothing to report
-                yield pd.DataFrame([{"id": iid, "status": "expired", "first_ts": first, "resolved_ts": resolved,
-                                     "corridor": corridor, "cause": cause}])
-            return
-        first = resolved = corridor = cause = None
-        if state.exists:
-            first, resolved, corridor, cause = state.get
-        for pdf in pdfs:
-            for row in pdf.sort_values("ts").itertuples(index=False):
-                if row.kind == "report" and first is None:
-                    first, corridor, cause = row.ts, row.corridor, row.cause
-                    if resolved is not None and resolved < first:      # an older resolve does not close it
-                        resolved = None
-                elif row.kind == "resolve" and (resolved is None or first is None) and (first is None or row.ts >= first):
-                    resolved = row.ts
-        if first is None:              # keep a resolve that lands before its report until the watermark passes it
-            if resolved is not None:
-                state.update((None, resolved, None, None))
-                state.setTimeoutTimestamp(int(pd.Timestamp(resolved).timestamp() * 1000) + age_ms)
-            return
-        state.update((first, resolved, corridor, cause))
-        state.setTimeoutTimestamp(int(pd.Timestamp(first).timestamp() * 1000) + age_ms)
-        yield pd.DataFrame([{"id": iid, "status": "resolved" if resolved is not None else "open", "first_ts": first,
-                             "resolved_ts": resolved, "corridor": corridor, "cause": cause}])
 
+def resolve_answers(requests: DataFrame, spark, checkpoint: str, key: str = "id") -> DataFrame:
+    """R04 from the state: whether the incident of each request is known and open (unknown id: false)."""
+    known = live_states(spark, checkpoint).filter("first_ts is not null").select(F.col("id").alias("__id"), F.col("resolved_ts").isNull().alias("__open"))
+    j = requests.join(known, F.col(key) == F.col("__id"), "left")
+    return j.select(*requests.columns, F.col("__id").isNotNull().alias("found"), F.coalesce("__open", F.lit(False)).alias("can_resolve"))
+
+
+def split_late(path: str, ts: str = "ts", delay: str = "2 hours"):
+    """A ``foreachBatch`` function that writes rows behind the watermark to ``path``/late and all others to
+    ``path``/on_time; together they are the input. The watermark of a batch is the latest event time of the batches
+    before it, less ``delay``; each batch lands its own latest time under its number. All folders carry the batch number
+    and are overwritten, so a replayed batch counts once."""
+    def fn(batch: DataFrame, batch_id: int) -> None:
+        spark, marks = batch.sparkSession, f"{path}/latest"
+        before = None
+        if path_exists(spark, marks):
+            before = spark.read.parquet(marks).filter(F.col("batch_id") < batch_id).agg(F.max("latest")).first()[0]
+        rows = batch.withColumn("__late", F.lit(False) if before is None else F.coalesce(F.col(ts) < F.lit(before) - F.expr(f"INTERVAL {delay}"), F.lit(False)))
+        for name, late in (("on_time", False), ("late", True)):
+            rows.filter(F.col("__late") == late).drop("__late").write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
+        batch.agg(F.max(ts).alias("latest")).write.mode("overwrite").parquet(f"{marks}/batch_id={batch_id}")
     return fn
 
 
-def incident_lifecycle(events: DataFrame, max_age_hours: int = 2, watermark: str = "2 hours") -> DataFrame:
-    """Keyed state per incident id — open on the first report, resolved on the first resolve (also
-    one that lands in an earlier micro-batch than its report: it waits in the state), expired (state removed) once the watermark passes first report + ``max_age_hours``. Late rows behind the
-    watermark are dropped by Spark (counted in ``StreamingQueryProgress``)."""
-    return (events.withWatermark("ts", watermark).groupBy("id")
-            .applyInPandasWithState(_lifecycle(max_age_hours), LIFECYCLE_OUT, LIFECYCLE_STATE, "update",
-                                    GroupStateTimeout.EventTimeTimeout))
+class ProgressLog(StreamingQueryListener):
+    """Lands one row per micro-batch (input rows, rows dropped behind the watermark, rows of state) as Parquet."""
+
+    SCHEMA = "query string, batch_id long, input_rows long, dropped_rows long, state_rows long, watermark string"
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        ops = p.stateOperators
+        row = (p.name or str(p.id), int(p.batchId), int(p.numInputRows), sum(int(o.numRowsDroppedByWatermark) for o in ops),
+               sum(int(o.numRowsTotal) for o in ops), (p.eventTime or {}).get("watermark"))
+        self.spark.createDataFrame([row], self.SCHEMA).write.mode("append").parquet(self.path)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
 def predictions_with_outcomes(predictions: DataFrame, outcomes: DataFrame, wait: str = "7 days") -> DataFrame:

@@ -1,7 +1,9 @@
 """Streams (file source + availableNow) give the same result as their SQL-checked batch twins."""
 
+import datetime
 import os
 import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,26 +70,91 @@ def test_tumbling_append_emits_only_closed_windows(spark):
     assert got and got <= want          # every emitted window is final and exact
 
 
-def test_lifecycle_state_open_resolved_expired(spark):
-    rows = [
-        (1, "2024-01-01 08:00:00", "report", "C1", "accident", 0),
-        (1, "2024-01-01 08:30:00", "resolve", "C1", "accident", 0),
-        (2, "2024-01-01 08:10:00", "report", "C2", "protest", 1),
-        (3, "2024-01-01 08:20:00", "resolve", "C3", "tree_fall", 0),   # unknown id: not found, no state
-        (4, "2024-01-01 13:00:00", "report", "C4", "accident", 0),     # second file: watermark → 11:00
-    ]
-    df = spark.createDataFrame(rows, "id long, ts string, kind string, corridor string, cause string, closure int") \
-        .withColumn("ts", F.to_timestamp("ts"))
+def _feed(spark, parts):
+    """Events landed as one file each, in order."""
     src = tempfile.mkdtemp(prefix="ei-life-")
-    df.filter(F.col("id") != 4).coalesce(1).write.mode("append").parquet(src)
-    df.filter(F.col("id") == 4).coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(L.INCIDENT_EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
-    out, _ = _run(L.incident_lifecycle(stream), mode="update", name="life_t")
+    for rows in parts:
+        df = spark.createDataFrame(rows, "id long, ts string, kind string, corridor string, cause string, closure int")
+        df.withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)                                            # the file source takes files by time
+    return spark.readStream.schema(L.INCIDENT_EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+
+
+def _lifecycle(spark, parts, name):
+    ck = tempfile.mkdtemp(prefix="ei-life-ck-")
+    q = (L.incident_lifecycle(_feed(spark, parts)).writeStream.format("memory").queryName(name).outputMode("update")
+         .option("checkpointLocation", ck).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    return spark.table(name).collect(), ck
+
+
+def test_lifecycle_state_open_resolved_expired(spark):
+    day = "2024-01-01 "
+    parts = [[(1, day + "08:00:00", "report", "C1", "accident", 0), (1, day + "08:30:00", "resolve", "C1", "accident", 0),
+              (2, day + "08:10:00", "report", "C2", "protest", 1), (3, day + "08:20:00", "resolve", "C3", "tree_fall", 0),   # unknown id
+              (5, day + "08:40:00", "resolve", "C5", "accident", 0)],
+             [(5, day + "08:25:00", "report", "C5", "accident", 0)],                                                # its resolve came before
+             [(4, day + "13:00:00", "report", "C4", "accident", 0)]]                                                # watermark → 11:00
+    rows, ck = _lifecycle(spark, parts, "life_t")
     seen = {}
-    for r in out.collect():
+    for r in rows:
         seen.setdefault(r["id"], set()).add(r["status"])
-    assert "resolved" in seen[1] and "open" in seen[2] and 3 not in seen
-    assert "expired" in seen[2] and "expired" in seen[1] and seen[4] == {"open"}
+    assert seen[1] == {"resolved", "expired"} and seen[2] == {"open", "expired"}
+    assert seen[3] == {"unknown"} and seen[4] == {"open"} and seen[5] == {"unknown", "resolved", "expired"}
+    assert [r["id"] for r in L.active_now(spark, ck).collect()] == [4]
+    asked = spark.createDataFrame([(4,), (2,), (77,)], "id long")
+    got = {r["id"]: (r["found"], r["can_resolve"]) for r in L.resolve_answers(asked, spark, ck).collect()}
+    assert got == {4: (True, True), 2: (False, False), 77: (False, False)}
+
+
+def test_active_now_equals_the_batch_twin(spark):
+    """State after a day of the fixture's reports and resolves: what the batch rules call open and not yet expired."""
+    ev = QS.lifecycle_events(spark, SF_SMALL).select("id", "ts", "kind", "corridor", "cause", "closure").orderBy("ts").limit(400)
+    rows = [(r.id, str(r.ts), r.kind, r.corridor, r.cause, r.closure) for r in ev.collect()]
+    _, ck = _lifecycle(spark, [rows[:200], rows[200:]], "life_day_t")
+    got = {r["id"]: (r["first_ts"], r["resolved_ts"]) for r in L.live_states(spark, ck).filter("first_ts is not null").collect()}
+    first, resolve = {}, {}
+    for i, ts, kind, *_ in rows:
+        t = datetime.datetime.fromisoformat(ts)
+        (first if kind == "report" else resolve)[i] = t
+    # the watermark of the last batch lets rows of the last batch expire only if they lie 2 h + 2 h behind its latest
+    mark = max(datetime.datetime.fromisoformat(r[1]) for r in rows) - datetime.timedelta(hours=2)
+    alive = {i: (t, resolve[i] if i in resolve and resolve[i] >= t else None) for i, t in first.items() if t + datetime.timedelta(hours=2) > mark}
+    assert got == alive and L.active_now(spark, ck).count() == sum(v[1] is None for v in alive.values())
+
+
+def test_on_time_and_late_rows_are_the_input(spark):
+    base, ck, logged = (tempfile.mkdtemp(prefix=f"ei-{k}-") for k in ("split", "split-ck", "progress"))
+    day = "2024-01-01 "
+    parts = [[(1, day + "08:00:00", "report", "C1", "a", 0), (2, day + "10:00:00", "report", "C1", "a", 0)],
+             [(3, day + "07:59:00", "report", "C1", "a", 0), (4, day + "08:00:00", "report", "C1", "a", 0), (5, day + "15:00:00", "report", "C1", "a", 0),
+              (6, None, "report", "C1", "a", 0)],
+             [(7, day + "12:59:59", "report", "C1", "a", 0), (8, day + "13:00:00", "report", "C1", "a", 0)]]
+    fn = L.split_late(base)
+
+    def twice(batch, n):                                           # a replayed batch counts once
+        fn(batch, n)
+        fn(batch, n)
+    feed = _feed(spark, parts)
+    feed.writeStream.foreachBatch(twice).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination(300)
+    late = sorted(r.id for r in spark.read.parquet(f"{base}/late").collect())
+    on_time = sorted(r.id for r in spark.read.parquet(f"{base}/on_time").collect())
+    assert late == [3, 7] and on_time == [1, 2, 4, 5, 6, 8]
+    # the listener lands input, dropped and state rows of each batch (Spark drops by the watermark of the batch before)
+    rows = os.path.join(logged, "rows")
+    listener = L.ProgressLog(spark, rows)
+    spark.streams.addListener(listener)
+    try:
+        counts = L.tumbling_hourly(feed.withColumnRenamed("cause", "event_cause").withWatermark("ts", "2 hours"), "ts")
+        _run(counts, mode="update", name="late_counts_t")
+        for _ in range(100):
+            if os.path.exists(rows) and spark.read.parquet(rows).agg(F.sum("input_rows")).first()[0] == 8:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    told = spark.read.parquet(rows).agg(F.sum("input_rows").alias("n"), F.sum("dropped_rows").alias("d"), F.max("state_rows").alias("s")).first()
+    assert told.n == 8 and 0 <= told.d <= len(late) and told.s > 0
 
 
 def test_batch_status_twin_matches_rules(spark):
