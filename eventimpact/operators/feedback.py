@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.rules import risk_class
+from ..session import written
 
 PREDICTION_LOG_SCHEMA = (
     "timestamp timestamp, prediction_id string, cause string, corridor string, corridor_tier int, closure boolean, "
@@ -169,3 +170,50 @@ def prediction_id(ts, *cols):
     record, so two predictions in the same microsecond (any executor) never collide."""
     h = F.lower(F.hex(F.xxhash64(*cols)))
     return F.concat(F.lit("PRED_"), F.date_format(ts, "yyyyMMddHHmmssSSSSSS"), F.lit("_"), h)
+
+
+def write_log(log: DataFrame, path: str, buckets: int = 64, key: str = "prediction_id") -> None:
+    """The prediction log stored in bucket folders by a hash of the prediction id; appends go to the same buckets."""
+    b = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int").alias("bucket")
+    log.select("*", b).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def update_log(spark, path: str, outcomes: DataFrame, order: list[str], buckets: int = 64, key: str = "prediction_id",
+               fields: tuple[str, ...] = ("actual_impact", "reported_at")) -> DataFrame:
+    """Merges outcome reports into the stored log and returns the reports whose id the log does not know.
+
+    The first report of an id (by ``order``) counts, and only where the log has no outcome yet, so a replay changes
+    nothing. Only buckets that reports touch are read; only buckets in which a row changes are written, by dynamic
+    partition overwrite from a staged copy, and all other files stay as they are."""
+    first = first_outcome(outcomes, key, order)
+    b = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+    first = written(first.withColumn("bucket", b), "outcomes")
+    log = spark.read.parquet(path)
+    touched = [r.bucket for r in first.select("bucket").distinct().collect()]                 # at most ``buckets``
+    mine = log.filter(F.col("bucket").isin(touched))
+    new = first.select(F.col(key).alias("__key"), F.col("bucket").alias("__bucket"), *[F.col(c).alias(f"__{c}") for c in fields])
+    j = mine.join(new, (F.col(key) == F.col("__key")) & (F.col("bucket") == F.col("__bucket")), "left")
+    takes = F.col("__key").isNotNull() & F.col(fields[0]).isNull() & F.col(f"__{fields[0]}").isNotNull()
+    merged = j.withColumn("__takes", takes)
+    merged = merged.select(*[F.when(F.col("__takes"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in log.columns], "__takes")
+    staged = written(merged, "merged")
+    changed = [r.bucket for r in staged.filter("__takes").select("bucket").distinct().collect()]
+    if changed:
+        _overwrite(staged.filter(F.col("bucket").isin(changed)).drop("__takes"), path, "bucket")
+    known = spark.read.parquet(path).filter(F.col("bucket").isin(touched)).select(key, "bucket")
+    return outcomes.withColumn("bucket", b).join(known, [key, "bucket"], "left_anti").drop("bucket")
+
+
+def compact_log(spark, path: str, most_files: int = 4, part: str = "bucket") -> list:
+    """Rewrites the buckets that hold more than ``most_files`` files, as one file each; returns them."""
+    log = spark.read.parquet(path)
+    files = log.select(part, F.input_file_name().alias("f")).distinct().groupBy(part).count().filter(F.col("count") > most_files)
+    full = [r[0] for r in files.collect()]
+    if full:
+        _overwrite(written(log.filter(F.col(part).isin(full)), "compact"), path, part)
+    return sorted(full)
+
+
+def _overwrite(staged: DataFrame, path: str, part: str) -> None:
+    """Replaces the partitions that ``staged`` holds, and no others."""
+    staged.repartition(part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)

@@ -86,6 +86,25 @@ def q_outcome_join(spark, sf):
     return _predictions(spark, sf).join(fo.select("prediction_id", "actual_impact", "reported_at"), "prediction_id", "left")
 
 
+@query("log_outcome_update", f"""
+WITH {OUTCOME_SQL}
+SELECT pr.prediction_id, pr.predicted_impact, fo.actual_impact, fo.reported_at FROM pr LEFT JOIN fo USING (prediction_id)""")
+def q_log_outcome_update(spark, sf):
+    """Predictions stored as a bucketed log, outcomes merged into it in two parts and one of them replayed, then
+    compacted; the stored log."""
+    from ..session import shared_path
+    path = shared_path(spark, "log")
+    empty = {"actual_impact": F.lit(None).cast("double"), "reported_at": F.lit(None).cast("date")}
+    FB.write_log(_predictions(spark, sf).withColumns(empty), path)
+    out = _outcomes(spark, sf).withColumn("reported_at", F.col("reported_at").cast("date"))
+    early = out.groupBy("prediction_id").agg(F.min("reported_at").alias("d")).select("prediction_id", F.col("d").alias("reported_at"))
+    first = out.join(early, ["prediction_id", "reported_at"], "left_semi")
+    for part in (first, out, first):
+        FB.update_log(spark, path, part, ["reported_at", "line"])
+    FB.compact_log(spark, path)
+    return spark.read.parquet(path).drop("bucket")
+
+
 @query("outcome_not_found", f"""
 WITH {OUTCOME_SQL}
 SELECT prediction_id, line FROM oc WHERE NOT EXISTS (SELECT 1 FROM pr WHERE pr.prediction_id = oc.prediction_id)""")

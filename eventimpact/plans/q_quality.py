@@ -23,6 +23,39 @@ def _end(c):
     return F.when(F.col("k") % 4 == 0, 0.0).when(F.col("k") % 4 != 1, F.col(c) + 0.01)
 
 
+# Raw lines of the incidents (ours), of which some are damaged: cut short, too long, a coordinate or a time that reads as none.
+_DAMAGE = "CASE WHEN k % 11 = 0 THEN 'short line' WHEN k % 11 = 1 THEN 'long line' WHEN k % 11 = 2 THEN 'wrong type' " \
+          "WHEN k % 11 = 3 THEN 'unparsable time' WHEN k % 11 = 4 THEN 'no time' ELSE 'good' END"
+
+
+def raw_lines(spark, sf):
+    """Incidents as raw CSV lines with ``_DAMAGE``, and the header line."""
+    from ..sources.files import RAW_INCIDENT_SCHEMA
+    d = X.inc(spark, sf).withColumn("damage", F.expr(_DAMAGE))
+    time = F.date_format("start_datetime", "yyyy-MM-dd HH:mm:ss")
+    bad = F.col("damage")
+    cols = [F.col("id").cast("string"), F.col("event_cause"), F.col("event_type"),
+            F.when(bad == "unparsable time", "the day before").when(bad == "no time", "").otherwise(time), F.lit(""),
+            F.when(bad == "wrong type", "north").otherwise(F.col("latitude").cast("string")), F.col("longitude").cast("string"), F.lit("0"), F.lit("0"),
+            F.col("corridor"), F.coalesce("police_station", F.lit("")), F.coalesce("junction", F.lit("")), F.coalesce("veh_type", F.lit("")),
+            F.when(F.col("requires_road_closure") == 1, "true").otherwise("false"), F.lit("yes"), F.lit('"a text, with a comma"')]
+    whole, short = F.concat_ws(",", *cols), F.concat_ws(",", *cols[:9])
+    line = F.when(bad == "short line", short).when(bad == "long line", F.concat(whole, F.lit(",one more"))).otherwise(whole)
+    return d.select(line.alias("value")), ",".join(RAW_INCIDENT_SCHEMA.names)
+
+
+@query("raw_csv_quarantine", f"SELECT {_DAMAGE} AS reason, count(*) AS n FROM inc GROUP BY 1")
+def q_raw_csv_quarantine(spark, sf):
+    """The incidents written as raw CSV files with damaged lines and read again; good and bad rows by reason."""
+    from ..session import shared_path
+    from ..sources.files import read_with_quarantine
+    lines, header = raw_lines(spark, sf)
+    path = shared_path(spark, "raw")
+    lines.select(F.col("value").alias(header)).write.option("header", True).option("sep", "\u0001").option("quote", "\u0000").csv(path)
+    good, bad = read_with_quarantine(spark, path)
+    return good.select(F.lit("good").alias("reason")).unionAll(bad.select("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("data_quality_flags", f"""
 WITH {_END_SQL}
 SELECT id, CAST(coalesce(endlatitude <> 0, true) AND coalesce(endlongitude <> 0, true) AS INT) AS has_end_coords,

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import written
+
 RAW_INCIDENT_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("event_cause", T.StringType()),
     T.StructField("event_type", T.StringType()), T.StructField("start_datetime", T.StringType()),
@@ -53,6 +55,30 @@ def read_raw_incidents(spark: SparkSession, path: str, multi_line: bool = False)
             .option("multiLine", multi_line).option("escape", '"').csv(path))
 
 
+def read_with_quarantine(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(good rows, bad rows) of raw incident CSV files; together they are all lines.
+
+    A bad row keeps its raw ``line`` and the ``reason``: ``short line`` or ``long line`` (number of fields), ``wrong type``
+    (a field that does not read as its column's type), ``no time`` or ``unparsable time`` (start of the incident). The
+    reader fills the corrupt-record column where a line does not fit the schema; the fields of such a line are counted to
+    tell why."""
+    names = RAW_INCIDENT_SCHEMA.names
+    schema = T.StructType([*RAW_INCIDENT_SCHEMA.fields, T.StructField("__line", T.StringType())])
+    raw = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("escape", '"')
+           .option("columnNameOfCorruptRecord", "__line").option("columnPruning", False).csv(path))   # all fields are read, whatever is asked
+    bare = F.regexp_replace("__line", '"([^"]|"")*"', "")                    # quoted fields hold no separators
+    held = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+    start = F.trim(F.coalesce("start_datetime", F.lit("")))
+    reason = (F.when(F.col("__line").isNotNull(), F.when(F.col("__n") < len(names), "short line").when(F.col("__n") > len(names), "long line")
+                     .otherwise("wrong type"))
+              .when(start == "", "no time").when(F.try_to_timestamp("start_datetime").isNull(), "unparsable time"))
+    told = raw.withColumn("__n", F.when(F.col("__line").isNotNull(), held)).withColumn("reason", reason)
+    line = F.coalesce("__line", F.to_csv(F.struct(*names)))
+    # written once: a reader that is asked for some fields only does not try to convert the others
+    told = written(told.select(*names, "reason", F.when(F.col("reason").isNotNull(), line).alias("line")), "raw")
+    return told.filter("reason is null").select(*names), told.filter("reason is not null").select("reason", "line")
+
+
 def clean_incidents(raw: DataFrame) -> DataFrame:
     """Parse times permissively, NULL defaults, flags, time parts, duration minutes."""
     st = F.try_to_timestamp(F.col("start_datetime"))
