@@ -132,14 +132,16 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label",
 def sample_labels(docs: DataFrame, labels: DataFrame, most: int = 6000, id_col: str = "doc_id",
                   label_col: str = "quality", text_col: str = "text") -> DataFrame:
     """(text, label) of about ``most`` labelled documents, chosen by a hash of the id: the documented bound of
-    the training sample (the label rows that remain, at most some thousands, are broadcast to the scan)."""
+    the training sample (the label rows that remain, at most some thousands, are broadcast to the scan). A label that
+    repeats counts once; an id with contradicting labels teaches nothing."""
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"))
     n = known.count()
     if n > most:
         known = known.filter(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int((1 << 20) * most / n))
+    agreed = known.groupBy("__id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other")
     return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(
-        F.broadcast(known.dropDuplicates(["__id"])), "__id").select("text", "label")
+        F.broadcast(agreed.select("__id", "label")), "__id").select("text", "label")
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score",

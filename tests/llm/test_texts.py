@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import math
+import re
 import zlib
 
 import numpy as np
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from llm_rows import SF, TEXTS
-from eventimpact.llm import bpe, language, near_texts, packing, quality, queries, rans
+from eventimpact.llm import bpe, common, language, near_texts, packing, quality, queries, rans
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -337,6 +339,90 @@ def test_quality_cases(spark, odd, empty):
     assert {r.score for r in quality.score(odd, nothing).collect()} == {0.5}
 
 
+MASK64 = (1 << 64) - 1
+
+
+def slow_mix(x):
+    x = ((x ^ (x >> 30)) * int(common._M1)) & MASK64
+    x = ((x ^ (x >> 27)) * int(common._M2)) & MASK64
+    return x ^ (x >> 31)
+
+
+def slow_features(text, buckets):
+    """Buckets of words, repeated words and byte n-grams of one text, by plain loops."""
+    b = bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())
+    out, last = [], None
+    for w in re.split(rb"[\x00-\x20]+", b):
+        if w:
+            total = 0
+            for k, c in enumerate(w):
+                v = (int(common.BYTE_VALUE[c]) * int(common.PLACE[k & 63])) & MASK64
+                total += ((v ^ (v >> 29)) * int(common._M1)) & MASK64
+            h = slow_mix(total & MASK64)
+            out.append(h % buckets)
+            if h == last:
+                out.append(slow_mix(quality.AGAIN) % buckets)
+            last = h
+    for g in quality.NGRAMS:
+        out += [slow_mix(int.from_bytes(b[i:i + g], "big") + (g << 40)) % buckets for i in range(len(b) - g + 1)]
+    return out
+
+
+def test_quality_score_equals_the_plain_mean(spark, odd):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    m = quality.train(quality.sample_labels(docs, labels))
+    some = docs.select("doc_id", "text").filter("doc_id % 9 = 0 and length(text) < 5000").unionAll(odd.filter("length(text) < 5000").select("doc_id", "text"))
+    rows = quality.score(some, m).collect()
+    assert len(rows) > 80
+    for r in rows:
+        ids = slow_features(r.text, len(m.weight))
+        logit = sum(float(m.weight[i]) for i in ids) / max(len(ids), 1) + m.bias
+        assert abs(r.score - 1 / (1 + math.exp(-logit))) < 1e-6
+
+
+def test_quality_descent_equals_plain_steps():
+    """The batch step against loops over single numbers."""
+    rng = np.random.default_rng(41)
+    rows = []
+    for k in range(30):
+        ids = np.sort(rng.choice(12, 4, replace=False)).astype(np.int32)
+        rows.append((int(ids[0] < 3), ids, np.full(4, 0.25, np.float32)))
+    got = quality.fit(rows, 12, 3, 4, 1.0, 5, batch=8)
+    draw = np.random.default_rng(5)
+    emb = [[float(x) for x in r] for r in draw.uniform(-1, 1, (12, 3)).astype(np.float32) / 3]
+    out, bias, done = [[0.0, 0.0] for _ in range(3)], [0.0, 0.0], 0
+    for _ in range(4):
+        order = draw.permutation(30)
+        for lo in range(0, 30, 8):
+            part = [rows[i] for i in order[lo:lo + 8]]
+            step = 1.0 * (1 - done / 120)
+            done += len(part)
+            means = [[sum(float(s) * emb[i][d] for i, s in zip(ids, share)) for d in range(3)] for _, ids, share in part]
+            errors = []
+            for (y, _, _), mean in zip(part, means):
+                z = [sum(mean[d] * out[d][c] for d in range(3)) + bias[c] for c in (0, 1)]
+                e = [math.exp(v - max(z)) for v in z]
+                errors.append([e[c] / sum(e) - (c == y) for c in (0, 1)])
+            back = [[sum(p[c] * out[d][c] for c in (0, 1)) for d in range(3)] for p in errors]
+            for d in range(3):
+                for c in (0, 1):
+                    out[d][c] -= max(-1.0, min(1.0, step * sum(m[d] * p[c] for m, p in zip(means, errors))))
+            for c in (0, 1):
+                bias[c] -= 0.1 * step * sum(p[c] for p in errors) / len(part)
+            for (_, ids, share), g in zip(part, back):
+                for i, s in zip(ids, share):
+                    for d in range(3):
+                        emb[i][d] -= step * float(s) * g[d]
+    want = [sum(emb[i][d] * (out[d][1] - out[d][0]) for d in range(3)) for i in range(12)]
+    assert np.allclose(got.weight, want, atol=1e-3) and abs(got.bias - (bias[1] - bias[0])) < 1e-4
+
+
+def test_contradicting_labels_teach_nothing(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (2, 1), (3, 0), (None, 1)], "doc_id long, quality int")
+    assert sorted(map(tuple, quality.sample_labels(docs, labels).collect())) == [("b", 1), ("c", 0)]
+
+
 def test_op1_held_out_accuracy(spark):
     got = queries.op1_quality(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     held = got.filter("held_out")
