@@ -3,9 +3,10 @@
 Features are binned once and packed into blocks of rows. A level of the trees of all models (grid points, folds,
 targets) is one Spark aggregate: each task sums gradients and counts per (model, node, feature, bin) over its blocks,
 the sums meet by (model, node), and the best splits come back, one row a node. Rows never leave their blocks; every
-few rounds the blocks are written anew with the predictions so far, so a lost executor costs a few trees. Boosting
-goes on from where it stopped: the validation error of every round is kept, and a model ends when it has not fallen
-for ``patience`` rounds.
+few rounds the blocks are written anew with the predictions so far, so a lost executor costs a few trees. A node of at
+most SMALL rows is finished by one task, which gets its rows and grows the whole subtree below it, so a round takes as
+many jobs as there are levels of larger nodes, plus one. Boosting goes on from where it stopped: the validation error of
+every round is kept, and a model ends when it has not fallen for ``patience`` rounds.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from ..session import checkpoint_dir, forget, written
 BINS = 64                  # most bins of a feature
 BLOCK = 2048               # rows of a block
 SAMPLE = 50_000            # rows from which the borders of bins are taken, chosen by hash
+SMALL = 100_000            # rows of a node whose subtree one task finishes
 EVERY = 10                 # rounds between two written states
 ROWS_PER_TASK = 1_000_000  # rows that a task holds at most, beyond what the cluster's cores take
 
@@ -154,8 +156,10 @@ def fit_many(df: DataFrame, features: list[str], specs: list[Spec], row_key: str
                     s[i] += np.nansum(v), (~np.isnan(v)).sum()
         yield pa.RecordBatch.from_arrays([pa.array(range(len(specs)), pa.int32()), pa.array(s[:, 0]), pa.array(s[:, 1])], names=["model", "s", "n"])
 
+    train_rows = [0.0] * len(specs)
     for r in state.mapInArrow(label_sums, "model int, s double, n double").groupBy("model").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect():
         models[r.model].base = r.s / r.n if r.n else 0.0
+        train_rows[r.model] = r.n
     base = np.array([m.base for m in models])
 
     def now(bins, pred, i, since):
@@ -164,16 +168,17 @@ def fit_many(df: DataFrame, features: list[str], specs: list[Spec], row_key: str
             p += specs[i].rate * t.value[t.leaf(bins)]
         return p
 
-    def sums(since, grown, level, active):
-        """Gradient sums and counts of every node of a level, and at level 0 the validation errors (node -1)."""
+    def sums(since, grown, level, todo):
+        """Gradient sums and counts of the large nodes of a level, the rows of the small ones, and at level 0 the
+        validation errors (node -1). ``todo``: for each model its large and its small nodes."""
         def run(batches):
             from pyspark import TaskContext
-            task, hist, loss = TaskContext.get().partitionId(), {}, {}
+            task, hist, loss, held = TaskContext.get().partitionId(), {}, {}, {}
             for b in batches:
                 for r in b.to_pylist():
                     bins, y, m, pred = block(r)
                     cell = bins.astype(np.int64) + offset
-                    for i in active:
+                    for i, (large, small) in todo.items():
                         s, p = specs[i], now(bins, pred, i, since)
                         g = p - y[:, at[0][s.label]]
                         fine = ~np.isnan(g)
@@ -183,15 +188,22 @@ def fit_many(df: DataFrame, features: list[str], specs: list[Spec], row_key: str
                             e += float((v * v).sum()), len(v)
                         rows = np.flatnonzero(m[:, at[1][s.train]] & fine)
                         node = grown[i].leaf(bins[rows], level)
-                        where = (node[:, None] * cells + cell[rows]).ravel()
-                        size = (1 << level) * cells
-                        h = hist.setdefault(i, np.zeros((2, size)))
-                        h[0] += np.bincount(where, np.repeat(g[rows], nf), size)
-                        h[1] += np.bincount(where, minlength=size)
+                        if large:
+                            big = np.isin(node, large)
+                            where = (node[big, None] * cells + cell[rows[big]]).ravel()
+                            size = (1 << level) * cells
+                            h = hist.setdefault(i, np.zeros((2, size)))
+                            h[0] += np.bincount(where, np.repeat(g[rows[big]], nf), size)
+                            h[1] += np.bincount(where, minlength=size)
+                        for k in small:
+                            mine = rows[node == k]
+                            if len(mine):
+                                held.setdefault((i, k), []).append((bins[mine], g[mine]))
             out = [(i, -1, e, e) for i, e in loss.items()]
             for i, h in hist.items():
                 g, c = h.reshape(2, -1, cells)
                 out += [(i, k, g[k], c[k]) for k in np.flatnonzero(c.any(1))]
+            out += [(i, k, np.concatenate([x[1] for x in v]), np.concatenate([x[0] for x in v])) for (i, k), v in held.items()]
             if out:
                 yield pa.RecordBatch.from_arrays([
                     pa.array([x[0] for x in out], pa.int32()), pa.array([int(x[1]) for x in out], pa.int32()), pa.array([task] * len(out), pa.int32()),
@@ -199,45 +211,78 @@ def fit_many(df: DataFrame, features: list[str], specs: list[Spec], row_key: str
                     names=["model", "node", "task", "g", "c"])
         return run
 
-    def splits(batches):
-        """The best split of every node from the sums of all tasks, which come one after the other."""
-        key, g, c = None, None, None
-
-        def best():
-            i, k = key
-            if k < 0:
-                return i, k, -1, -1, g[0], g[1], 0.0, 0.0
-            l2 = specs[i].l2
-            total_g, total_c = g[:width[0]].sum(), c[:width[0]].sum()
-            top = (1e-12 * (1 + abs(total_g)), -1, -1, 0.0, 0.0)
-            for f in range(nf):
-                gl, cl = np.cumsum(g[offset[f]:offset[f] + width[f]])[:-1], np.cumsum(c[offset[f]:offset[f] + width[f]])[:-1]
-                gr, cr = total_g - gl, total_c - cl
-                gain = np.where((cl > 0) & (cr > 0), gl * gl / (cl + l2) + gr * gr / (cr + l2) - total_g * total_g / (total_c + l2), -1.0)
-                if len(gain) and gain.max() > top[0] * (1 + 1e-12):
-                    j = int(gain.argmax())
-                    top = (float(gain[j]), f, j, float(gl[j]), float(cl[j]))
-            return i, k, top[1], top[2], total_g, total_c, top[3], top[4]
-
-        def give(rows):
-            kinds = [pa.int32()] * 4 + [pa.float64()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["model", "node", "feature", "cut", "g", "c", "gl", "cl"])
-
-        done = []
-        for b in batches:
-            for m, k, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
-                x, y = np.frombuffer(x), np.frombuffer(y)
-                if (m, k) != key:
-                    if key is not None:
-                        done.append(best())
-                    key, g, c = (m, k), x.copy(), y.copy()
-                else:
-                    g += x
-                    c += y
-        if key is not None:
-            done.append(best())
-        if done:
-            yield give(done)
+    last = np.concatenate([offset[1:], [cells]]) - 1                       # the last cell of each feature: no cut
+    of_cell = np.repeat(np.arange(nf), width)
+
+    def best_splits(g, c, l2):
+        """For nodes as rows of sums and counts per cell: feature (-1: none), cut, sums left and in all."""
+        total_g, total_c = g[:, :width[0]].sum(1), c[:, :width[0]].sum(1)
+        gl, cl = np.cumsum(g, 1), np.cumsum(c, 1)
+        if nf > 1:                                                         # sums within each feature
+            for x in (gl, cl):
+                x[:, offset[1]:] -= x[:, offset[1:] - 1][:, of_cell[offset[1]:] - 1]
+        gr, cr = total_g[:, None] - gl, total_c[:, None] - cl
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = gl * gl / (cl + l2) + gr * gr / (cr + l2) - (total_g * total_g / (total_c + l2))[:, None]
+        gain[(cl < 0.5) | (cr < 0.5)] = -1.0
+        gain[:, last] = -1.0
+        j = gain.argmax(1)
+        row = np.arange(len(g))
+        some = gain[row, j] > 1e-12 * (1 + np.abs(total_g))
+        f = np.where(some, of_cell[j], -1)
+        return f, np.where(some, j - offset[f], 0), gl[row, j], np.rint(cl[row, j]), total_g, total_c
+
+    def subtree(bins, g, depth, l2):
+        """The tree of one node's rows, in heap order."""
+        t = Tree(np.full((1 << depth) - 1, -1, np.int64), np.zeros((1 << depth) - 1, np.int64), np.zeros(1 << depth), np.zeros(1 << depth))
+        cell = bins.astype(np.int64) + offset
+        for level in range(depth):
+            node = t.leaf(bins, level)
+            where, size = (node[:, None] * cells + cell).ravel(), (1 << level) * cells
+            hg = np.bincount(where, np.repeat(g, nf), size).reshape(-1, cells)
+            hc = np.bincount(where, minlength=size).reshape(-1, cells).astype(np.float64)
+            f, cut, gl, cl, tg, tc = best_splits(hg, hc, l2)
+            for k in np.flatnonzero(tc > 0):
+                add(t, depth, l2, level, k, int(f[k]), int(cut[k]), tg[k], tc[k], gl[k], cl[k])
+        return t
+
+    def splits(level, kinds):
+        """The best split of every large node from the sums of all tasks, which come one after the other, and the whole
+        subtree of every small one from its rows."""
+        def run(batches):
+            key, held = None, []                                       # rows of a small node by task, or the sums so far
+
+            def best():
+                i, k = key
+                if k < 0:
+                    return i, k, -1, -1, held[0][0], held[0][1], 0.0, 0.0, None                  # summed loss, rows
+                if k in kinds[i][1]:
+                    bins = np.concatenate([c.view(np.uint8).reshape(-1, nf) for _, c in held])
+                    t = subtree(bins, np.concatenate([g for g, _ in held]), specs[i].depth - level, specs[i].l2)
+                    return i, k, -1, -1, 0.0, 0.0, 0.0, 0.0, np.concatenate([t.feature, t.cut, t.value, t.count]).astype("<f8").tobytes()
+                f, cut, gl, cl, tg, tc = best_splits(held[0][None], held[1][None], specs[i].l2)
+                return i, k, int(f[0]), int(cut[0]), tg[0], tc[0], gl[0], cl[0], None
+
+            done = []
+            for b in batches:
+                for m, k, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
+                    if (m, k) != key:
+                        if key is not None:
+                            done.append(best())
+                        key, held = (m, k), []
+                    if k >= 0 and k in kinds[m][1]:
+                        held.append((np.frombuffer(x), np.frombuffer(y, np.uint8)))
+                    elif held:
+                        held = [held[0] + np.frombuffer(x), held[1] + np.frombuffer(y)]
+                    else:
+                        held = [np.frombuffer(x), np.frombuffer(y)]
+            if key is not None:
+                done.append(best())
+            if done:
+                types = [pa.int32()] * 4 + [pa.float64()] * 4 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done), types)],
+                                                 names=["model", "node", "feature", "cut", "g", "c", "gl", "cl", "sub"])
+        return run
 
     def checkpointed(since):
         def run(batches):
@@ -254,25 +299,34 @@ def fit_many(df: DataFrame, features: list[str], specs: list[Spec], row_key: str
     while active:
         grown = {i: Tree(np.full((1 << specs[i].depth) - 1, -1, np.int64), np.zeros((1 << specs[i].depth) - 1, np.int64), np.zeros(1 << specs[i].depth),
                          np.zeros(1 << specs[i].depth)) for i in active}
-        for level in range(max(specs[i].depth for i in active)):
-            if not active:
-                break
-            mine = [i for i in active if specs[i].depth > level]
-            got = state.mapInArrow(sums(since, grown, level, mine), "model int, node int, task int, g binary, c binary")
-            reduce = max(1, min(parts, (len(mine) << level) * cells // 200_000))
+        counts, level = {i: {0: train_rows[i]} for i in active}, 0            # rows of the nodes that are still open
+        while counts:
+            todo = {i: ([k for k, c in n.items() if c > SMALL], [k for k, c in n.items() if c <= SMALL]) for i, n in counts.items()}
+            got = state.mapInArrow(sums(since, grown, level, todo), "model int, node int, task int, g binary, c binary")
+            keys = sum(len(a) + len(b) for a, b in todo.values())
+            weight = sum(len(a) * cells + sum(counts[i][k] for k in b) * nf for i, (a, b) in todo.items())
+            reduce = max(1, min(parts, keys, weight // 200_000))
             got = got.repartition(reduce, "model", "node").sortWithinPartitions("model", "node", "task")
-            rows = got.mapInArrow(splits, "model int, node int, feature int, cut int, g double, c double, gl double, cl double").collect()
+            rows = got.mapInArrow(splits(level, todo), "model int, node int, feature int, cut int, g double, c double, gl double, cl double, sub binary").collect()
             if level == 0:                                             # the error after the trees so far decides who goes on
                 heard = set()
                 for r in rows:
                     if r.node < 0:
                         models[r.model].errors.append(r.g / r.c if r.c else 0.0)
                         heard.add(r.model)
-                ended = [i for i in active if i not in heard or over(models[i])]
-                active = [i for i in active if i not in ended]
+                active = [i for i in active if i in heard and not over(models[i])]
+            counts = {}
             for r in rows:
-                if r.node >= 0 and r.model in active:
-                    add(grown[r.model], specs[r.model], level, r)
+                if r.node < 0 or r.model not in active:
+                    continue
+                s, t = specs[r.model], grown[r.model]
+                if r.sub is not None:
+                    graft(t, s.depth, level, r.node, np.frombuffer(bytes(r.sub)))
+                    continue
+                add(t, s.depth, s.l2, level, r.node, r.feature, r.cut, r.g, r.c, r.gl, r.cl)
+                if r.feature >= 0 and level + 1 < s.depth:
+                    counts.setdefault(r.model, {}).update({2 * r.node: r.cl, 2 * r.node + 1: r.c - r.cl})
+            level += 1
         for i in active:
             models[i].trees.append(grown[i])
             since[i].append(grown[i])
@@ -295,15 +349,24 @@ def over(m: Model) -> bool:
     return rounds >= m.spec.rounds or stale
 
 
-def add(tree: Tree, spec: Spec, level: int, r) -> None:
-    """Takes the best split of a node into its tree; what has no children yet becomes a leaf."""
-    at = (1 << level) - 1 + r.node
-    sides = [(r.node * 2, r.gl, r.cl), (r.node * 2 + 1, r.g - r.gl, r.c - r.cl)] if r.feature >= 0 else [(r.node * 2, r.g, r.c)]
-    tree.feature[at], tree.cut[at] = r.feature, max(r.cut, 0)
-    below = spec.depth - level - 1
-    for node, g, c in sides:
-        tree.value[node << below] = -g / (c + spec.l2)
-        tree.count[node << below] = c
+def add(tree: Tree, depth: int, l2: float, level: int, node: int, feature: int, cut: int, g: float, c: float, gl: float, cl: float) -> None:
+    """Takes the best split of a node into a tree; what has no children yet becomes a leaf."""
+    at, below = (1 << level) - 1 + node, depth - level - 1
+    tree.feature[at], tree.cut[at] = feature, cut
+    sides = [(node * 2, gl, cl), (node * 2 + 1, g - gl, c - cl)] if feature >= 0 else [(node * 2, g, c)]
+    for k, sg, sc in sides:
+        tree.value[k << below], tree.count[k << below] = -sg / (sc + l2), sc
+
+
+def graft(tree: Tree, depth: int, level: int, node: int, flat: np.ndarray) -> None:
+    """Puts a subtree (features, cuts, values and counts in one row) under a node."""
+    below = depth - level
+    inner, leaves = (1 << below) - 1, 1 << below
+    f, cut, value, count = np.split(flat, [inner, 2 * inner, 2 * inner + leaves])
+    for s in range(below):
+        to, at = (1 << (level + s)) - 1 + (node << s), (1 << s) - 1
+        tree.feature[to:to + (1 << s)], tree.cut[to:to + (1 << s)] = f[at:at + (1 << s)], cut[at:at + (1 << s)]
+    tree.value[node << below:(node + 1) << below], tree.count[node << below:(node + 1) << below] = value, count
 
 
 def importance(m: Model) -> list[float]:

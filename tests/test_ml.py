@@ -68,7 +68,9 @@ def frame(spark, rows):
 FEATURES = ["a", "b", "c", "d"]
 
 
-def test_models_of_a_batch_equal_a_plain_booster(spark, frame, rows):
+@pytest.mark.parametrize("small", [100_000, 60, 0])
+def test_models_of_a_batch_equal_a_plain_booster(spark, frame, rows, small, monkeypatch):
+    monkeypatch.setattr(B, "SMALL", small)                             # whole trees, some subtrees or none in one task
     x, y, z, part = rows
     borders = B.bin_borders(frame, FEATURES, "id")
     assert max(map(len, borders)) <= B.BINS - 1
