@@ -57,8 +57,37 @@ class Pattern:
     times: int
 
 
+FRACTIONS = range(1, 33)      # the dual feasible functions that bounds are taken from
+
+
+def fraction(size: int, capacity: int, k: int) -> int:
+    """Share of a bin that a length takes at least, in k (k + 1)-ths, by the k-th dual feasible function: with
+    m = (k + 1) size / capacity it is m / (k + 1) if m is whole, else floor(m) / k. The shares of lengths that fit one
+    bin never exceed it, so their sum over all lengths bounds the bins from below. k = 1 counts lengths above half."""
+    m, odd = divmod((k + 1) * size, capacity)
+    return m * (k + 1) if odd else m * k
+
+
+def dominates(a: list[int], b: list[int]) -> bool:
+    """Whether the lengths of ``b`` can be dealt to those of ``a`` so that none is overfull (long fillings: not decided).
+    A packing that holds filling b can then swap them and hold a instead."""
+    if len(b) > 12 or sum(b) > sum(a):
+        return False
+    b = sorted(b, reverse=True)
+
+    def deal(i: int, rooms: tuple[int, ...]) -> bool:
+        if i == len(b):
+            return True
+        for j, room in enumerate(rooms):
+            if room >= b[i] and (j == 0 or rooms[j - 1] != room):
+                if deal(i + 1, tuple(sorted((*rooms[:j], room - b[i], *rooms[j + 1:]), reverse=True))):
+                    return True
+        return False
+    return deal(0, tuple(sorted(a, reverse=True)))
+
+
 def lower_bound(count: dict[int, int], capacity: int) -> int:
-    """Bins that any packing needs: the larger of the total and the Martello-Toth bounds."""
+    """Bins that any packing needs: the largest of the total, the Martello-Toth bounds and those of ``fraction``."""
     total = sum(n * c for n, c in count.items())
     best = -(-total // capacity)
     sizes = sorted(count)
@@ -68,6 +97,8 @@ def lower_bound(count: dict[int, int], capacity: int) -> int:
         small = sum(s * c for s, c in count.items() if 2 * s <= capacity and s >= k)
         room = sum(c for _, c in mid) * capacity - sum(s * c for s, c in mid)
         best = max(best, big + sum(c for _, c in mid) + max(0, -(-(small - room) // capacity)))
+    for k in FRACTIONS:
+        best = max(best, -(-sum(c * fraction(s, capacity, k) for s, c in count.items()) // (k * (k + 1))))
     return best
 
 
@@ -79,11 +110,25 @@ class _Search:
         self.count, self.capacity, self.width, self.few = dict(count), capacity, width, few
         self.sizes = sorted(s for s, c in count.items() if c > 0)
         self.rest = sum(s * c for s, c in count.items())
+        # shares of a bin of all that is left, for the bounds that tell most at the root
+        ks = sorted(FRACTIONS, key=lambda k: -sum(c * fraction(s, capacity, k) for s, c in count.items()) / (k * (k + 1)))[:4]
+        self.scale = [k * (k + 1) for k in ks]
+        self.share = {s: [fraction(s, capacity, k) for k in ks] for s in count}
+        self.shares = [sum(c * self.share[s][i] for s, c in count.items()) for i in range(len(ks))]
+
+    def least(self) -> int:
+        """Bins that what is left needs at least."""
+        return max(-(-self.rest // self.capacity), *(-(-x // z) for x, z in zip(self.shares, self.scale)))
+
+    def weigh(self, item: int, n: int) -> None:
+        self.rest += n * item
+        for i, x in enumerate(self.share[item]):
+            self.shares[i] += n * x
 
     def take(self, item: int, n: int) -> None:
         before = self.count.get(item, 0)
         self.count[item] = before - n
-        self.rest -= n * item
+        self.weigh(item, -n)
         if before and before == n:
             del self.sizes[bisect.bisect_left(self.sizes, item)]
         elif not before:
@@ -171,8 +216,8 @@ class _Search:
 
     def branches(self, whole: bool = True):
         """(filling, how often at most) of a node, None at a dead end: first what ``completions`` finds, as often as it
-        goes, then, if ``whole``, the same once only and every other maximal filling. One length that fits exactly, or
-        none that fits, dominates the rest."""
+        goes, then, if ``whole``, the same once only and every other maximal filling that none before ``dominates``. One
+        length that fits exactly, or none that fits, dominates the rest."""
         found = [f for _, _, f in self.completions()]
         yield from ((f, self.rest) for f in found)
         if not whole or not found[0] or found[0] == [self.capacity - self.sizes[-1]]:
@@ -180,10 +225,12 @@ class _Search:
         known = {tuple(sorted(f)) for f in found}
         often = lambda f: min(self.count[x] // k for x, k in self.need(f).items()) > 1
         yield from ((f, 1) for f in found if often(f))
+        tried = list(found)
         for f in self.maximal():
-            if f is None:
+            if f is None or any(dominates(a, f) for a in tried[:64] if tuple(sorted(f)) not in known):
                 yield None
             elif tuple(sorted(f)) not in known:
+                tried.append(f)
                 yield f, self.rest
                 if often(f):
                     yield f, 1
@@ -203,7 +250,7 @@ class _Search:
         if not self.count.get(item, 0):
             bisect.insort(self.sizes, item)
         self.count[item] = self.count.get(item, 0) + n
-        self.rest += n * item
+        self.weigh(item, n)
 
 
 def complete_bins(count: dict[int, int], capacity: int, width: int = 4, nodes: int = 20_000) -> list[Pattern]:
@@ -227,7 +274,7 @@ def complete_bins(count: dict[int, int], capacity: int, width: int = 4, nodes: i
 
 
 def _branch_and_bound(search: _Search, bound: int, nodes: int, whole: bool) -> list[Pattern]:
-    best, best_bins, spent, capacity = None, float("inf"), 0, search.capacity
+    best, best_bins, spent = None, float("inf"), 0
     if not search.sizes:
         return []
     path, choices, bins, end = [], [search.branches(whole)], 0, object()
@@ -236,7 +283,7 @@ def _branch_and_bound(search: _Search, bound: int, nodes: int, whole: bool) -> l
             spent += 1
             if best_bins <= bound or spent > nodes:
                 break
-        got = next(choices[-1], end) if bins + -(-search.rest // capacity) < best_bins else end
+        got = next(choices[-1], end) if bins + search.least() < best_bins else end
         if got is None:
             continue
         if got is end:

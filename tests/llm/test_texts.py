@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -115,10 +116,39 @@ def test_bin_completion_is_optimal_on_small_cases():
     assert packing.complete_bins({}, 30) == []
 
 
-def test_bin_completion_tries_every_maximal_filling():
+def test_shares_of_a_bin_never_exceed_it():
+    """Dual feasible: whatever fits one bin has shares of at most one; so the bound holds for every packing."""
+    rng = np.random.default_rng(51)
+    for _ in range(400):
+        capacity, room, total = int(rng.integers(5, 60)), 0, []
+        room = capacity
+        while room:
+            x = int(rng.integers(1, room + 1))
+            total.append(x)
+            room -= x
+        for k in packing.FRACTIONS:
+            assert sum(packing.fraction(x, capacity, k) for x in total) <= k * (k + 1)
+    thirds = {s: 5 for s in range(600, 720)}                            # three of them never fit: the total says 194
+    assert packing.lower_bound(collections.Counter({700: 300}), 2048) == 150
+    assert packing.lower_bound(collections.Counter(thirds), 2048) == sum(p.times for p in packing.complete_bins(thirds, 2048))
+
+
+def test_dominance_of_fillings():
+    assert packing.dominates([10, 7], [6, 4, 7]) and packing.dominates([10], [10]) and packing.dominates([5, 5], [])
+    assert not packing.dominates([6, 6], [7, 5]) and not packing.dominates([9], [5, 5])
+    rng = np.random.default_rng(52)
+    for _ in range(300):
+        a, b = rng.integers(1, 9, rng.integers(1, 4)).tolist(), rng.integers(1, 9, rng.integers(1, 5)).tolist()
+        plain = any(all(sum(x for x, j in zip(b, deal) if j == i) <= a[i] for i in range(len(a)))
+                    for deal in itertools.product(range(len(a)), repeat=len(b)))
+        assert packing.dominates(a, b) == plain
+
+
+def test_bin_completion_tries_every_undominated_filling():
     search = packing._Search({1000: 2, 698: 2, 350: 3, 349: 4}, 2048, 4, False)
-    got = {tuple(sorted(b[0])): [] for b in search.branches() if b}
-    assert set(got) >= {(350, 698), (349, 698), (349, 349, 350), (1000,)}
+    got = {tuple(sorted(b[0])) for b in search.branches() if b}
+    assert got >= {(350, 698), (1000,)} and (349, 349, 350) not in got              # dealt to 698 and 350
+    assert all(f is None or any(packing.dominates(list(g), f) for g in got) for f in search.maximal())
     rng = np.random.default_rng(8)
     for _ in range(60):
         search = packing._Search(collections.Counter(rng.integers(3, 21, 7).tolist()), 30, 4, False)
