@@ -147,11 +147,11 @@ def with_range(df: DataFrame, cols: list[str], points: list, out: str) -> DataFr
 
     def step(at, jump):
         to = at + jump
-        below = (to <= len(points)) & (F.element_at("__points", F.least(to, F.lit(len(points)))) < F.col("__key"))
+        below = (to <= len(points)) & (F.element_at("__range_points", F.least(to, F.lit(len(points)))) < F.col("__range_key"))
         return F.when(below, to).otherwise(at)
 
-    found = df.withColumn("__points", table.select("p").scalar()).withColumn("__key", key)
-    return found.withColumn(out, F.aggregate(jumps, F.lit(0), step)).drop("__points", "__key")
+    found = df.withColumn("__range_points", table.select("p").scalar()).withColumn("__range_key", key)
+    return found.withColumn(out, F.aggregate(jumps, F.lit(0), step)).drop("__range_points", "__range_key")
 
 
 def running_total(vals: DataFrame, cols: str | list[str], weight: str, out: str, partitions: int | None = None) -> DataFrame:
