@@ -5,7 +5,8 @@ targets) is one Spark aggregate: each task sums gradients and counts per (model,
 the sums meet by (model, node), and the best splits come back, one row a node. Rows never leave their blocks; every
 few rounds the blocks are written anew with the predictions so far, so a lost executor costs a few trees. A node of at
 most SMALL rows is finished by one task, which gets its rows and grows the whole subtree below it, so a round takes as
-many jobs as there are levels of larger nodes, plus one. Boosting goes on from where it stopped: the validation error of
+many jobs as there are levels of larger nodes, plus one; a model of at most SMALL rows is that all the way, and one task
+grows its trees one after the other by the same steps. Boosting goes on from where it stopped: the validation error of
 every round is kept, and a model ends when it has not fallen for ``patience`` rounds.
 """
 
@@ -147,19 +148,20 @@ def fit_many(df: DataFrame, features: list[str], specs: list[Spec], row_key: str
         return np.frombuffer(r["bins"], np.uint8).reshape(len(y), nf), y, np.frombuffer(r["masks"], np.uint8).reshape(-1, nm).astype(bool), pred
 
     def label_sums(batches):
-        s = np.zeros((len(specs), 2))
+        s = np.zeros((len(specs), 3))
         for b in batches:
             for r in b.to_pylist():
                 _, y, m, _ = block(r)
                 for i, sp in enumerate(specs):
                     v = y[m[:, at[1][sp.train]], at[0][sp.label]]
-                    s[i] += np.nansum(v), (~np.isnan(v)).sum()
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(specs)), pa.int32()), pa.array(s[:, 0]), pa.array(s[:, 1])], names=["model", "s", "n"])
+                    s[i] += np.nansum(v), (~np.isnan(v)).sum(), m[:, at[1][sp.val]].sum()
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(specs)), pa.int32()), *[pa.array(s[:, j]) for j in range(3)]], names=["model", "s", "n", "v"])
 
-    train_rows = [0.0] * len(specs)
-    for r in state.mapInArrow(label_sums, "model int, s double, n double").groupBy("model").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect():
+    train_rows, all_rows = [0.0] * len(specs), [0.0] * len(specs)
+    for r in state.mapInArrow(label_sums, "model int, s double, n double, v double").groupBy("model").agg(
+            F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         models[r.model].base = r.s / r.n if r.n else 0.0
-        train_rows[r.model] = r.n
+        train_rows[r.model], all_rows[r.model] = r.n, r.n + r.v
     base = np.array([m.base for m in models])
 
     def now(bins, pred, i, since):
@@ -294,8 +296,57 @@ def fit_many(df: DataFrame, features: list[str], specs: list[Spec], row_key: str
                                                      names=["bins", "y", "masks", "pred"])
         return run
 
+    def rows_of(chosen):
+        """The train and validation rows of each chosen model."""
+        def run(batches):
+            from pyspark import TaskContext
+            task = TaskContext.get().partitionId()
+            for b in batches:
+                out = []
+                for r in b.to_pylist():
+                    bins, y, m, _ = block(r)
+                    for i in chosen:
+                        v, t, e = y[:, at[0][specs[i].label]], m[:, at[1][specs[i].train]], m[:, at[1][specs[i].val]]
+                        mine = (t | e) & ~np.isnan(v)
+                        out.append((i, task, bins[mine].tobytes(), v[mine].tobytes(), (t[mine] + 2 * e[mine]).astype(np.uint8).tobytes()))
+                if out:
+                    types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=["model", "task", "bins", "y", "part"])
+        return run
+
+    def boost_here(batches):
+        """Whole models from their rows, which come one model after the other."""
+        def boost(i, held):
+            bins = np.concatenate([np.frombuffer(x[0], np.uint8).reshape(-1, nf) for x in held])
+            y, part = np.concatenate([np.frombuffer(x[1]) for x in held]), np.concatenate([np.frombuffer(x[2], np.uint8) for x in held])
+            m, train, val, p = Model(specs[i], features, borders, float(base[i])), np.flatnonzero(part & 1), part >= 2, np.full(len(y), base[i])
+            while len(y):
+                m.errors.append(float(((p - y)[val] ** 2).mean()) if val.any() else 0.0)
+                if over(m) or not len(train):
+                    break
+                m.trees.append(subtree(bins[train], (p - y)[train], specs[i].depth, specs[i].l2))
+                p += specs[i].rate * m.trees[-1].value[m.trees[-1].leaf(bins)]
+            return pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([m.to_json()])], names=["model", "json"])
+
+        key, held = None, []
+        for b in batches:
+            for i, *rest in zip(b.column(0).to_pylist(), *[b.column(j).to_pylist() for j in (2, 3, 4)]):
+                if i != key:
+                    if held:
+                        yield boost(key, held)
+                    key, held = i, []
+                held.append(rest)
+        if held:
+            yield boost(key, held)
+
+    small = [i for i in range(len(specs)) if all_rows[i] <= SMALL]
+    if small:
+        mine = state.mapInArrow(rows_of(small), "model int, task int, bins binary, y binary, part binary")
+        mine = mine.repartitionByRange(len(small), "model").sortWithinPartitions("model", "task")
+        for r in mine.mapInArrow(boost_here, "model int, json string").collect():
+            models[r.model] = Model.from_json(r.json)
     since = [[] for _ in specs]
-    active, held = list(range(len(specs))), 0
+    active, held = [i for i in range(len(specs)) if i not in small], 0
     while active:
         grown = {i: Tree(np.full((1 << specs[i].depth) - 1, -1, np.int64), np.zeros((1 << specs[i].depth) - 1, np.int64), np.zeros(1 << specs[i].depth),
                          np.zeros(1 << specs[i].depth)) for i in active}
