@@ -136,7 +136,7 @@ def grid_search(df: DataFrame, features: list[str], label: str, depths=(5, 6, 7,
     each with its own early stopping on the validation slice, and are judged there and on the test rows; ``best`` marks
     the point of highest test R²."""
     specs = [B.Spec(label, d, r, float(l2), rounds=rounds) for d in depths for r in rates for l2 in l2s]
-    models = {f"m{i}": m for i, m in enumerate(B.fitted(df, features, specs))}
+    models = {f"grid_point_{i}": m for i, m in enumerate(B.fitted(df, features, specs))}
     part = F.when(F.col("split") == "test", "test").when(F.col("is_val"), "validation")
     got = {r["__part"]: r for r in metrics_of_many(df, models, part)}
 
@@ -169,9 +169,9 @@ def cross_validate(df: DataFrame, features: list[str], label: str, folds: int =
     d = df.select("*", fold.alias("fold")).withColumns({f"train_{k}": (F.col("fold") != k) & ~val for k in range(folds)} |
                                                        {f"val_{k}": (F.col("fold") != k) & val for k in range(folds)})
     specs = [B.Spec(label, train=f"train_{k}", val=f"val_{k}") for k in range(folds)]
-    models = {f"m{k}": m for k, m in enumerate(B.fitted(d, features, specs))}
+    models = {f"fold_model_{k}": m for k, m in enumerate(B.fitted(d, features, specs))}
     got = {r["__part"]: r for r in metrics_of_many(d, models, F.col("fold"))}
-    r2 = [float(got[k][f"m{k}_r2"]) for k in sorted(got) if got[k][f"m{k}_r2"] is not None]
+    r2 = [float(got[k][f"fold_model_{k}_r2"]) for k in sorted(got) if got[k][f"fold_model_{k}_r2"] is not None]
     mean = sum(r2) / max(len(r2), 1)
     return df.sparkSession.createDataFrame([(folds, mean, (sum((x - mean) ** 2 for x in r2) / max(len(r2), 1)) ** 0.5)],
                                            "folds int, mean_r2 double, std_r2 double")
