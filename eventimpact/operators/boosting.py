@@ -8,6 +8,9 @@ most SMALL rows is finished by one task, which gets its rows and grows the whole
 many jobs as there are levels of larger nodes, plus one; a model of at most SMALL rows is that all the way, and one task
 grows its trees one after the other by the same steps. Boosting goes on from where it stopped: the validation error of
 every round is kept, and a model ends when it has not fallen for ``patience`` rounds.
+
+Where one task grows a model, rows with equal bins are one row with a weight, as every tree treats them alike, and
+features with few distinct joint values share one count of those, from which the sums of each follow (``Gathered``).
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ from ..session import checkpoint_dir, forget, written
 BINS = 64                  # most bins of a feature
 BLOCK = 2048               # rows of a block
 SAMPLE = 50_000            # rows from which the borders of bins are taken, chosen by hash
-SMALL = 100_000            # rows of a node whose subtree one task finishes
+SMALL = 1_000_000          # rows of a model that one task grows; a tenth: rows of a node whose subtree one task finishes
+JOINT = 1024               # most distinct values of neighbouring features that are counted together
 EVERY = 10                 # rounds between two written states
 ROWS_PER_TASK = 1_000_000  # rows that a task holds at most, beyond what the cluster's cores take
 
@@ -90,6 +94,57 @@ class Model:
         return cls(Spec(**d["spec"]), d["features"], d["borders"], d["base"], trees, d["errors"], d["importance"])
 
 
+class Gathered:
+    """Rows of models with the same label and parts, as these need them: distinct rows with their weights and mean
+    labels, train rows first, those in both parts next, and groups of features that are counted together."""
+
+    def __init__(self, bins: np.ndarray, y: np.ndarray, part: np.ndarray, width: np.ndarray, offset: np.ndarray):
+        groups = []                                       # codes of the rows, features, their bins by code
+        for f, w in enumerate(width):
+            b = bins[:, f].astype(np.int64)
+            for i, (code, features, table) in enumerate(groups):
+                if len(table) * w <= JOINT * BINS:
+                    joint = code * w + b
+                    seen = np.flatnonzero(np.bincount(joint, minlength=len(table) * w))
+                    if len(seen) <= JOINT:
+                        place = np.zeros(len(table) * w, np.int64)
+                        place[seen] = np.arange(len(seen))
+                        groups[i] = place[joint], [*features, f], np.column_stack([table[seen // w], seen % w])
+                        break
+            else:
+                groups.append((b, [f], np.arange(w)[:, None]))
+        key, top = np.array([0, 0, 2, 1])[part], 3        # in the order of parts
+        for code, _, table in groups:
+            if top * len(table) >= 1 << 62:
+                key = np.unique(key, return_inverse=True)[1]
+                top = int(key.max(initial=0)) + 1
+            key, top = key * len(table) + code, top * len(table)
+        _, first, at = np.unique(key, return_index=True, return_inverse=True)
+        self.bins, self.part = np.asfortranarray(bins[first]), part[first]
+        self.weight = np.bincount(at, minlength=len(first)).astype(np.float64)
+        self.mean = np.bincount(at, y, len(first)) / self.weight
+        off = y - self.mean[at]
+        self.spread = float((off * off)[part >= 2].sum())          # of the validation rows around the means
+        self.train, self.val = slice(0, int((self.part & 1).sum())), slice(int((self.part == 1).sum()), None)
+        self.groups = []
+        for code, features, table in groups:
+            cells = np.concatenate([offset[f] + np.arange(width[f]) for f in features])
+            to = np.zeros((len(table), len(cells)))
+            start = np.cumsum([0, *[width[f] for f in features]])
+            for j in range(len(features)):
+                to[np.arange(len(table)), start[j] + table[:, j]] = 1.0
+            self.groups.append((code[first][self.train], len(table), to, cells))
+
+    def sums(self, node: np.ndarray, nodes: int, g: np.ndarray, cells: int) -> np.ndarray:
+        """Gradient sums and row counts of the train rows by node and cell."""
+        out = np.zeros((2, nodes, cells))
+        for code, n, to, cols in self.groups:
+            where = node * n + code
+            for x, weight in zip(out, (g, self.weight[self.train])):
+                x[:, cols] = np.bincount(where, weight, nodes * n).reshape(nodes, n) @ to
+        return out
+
+
 def bin_borders(df: DataFrame, features: list[str], row_key: str, bins: int = BINS) -> list[list[float]]:
     """At most ``bins - 1`` borders of every feature: between neighbouring values if there are few, else at quantiles.
     They are taken from about SAMPLE rows of smallest hash of ``row_key`` (any borders give a valid model)."""
@@ -296,53 +351,80 @@ def fit_many(df: DataFrame, features: list[str], specs: list[Spec], row_key: str
                                                      names=["bins", "y", "masks", "pred"])
         return run
 
-    def rows_of(chosen):
-        """The train and validation rows of each chosen model."""
+    def rows_of(shares):
+        """The train and validation rows of the models of each share, which have the same label and parts."""
         def run(batches):
             from pyspark import TaskContext
             task = TaskContext.get().partitionId()
             for b in batches:
-                out = []
                 for r in b.to_pylist():
                     bins, y, m, _ = block(r)
-                    for i in chosen:
+                    for j, (i, *_) in enumerate(shares):
                         v, t, e = y[:, at[0][specs[i].label]], m[:, at[1][specs[i].train]], m[:, at[1][specs[i].val]]
                         mine = (t | e) & ~np.isnan(v)
-                        out.append((i, task, bins[mine].tobytes(), v[mine].tobytes(), (t[mine] + 2 * e[mine]).astype(np.uint8).tobytes()))
-                if out:
-                    types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=["model", "task", "bins", "y", "part"])
+                        row = (j, task, bins[mine].tobytes(), v[mine].tobytes(), (t[mine] + 2 * e[mine]).astype(np.uint8).tobytes())
+                        types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=["share", "task", "bins", "y", "part"])
         return run
 
+    def boosting(m, rows):
+        """The rounds of a model: yields sums over this task's rows and gets those over all rows that it is to learn from."""
+        s, depth = m.spec, m.spec.depth
+        p = m.raw(rows.bins)
+        while True:
+            loss = yield np.array([rows.spread + (rows.weight * (p - rows.mean) ** 2)[rows.val].sum(), rows.weight[rows.val].sum(), rows.weight[rows.train].sum()])
+            if not loss[1:].any():
+                return
+            m.errors.append(float(loss[0] / loss[1]) if loss[1] else 0.0)
+            if over(m) or not loss[2]:
+                return
+            t = Tree(np.full((1 << depth) - 1, -1, np.int64), np.zeros((1 << depth) - 1, np.int64), np.zeros(1 << depth), np.zeros(1 << depth))
+            g, node, row = (rows.weight * (p - rows.mean))[rows.train], np.zeros(len(p), np.int64), np.arange(len(p))
+            for level in range(depth):
+                hg, hc = yield rows.sums(node[rows.train], 1 << level, g, cells)
+                f, cut, gl, cl, tg, tc = best_splits(hg, hc, s.l2)
+                for k in np.flatnonzero(tc > 0):
+                    add(t, depth, s.l2, level, k, int(f[k]), int(cut[k]), tg[k], tc[k], gl[k], cl[k])
+                of = f[node]
+                node = 2 * node + ((of >= 0) & (rows.bins[row, of] > cut[node]))
+            m.trees.append(t)
+            p += s.rate * t.value[node]
+
     def boost_here(batches):
-        """Whole models from their rows, which come one model after the other."""
-        def boost(i, held):
+        """Whole models from their rows, which come one share after the other."""
+        def boost(j, held):
             bins = np.concatenate([np.frombuffer(x[0], np.uint8).reshape(-1, nf) for x in held])
             y, part = np.concatenate([np.frombuffer(x[1]) for x in held]), np.concatenate([np.frombuffer(x[2], np.uint8) for x in held])
-            m, train, val, p = Model(specs[i], features, borders, float(base[i])), np.flatnonzero(part & 1), part >= 2, np.full(len(y), base[i])
-            while len(y):
-                m.errors.append(float(((p - y)[val] ** 2).mean()) if val.any() else 0.0)
-                if over(m) or not len(train):
-                    break
-                m.trees.append(subtree(bins[train], (p - y)[train], specs[i].depth, specs[i].l2))
-                p += specs[i].rate * m.trees[-1].value[m.trees[-1].leaf(bins)]
-            return pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([m.to_json()])], names=["model", "json"])
+            held.clear()
+            rows = Gathered(bins, y, part, width, offset)
+            for i in shares[j]:
+                m = Model(specs[i], features, borders, float(base[i]))
+                steps = boosting(m, rows)
+                try:
+                    own = next(steps)
+                    while True:
+                        own = steps.send(own)                          # this task's rows are all rows
+                except StopIteration:
+                    pass
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([m.to_json()])], names=["model", "json"])
 
         key, held = None, []
         for b in batches:
-            for i, *rest in zip(b.column(0).to_pylist(), *[b.column(j).to_pylist() for j in (2, 3, 4)]):
-                if i != key:
+            for j, *rest in zip(b.column(0).to_pylist(), *[b.column(c).to_pylist() for c in (2, 3, 4)]):
+                if j != key:
                     if held:
-                        yield boost(key, held)
-                    key, held = i, []
+                        yield from boost(key, held)
+                    key, held = j, []
                 held.append(rest)
         if held:
-            yield boost(key, held)
+            yield from boost(key, held)
 
     small = [i for i in range(len(specs)) if all_rows[i] <= SMALL]
     if small:
-        mine = state.mapInArrow(rows_of(small), "model int, task int, bins binary, y binary, part binary")
-        mine = mine.repartitionByRange(len(small), "model").sortWithinPartitions("model", "task")
+        shares = shared_out([specs[i] for i in small], spark.sparkContext.defaultParallelism)
+        shares = [[small[i] for i in x] for x in shares]
+        mine = state.mapInArrow(rows_of(shares), "share int, task int, bins binary, y binary, part binary")
+        mine = mine.repartitionById(len(shares), F.col("share")).sortWithinPartitions("share", "task", "bins", "y")
         for r in mine.mapInArrow(boost_here, "model int, json string").collect():
             models[r.model] = Model.from_json(r.json)
     since = [[] for _ in specs]
@@ -352,7 +434,7 @@ def fit_many(df: DataFrame, features: list[str], specs: list[Spec], row_key: str
                          np.zeros(1 << specs[i].depth)) for i in active}
         counts, level = {i: {0: train_rows[i]} for i in active}, 0            # rows of the nodes that are still open
         while counts:
-            todo = {i: ([k for k, c in n.items() if c > SMALL], [k for k, c in n.items() if c <= SMALL]) for i, n in counts.items()}
+            todo = {i: ([k for k, c in n.items() if c > SMALL // 10], [k for k, c in n.items() if c <= SMALL // 10]) for i, n in counts.items()}
             got = state.mapInArrow(sums(since, grown, level, todo), "model int, node int, task int, g binary, c binary")
             keys = sum(len(a) + len(b) for a, b in todo.values())
             weight = sum(len(a) * cells + sum(counts[i][k] for k in b) * nf for i, (a, b) in todo.items())
@@ -393,6 +475,20 @@ def fit_many(df: DataFrame, features: list[str], specs: list[Spec], row_key: str
     return models
 
 
+def shared_out(specs: list[Spec], cores: int) -> list[list[int]]:
+    """Models (by their numbers) dealt into shares, each grown by one task from the same rows: as many shares as there
+    are cores, if there are as many models; the deepest trees first."""
+    alike: dict[tuple, list[int]] = {}
+    for i, s in enumerate(specs):
+        alike.setdefault((s.label, s.train, s.val), []).append(i)
+    out = []
+    for some in alike.values():
+        n = max(1, min(len(some), cores // len(alike)))
+        some = sorted(some, key=lambda i: (-specs[i].depth, specs[i].rate, i))
+        out += [[i for j, i in enumerate(some) if (j % n if j // n % 2 == 0 else n - 1 - j % n) == k] for k in range(n)]
+    return out
+
+
 def over(m: Model) -> bool:
     """Whether a model has all its rounds, or its validation error has not fallen for ``patience`` of them."""
     rounds = len(m.errors) - 1

@@ -85,6 +85,49 @@ def test_models_of_a_batch_equal_a_plain_booster(spark, frame, rows, small, monk
     assert len(models[1].errors) - 1 < 60 and len(models[2].trees) == 13                    # one stopped early, one ran out
 
 
+@pytest.mark.parametrize("seed", [2, 3])
+def test_gathered_rows_have_the_sums_of_all_rows(seed, monkeypatch):
+    monkeypatch.setattr(B, "JOINT", 16)
+    rng = np.random.default_rng(seed)
+    width = np.array([3, 3, 20, 2, 1, 5])
+    bins = np.stack([rng.integers(0, w, 3000) for w in width], 1).astype(np.uint8)
+    bins[:, 1], bins[:, 2] = (bins[:, 0] + 1) % 3, np.where(rng.random(3000) < 0.9, 0, bins[:, 2])
+    y, part, offset = rng.normal(size=3000), rng.integers(1, 4, 3000).astype(np.uint8), np.concatenate([[0], np.cumsum(width)[:-1]])
+    r = B.Gathered(bins, y, part, width, offset)
+    assert len(r.bins) < 3000 == r.weight.sum() and sum(len(x[3]) for x in r.groups) == width.sum() and len(r.groups) < 6
+    p, of = bins @ np.arange(6.0), r.bins @ np.arange(6.0)                                  # the same for equal rows
+    assert np.isclose(r.spread + (r.weight * (of - r.mean) ** 2)[r.val].sum(), ((p - y)[part >= 2] ** 2).sum())
+    got = r.sums(r.bins[r.train, 3].astype(np.int64), 2, (r.weight * (of - r.mean))[r.train], int(width.sum()))
+    for node in range(2):
+        mine = (part & 1 > 0) & (bins[:, 3] == node)
+        for f, w in enumerate(width):
+            at = slice(offset[f], offset[f] + w)
+            assert np.allclose(got[0, node, at], np.bincount(bins[mine, f], (p - y)[mine], w))
+            assert np.array_equal(got[1, node, at], np.bincount(bins[mine, f], minlength=w))
+
+
+def test_jobs_of_a_model_of_many_rows_do_not_grow_with_its_rounds(spark):
+    d = spark.range(130_000).select("id", (F.col("id") % 97).cast("double").alias("a"), (F.xxhash64("id") % 50).cast("double").alias("y"),
+                                    (F.col("id") % 5 > 0).alias("is_train"), (F.col("id") % 5 == 0).alias("is_val"))
+    jobs, sc = [], spark.sparkContext
+    for rounds in (2, 6):
+        sc.setJobGroup(f"rounds-{rounds}", "")
+        assert len(B.fit_many(d, ["a"], [B.Spec("y", 2, rounds=rounds)])[0].errors) == rounds + 1
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"rounds-{rounds}")))
+    sc._jsc.clearJobGroup()
+    assert 0 < jobs[1] <= jobs[0]
+
+
+def test_models_are_dealt_over_the_cores():
+    specs = [B.Spec("m4", d, r, l2) for d in (4, 5, 6, 7) for r in (0.02, 0.05) for l2 in (2.0, 3.0, 4.0)]
+    for cores in (1, 4, 12, 100):
+        shares = B.shared_out(specs, cores)
+        assert sorted(sum(shares, [])) == list(range(24)) and len(shares) == min(24, cores)
+        work = [sum(specs[i].depth for i in x) for x in shares]
+        assert max(work) - min(work) <= 3
+    assert sorted(map(sorted, B.shared_out([B.Spec("y", train=f"t{i % 2}") for i in range(4)], 1))) == [[0, 2], [1, 3]]
+
+
 def test_importance_equals_a_plain_walk(frame, rows):
     x, y, _, part = rows
     m = B.fit_many(frame, FEATURES, [B.Spec("y", 3, 0.3, 2.0, rounds=8)])[0]
