@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.types import ArrayType, StructField, StructType
 
+from ..session import written
+
 
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
     """Attach a one-row aggregate to every row as ONE struct-valued scalar subquery (computed once, its value
@@ -31,6 +33,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], groups: list[st
     gs = [f"__g{i}" for i in range(len(groups))]
     vals = df.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).cast("double").alias("__x")).agg(
         F.count(F.lit(1)).alias("__c"))
+    vals = written(vals, "values")                         # the ranges read the counts several times, ``df`` is evaluated once
     cum = running_total(vals, [*gs, "__x"], "__c", "__end").withColumn("__begin", F.col("__end") - F.col("__c"))
     span = cum.groupBy(*gs).agg(F.min("__begin").alias("__lo"), (F.max("__end") - F.min("__begin")).alias("__n"))
     if gs:

@@ -44,3 +44,17 @@ def test_running_total_over_many_ranges(spark):
         want[r.k] = total
     got = {r.k: r.c for r in S.running_total(df, "k", "w", "c", 40).collect()}
     assert got == want
+
+
+def test_quantiles_evaluate_their_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    d = spark.range(1000).select((F.col("id") % 2).alias("g"), F.xxhash64("id").cast("double").alias("x")).mapInArrow(count, "g long, x double")
+    got = {r.g: r.m for r in S.exact_quantiles(d, "x", [0.5], ["g"], ["m"]).collect()}
+    assert seen.value == 1000
+    want = spark.range(1000).groupBy((F.col("id") % 2).alias("g")).agg(F.median(F.xxhash64("id").cast("double")).alias("m")).collect()
+    assert all(abs(got[r.g] / r.m - 1) < 1e-12 for r in want)
