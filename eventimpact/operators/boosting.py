@@ -9,7 +9,7 @@ many jobs as there are levels of larger nodes, plus one; a model of at most SMAL
 grows its trees one after the other by the same steps. Boosting goes on from where it stopped: the validation error of
 every round is kept, and a model ends when it has not fallen for ``patience`` rounds.
 
-Where one task grows a model, rows with equal bins are one row with a weight, as every tree treats them alike, and
+Where one task grows a model of more than SMALL / 10 rows, rows with equal bins are one row with a weight, as every tree treats them alike, and
 features with few distinct joint values share one count of those, from which the sums of each follow (``Gathered``).
 """
 
@@ -355,33 +355,31 @@ def fit_many(df: DataFrame, features: list[str], specs: list[Spec], row_key: str
         """The train and validation rows of the models of each share, which have the same label and parts."""
         def run(batches):
             from pyspark import TaskContext
-            task = TaskContext.get().partitionId()
+            place = TaskContext.get().partitionId() << 32
             for b in batches:
                 for r in b.to_pylist():
                     bins, y, m, _ = block(r)
+                    place += 1
                     for j, (i, *_) in enumerate(shares):
                         v, t, e = y[:, at[0][specs[i].label]], m[:, at[1][specs[i].train]], m[:, at[1][specs[i].val]]
                         mine = (t | e) & ~np.isnan(v)
-                        row = (j, task, bins[mine].tobytes(), v[mine].tobytes(), (t[mine] + 2 * e[mine]).astype(np.uint8).tobytes())
-                        types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-                        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=["share", "task", "bins", "y", "part"])
+                        row = (j, place, bins[mine].tobytes(), v[mine].tobytes(), (t[mine] + 2 * e[mine]).astype(np.uint8).tobytes())
+                        types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=["share", "place", "bins", "y", "part"])
         return run
 
-    def boosting(m, rows):
-        """The rounds of a model: yields sums over this task's rows and gets those over all rows that it is to learn from."""
+    def boost_gathered(m, rows):
+        """All rounds of a model."""
         s, depth = m.spec, m.spec.depth
-        p = m.raw(rows.bins)
-        while True:
-            loss = yield np.array([rows.spread + (rows.weight * (p - rows.mean) ** 2)[rows.val].sum(), rows.weight[rows.val].sum(), rows.weight[rows.train].sum()])
-            if not loss[1:].any():
-                return
-            m.errors.append(float(loss[0] / loss[1]) if loss[1] else 0.0)
-            if over(m) or not loss[2]:
-                return
+        p, row, some = m.raw(rows.bins), np.arange(len(rows.bins)), rows.weight[rows.val].sum()
+        while len(p):
+            m.errors.append(float(rows.spread + (rows.weight * (p - rows.mean) ** 2)[rows.val].sum()) / some if some else 0.0)
+            if over(m) or not rows.train.stop:
+                break
             t = Tree(np.full((1 << depth) - 1, -1, np.int64), np.zeros((1 << depth) - 1, np.int64), np.zeros(1 << depth), np.zeros(1 << depth))
-            g, node, row = (rows.weight * (p - rows.mean))[rows.train], np.zeros(len(p), np.int64), np.arange(len(p))
+            g, node = (rows.weight * (p - rows.mean))[rows.train], np.zeros(len(p), np.int64)        # place in the level
             for level in range(depth):
-                hg, hc = yield rows.sums(node[rows.train], 1 << level, g, cells)
+                hg, hc = rows.sums(node[rows.train], 1 << level, g, cells)
                 f, cut, gl, cl, tg, tc = best_splits(hg, hc, s.l2)
                 for k in np.flatnonzero(tc > 0):
                     add(t, depth, s.l2, level, k, int(f[k]), int(cut[k]), tg[k], tc[k], gl[k], cl[k])
@@ -396,16 +394,20 @@ def fit_many(df: DataFrame, features: list[str], specs: list[Spec], row_key: str
             bins = np.concatenate([np.frombuffer(x[0], np.uint8).reshape(-1, nf) for x in held])
             y, part = np.concatenate([np.frombuffer(x[1]) for x in held]), np.concatenate([np.frombuffer(x[2], np.uint8) for x in held])
             held.clear()
-            rows = Gathered(bins, y, part, width, offset)
+            few = len(y) <= SMALL // 10
+            rows, train, val = None if few else Gathered(bins, y, part, width, offset), np.flatnonzero(part & 1), part >= 2
             for i in shares[j]:
                 m = Model(specs[i], features, borders, float(base[i]))
-                steps = boosting(m, rows)
-                try:
-                    own = next(steps)
-                    while True:
-                        own = steps.send(own)                          # this task's rows are all rows
-                except StopIteration:
-                    pass
+                if few:
+                    p = np.full(len(y), base[i])
+                    while len(y):
+                        m.errors.append(float(((p - y)[val] ** 2).mean()) if val.any() else 0.0)
+                        if over(m) or not len(train):
+                            break
+                        m.trees.append(subtree(bins[train], (p - y)[train], specs[i].depth, specs[i].l2))
+                        p += specs[i].rate * m.trees[-1].value[m.trees[-1].leaf(bins)]
+                else:
+                    boost_gathered(m, rows)
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([m.to_json()])], names=["model", "json"])
 
         key, held = None, []
@@ -423,8 +425,8 @@ def fit_many(df: DataFrame, features: list[str], specs: list[Spec], row_key: str
     if small:
         shares = shared_out([specs[i] for i in small], spark.sparkContext.defaultParallelism)
         shares = [[small[i] for i in x] for x in shares]
-        mine = state.mapInArrow(rows_of(shares), "share int, task int, bins binary, y binary, part binary")
-        mine = mine.repartitionById(len(shares), F.col("share")).sortWithinPartitions("share", "task", "bins", "y")
+        mine = state.mapInArrow(rows_of(shares), "share int, place long, bins binary, y binary, part binary")
+        mine = mine.repartitionById(len(shares), F.col("share")).sortWithinPartitions("share", "place")
         for r in mine.mapInArrow(boost_here, "model int, json string").collect():
             models[r.model] = Model.from_json(r.json)
     since = [[] for _ in specs]

@@ -85,6 +85,10 @@ def test_models_of_a_batch_equal_a_plain_booster(spark, frame, rows, small, monk
     assert len(models[1].errors) - 1 < 60 and len(models[2].trees) == 13                    # one stopped early, one ran out
 
 
+def test_models_of_gathered_rows_equal_a_plain_booster(spark, frame, rows, monkeypatch):
+    test_models_of_a_batch_equal_a_plain_booster(spark, frame, rows, 1000, monkeypatch)
+
+
 @pytest.mark.parametrize("seed", [2, 3])
 def test_gathered_rows_have_the_sums_of_all_rows(seed, monkeypatch):
     monkeypatch.setattr(B, "JOINT", 16)
