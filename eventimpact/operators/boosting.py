@@ -6,11 +6,12 @@ the sums meet by (model, node), and the best splits come back, one row a node. R
 few rounds the blocks are written anew with the predictions so far, so a lost executor costs a few trees. A node of at
 most SMALL rows is finished by one task, which gets its rows and grows the whole subtree below it, so a round takes as
 many jobs as there are levels of larger nodes, plus one; a model of at most SMALL rows is that all the way, and one task
-grows its trees one after the other by the same steps. Boosting goes on from where it stopped: the validation error of
+grows its trees one after the other. Boosting goes on from where it stopped: the validation error of
 every round is kept, and a model ends when it has not fallen for ``patience`` rounds.
 
-Where one task grows a model of more than SMALL / 10 rows, rows with equal bins are one row with a weight, as every tree treats them alike, and
-features with few distinct joint values share one count of those, from which the sums of each follow (``Gathered``).
+Where one task grows a model, features with few distinct joint values share one count of those, from which the counts of
+each follow. Up to SMALL / 10 rows the gradients are added row by row (``Kept``); above, they are added up like the counts, and
+rows with equal bins are one row with a weight, as every tree treats them alike (``Gathered``).
 """
 
 from __future__ import annotations
@@ -59,11 +60,11 @@ class Tree:
 
     def leaf(self, bins: np.ndarray, levels: int | None = None) -> np.ndarray:
         """Place of every row in the last level (or after ``levels``), from 0."""
-        node, row = np.zeros(len(bins), np.int64), np.arange(len(bins))
+        node = np.zeros(len(bins), np.int64)
         depth = (len(self.feature) + 1).bit_length() - 1
+        flat, start, f, cut = bins.ravel(), np.arange(len(bins)) * bins.shape[1], np.maximum(self.feature, 0), np.where(self.feature < 0, 255, self.cut)
         for _ in range(depth if levels is None else levels):
-            f = self.feature[node]
-            node = 2 * node + 1 + ((f >= 0) & (bins[row, f] > self.cut[node]))
+            node = 2 * node + 1 + (flat[start + f[node]] > cut[node])
         return node - ((1 << (depth if levels is None else levels)) - 1)
 
 
@@ -94,25 +95,66 @@ class Model:
         return cls(Spec(**d["spec"]), d["features"], d["borders"], d["base"], trees, d["errors"], d["importance"])
 
 
+def joined(bins: np.ndarray, width: np.ndarray) -> list[tuple[np.ndarray, list[int], np.ndarray]]:
+    """Groups of features that are counted together: codes of the rows, features, their bins by code."""
+    groups = []
+    for f, w in enumerate(width):
+        b = bins[:, f].astype(np.int64)
+        for i, (code, features, table) in enumerate(groups):
+            if len(table) * w <= JOINT * BINS:
+                joint = code * w + b
+                seen = np.flatnonzero(np.bincount(joint, minlength=len(table) * w))
+                if len(seen) <= JOINT:
+                    place = np.zeros(len(table) * w, np.int64)
+                    place[seen] = np.arange(len(seen))
+                    groups[i] = place[joint], [*features, f], np.column_stack([table[seen // w], seen % w])
+                    break
+        else:
+            groups.append((b, [f], np.arange(w)[:, None]))
+    return groups
+
+
+def cells_of(features: list[int], table: np.ndarray, width: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which cells a group's codes add to (a 0/1 matrix), and the places of these cells among all."""
+    cells = np.concatenate([offset[f] + np.arange(width[f]) for f in features])
+    to, start = np.zeros((len(table), len(cells))), np.cumsum([0, *[width[f] for f in features]])
+    for j in range(len(features)):
+        to[np.arange(len(table)), start[j] + table[:, j]] = 1.0
+    return to, cells
+
+
+class Kept:
+    """Rows of models with the same label and parts, as they came. Gradients are added in the order of the rows, one
+    feature after the other; counts, exact in any order, by groups of features."""
+
+    def __init__(self, bins: np.ndarray, y: np.ndarray, part: np.ndarray, width: np.ndarray, offset: np.ndarray):
+        self.bins, self.part, self.y, self.val = np.asfortranarray(bins), part, y, part >= 2
+        self.train, self.held_out = np.flatnonzero(part & 1), bool(self.val.any())
+        self.columns = [(bins[self.train, f].astype(np.int64), w, slice(at, at + w)) for f, (w, at) in enumerate(zip(width, offset))]
+        self.groups = [(code, len(table), *cells_of(fs, table, width, offset)) for code, fs, table in joined(bins[self.train], width)]
+
+    def error(self, p: np.ndarray) -> float:
+        return float(((p - self.y)[self.val] ** 2).mean()) if self.held_out else 0.0
+
+    def gradients(self, p: np.ndarray) -> np.ndarray:
+        return (p - self.y)[self.train]
+
+    def sums(self, node: np.ndarray, nodes: int, g: np.ndarray, cells: int) -> np.ndarray:
+        """Gradient sums and row counts of the train rows by node and cell."""
+        out = np.zeros((2, nodes, cells))
+        for b, w, at in self.columns:
+            out[0][:, at] = np.bincount(node * w + b, g, nodes * w).reshape(nodes, w)
+        for code, n, to, cols in self.groups:
+            out[1][:, cols] = np.bincount(node * n + code, minlength=nodes * n).reshape(nodes, n) @ to
+        return out
+
+
 class Gathered:
     """Rows of models with the same label and parts, as these need them: distinct rows with their weights and mean
     labels, train rows first, those in both parts next, and groups of features that are counted together."""
 
     def __init__(self, bins: np.ndarray, y: np.ndarray, part: np.ndarray, width: np.ndarray, offset: np.ndarray):
-        groups = []                                       # codes of the rows, features, their bins by code
-        for f, w in enumerate(width):
-            b = bins[:, f].astype(np.int64)
-            for i, (code, features, table) in enumerate(groups):
-                if len(table) * w <= JOINT * BINS:
-                    joint = code * w + b
-                    seen = np.flatnonzero(np.bincount(joint, minlength=len(table) * w))
-                    if len(seen) <= JOINT:
-                        place = np.zeros(len(table) * w, np.int64)
-                        place[seen] = np.arange(len(seen))
-                        groups[i] = place[joint], [*features, f], np.column_stack([table[seen // w], seen % w])
-                        break
-            else:
-                groups.append((b, [f], np.arange(w)[:, None]))
+        groups = joined(bins, width)
         key, top = np.array([0, 0, 2, 1])[part], 3        # in the order of parts
         for code, _, table in groups:
             if top * len(table) >= 1 << 62:
@@ -126,14 +168,14 @@ class Gathered:
         off = y - self.mean[at]
         self.spread = float((off * off)[part >= 2].sum())          # of the validation rows around the means
         self.train, self.val = slice(0, int((self.part & 1).sum())), slice(int((self.part == 1).sum()), None)
-        self.groups = []
-        for code, features, table in groups:
-            cells = np.concatenate([offset[f] + np.arange(width[f]) for f in features])
-            to = np.zeros((len(table), len(cells)))
-            start = np.cumsum([0, *[width[f] for f in features]])
-            for j in range(len(features)):
-                to[np.arange(len(table)), start[j] + table[:, j]] = 1.0
-            self.groups.append((code[first][self.train], len(table), to, cells))
+        self.held_out = self.weight[self.val].sum()
+        self.groups = [(code[first][self.train], len(table), *cells_of(fs, table, width, offset)) for code, fs, table in groups]
+
+    def error(self, p: np.ndarray) -> float:
+        return float(self.spread + (self.weight * (p - self.mean) ** 2)[self.val].sum()) / self.held_out if self.held_out else 0.0
+
+    def gradients(self, p: np.ndarray) -> np.ndarray:
+        return (self.weight * (p - self.mean))[self.train]
 
     def sums(self, node: np.ndarray, nodes: int, g: np.ndarray, cells: int) -> np.ndarray:
         """Gradient sums and row counts of the train rows by node and cell."""
@@ -368,46 +410,36 @@ def fit_many(df: DataFrame, features: list[str], specs: list[Spec], row_key: str
                         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=["share", "place", "bins", "y", "part"])
         return run
 
-    def boost_gathered(m, rows):
+    def boost(m, rows):
         """All rounds of a model."""
-        s, depth = m.spec, m.spec.depth
-        p, row, some = m.raw(rows.bins), np.arange(len(rows.bins)), rows.weight[rows.val].sum()
-        while len(p):
-            m.errors.append(float(rows.spread + (rows.weight * (p - rows.mean) ** 2)[rows.val].sum()) / some if some else 0.0)
-            if over(m) or not rows.train.stop:
+        s, depth, size = m.spec, m.spec.depth, len(rows.bins)
+        p, row, flat, some = m.raw(rows.bins), np.arange(size), rows.bins.ravel("F"), len(rows.part[rows.train])
+        while size:
+            m.errors.append(rows.error(p))
+            if over(m) or not some:
                 break
             t = Tree(np.full((1 << depth) - 1, -1, np.int64), np.zeros((1 << depth) - 1, np.int64), np.zeros(1 << depth), np.zeros(1 << depth))
-            g, node = (rows.weight * (p - rows.mean))[rows.train], np.zeros(len(p), np.int64)        # place in the level
+            g, node = rows.gradients(p), np.zeros(size, np.int64)            # place in the level
             for level in range(depth):
                 hg, hc = rows.sums(node[rows.train], 1 << level, g, cells)
                 f, cut, gl, cl, tg, tc = best_splits(hg, hc, s.l2)
                 for k in np.flatnonzero(tc > 0):
                     add(t, depth, s.l2, level, k, int(f[k]), int(cut[k]), tg[k], tc[k], gl[k], cl[k])
-                of = f[node]
-                node = 2 * node + ((of >= 0) & (rows.bins[row, of] > cut[node]))
+                start, cut = np.maximum(f, 0) * size, np.where(f < 0, 255, cut)
+                node = 2 * node + (flat[start[node] + row] > cut[node])
             m.trees.append(t)
             p += s.rate * t.value[node]
 
     def boost_here(batches):
         """Whole models from their rows, which come one share after the other."""
-        def boost(j, held):
+        def grow(j, held):
             bins = np.concatenate([np.frombuffer(x[0], np.uint8).reshape(-1, nf) for x in held])
             y, part = np.concatenate([np.frombuffer(x[1]) for x in held]), np.concatenate([np.frombuffer(x[2], np.uint8) for x in held])
             held.clear()
-            few = len(y) <= SMALL // 10
-            rows, train, val = None if few else Gathered(bins, y, part, width, offset), np.flatnonzero(part & 1), part >= 2
+            rows = (Kept if len(y) <= SMALL // 10 else Gathered)(bins, y, part, width, offset)
             for i in shares[j]:
                 m = Model(specs[i], features, borders, float(base[i]))
-                if few:
-                    p = np.full(len(y), base[i])
-                    while len(y):
-                        m.errors.append(float(((p - y)[val] ** 2).mean()) if val.any() else 0.0)
-                        if over(m) or not len(train):
-                            break
-                        m.trees.append(subtree(bins[train], (p - y)[train], specs[i].depth, specs[i].l2))
-                        p += specs[i].rate * m.trees[-1].value[m.trees[-1].leaf(bins)]
-                else:
-                    boost_gathered(m, rows)
+                boost(m, rows)
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([m.to_json()])], names=["model", "json"])
 
         key, held = None, []
@@ -415,11 +447,11 @@ def fit_many(df: DataFrame, features: list[str], specs: list[Spec], row_key: str
             for j, *rest in zip(b.column(0).to_pylist(), *[b.column(c).to_pylist() for c in (2, 3, 4)]):
                 if j != key:
                     if held:
-                        yield from boost(key, held)
+                        yield from grow(key, held)
                     key, held = j, []
                 held.append(rest)
         if held:
-            yield from boost(key, held)
+            yield from grow(key, held)
 
     small = [i for i in range(len(specs)) if all_rows[i] <= SMALL]
     if small:

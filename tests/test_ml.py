@@ -1,6 +1,7 @@
 """Boosting against a plain numpy booster; the reference's grids; importance; seeded draws."""
 
 import inspect
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -110,6 +111,25 @@ def test_gathered_rows_have_the_sums_of_all_rows(seed, monkeypatch):
             assert np.array_equal(got[1, node, at], np.bincount(bins[mine, f], minlength=w))
 
 
+def test_kept_rows_have_the_very_sums_of_all_rows_without_a_copy_per_feature():
+    rng = np.random.default_rng(4)
+    width = np.array([3, 3, 20, 2, 1, 64, 64, 64, 64, 64])
+    bins = np.stack([rng.integers(0, w, 20_000) for w in width], 1).astype(np.uint8)
+    bins[:, 1] = (bins[:, 0] + 1) % 3
+    y, part, offset, cells = rng.normal(size=20_000), rng.integers(1, 4, 20_000).astype(np.uint8), np.concatenate([[0], np.cumsum(width)[:-1]]), int(width.sum())
+    r, train = B.Kept(bins, y, part, width, offset), part & 1 > 0
+    g, node = r.gradients(np.zeros(20_000)), bins[train, 3].astype(np.int64) * 3 + bins[train, 0]
+    assert np.array_equal(g, -y[train]) and r.error(np.zeros(20_000)) == (y[part >= 2] ** 2).mean() and len(r.groups) < len(width)
+    where = (node[:, None] * cells + bins[train] + offset).ravel()
+    want = [np.bincount(where, x, 6 * cells).reshape(6, cells) for x in (np.repeat(g, len(width)), np.ones(len(where)))]
+    tracemalloc.start()
+    got = r.sums(node, 6, g, cells)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(got, want)                                         # to the last bit
+    assert peak < 8 * train.sum() * len(width) / 2                           # less than half of one number per row and feature
+
+
 def test_jobs_of_a_model_of_many_rows_do_not_grow_with_its_rounds(spark):
     d = spark.range(130_000).select("id", (F.col("id") % 97).cast("double").alias("a"), (F.xxhash64("id") % 50).cast("double").alias("y"),
                                     (F.col("id") % 5 > 0).alias("is_train"), (F.col("id") % 5 == 0).alias("is_val"))
