@@ -16,9 +16,12 @@ rows with equal bins are one row with a weight, as every tree treats them alike
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
-from dataclasses import asdict, dataclass, field
+import zlib
+from collections.abc import Iterator, Sequence
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -68,13 +71,43 @@ class Tree:
         return node - ((1 << (depth if levels is None else levels)) - 1)
 
 
+class Packed(Sequence):
+    """Trees of one depth, compressed; they are unpacked while they are walked, so a driver or a broadcast holds few bytes."""
+
+    def __init__(self, depth: int, number: int, data: bytes):
+        self.depth, self.number, self.data = depth, number, data
+
+    @classmethod
+    def of(cls, trees: Sequence[Tree]) -> Packed:
+        columns = [np.stack([getattr(t, name) for t in trees]).astype(kind) for name, kind, _ in cls.columns(0)]
+        return cls((len(trees[0].feature) + 1).bit_length() - 1, len(trees), zlib.compress(b"".join(c.tobytes() for c in columns), 1))
+
+    @staticmethod
+    def columns(depth: int) -> list[tuple[str, str, int]]:
+        inner, leaves = (1 << depth) - 1, 1 << depth
+        return [("feature", "<i4", inner), ("cut", "u1", inner), ("value", "<f8", leaves), ("count", "<f8", leaves)]
+
+    def __len__(self) -> int:
+        return self.number
+
+    def __iter__(self) -> Iterator[Tree]:
+        raw, at, columns = zlib.decompress(self.data), 0, []
+        for _, kind, n in self.columns(self.depth):
+            columns.append(np.frombuffer(raw, kind, self.number * n, at).reshape(self.number, n))
+            at += columns[-1].nbytes
+        return (Tree(*row) for row in zip(*columns))
+
+    def __getitem__(self, i):
+        return list(self)[i]
+
+
 @dataclass
 class Model:
     spec: Spec
     features: list[str]
     borders: list[list[float]]
     base: float = 0.0
-    trees: list[Tree] = field(default_factory=list)
+    trees: Sequence[Tree] = field(default_factory=list)
     errors: list[float] = field(default_factory=list)      # mean squared validation error after 0, 1, ... trees
     importance: list[float] = field(default_factory=list)
 
@@ -84,15 +117,24 @@ class Model:
             out += self.spec.rate * t.value[t.leaf(bins)]
         return out
 
+    def end(self) -> None:
+        """Keeps the trees up to the least validation error."""
+        if self.errors and any(self.errors):
+            self.trees = self.trees[:int(np.argmin(self.errors))]
+        self.importance = importance(self)
+        if self.trees:
+            self.trees = Packed.of(self.trees)
+
     def to_json(self) -> str:
-        trees = [[t.feature.tolist(), t.cut.tolist(), t.value.tolist(), t.count.tolist()] for t in self.trees]
-        return json.dumps({**asdict(self), "trees": trees})
+        t = self.trees if isinstance(self.trees, Packed) or not self.trees else Packed.of(self.trees)
+        return json.dumps({**asdict(replace(self, trees=[])), "trees": [len(t), base64.b64encode(t.data).decode()] if t else []})
 
     @classmethod
     def from_json(cls, text: str) -> Model:
         d = json.loads(text)
-        trees = [Tree(np.array(f, np.int64), np.array(c, np.int64), np.array(v, float), np.array(n, float)) for f, c, v, n in d["trees"]]
-        return cls(Spec(**d["spec"]), d["features"], d["borders"], d["base"], trees, d["errors"], d["importance"])
+        spec, t = Spec(**d["spec"]), d["trees"]
+        trees = Packed(spec.depth, t[0], base64.b64decode(t[1])) if t else []
+        return cls(spec, d["features"], d["borders"], d["base"], trees, d["errors"], d["importance"])
 
 
 def joined(bins: np.ndarray, width: np.ndarray) -> list[tuple[np.ndarray, list[int], np.ndarray]]:
@@ -440,6 +482,7 @@ def fit_many(df: DataFrame, features: list[str], specs: list[Spec], row_key: str
             for i in shares[j]:
                 m = Model(specs[i], features, borders, float(base[i]))
                 boost(m, rows)
+                m.end()
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([m.to_json()])], names=["model", "json"])
 
         key, held = None, []
@@ -453,7 +496,7 @@ def fit_many(df: DataFrame, features: list[str], specs: list[Spec], row_key: str
         if held:
             yield from grow(key, held)
 
-    small = [i for i in range(len(specs)) if all_rows[i] <= SMALL]
+    small, ended = [i for i in range(len(specs)) if all_rows[i] <= SMALL], set()
     if small:
         shares = shared_out([specs[i] for i in small], spark.sparkContext.defaultParallelism)
         shares = [[small[i] for i in x] for x in shares]
@@ -461,6 +504,7 @@ def fit_many(df: DataFrame, features: list[str], specs: list[Spec], row_key: str
         mine = mine.repartitionById(len(shares), F.col("share")).sortWithinPartitions("share", "place")
         for r in mine.mapInArrow(boost_here, "model int, json string").collect():
             models[r.model] = Model.from_json(r.json)
+            ended.add(r.model)
     since = [[] for _ in specs]
     active, held = [i for i in range(len(specs)) if i not in small], 0
     while active:
@@ -502,10 +546,9 @@ def fit_many(df: DataFrame, features: list[str], specs: list[Spec], row_key: str
             before, state = state, written(state.mapInArrow(checkpointed(since), ddl), "blocks")
             forget(before)
             since, held = [[] for _ in specs], 0
-    for m in models:
-        if m.errors and any(m.errors):
-            m.trees = m.trees[:int(np.argmin(m.errors))]
-        m.importance = importance(m)
+    for i, m in enumerate(models):
+        if i not in ended:
+            m.end()
     return models
 
 
@@ -593,8 +636,8 @@ def fitted(df: DataFrame, features: list[str], specs: list[Spec], row_key: str =
     spark = df.sparkSession
     used = [row_key, *features, *sorted({x for s in specs for x in (s.label, s.train, s.val)})]
     h = F.xxhash64(*used)
-    mark = df.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.sum(F.pmod(F.xxhash64(h), F.lit(1 << 40)))).first()
-    name = hashlib.sha256(repr((list(mark), used, [asdict(s) for s in specs], BINS)).encode()).hexdigest()
+    mark = df.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.sum(F.pmod(F.xxhash64(h), F.lit(1 << 40)).cast("decimal(38,0)"))).first()
+    name = hashlib.sha256(repr((list(mark), used, [asdict(s) for s in specs], BINS, "packed")).encode()).hexdigest()
     folder = f"{checkpoint_dir(spark).rstrip('/')}/models-{name}"
     if _exists(spark, folder + "/_SUCCESS"):
         rows = spark.read.schema("i int, model string").parquet(folder).orderBy("i").collect()

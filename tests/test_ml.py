@@ -1,6 +1,7 @@
 """Boosting against a plain numpy booster; the reference's grids; importance; seeded draws."""
 
 import inspect
+import pickle
 import tracemalloc
 
 import numpy as np
@@ -182,6 +183,24 @@ def test_models_are_kept_by_content(spark, frame):
     assert other.to_json() != first.to_json()
 
 
+@pytest.mark.parametrize("small", [1000, 0])
+def test_models_reach_the_driver_and_the_tasks_packed(spark, frame, rows, small, monkeypatch):
+    monkeypatch.setattr(B, "SMALL", small)                             # trees grown by one task, or level by level
+    m = B.fit_many(frame, FEATURES, [B.Spec("y", 7, 0.3, 2.0, rounds=12)])[0]
+    numbers = len(m.trees) * (4 * (1 << 7) - 2)
+    assert 0 < numbers and len(pickle.dumps(m)) < 4 * numbers and len(m.to_json()) < 4 * numbers
+    plain = B.Model(m.spec, m.features, m.borders, m.base, [B.Tree(*map(np.array, (t.feature, t.cut, t.value, t.count))) for t in m.trees], m.errors, m.importance)
+    again = B.Model.from_json(plain.to_json())
+    bins = np.stack([np.searchsorted(b, rows[0][:, i], "left") for i, b in enumerate(m.borders)], 1).astype(np.uint8)
+    assert again.to_json() == m.to_json() and np.array_equal(again.raw(bins), plain.raw(bins)) and B.importance(again) == m.importance
+
+
+def test_the_digest_of_many_rows_does_not_overflow(spark, monkeypatch):
+    monkeypatch.setattr(B, "fit_many", lambda *a: [])
+    d = spark.range(24_000_000).select("id", F.lit(1.0).alias("y"), F.lit(True).alias("is_train"), F.lit(False).alias("is_val"))
+    assert B.fitted(d, [], [B.Spec("y")]) == []
+
+
 def test_empty_and_odd_tables(spark, frame):
     m = B.fit_many(frame.limit(0), FEATURES, [B.Spec("y", 2, rounds=3)])[0]
     assert m.trees == [] and m.base == 0.0
