@@ -4,14 +4,15 @@ Features are binned once and packed into blocks of rows. A level of the trees of
 targets) is one Spark aggregate: each task sums gradients and counts per (model, node, feature, bin) over its blocks,
 the sums meet by (model, node), and the best splits come back, one row a node. Rows never leave their blocks; every
 few rounds the blocks are written anew with the predictions so far, so a lost executor costs a few trees. A node of at
-most SMALL rows is finished by one task, which gets its rows and grows the whole subtree below it, so a round takes as
-many jobs as there are levels of larger nodes, plus one; a model of at most SMALL rows is that all the way, and one task
-grows its trees one after the other. Boosting goes on from where it stopped: the validation error of
+most SMALL / 10 rows is finished by one task, which gets its rows and grows the whole subtree below it, so a round takes as
+many jobs as there are levels of larger nodes, plus one; a model of at most WHOLE x SMALL rows is that all the way, and one
+task grows its trees one after the other. Boosting goes on from where it stopped: the validation error of
 every round is kept, and a model ends when it has not fallen for ``patience`` rounds.
 
 Where one task grows a model, features with few distinct joint values share one count of those, from which the counts of
-each follow. Up to SMALL / 10 rows the gradients are added row by row (``Kept``); above, they are added up like the counts, and
-rows with equal bins are one row with a weight, as every tree treats them alike (``Gathered``).
+each follow. Up to SMALL / 10 rows the gradients are added row by row (``Kept``); above, they are added up like the counts,
+rows with equal bins are one row with a weight, as every tree treats them alike, and of two children only the one of fewer
+rows is added up (``Gathered``).
 """
 
 from __future__ import annotations
@@ -33,7 +34,12 @@ from ..session import checkpoint_dir, forget, written
 BINS = 64                  # most bins of a feature
 BLOCK = 2048               # rows of a block
 SAMPLE = 50_000            # rows from which the borders of bins are taken, chosen by hash
-SMALL = 1_000_000          # rows of a model that one task grows; a tenth: rows of a node whose subtree one task finishes
+SMALL = 1_000_000          # a tenth: rows of a node whose subtree one task finishes, and of a model that keeps its order of sums
+WHOLE = 6                  # times SMALL: rows of a model that one task grows
+PIECE = 1 << 17            # rows that a model's task takes at a time
+UPPER = 4                  # levels of a tree that predictions compare whole columns with
+WALKED = 1 << 14           # rows that are predicted at a time
+ALIKE = 1 << 17            # rows of which equal binned ones are predicted once
 JOINT = 1024               # most distinct values of neighbouring features that are counted together
 EVERY = 10                 # rounds between two written states
 ROWS_PER_TASK = 1_000_000  # rows that a task holds at most, beyond what the cluster's cores take
@@ -70,6 +76,30 @@ class Tree:
             node = 2 * node + 1 + (flat[start + f[node]] > cut[node])
         return node - ((1 << (depth if levels is None else levels)) - 1)
 
+    def place(self, cols: np.ndarray) -> np.ndarray:
+        """``leaf`` for bins with a row per feature. In the upper levels every node is compared with all rows, whole
+        columns at a time, and the comparisons on a row's path are picked by its bits so far; below, rows are walked."""
+        depth, bits = (len(self.feature) + 1).bit_length() - 1, []
+        for level in range(min(depth, UPPER)):
+            at = (1 << level) - 1
+            c = [(cols[f] > t if f >= 0 else np.zeros(cols.shape[1], bool)).view(np.uint8)
+                 for f, t in zip(self.feature[at:2 * at + 1].tolist(), self.cut[at:2 * at + 1].astype(np.uint8))]
+            for b in reversed(bits):
+                c = [left ^ ((left ^ right) & b) for left, right in zip(c[::2], c[1::2])]
+            bits.append(c[0])
+        node = np.zeros(cols.shape[1], np.uint8)
+        for b in bits:
+            node = 2 * node + b
+        node = node.astype(np.int64)
+        if depth > UPPER:
+            node += (1 << UPPER) - 1
+            flat, row, cut = cols.ravel(), np.arange(cols.shape[1]), np.where(self.feature < 0, 255, self.cut)
+            start = np.maximum(self.feature, 0).astype(np.int64) * cols.shape[1]
+            for _ in range(UPPER, depth):
+                node = 2 * node + 1 + (flat[start[node] + row] > cut[node])
+            node -= (1 << depth) - 1
+        return node
+
 
 class Packed(Sequence):
     """Trees of one depth, compressed; they are unpacked while they are walked, so a driver or a broadcast holds few bytes."""
@@ -112,9 +142,11 @@ class Model:
     importance: list[float] = field(default_factory=list)
 
     def raw(self, bins: np.ndarray) -> np.ndarray:
-        out = np.full(len(bins), self.base)
-        for t in self.trees:
-            out += self.spec.rate * t.value[t.leaf(bins)]
+        out, trees = np.full(len(bins), self.base), list(self.trees)
+        for a in range(0, len(bins), WALKED):
+            cols, mine = np.ascontiguousarray(bins[a:a + WALKED].T), out[a:a + WALKED]
+            for t in trees:
+                mine += (self.spec.rate * t.value).take(t.place(cols))
         return out
 
     def end(self) -> None:
@@ -141,13 +173,13 @@ def joined(bins: np.ndarray, width: np.ndarray) -> list[tuple[np.ndarray, list[i
     """Groups of features that are counted together: codes of the rows, features, their bins by code."""
     groups = []
     for f, w in enumerate(width):
-        b = bins[:, f].astype(np.int64)
+        b = bins[:, f].astype(np.uint16)
         for i, (code, features, table) in enumerate(groups):
             if len(table) * w <= JOINT * BINS:
-                joint = code * w + b
+                joint = code.astype(np.int64) * w + b
                 seen = np.flatnonzero(np.bincount(joint, minlength=len(table) * w))
                 if len(seen) <= JOINT:
-                    place = np.zeros(len(table) * w, np.int64)
+                    place = np.zeros(len(table) * w, np.uint16)
                     place[seen] = np.arange(len(seen))
                     groups[i] = place[joint], [*features, f], np.column_stack([table[seen // w], seen % w])
                     break
@@ -190,10 +222,24 @@ class Kept:
             out[1][:, cols] = np.bincount(node * n + code, minlength=nodes * n).reshape(nodes, n) @ to
         return out
 
+    def root(self, depth: int, g: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+        """Every row's place in the first level, and the sums of that level."""
+        node = np.zeros(len(self.y), np.int64)
+        return node, self.sums(node[self.train], 1, g, cells)
+
+    def below(self, node: np.ndarray, f: np.ndarray, cut: np.ndarray, less: np.ndarray, g: np.ndarray, sums: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the next level after the splits ``f``, ``cut`` of the nodes, and its sums unless it is the ``last``."""
+        size = len(self.y)
+        start, cut = np.maximum(f, 0) * size, np.where(f < 0, 255, cut)
+        node = 2 * node + (self.bins.ravel("F")[start[node] + np.arange(size)] > cut[node])
+        return node, sums if last else self.sums(node[self.train], 2 * len(f), g, sums.shape[2])
+
 
 class Gathered:
     """Rows of models with the same label and parts, as these need them: distinct rows with their weights and mean
-    labels, train rows first, those in both parts next, and groups of features that are counted together."""
+    labels, train rows first, those in both parts next, and groups of features that are counted together. Of two
+    children only the one of fewer rows is added up, and the other is what is left of their parent. Rows are walked in
+    pieces that a core's cache holds."""
 
     def __init__(self, bins: np.ndarray, y: np.ndarray, part: np.ndarray, width: np.ndarray, offset: np.ndarray):
         groups = joined(bins, width)
@@ -204,13 +250,15 @@ class Gathered:
                 top = int(key.max(initial=0)) + 1
             key, top = key * len(table) + code, top * len(table)
         _, first, at = np.unique(key, return_index=True, return_inverse=True)
-        self.bins, self.part = np.asfortranarray(bins[first]), part[first]
+        self.bins, self.part = np.empty((len(first), len(width)), np.uint8, "F"), part[first]
+        for f in range(len(width)):
+            self.bins[:, f] = bins[first, f]
         self.weight = np.bincount(at, minlength=len(first)).astype(np.float64)
         self.mean = np.bincount(at, y, len(first)) / self.weight
         off = y - self.mean[at]
         self.spread = float((off * off)[part >= 2].sum())          # of the validation rows around the means
         self.train, self.val = slice(0, int((self.part & 1).sum())), slice(int((self.part == 1).sum()), None)
-        self.held_out = self.weight[self.val].sum()
+        self.held_out, self.counts = self.weight[self.val].sum(), None
         self.groups = [(code[first][self.train], len(table), *cells_of(fs, table, width, offset)) for code, fs, table in groups]
 
     def error(self, p: np.ndarray) -> float:
@@ -228,6 +276,51 @@ class Gathered:
                 x[:, cols] = np.bincount(where, weight, nodes * n).reshape(nodes, n) @ to
         return out
 
+    def root(self, depth: int, g: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+        """Every row's place in the first level, and the sums of that level."""
+        if self.counts is None:
+            self.counts = self.sums(np.zeros(len(g), np.int64), 1, g, cells)[1]          # the same for every tree
+        out = np.stack([np.zeros((1, cells)), self.counts])
+        for code, n, to, cols in self.groups:
+            out[0][:, cols] = np.bincount(code, g, n)[None] @ to
+        return np.zeros(len(self.bins), np.min_scalar_type((1 << depth) - 1)), out
+
+    def below(self, node: np.ndarray, f: np.ndarray, cut: np.ndarray, less: np.ndarray, g: np.ndarray, sums: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the next level after the splits ``f``, ``cut`` of the nodes (changed in place), and its sums unless
+        it is the ``last``. ``less``: of each node's two children the one to be added up."""
+        size, nodes, weight = len(self.bins), len(f), self.weight[self.train]
+        flat, start, cut = self.bins.ravel("F"), np.maximum(f, 0) * size, np.where(f < 0, 255, cut).astype(np.uint8)
+        added = np.zeros(2 * nodes, bool)
+        added[less] = True
+        found = [np.zeros((2, nodes * n)) for _, n, _, _ in self.groups]
+        piece = max(PIECE, 8 * nodes * max((n for _, n, _, _ in self.groups), default=1))
+        for a in range(0, size, piece):
+            k = node[a:a + piece].astype(np.int64)
+            at = start[k]
+            at += np.arange(a, a + len(k))
+            right = flat[at] > cut[k]
+            k += k
+            k += right
+            node[a:a + piece] = k
+            if last or a >= len(g):
+                continue
+            mine = np.flatnonzero(added[k[:len(g) - a]])
+            parent, some, much = k[mine] >> 1, g[a:a + piece][mine], weight[a:a + piece][mine]
+            for (code, n, _, _), x in zip(self.groups, found):
+                where = parent * n
+                where += code[a:a + piece][mine]
+                x[0] += np.bincount(where, some, nodes * n)
+                x[1] += np.bincount(where, much, nodes * n)
+        if last:
+            return node, sums
+        out = np.empty((2, 2 * nodes, sums.shape[2]))
+        for i in range(2):
+            small = np.zeros((nodes, sums.shape[2]))
+            for (_, n, to, cols), x in zip(self.groups, found):
+                small[:, cols] = x[i].reshape(nodes, n) @ to
+            out[i][less], out[i][less ^ 1] = small, sums[i] - small
+        return node, out
+
 
 def bin_borders(df: DataFrame, features: list[str], row_key: str, bins: int = BINS) -> list[list[float]]:
     """At most ``bins - 1`` borders of every feature: between neighbouring values if there are few, else at quantiles.
@@ -454,21 +547,20 @@ def fit_many(df: DataFrame, features: list[str], specs: list[Spec], row_key: str
 
     def boost(m, rows):
         """All rounds of a model."""
-        s, depth, size = m.spec, m.spec.depth, len(rows.bins)
-        p, row, flat, some = m.raw(rows.bins), np.arange(size), rows.bins.ravel("F"), len(rows.part[rows.train])
-        while size:
+        s, depth, p, some = m.spec, m.spec.depth, m.raw(rows.bins), len(rows.part[rows.train])
+        while len(p):
             m.errors.append(rows.error(p))
             if over(m) or not some:
                 break
             t = Tree(np.full((1 << depth) - 1, -1, np.int64), np.zeros((1 << depth) - 1, np.int64), np.zeros(1 << depth), np.zeros(1 << depth))
-            g, node = rows.gradients(p), np.zeros(size, np.int64)            # place in the level
+            g = rows.gradients(p)
+            node, found = rows.root(depth, g, cells)                         # place in the level
             for level in range(depth):
-                hg, hc = rows.sums(node[rows.train], 1 << level, g, cells)
-                f, cut, gl, cl, tg, tc = best_splits(hg, hc, s.l2)
+                f, cut, gl, cl, tg, tc = best_splits(*found, s.l2)
                 for k in np.flatnonzero(tc > 0):
                     add(t, depth, s.l2, level, k, int(f[k]), int(cut[k]), tg[k], tc[k], gl[k], cl[k])
-                start, cut = np.maximum(f, 0) * size, np.where(f < 0, 255, cut)
-                node = 2 * node + (flat[start[node] + row] > cut[node])
+                less = 2 * np.arange(len(f)) + np.where(f < 0, True, cl > tc - cl)
+                node, found = rows.below(node, f, cut, less, g, found, level + 1 == depth)
             m.trees.append(t)
             p += s.rate * t.value[node]
 
@@ -496,7 +588,7 @@ def fit_many(df: DataFrame, features: list[str], specs: list[Spec], row_key: str
         if held:
             yield from grow(key, held)
 
-    small, ended = [i for i in range(len(specs)) if all_rows[i] <= SMALL], set()
+    small, ended = [i for i in range(len(specs)) if all_rows[i] <= SMALL * WHOLE], set()
     if small:
         shares = shared_out([specs[i] for i in small], spark.sparkContext.defaultParallelism)
         shares = [[small[i] for i in x] for x in shares]
@@ -516,7 +608,7 @@ def fit_many(df: DataFrame, features: list[str], specs: list[Spec], row_key: str
             got = state.mapInArrow(sums(since, grown, level, todo), "model int, node int, task int, g binary, c binary")
             keys = sum(len(a) + len(b) for a, b in todo.values())
             weight = sum(len(a) * cells + sum(counts[i][k] for k in b) * nf for i, (a, b) in todo.items())
-            reduce = max(1, min(parts, keys, weight // 200_000))
+            reduce = max(1, min(parts, keys, int(weight // 200_000)))
             got = got.repartition(reduce, "model", "node").sortWithinPartitions("model", "node", "task")
             rows = got.mapInArrow(splits(level, todo), "model int, node int, feature int, cut int, g double, c double, gl double, cl double, sub binary").collect()
             if level == 0:                                             # the error after the trees so far decides who goes on
@@ -612,21 +704,47 @@ def importance(m: Model) -> list[float]:
     return (100 * out / out.sum()).tolist() if out.sum() > 0 else out.tolist()
 
 
-def predict(df: DataFrame, models: dict[str, Model]) -> DataFrame:
-    """``df`` with the raw output of every model, under its name."""
+def predict(df: DataFrame, models: dict[str, Model], keep: Sequence[str] | None = None, of: str | None = None) -> DataFrame:
+    """``df`` (or its columns ``keep``) with the raw output of every model, under its name. With ``of``, a column of model
+    names, a row gets the output of its own model alone, and null for the others."""
     first = next(iter(models.values()))
-    keep = [c for c in df.columns if c not in models]
+    keep = [c for c in (df.columns if keep is None else keep) if c not in models]
     src = df.select(*keep, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"__f{i}") for i, c in enumerate(first.features)])
     from pyspark.sql.types import DoubleType, StructField, StructType
     schema = StructType(df.select(*keep).schema.fields + [StructField(n, DoubleType()) for n in models])
     from pyspark.sql.pandas.types import to_arrow_schema
     arrow, shared = to_arrow_schema(schema), df.sparkSession.sparkContext.broadcast(models)
 
+    def outputs(b):
+        bins = bin_rows(b, len(keep), first.borders)
+        own = None if of is None else np.array(b.column(keep.index(of)).to_pylist(), object)
+        kind = np.ascontiguousarray(bins).view(f"V{max(1, bins.shape[1])}").ravel() if bins.size else np.zeros(len(bins), np.uint8)
+        _, one, at = np.unique(kind, return_index=True, return_inverse=True)
+        for name, m in shared.value.items():
+            if own is None:
+                yield pa.array(m.raw(bins[one])[at])
+            else:
+                mine = own == name
+                used, back = np.unique(at[mine], return_inverse=True)
+                out = np.zeros(len(bins))
+                out[mine] = m.raw(bins[one[used]])[back]
+                yield pa.array(out, mask=~mine)
+
+    def answered(held):
+        b = pa.Table.from_batches(held).combine_chunks()
+        cols = [b.column(i).combine_chunks() for i in range(len(keep))] + list(outputs(b))
+        yield from pa.Table.from_arrays([c.cast(t) for c, t in zip(cols, arrow.types)], schema=arrow).to_batches(max_chunksize=10_000)
+
     def run(batches):
+        held, n = [], 0
         for b in batches:
-            bins = bin_rows(b, len(keep), first.borders)
-            cols = [b.column(i) for i in range(len(keep))] + [pa.array(m.raw(bins)) for m in shared.value.values()]
-            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(cols, arrow.types)], schema=arrow)
+            held.append(b)
+            n += b.num_rows
+            if n >= ALIKE:
+                yield from answered(held)
+                held, n = [], 0
+        if n:
+            yield from answered(held)
     return src.mapInArrow(run, schema)
 
 

@@ -101,7 +101,7 @@ def split(df: DataFrame, id_col: str = "id") -> DataFrame:
 
 def score(df: DataFrame, model: B.Model, label: str) -> DataFrame:
     """Model score clipped to 0–100 with its class and the raw output."""
-    p = B.predict(df, {"prediction": model})
+    p = B.predict(df, {"prediction": model}, ["id", label, "split"])
     return p.select("id", label, F.col("prediction").alias("raw_model_output"),
                     clip(F.col("prediction"), 0.0, 100.0).alias("impact_score_pred"),
                     risk_class(clip(F.col("prediction"), 0.0, 100.0)).alias("risk_class_pred"), "split")
@@ -116,13 +116,16 @@ def metrics(pred: DataFrame, label: str, pred_col: str = "impact_score_pred") ->
     return g.select("split", "n", (1 - F.col("__ssr") / (F.col("__v") * F.col("n"))).alias("r2"), "mae", "rmse")
 
 
-def metrics_of_many(df: DataFrame, models: dict[str, B.Model], part: Column) -> list:
+def metrics_of_many(df: DataFrame, models: dict[str, B.Model], part: Column, own: Column | None = None) -> list:
     """L03 for many models in one pass: one row per value of ``part`` (null ones left out), with n, r2, mae and rmse of
-    each model as ``<name>_n`` and so on; predictions clipped to 0–100."""
-    p = B.predict(df.withColumn("__part", part).filter("__part is not null"), models)
+    each model as ``<name>_n`` and so on; predictions clipped to 0–100. With ``own``, the name of a row's model, a model is
+    measured on its own rows alone."""
+    used = ["__part", *(["__own"] if own is not None else []), *sorted({m.spec.label for m in models.values()})]
+    d = df.withColumn("__part", part).withColumn("__own", F.lit(None) if own is None else own).filter("__part is not null")
+    p = B.predict(d, models, used, None if own is None else "__own")
     aggs = []
     for name, m in models.items():
-        y = F.col(m.spec.label)
+        y = F.col(m.spec.label) if own is None else F.when(F.col("__own") == name, F.col(m.spec.label))
         e = y - clip(F.col(name), 0.0, 100.0)
         ssr, n = F.sum(e * e), F.count(y)
         aggs += [n.alias(f"{name}_n"), (1 - ssr / (F.var_pop(y) * n)).alias(f"{name}_r2"), F.avg(F.abs(e)).alias(f"{name}_mae"),
@@ -170,7 +173,7 @@ def cross_validate(df: DataFrame, features: list[str], label: str, folds: int =
                                                        {f"val_{k}": (F.col("fold") != k) & val for k in range(folds)})
     specs = [B.Spec(label, train=f"train_{k}", val=f"val_{k}") for k in range(folds)]
     models = {f"fold_model_{k}": m for k, m in enumerate(B.fitted(d, features, specs))}
-    got = {r["__part"]: r for r in metrics_of_many(d, models, F.col("fold"))}
+    got = {r["__part"]: r for r in metrics_of_many(d, models, F.col("fold"), F.concat(F.lit("fold_model_"), F.col("fold").cast("string")))}
     r2 = [float(got[k][f"fold_model_{k}_r2"]) for k in sorted(got) if got[k][f"fold_model_{k}_r2"] is not None]
     mean = sum(r2) / max(len(r2), 1)
     return df.sparkSession.createDataFrame([(folds, mean, (sum((x - mean) ** 2 for x in r2) / max(len(r2), 1)) ** 0.5)],

@@ -143,6 +143,73 @@ def test_jobs_of_a_model_of_many_rows_do_not_grow_with_its_rounds(spark):
     assert 0 < jobs[1] <= jobs[0]
 
 
+def test_a_model_of_over_a_million_rows_is_grown_by_one_task(spark):
+    d = spark.range(1_200_000).select("id", (F.col("id") % 97).cast("double").alias("a"), (F.xxhash64("id") % 50).cast("double").alias("y"),
+                                      (F.col("id") % 5 > 0).alias("is_train"), (F.col("id") % 5 == 0).alias("is_val"))
+    jobs, sc = [], spark.sparkContext
+    for rounds in (1, 3):
+        sc.setJobGroup(f"many-{rounds}", "")
+        assert len(B.fit_many(d, ["a"], [B.Spec("y", 1, rounds=rounds)])[0].errors) == rounds + 1
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"many-{rounds}")))
+    sc._jsc.clearJobGroup()
+    assert 0 < jobs[1] <= jobs[0]
+
+
+def test_rows_of_many_small_nodes_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(B, "SMALL", 100_000)                           # the nodes of the last level are small, the others large
+    monkeypatch.setattr(B, "WHOLE", 1, raising=False)
+    bits = [(F.shiftright("id", i) % 2).cast("double").alias(f"f{i}") for i in range(5)]
+    d = spark.range(131_072).select("id", *bits, F.lit(True).alias("is_train"), F.lit(False).alias("is_val")).withColumn(
+        "y", sum((1 << i) * F.col(f"f{i}") for i in range(5)))
+    m = B.fit_many(d, [f"f{i}" for i in range(5)], [B.Spec("y", 5, 1.0, 0.0, rounds=1)])[0]
+    assert sorted(m.trees[0].value + m.base) == pytest.approx(range(32)) and set(m.trees[0].count) == {4096.0}
+
+
+def test_gathered_rows_have_the_sums_of_both_children(monkeypatch):
+    monkeypatch.setattr(B, "JOINT", 16)
+    monkeypatch.setattr(B, "PIECE", 100)
+    rng = np.random.default_rng(5)
+    width = np.array([3, 3, 20, 2, 1, 5])
+    bins = np.stack([rng.integers(0, w, 3000) for w in width], 1).astype(np.uint8)
+    y, part, offset, cells = rng.normal(size=3000), rng.integers(1, 4, 3000).astype(np.uint8), np.concatenate([[0], np.cumsum(width)[:-1]]), int(width.sum())
+    r = B.Gathered(bins, y, part, width, offset)
+    g = r.gradients(np.zeros(len(r.bins)))
+    node, sums = r.root(3, g, cells)
+    at = np.zeros(len(r.bins), np.int64)
+    for f, cut, less in (([2], [3], [0]), ([0, -1], [1, 0], [1, 3]), ([5, 1, 2, 3], [2, 0, 9, 0], [0, 3, 4, 7])):
+        f, cut, less = map(np.array, (f, cut, less))
+        at = 2 * at + np.where(f[at] < 0, False, r.bins[np.arange(len(at)), np.maximum(f[at], 0)] > cut[at])
+        node, sums = r.below(node, f, cut, less, g, sums, False)
+        assert np.array_equal(node, at)
+        want = r.sums(at[r.train], 2 * len(f), g, cells)
+        assert np.allclose(sums[0], want[0], atol=1e-12) and np.array_equal(sums[1], want[1])
+
+
+@pytest.mark.parametrize("depth", [2, 4, 7])
+def test_places_of_whole_columns_are_those_of_walked_rows(depth):
+    rng = np.random.default_rng(depth)
+    bins = rng.integers(0, 9, (B.WALKED + 77, 5)).astype(np.uint8)
+    trees = [B.Tree(rng.integers(-1, 5, (1 << depth) - 1), rng.integers(0, 8, (1 << depth) - 1), rng.normal(size=1 << depth), np.ones(1 << depth)) for _ in range(3)]
+    for t in trees:
+        assert np.array_equal(t.place(np.ascontiguousarray(bins.T)), t.leaf(bins))
+    m = B.Model(B.Spec("y", depth, 0.3), [], [], 1.5, B.Packed.of(trees))
+    want = np.full(len(bins), 1.5)
+    for t in trees:
+        want += 0.3 * t.value[t.leaf(bins)]
+    assert np.array_equal(m.raw(bins), want)
+
+
+def test_rows_are_predicted_by_their_own_model(spark, frame, monkeypatch):
+    monkeypatch.setattr(B, "ALIKE", 50)
+    models = {f"p{i}": m for i, m in enumerate(B.fit_many(frame, FEATURES, [B.Spec("y", 3, rounds=3), B.Spec("z", 2, rounds=4)]))}
+    twice = frame.unionAll(frame).withColumn("who", F.concat(F.lit("p"), (F.col("id") % 3).cast("string")))
+    both = {r.id: r for r in B.predict(twice, models, ["id"]).collect()}
+    got = B.predict(twice, models, ["id", "who"], "who").collect()
+    assert len(got) == 1000 and got[0].__fields__ == ["id", "who", "p0", "p1"]
+    for r in got:
+        assert (r.p0, r.p1) == (both[r.id].p0 if r.who == "p0" else None, both[r.id].p1 if r.who == "p1" else None)
+
+
 def test_models_are_dealt_over_the_cores():
     specs = [B.Spec("m4", d, r, l2) for d in (4, 5, 6, 7) for r in (0.02, 0.05) for l2 in (2.0, 3.0, 4.0)]
     for cores in (1, 4, 12, 100):
