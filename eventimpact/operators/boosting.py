@@ -571,6 +571,7 @@ def fit_many(df: DataFrame, features: list[str], specs: list[Spec], row_key: str
             y, part = np.concatenate([np.frombuffer(x[1]) for x in held]), np.concatenate([np.frombuffer(x[2], np.uint8) for x in held])
             held.clear()
             rows = (Kept if len(y) <= SMALL // 10 else Gathered)(bins, y, part, width, offset)
+            del bins, y, part
             for i in shares[j]:
                 m = Model(specs[i], features, borders, float(base[i]))
                 boost(m, rows)
