@@ -250,22 +250,25 @@ class Gathered:
                 top = int(key.max(initial=0)) + 1
             key, top = key * len(table) + code, top * len(table)
         _, first, at = np.unique(key, return_index=True, return_inverse=True)
+        del key
         self.bins, self.part = np.empty((len(first), len(width)), np.uint8, "F"), part[first]
         for f in range(len(width)):
             self.bins[:, f] = bins[first, f]
         self.weight = np.bincount(at, minlength=len(first)).astype(np.float64)
         self.mean = np.bincount(at, y, len(first)) / self.weight
-        off = y - self.mean[at]
-        self.spread = float((off * off)[part >= 2].sum())          # of the validation rows around the means
+        off = y[part >= 2] - self.mean[at[part >= 2]]
+        self.spread = float((off * off).sum())                     # of the validation rows around the means
         self.train, self.val = slice(0, int((self.part & 1).sum())), slice(int((self.part == 1).sum()), None)
         self.held_out, self.counts = self.weight[self.val].sum(), None
         self.groups = [(code[first][self.train], len(table), *cells_of(fs, table, width, offset)) for code, fs, table in groups]
 
     def error(self, p: np.ndarray) -> float:
-        return float(self.spread + (self.weight * (p - self.mean) ** 2)[self.val].sum()) / self.held_out if self.held_out else 0.0
+        v = self.val
+        return float(self.spread + (self.weight[v] * (p[v] - self.mean[v]) ** 2).sum()) / self.held_out if self.held_out else 0.0
 
     def gradients(self, p: np.ndarray) -> np.ndarray:
-        return (self.weight * (p - self.mean))[self.train]
+        t = self.train
+        return self.weight[t] * (p[t] - self.mean[t])
 
     def sums(self, node: np.ndarray, nodes: int, g: np.ndarray, cells: int) -> np.ndarray:
         """Gradient sums and row counts of the train rows by node and cell."""
@@ -562,7 +565,8 @@ def fit_many(df: DataFrame, features: list[str], specs: list[Spec], row_key: str
                 less = 2 * np.arange(len(f)) + np.where(f < 0, True, cl > tc - cl)
                 node, found = rows.below(node, f, cut, less, g, found, level + 1 == depth)
             m.trees.append(t)
-            p += s.rate * t.value[node]
+            for a in range(0, len(p), PIECE):
+                p[a:a + PIECE] += (s.rate * t.value).take(node[a:a + PIECE])
 
     def boost_here(batches):
         """Whole models from their rows, which come one share after the other."""
